@@ -1,9 +1,10 @@
 """Corpus operators: ten steps of a training-data pipeline. Nothing else in the library imports this subpackage."""
 
+from fieldglass.llm.mixing import op7_mixing_sources
 from fieldglass.llm.near_dedup import op2_minhash_near_dedup
+from fieldglass.llm.packing import op5_best_fit_packing
+from fieldglass.llm.sharding import op1_sharding
 
-QUERIES = {
-    "op2_minhash_near_dedup": op2_minhash_near_dedup,
-}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_minhash_near_dedup, op5_best_fit_packing, op7_mixing_sources)}
 #: DuckDB statements, where SQL can express the query at an acceptable cost.
 ORACLES: dict[str, str] = {}
