@@ -7,6 +7,7 @@ from fieldglass.llm.neighbours import op3_nearest_neighbours
 from fieldglass.llm.packing import op5_best_fit_packing
 from fieldglass.llm.quality import op10_quality_classifier
 from fieldglass.llm.sharding import op1_sharding
+from fieldglass.llm.suffix_dedup import op4_suffix_array_dedup
 from fieldglass.llm.token_files import op6_token_files
 from fieldglass.llm.warc import op9_warc
 
@@ -16,6 +17,7 @@ QUERIES = {
         op1_sharding,
         op2_minhash_near_dedup,
         op3_nearest_neighbours,
+        op4_suffix_array_dedup,
         op5_best_fit_packing,
         op6_token_files,
         op7_mixing_sources,
