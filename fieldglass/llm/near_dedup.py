@@ -8,8 +8,9 @@ Bands of equal slots name candidates: with 32 bands of 5 a pair at similarity 0.
 probability (1 - 0.8**5)**32 = 3e-6, at 0.9 with 4e-13.
 
 Scale: equal sets are one class from a partial aggregate on, so copies never meet as pairs. In a bucket only pairs
-with its most popular member are verified; what that doesn't join is then verified across components, so a bucket
-of near copies costs a number of pairs in proportion to its size, and none of its links can be lost to a cap.
+with its most popular member are verified, then pairs with the most popular one left over. What is still apart is verified
+across components only, and only where the items that a set shares with any other candidate could reach the
+threshold (a bound, so no link is lost): a bucket of near copies costs pairs in proportion to its size, without a cap.
 
 Defined cases: null or empty text, or no word: empty set, linked with nothing. A null doc_id links with nothing; its
 component is null and it is kept. Repeated rows of one doc_id and text are one node and all returned. Extra columns
@@ -130,6 +131,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.where(100 * F.col("common") >= threshold * (F.size("ia") + F.size("ib") - F.col("common"))).select("a", "b").distinct()
 
 
+def _shareable(classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(c, e): how many items of each class's set occur in another of these classes, so the most it can share with one."""
+    items = sets.join(classes, "c", "left_semi").select("c", F.explode("items").alias("item"))
+    met = items.groupBy("item").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("c"))
+    own = met.where("df = 1").groupBy("c").agg(F.count(F.lit(1)).alias("own"))
+    full = sets.join(classes, "c", "left_semi").select("c", F.size("items").alias("size"))
+    return full.join(own, "c", "left").select("c", (F.col("size") - F.coalesce("own", F.lit(0))).alias("e"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, bands: int = 32, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id)."""
     spark = docs.sparkSession
@@ -162,8 +172,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, bands: int
             rest = at.where(F.col("label") != F.col("top.label")).groupBy("key").agg(F.max(F.struct("pop", F.expr("-c"), "c", "n", "label")).alias("t"))
             pairs = at.join(rest, "key").where(F.col("label") != F.col("t.label")).where(near(F.col("n"), F.col("t.n"))).select(F.least("c", "t.c").alias("a"), F.greatest("c", "t.c").alias("b"))
         else:  # whatever is still apart, across components only
-            x, y = at.select("key", "c", "n", "label"), at.select("key", F.col("c").alias("d"), F.col("n").alias("o"), F.col("label").alias("other"))
-            pairs = x.join(y, "key").where(F.col("label") < F.col("other")).where(near(F.col("n"), F.col("o"))).select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"))
+            at = at.join(_shareable(at.select("c").distinct(), sets), "c")
+            x, y = at.select("key", "c", "n", "label", "e"), at.select("key", F.col("c").alias("d"), F.col("n").alias("o"), F.col("label").alias("other"), F.col("e").alias("f"))
+            enough = threshold * (F.col("n") + F.col("o")) <= (100 + threshold) * F.least("e", "f")
+            pairs = x.join(y, "key").where(F.col("label") < F.col("other")).where(enough).select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"))
         pairs = scratch.put(pairs.distinct(), f"pairs{turn}")
         found = scratch.put(_verified(pairs if links is None else pairs.join(links, ["a", "b"], "left_anti"), sets, threshold), f"links{turn}")
         if turn and found.isEmpty():
