@@ -5,8 +5,8 @@ set a document labelled 1 above one labelled 0; a logistic loss on the differenc
 strength of a document. The cut is the quantile of training strengths that parts the labels best, and the score is
 a logistic curve through ``cut`` at 0.7, so "score >= 0.7" is the threshold by quantile.
 
-Scale: one pass over the texts, whose features are kept (a few hundred bytes a document). The fit takes at most
-``max_labelled`` rows by hash and ``n_pairs`` pairs, both bounds whatever the input; scoring is a JVM expression.
+Scale: the fit takes at most ``max_labelled`` rows by hash and ``n_pairs`` pairs, both bounds whatever the input, and
+finds its rows by a broadcast of that bounded table; scoring is one pass over the texts without a shuffle.
 
 Defined cases: null text counts as empty; empty texts have features (zeros) and a score. A null doc_id is not held out
 and has no label. Labels that are null, or differ for one doc_id, teach nothing. Without labels of both kinds every
@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import Scratch, table
+from fieldglass.llm.common import table
 
 SYMBOLS = b"*$%&|#@<>{}[]=_~^+/\\"
 NAMES = ["log_bytes", "log_words", "word_length", "distinct_words", "same_as_last", "distinct_lines", "words_a_line", "stops", "commas", "digits", "capitals", "not_ascii", "blank", "symbols", *(f"byte_{chr(c)}" for c in SYMBOLS), "same_log", "symbols_log", "distinct_low", "length_gap", "longest_word", "short_words"]
@@ -50,10 +50,10 @@ def _featured(batches):
     import pyarrow as pa
 
     for b in batches:
-        rows = [features((t or "").encode()) for t in b.column(1).to_pylist()]
+        rows = [features((t or "").encode()) for t in b.column(2).to_pylist()]
         flat = np.array(rows, np.float64).reshape(-1)
         at = np.arange(0, len(flat) + 1, len(NAMES), dtype=np.int32)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["doc_id", "x"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["doc_id", "q", "x"])
 
 
 def fit(x: np.ndarray, y: np.ndarray, n_pairs: int = 100_000, l2: float = 1e-3, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
@@ -82,29 +82,57 @@ def fit(x: np.ndarray, y: np.ndarray, n_pairs: int = 100_000, l2: float = 1e-3,
     return mean, scale, w, cut, steep
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = 50_000, n_pairs: int = 100_000) -> DataFrame:
-    """doc_id, held_out, score, predicted. Labels of rows held out (crc32 of doc_id mod 4 is 2) are never learned from."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "quality")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    feats = scratch.put(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_featured, f"doc_id {kind}, x array<double>"), "features")
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q1")).where("q = q1").select("doc_id", "q").where(~held)
+class Model:
+    """A fitted ranking, or None of it: without labels of both kinds every score is 0.7."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, n_pairs: int):
+        self.fitted = fit(x, y, n_pairs) if len(set(y.tolist())) == 2 else None
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        if self.fitted is None or not texts:
+            return np.full(len(texts), 0.7)
+        mean, scale, w, cut, steep = self.fitted
+        z = np.clip((np.array([features(t) for t in texts]) - mean) / scale, -8, 8)
+        s = (z * w).sum(axis=1)
+        return 1 / (1 + np.exp(-np.clip(np.log(0.7 / 0.3) + (s - cut) * steep, -500, 500)))
+
+
+def held_out(doc_id: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 50_000, n_pairs: int = 100_000) -> Model:
+    """Learn from at most about ``max_labelled`` labelled rows, chosen by hash; never from rows held out."""
+    known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q1")).where("q = q1").select("doc_id", "q").where(~held_out())
     n = known.count()
     if n > max_labelled:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * max_labelled / n))
-    rows = feats.join(known, "doc_id").select("doc_id", "q", "x").collect()
+    text = F.col("text").cast("string").alias("text")
+    # the broadcast side has max_labelled rows, give or take the hash's scatter
+    some = docs.select("doc_id", text).join(F.broadcast(known), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("q").cast("int").alias("q"), "text")
+    rows = some.mapInArrow(_featured, "doc_id long, q int, x array<double>").collect()
     rows = sorted({(r.doc_id, r.q, tuple(r.x)) for r in rows})
-    y = np.array([r[1] for r in rows])
-    if len(set(y.tolist())) < 2:
-        score = F.lit(0.7)
-    else:
-        mean, scale, w, cut, steep = fit(np.array([r[2] for r in rows]), y, n_pairs)
-        term = lambda i: F.greatest(F.lit(-8.0), F.least(F.lit(8.0), (F.col("x")[i] - float(mean[i])) / float(scale[i]))) * float(w[i])
-        s = sum((term(i) for i in range(1, len(NAMES))), term(0))
-        score = 1 / (1 + F.exp(-(float(np.log(0.7 / 0.3)) + (s - cut) * steep)))
-    out = feats.select("doc_id", held.alias("held_out"), score.cast("double").alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+    return Model(np.array([r[2] for r in rows]), np.array([r[1] for r in rows]), n_pairs)
+
+
+def with_scores(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with ``score``, by one pass over the texts and no shuffle."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            texts = [(t or "").encode() for t in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(model.scores(texts))], [*b.schema.names[:-1], "score"])
+
+    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + ["score double"])
+    return docs.select("*", F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = 50_000, n_pairs: int = 100_000) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    scored = with_scores(docs.select("doc_id", "text"), train(docs, labels, max_labelled, n_pairs))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
