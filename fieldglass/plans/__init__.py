@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: list[str] = []
+MODULES = ["teams"]
 
 
 def load() -> None:

@@ -1,0 +1 @@
+"""Readers: driver tables, the league derived from them, CSV catalogues, strict JSON, synthetic leagues."""
