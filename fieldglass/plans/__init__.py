@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["teams"]
+MODULES = ["teams", "ranks", "forecasts"]
 
 
 def load() -> None:

@@ -157,12 +157,12 @@ def possessions(rows):
     "possession_efficiency",
     L
     + f""", q as (select *, {POSS} as poss, abs(("FGA"-"OR"+"TO"+0.475*"FTA")-("opp_FGA"-"opp_OR"+"opp_TO"+0.475*"opp_FTA")) as raw_gap from long)
- select {QK}, round(avg(poss*40/(40+5*"NumOT")),4) as tempo, round(stddev_samp(poss*40/(40+5*"NumOT")),6) as tempo_sd, round(avg(100*"Score"/nullif(poss,0)),4) as efficiency,
+ select {QK}, round(avg(poss*40/(40+5*"NumOT")),8) as tempo, round(stddev_samp(poss*40/(40+5*"NumOT")),6) as tempo_sd, round(avg(100*"Score"/nullif(poss,0)),4) as efficiency,
  round(avg(raw_gap/nullif(poss,0)),6) as gap, round(avg(case when raw_gap/nullif(poss,0)<=0.10 then 1.0 else 0.0 end),6) as clean_fraction from q group by all""",
 )
 def possession_efficiency(spark, d):
     rows = possessions(long(spark, d, "FGA", "OR", "TO", "FTA"))
-    return rows.groupBy(*KEY).agg(F.round(F.avg("tempo"), 4).alias("tempo"), r6(F.stddev_samp("tempo")).alias("tempo_sd"), F.round(F.avg("efficiency"), 4).alias("efficiency"), r6(F.avg("gap")).alias("gap"), r6(F.avg(F.when(F.col("clean"), 1.0).otherwise(0.0))).alias("clean_fraction"))
+    return rows.groupBy(*KEY).agg(F.round(F.avg("tempo"), 8).alias("tempo"), r6(F.stddev_samp("tempo")).alias("tempo_sd"), F.round(F.avg("efficiency"), 4).alias("efficiency"), r6(F.avg("gap")).alias("gap"), r6(F.avg(F.when(F.col("clean"), 1.0).otherwise(0.0))).alias("clean_fraction"))
 
 
 @query(
