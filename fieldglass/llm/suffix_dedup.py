@@ -3,8 +3,8 @@
 1. Candidate places. Of the ``gram``-byte grams inside each span-byte window the one with the least hash (the leftmost
    of equals) is the window's anchor. Equal windows have equal anchors at equal offsets, so every repeat lies in
    the context of an anchor whose gram occurs elsewhere: the bytes that windows with that anchor can reach.
-2. Occurrences meet by gram. Equal whole contexts at two places are repeats as they stand and need no comparison.
-   Grams with two or more different contexts send one of each on.
+2. Occurrences meet by gram. Equal whole contexts at two places are repeats as they stand and need no comparison;
+   those within a chunk of texts are collapsed to one before the shuffle. Grams with two or more different contexts send one of each on.
 3. Shards of such contexts get a suffix array by Larsson-Sadakane refinement (prefix doubling from four-byte ranks,
    sorting only groups that aren't settled) and Kasai's common prefixes. A run of suffixes that agree on ``span``
    bytes and start at different places of the corpus is a repeat. A gram with more contexts than a shard takes
@@ -210,6 +210,23 @@ def _spans(hit: np.ndarray, sizes: np.ndarray, span: int):
 MARK = "gram long, doc_id long, crc long, s long, e long"
 
 
+def collapsed(r, gram, ctx, start, length):
+    """Contexts that occur twice or more among these are repeats already: their merged intervals (row, start, end), and
+    a mask of the rows that must still meet others: one of each context."""
+    order = np.lexsort((ctx, gram))
+    again = np.r_[False, (gram[order][1:] == gram[order][:-1]) & (ctx[order][1:] == ctx[order][:-1])]
+    twice = np.zeros(len(r), bool)
+    twice[order] = again | np.r_[again[1:], False]
+    send = np.ones(len(r), bool)
+    send[order] = ~again
+    rows, lo = r[twice], start[twice]
+    hi = lo + length[twice]
+    # in text order starts and ends both rise, so an interval joins the one before it or begins anew
+    new = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (lo[1:] > hi[:-1])]) if len(rows) else np.zeros(0, np.int64)
+    last = np.r_[new[1:], len(rows)] - 1 if len(rows) else new
+    return rows[new], lo[new], hi[last], send
+
+
 def _anchored(span: int):
     def run(batches):
         import pyarrow as pa
@@ -218,9 +235,14 @@ def _anchored(span: int):
             docs, crc = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             for lo, data, offs in K.text_chunks(b.column(2)):
                 r, gram, ctx, start, length = anchors(data, offs, span)
-                for at in range(0, len(r), 1 << 17):
-                    p = slice(at, at + (1 << 17))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram[p], ctx[p], docs[lo + r[p]], crc[lo + r[p]], start[p], start[p] + length[p])], ["gram", "ctx", "doc_id", "crc", "s", "e"])
+                cr, cs, ce, send = collapsed(r, gram, ctx, start, length)
+                # intervals found here only pass through the exchange, dealt by a hash of their own
+                key = K.mix((crc[lo + cr] * 1_000_003 + cs).astype(U)).view(np.int64) if len(cr) else cr
+                rows = [np.r_[np.zeros(len(cr), bool), np.ones(int(send.sum()), bool)], np.r_[key, gram[send]], np.r_[cr * 0, ctx[send]]]
+                at = lo + np.r_[cr, r[send]]
+                rows += [docs[at], crc[at], np.r_[cs, start[send]], np.r_[ce, (start + length)[send]]]
+                for i in range(0, len(at), 1 << 17):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)]) for x in rows], ["open", "gram", "ctx", "doc_id", "crc", "s", "e"])
 
     return run
 
@@ -261,7 +283,13 @@ def _met(batches):
     for b in batches:
         if not b.num_rows:
             continue
-        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+        open_ = b.column(0).to_numpy(zero_copy_only=False)
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(1, 7)]
+        if not open_.all():
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(int((~open_).sum()), np.int64)), *(pa.array(c[~open_]) for c in cols[2:])], ["gram", "doc_id", "crc", "s", "e"])
+            cols = [c[open_] for c in cols]
+            if not len(cols[0]):
+                continue
         if tail is not None:
             cols = [np.concatenate([[t], c]).astype(np.int64) for t, c in zip(tail, cols, strict=True)]
         tail = [c[-1] for c in cols]
@@ -361,8 +389,8 @@ def repeated_intervals(docs: DataFrame, span: int = 200) -> DataFrame:
     scratch = Scratch(spark, "suffix")
     n = shuffle_width(spark)
     src = _identified(docs).select("_doc", "_crc", "_text")
-    placed = src.mapInArrow(_anchored(span), "gram long, ctx long, doc_id long, crc long, s long, e long")
-    marks = scratch.put(placed.repartition(n, "gram").sortWithinPartitions("gram", "ctx").mapInArrow(_met, MARK), "marks")
+    placed = src.mapInArrow(_anchored(span), "open boolean, gram long, ctx long, doc_id long, crc long, s long, e long")
+    marks = scratch.put(placed.repartition(n, "gram").sortWithinPartitions("open", "gram", "ctx").mapInArrow(_met, MARK), "marks")
     asked = marks.where("gram <> 0")
     parts = asked.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARD_CONTEXTS)).cast("int").alias("k")).where("k > 1")
     asked = asked.join(parts, "gram", "left").withColumn("own", F.when(F.col("k").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", "crc", "s"), "k")).cast("int"))

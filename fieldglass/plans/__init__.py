@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["teams", "ranks", "forecasts"]
+MODULES = ["teams", "ranks", "forecasts", "audits", "models"]
 
 
 def load() -> None:

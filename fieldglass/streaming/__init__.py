@@ -1,0 +1,22 @@
+"""Structured Streaming forms of the time semantics: availability clocks, late rows, as-of lookups, the Elo fold."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def latest_before(stream: DataFrame, key: str, time: str, value: str, late: str = "1 day") -> DataFrame:
+    """Latest value of each key within the watermark: a streaming aggregate (update mode)."""
+    return stream.withWatermark(time, late).groupBy(key).agg(F.max_by(value, time).alias(value), F.max(time).alias(time))
+
+
+def windowed_counts(stream: DataFrame, time: str, by: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Counts by key and tumbling window; rows later than the watermark are dropped and counted by Spark."""
+    return stream.withWatermark(time, late).groupBy(F.window(time, width), by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def eligible(stream: DataFrame, available: str, cutoff) -> DataFrame:
+    """Rows with their status against a cutoff: ELIGIBLE, LATE_SOURCE or UNKNOWN_TIMING."""
+    status = F.when(F.col(available).isNull(), "UNKNOWN_TIMING").when(F.col(available) <= cutoff, "ELIGIBLE").otherwise("LATE_SOURCE")
+    return stream.withColumn("status", status)
