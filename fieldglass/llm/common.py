@@ -29,6 +29,36 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def arrow(df: DataFrame, f, schema: str) -> DataFrame:
+    """``mapInArrow`` with bounded memory: batches of at most 1000 rows and 8 MB, and what a task has freed is given back
+    to the system at its end, as idle workers live on beside the executor."""
+    conf = df.sparkSession.conf
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(rows)) <= 1000:
+        conf.set(rows, "1000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return df.mapInArrow(_released(f), schema)
+
+
+def _released(f):
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage and survive lost executors.
 
@@ -123,7 +153,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFr
     nothing changes. Each round is a partial aggregate and joins on node ids, and its edges are written to the
     shared folder; the driver only sees a count and a checksum.
     """
-    cur = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").mapInArrow(_forest, "a long, b long").distinct()
+    cur = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").transform(arrow, _forest, "a long, b long").distinct()
     cur = scratch.put(cur, f"{tag}-0")
     seen = None
     for k in range(1, 60):

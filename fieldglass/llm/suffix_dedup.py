@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass.llm import kernels as K
-from fieldglass.llm.common import Scratch, shuffle_width, table
+from fieldglass.llm.common import Scratch, arrow, shuffle_width, table
 
 U = np.uint64
 GRAM = 64
 #: Bytes of contexts that one suffix array takes at most (a single context is never split), and contexts of one gram.
-SHARD_BYTES = 4 << 20
-SHARD_CONTEXTS = 8192
+SHARD_BYTES = 2 << 20
+SHARD_CONTEXTS = 4096
 
 
 def window_minimum(v: np.ndarray, w: int) -> np.ndarray:
@@ -378,9 +378,9 @@ def _sharded(span: int):
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    """The columns of docs with ``_doc`` and ``_crc``, which tell rows apart, and ``_text``."""
+    """The columns of docs with ``__fg_doc`` and ``__fg_crc``, which tell rows apart, and ``__fg_text``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**62))).alias("_doc"), F.crc32(text.cast("binary")).alias("_crc"), text.alias("_text"))
+    return docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**62))).alias("__fg_doc"), F.crc32(text.cast("binary")).alias("__fg_crc"), text.alias("__fg_text"))
 
 
 def repeated_intervals(docs: DataFrame, span: int = 200) -> DataFrame:
@@ -388,21 +388,21 @@ def repeated_intervals(docs: DataFrame, span: int = 200) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
     n = shuffle_width(spark)
-    src = _identified(docs).select("_doc", "_crc", "_text")
-    placed = src.mapInArrow(_anchored(span), "open boolean, gram long, ctx long, doc_id long, crc long, s long, e long")
-    marks = scratch.put(placed.repartition(n, "gram").sortWithinPartitions("open", "gram", "ctx").mapInArrow(_met, MARK), "marks")
+    src = _identified(docs).select("__fg_doc", "__fg_crc", "__fg_text")
+    placed = src.transform(arrow, _anchored(span), "open boolean, gram long, ctx long, doc_id long, crc long, s long, e long")
+    marks = scratch.put(placed.repartition(n, "gram").sortWithinPartitions("open", "gram", "ctx").transform(arrow, _met, MARK), "marks")
     asked = marks.where("gram <> 0")
     parts = asked.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARD_CONTEXTS)).cast("int").alias("k")).where("k > 1")
     asked = asked.join(parts, "gram", "left").withColumn("own", F.when(F.col("k").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", "crc", "s"), "k")).cast("int"))
     with_ = F.transform(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1), lambda o: F.struct(F.least(o, "own").alias("i"), F.greatest(o, "own").alias("j")))
-    asked = asked.select("gram", "doc_id", "crc", "s", "e", "own", F.explode(with_).alias("p")).select(F.col("doc_id").alias("_doc"), F.col("crc").alias("_crc"), F.struct("gram", "p.i", "p.j", "own", "s", "e").alias("w"))
-    per_text = asked.groupBy("_doc", "_crc").agg(F.collect_list("w").alias("wanted"))  # as many as the text has places
-    one = src.join(per_text, ["_doc", "_crc"]).dropDuplicates(["_doc", "_crc"])
-    contexts = one.select("_doc", "_crc", "_text", "wanted").mapInArrow(_contexts, "gram long, i int, j int, own int, doc_id long, crc long, s long, bytes binary")
+    asked = asked.select("gram", "doc_id", "crc", "s", "e", "own", F.explode(with_).alias("p")).select(F.col("doc_id").alias("__fg_doc"), F.col("crc").alias("__fg_crc"), F.struct("gram", "p.i", "p.j", "own", "s", "e").alias("w"))
+    per_text = asked.groupBy("__fg_doc", "__fg_crc").agg(F.collect_list("w").alias("wanted"))  # as many as the text has places
+    one = src.join(per_text, ["__fg_doc", "__fg_crc"]).dropDuplicates(["__fg_doc", "__fg_crc"])
+    contexts = one.select("__fg_doc", "__fg_crc", "__fg_text", "wanted").transform(arrow, _contexts, "gram long, i int, j int, own int, doc_id long, crc long, s long, bytes binary")
     shards = contexts.repartition(n, "gram", "i", "j").sortWithinPartitions("gram", "i", "j")
-    found = scratch.put(shards.mapInArrow(_sharded(span), "doc_id long, crc long, s long, e long"), "found")
+    found = scratch.put(shards.transform(arrow, _sharded(span), "doc_id long, crc long, s long, e long"), "found")
     every = marks.where("gram = 0").select("doc_id", "crc", "s", "e").unionByName(found)
-    return every.groupBy(F.col("doc_id").alias("_doc"), F.col("crc").alias("_crc")).agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    return every.groupBy(F.col("doc_id").alias("__fg_doc"), F.col("crc").alias("__fg_crc")).agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def merge(spans) -> list[tuple[int, int]]:
@@ -442,29 +442,29 @@ def _stripped(batches):
 
     for b in batches:
         out = [kept_bytes(t.encode(), merge(s)).decode("utf-8", "ignore") if s else t for t, s in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 2)), pa.array(out, pa.string())], [*b.schema.names[:-2], "_kept"])
+        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 2)), pa.array(out, pa.string())], [*b.schema.names[:-2], "__fg_kept"])
 
 
 def with_intervals(docs: DataFrame, span: int = 200) -> DataFrame:
-    """docs with ``_text`` (null: empty) and ``_spans`` (null: none)."""
-    got = repeated_intervals(docs, span).withColumnRenamed("spans", "_spans")
-    return _identified(docs).join(got, ["_doc", "_crc"], "left").select(*[F.col(c) for c in docs.columns], "_text", "_spans")
+    """docs with ``__fg_text`` (null: empty) and ``__fg_spans`` (null: none)."""
+    got = repeated_intervals(docs, span).withColumnRenamed("spans", "__fg_spans")
+    return _identified(docs).join(got, ["__fg_doc", "__fg_crc"], "left").select(*[F.col(c) for c in docs.columns], "__fg_text", "__fg_spans")
 
 
 def repeat_digests(docs: DataFrame, span: int = 200) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = with_intervals(docs.select("doc_id", "text"), span).select("doc_id", "_text", "_spans")
-    return rows.mapInArrow(_digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = with_intervals(docs.select("doc_id", "text"), span).select("doc_id", "__fg_text", "__fg_spans")
+    return rows.transform(arrow, _digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def strip_repeats(docs: DataFrame, span: int = 200) -> DataFrame:
     """docs with the repeats cut out of ``text``; a character that a cut splits goes too. Null texts stay null."""
     rest = [c for c in docs.columns if c != "text"]
-    rows = with_intervals(docs, span).select(*rest, F.col("text").isNull().alias("_null"), "_text", "_spans")
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest] + ["_null boolean, _kept string"])
-    got = rows.mapInArrow(_stripped, schema)
-    return got.select(*[F.when(~F.col("_null"), F.col("_kept")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    rows = with_intervals(docs, span).select(*rest, F.col("text").isNull().alias("__fg_null"), "__fg_text", "__fg_spans")
+    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest] + ["__fg_null boolean, __fg_kept string"])
+    got = rows.transform(arrow, _stripped, schema)
+    return got.select(*[F.when(~F.col("__fg_null"), F.col("__fg_kept")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
