@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["teams", "ranks", "forecasts", "audits", "models"]
+MODULES = ["teams", "ranks", "forecasts", "audits", "models", "features"]
 
 
 def load() -> None:
