@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 def ordered_rows(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     """Number all rows from 0 in an order: a range-partitioned sort, then each partition's start is a sum of the sizes
-    before it. No window over the whole table; the driver sees a count a partition."""
-    kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-    at = df.orderBy(*order).withColumn("_p", F.spark_partition_id())
+    before it. No window over the whole table; the driver sees a count a partition. The sorted rows are kept (as a
+    checkpoint where the cluster names a folder), as a second sort might cut partitions elsewhere."""
+    at = df.orderBy(*order)
+    at = at.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else at.persist()
+    at = at.withColumn("_p", F.spark_partition_id())
     rows = at.select(F.struct(*df.columns).alias("_row"), "_p", F.monotonically_increasing_id().alias("_m"))
     local = rows.withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = {r["_p"]: r["n"] for r in rows.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -22,7 +24,7 @@ def ordered_rows(df: DataFrame, order: list[Column], out: str) -> DataFrame:
         starts.append(total)
         total += sizes.get(p, 0)
     base = F.element_at(F.array(*[F.lit(s) for s in starts or [0]]), F.col("_p") + 1)
-    return local.select((base + F.col("_i")).cast("long").alias(out), "_row.*") if kinds else local
+    return local.select((base + F.col("_i")).cast("long").alias(out), "_row.*")
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] = (), mode: str = "errorifexists") -> None:
