@@ -14,7 +14,10 @@ def ordered_rows(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     before it. No window over the whole table; the driver sees a count a partition. The sorted rows are kept (as a
     checkpoint where the cluster names a folder), as a second sort might cut partitions elsewhere."""
     at = df.orderBy(*order)
-    at = at.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else at.persist()
+    context, root = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if root and context.getCheckpointDir() is None:
+        context.setCheckpointDir(root)
+    at = at.checkpoint() if root else at.persist()
     at = at.withColumn("_p", F.spark_partition_id())
     rows = at.select(F.struct(*df.columns).alias("_row"), "_p", F.monotonically_increasing_id().alias("_m"))
     local = rows.withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
