@@ -20,13 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: list[str] = []
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only if unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="fieldglass-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="fieldglass-"))
+        root = _OWN[0]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    # with its scheme, so that readers and writers outside Spark mean the same store
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return (full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full).rstrip("/")
 
 
 def arrow(df: DataFrame, f, schema: str) -> DataFrame:
