@@ -8,9 +8,10 @@ Bands of equal slots name candidates: with 32 bands of 5 a pair at similarity 0.
 probability (1 - 0.8**5)**32 = 3e-6, at 0.9 with 4e-13.
 
 Scale: equal sets are one class from a partial aggregate on, so copies never meet as pairs. In a bucket only pairs
-with its most popular member are verified, then pairs with the most popular one left over. What is still apart is verified
-across components only, and only where the items that a set shares with any other candidate could reach the
-threshold (a bound, so no link is lost): a bucket of near copies costs pairs in proportion to its size, without a cap.
+with its most popular member are verified, then pairs with the most popular one left over, which joins most of a group. What is
+still apart is compared across components inside tasks of two blocks, by products over shared items, and only links
+leave a task. Sets that share too few items with any other candidate to reach the threshold are left out first (a
+bound, so no link is lost). There is no cap.
 
 Defined cases: null or empty text, or no word: empty set, linked with nothing. A null doc_id links with nothing; its
 component is null and it is kept. Repeated rows of one doc_id and text are one node and all returned. Extra columns
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass.llm import kernels as K
-from fieldglass.llm.common import Scratch, connected_components, table
+from fieldglass.llm.common import Scratch, arrow, connected_components, table
 
 U = np.uint64
 NEVER = U(0xFFFFFFFFFFFFFFFF)
@@ -140,50 +141,116 @@ def _shareable(classes: DataFrame, sets: DataFrame) -> DataFrame:
     return full.join(own, "c", "left").select("c", (F.col("size") - F.coalesce("own", F.lit(0))).alias("e"))
 
 
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels, members.c == labels.id, "left").select(*[members[x] for x in members.columns], F.coalesce("label", "c").alias("label"))
+
+
+def overlaps(items: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets numbered left with those numbered right, by products over 4096 items at a time."""
+    rows = np.repeat(np.arange(len(items)), [len(x) for x in items])
+    _, item, times = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+    shared = times[item] > 1
+    rows, item = rows[shared], item[shared]
+    order = np.argsort(item, kind="stable")
+    rows, item = rows[order], item[order]
+    item = np.cumsum(np.r_[False, item[1:] != item[:-1]]) if len(item) else item
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(item[-1]) + 1 if len(item) else 0, 4096):
+        p = slice(*np.searchsorted(item, [lo, lo + 4096]))
+        m = np.zeros((len(items), 4096), np.float32)
+        m[rows[p], item[p] - lo] = 1
+        out += m[left] @ m[right].T
+    return out.astype(np.int64)
+
+
+def _between(threshold: int):
+    """Links across labels within two blocks of a bucket: one for each pair of labels that isn't joined otherwise."""
+
+    def run(t):
+        import pyarrow as pa
+
+        c, label, n, e, own = (t.column(x).to_numpy() for x in ("c", "label", "n", "e", "own"))
+        band, one_block = t.column("band")[0].as_py(), t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(c), -1)
+        ok = label[:, None] < label[None, :]
+        if not one_block:
+            ok &= own[:, None] != own[None, :]
+        ok &= threshold * (n[:, None] + n[None, :]) <= (100 + threshold) * np.minimum(e[:, None], e[None, :])
+        for k in range(band):  # a pair is looked at in the first band that it shares
+            ok &= bands[:, None, k] != bands[None, :, k]
+        left, right = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
+        a, b = [], []
+        if len(left):
+            lists = t.column("items").combine_chunks()
+            offs, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            common = overlaps([flat[offs[i] : offs[i + 1]] for i in range(len(c))], left, right)
+            hit = ok[np.ix_(left, right)] & ((100 + threshold) * common >= threshold * (n[left][:, None] + n[right][None, :]))
+            i, j = (x[y] for x, y in zip((left, right), np.nonzero(hit), strict=True))
+            _, some = np.unique(np.stack([label[i], label[j]]), axis=1, return_index=True)
+            a, b = c[i[some]], c[j[some]]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+#: Members of a bucket that one block holds; a task compares two blocks.
+BLOCK = 1024
+
+
+def _across(at: DataFrame, sets: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between members of a bucket whose labels differ. Pairs are compared inside a task, block by block, and
+    only links leave it."""
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
+        return rows.join(keys.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("k")), "key")
+
+    rows = mixed(at.select("key", "band", "c", "n", "label"))
+    # what shares too few of its items with any other can link with none
+    rows = rows.drop("k").join(_shareable(rows.select("c").distinct(), sets), "c").where(threshold * F.col("n") <= 100 * F.col("e"))
+    rows = mixed(rows).withColumn("own", F.pmod(F.xxhash64("c"), "k").cast("int"))
+    dealt = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least(o, "own").alias("i"), F.greatest(o, "own").alias("j")))
+    rows = rows.select("key", "band", "c", "n", "label", "e", "own", F.explode(dealt).alias("p")).select("key", "band", "c", "n", "label", "e", "own", "p.i", "p.j")
+    full = rows.join(sets, "c").join(classes.select("c", "bands"), "c")
+    return full.groupBy("key", "i", "j").applyInArrow(_between(threshold), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, bands: int = 32, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = scratch.put(src.mapInArrow(_signatures(k, bands, width), "doc_id long, n_shingles long, c long, c2 long, bands array<long>"), "signed")
+    signed = scratch.put(src.transform(arrow, _signatures(k, bands, width), "doc_id long, n_shingles long, c long, c2 long, bands array<long>"), "signed")
     some = signed.where("doc_id is not null and n_shingles > 0")
     classes = scratch.put(some.groupBy("c", "c2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
 
-    banded = classes.select("c", "n", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("key"), "c", "n")
+    banded = classes.select("c", "n", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("key"), "band", "c", "n")
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
     members = scratch.put(banded.join(shared, "key"), "members")
     near = lambda x, y: 100 * F.least(x, y) >= threshold * F.greatest(x, y)  # noqa: E731  a bound on the similarity
 
     wanted = members.select("c").distinct().join(classes.select("c", "rep"), "c")
-    sets = scratch.put(wanted.join(src, F.col("rep") == F.col("doc_id")).select("c", "text").mapInArrow(_sets(k), "c long, items array<long>"), "sets")
+    sets = scratch.put(wanted.join(src, F.col("rep") == F.col("doc_id")).select("c", "text").transform(arrow, _sets(k), "c long, items array<long>"), "sets")
     popular = members.groupBy("c").agg(F.sum("met").alias("pop"))
     members = scratch.put(members.join(popular, "c"), "popular")
 
     links, labels = None, None
-    for turn in range(3):
-        at = members.withColumn("label", F.col("c")) if labels is None else members.join(labels, members.c == labels.id, "left").select(*[members[x] for x in members.columns], F.coalesce("label", "c").alias("label"))
-        if labels is not None:
-            mixed = at.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max(F.struct("pop", F.expr("-c"), "c", "n", "label")).alias("top")).where("l0 <> l1")
-            at = at.join(mixed, "key")
-        if turn == 0:
-            top = at.groupBy("key").agg(F.max(F.struct("pop", F.expr("-c"), "c", "n")).alias("t"))
-            pairs = at.join(top, "key").where(F.col("c") != F.col("t.c")).where(near(F.col("n"), F.col("t.n"))).select(F.least("c", "t.c").alias("a"), F.greatest("c", "t.c").alias("b"))
-        elif turn == 1:  # around the most popular member that the first centre's component leaves out
-            rest = at.where(F.col("label") != F.col("top.label")).groupBy("key").agg(F.max(F.struct("pop", F.expr("-c"), "c", "n", "label")).alias("t"))
-            pairs = at.join(rest, "key").where(F.col("label") != F.col("t.label")).where(near(F.col("n"), F.col("t.n"))).select(F.least("c", "t.c").alias("a"), F.greatest("c", "t.c").alias("b"))
-        else:  # whatever is still apart, across components only
-            at = at.join(_shareable(at.select("c").distinct(), sets), "c")
-            x, y = at.select("key", "c", "n", "label", "e"), at.select("key", F.col("c").alias("d"), F.col("n").alias("o"), F.col("label").alias("other"), F.col("e").alias("f"))
-            enough = threshold * (F.col("n") + F.col("o")) <= (100 + threshold) * F.least("e", "f")
-            pairs = x.join(y, "key").where(F.col("label") < F.col("other")).where(enough).select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"))
+    for turn in range(2):
+        at = members.withColumn("label", F.col("c")) if turn == 0 else _labelled(members, labels)
+        first = at.groupBy("key").agg(F.max(F.struct("pop", F.expr("-c"), "c", "n", "label")).alias("top"))
+        at = at.join(first, "key")
+        if turn:  # around the most popular member that the first centre's component leaves out
+            at = at.drop("top").join(at.where(F.col("label") != F.col("top.label")).groupBy("key").agg(F.max(F.struct("pop", F.expr("-c"), "c", "n", "label")).alias("top")), "key")
+        pairs = at.where(F.col("label") != F.col("top.label")).where(near(F.col("n"), F.col("top.n"))).select(F.least("c", "top.c").alias("a"), F.greatest("c", "top.c").alias("b"))
         pairs = scratch.put(pairs.distinct(), f"pairs{turn}")
-        found = scratch.put(_verified(pairs if links is None else pairs.join(links, ["a", "b"], "left_anti"), sets, threshold), f"links{turn}")
+        found = scratch.put(_verified(pairs, sets, threshold), f"links{turn}")
         if turn and found.isEmpty():
-            if turn == 1:
-                continue
             break
         links = found if links is None else links.unionByName(found)
         labels = connected_components(links, scratch, f"cc{turn}")
+    rest = scratch.put(_across(_labelled(members, labels), sets, classes, threshold), "links2")
+    if not rest.isEmpty():
+        labels = connected_components(links.unionByName(rest), scratch, "cc2")
 
     named = classes.join(labels, classes.c == labels.id, "left").select("c", "c2", "rep", F.coalesce("label", "c").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
