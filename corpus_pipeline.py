@@ -20,7 +20,7 @@ from fieldglass.llm.suffix_dedup import strip_repeats
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least 0.7; the others go."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    return with_scores(docs, model).where("score >= 0.7").select(*docs.columns)
+    return with_scores(docs, model, "__fg_score").where("__fg_score >= 0.7").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +38,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix's documents, each as often as it is drawn; of a source's last document the nearer of all or nothing."""
     drawn = F.size(F.filter("draws", lambda d: 2 * d["words"] >= F.col("size")))
-    plan = mix_sources(docs).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), drawn.alias("_n"))
-    plan = plan.groupBy("_id", "_size").agg(F.max("_n").alias("_n")).where("_n > 0").groupBy("_id").agg(F.max("_n").alias("_n"))
-    rows = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"]))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    plan = mix_sources(docs).select(F.col("doc_id").alias("__fg_id"), F.col("size").alias("__fg_size"), drawn.alias("__fg_n"))
+    plan = plan.groupBy("__fg_id", "__fg_size").agg(F.max("__fg_n").alias("__fg_n")).where("__fg_n > 0").groupBy("__fg_id").agg(F.max("__fg_n").alias("__fg_n"))
+    rows = docs.join(plan, docs["doc_id"].eqNullSafe(plan["__fg_id"]))
+    return rows.withColumn("__fg_copy", F.explode(F.sequence(F.lit(1), F.col("__fg_n")))).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import Scratch, connected_components, shuffle_width, table
+from fieldglass.llm.common import Scratch, arrow, connected_components, shuffle_width, table
 from fieldglass.llm.neighbours import sample_of, unit_rows, usable
 
 SLACK = 1e-9
@@ -107,7 +107,7 @@ def similar_embeddings(embeddings: DataFrame, threshold: float = 0.93, leading:
                 out.append((u @ axes).tolist() if len(x) == dim else [0.0] * axes.shape[1])
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(out, pa.list_(pa.float64()))], ["rep", "n", "label", "dim", "v", "p"])
 
-    lead = scratch.put(classes.select("rep", "n", "label", "dim", "v").mapInArrow(placed, "rep long, n long, label int, dim int, v array<double>, p array<double>"), "lead")
+    lead = scratch.put(classes.select("rep", "n", "label", "dim", "v").transform(arrow, placed, "rep long, n long, label int, dim int, v array<double>, p array<double>"), "lead")
     cells = [F.floor(F.col("p")[i] / eps).alias(f"g{i}") for i in range(axes.shape[1])]
     order = ["label", "dim", *[f"g{i}" for i in range(axes.shape[1])], "rep"]
 
@@ -126,7 +126,7 @@ def similar_embeddings(embeddings: DataFrame, threshold: float = 0.93, leading:
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(6)), pa.array(out, pa.int64())], ["rep", "n", "label", "dim", "v", "p", "block"])
 
     seq = lead.select("*", *cells).repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order)
-    seq = scratch.put(seq.select("rep", "n", "label", "dim", "v", "p").mapInArrow(cut, "rep long, n long, label int, dim int, v array<double>, p array<double>, block long"), "sequence")
+    seq = scratch.put(seq.select("rep", "n", "label", "dim", "v", "p").transform(arrow, cut, "rep long, n long, label int, dim int, v array<double>, p array<double>, block long"), "sequence")
     low = [F.min(F.col("p")[i]).alias(f"l{i}") for i in range(axes.shape[1])]
     high = [F.max(F.col("p")[i]).alias(f"u{i}") for i in range(axes.shape[1])]
     boxes = seq.groupBy("label", "dim", "block").agg(*low, *high)

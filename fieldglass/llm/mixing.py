@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import WORD, table
+from fieldglass.llm.common import WORD, Scratch, table
 
 
 def water_fill(sizes: list[int], weights: list[float], most: float) -> list[float]:
@@ -63,14 +63,17 @@ def splitting_tree(counts: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix_sources(docs: DataFrame, weights=(1, 2, 3), most: float = 3.0, shards: int = 8, block_docs: int = 1024, seed: int = 11) -> DataFrame:
+def mix_sources(docs: DataFrame, weights=(1, 2, 3), most: float = 3.0, shards: int = 8, block_docs: int = 1024, seed: int = 11, max_sources: int = 100_000) -> DataFrame:
     """Per document: doc_id, size, source, source_size, target, taken, and draws: (shard, epoch, words, place in it).
 
     ``weights`` repeat over the sources in code point order. ``explode('draws')`` gives the mix's rows.
     """
     spark = docs.sparkSession
     base = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    stats = base.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")).collect()
+    base = Scratch(spark, "mix").put(base, "sizes")  # texts are read once
+    stats = base.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")).limit(max_sources + 1).collect()
+    if len(stats) > max_sources:
+        raise ValueError(f"{len(stats)} sources are more than a mix's configuration holds ({max_sources})")
     stats = sorted(stats, key=lambda r: (r.source is None, [ord(c) for c in r.source or ""]))
     target = water_fill([r["size"] for r in stats], [float(weights[i % len(weights)]) for i in range(len(stats))], most)
     rows = []

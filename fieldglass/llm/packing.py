@@ -18,7 +18,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import Scratch, gapless_rank, shuffle_width, table
+from fieldglass.llm.common import Scratch, arrow, gapless_rank, shuffle_width, table
 from fieldglass.llm.tokens import coder, text_batches
 
 
@@ -119,7 +119,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    pieces = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_pieces(vocabulary, end_id, capacity), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    pieces = docs.select("doc_id", F.col("text").cast("string").alias("text")).transform(arrow, _pieces(vocabulary, end_id, capacity), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
     pieces = scratch.put(pieces, "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = spark.createDataFrame(best_fit_runs(histogram, capacity), "of long, lo long, hi long, first long, offset long")

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import table
+from fieldglass.llm.common import arrow, table
 
 SYMBOLS = b"*$%&|#@<>{}[]=_~^+/\\"
 NAMES = ["log_bytes", "log_words", "word_length", "distinct_words", "same_as_last", "distinct_lines", "words_a_line", "stops", "commas", "digits", "capitals", "not_ascii", "blank", "symbols", *(f"byte_{chr(c)}" for c in SYMBOLS), "same_log", "symbols_log", "distinct_low", "length_gap", "longest_word", "short_words"]
@@ -110,23 +110,23 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 50_000, n_pair
     text = F.col("text").cast("string").alias("text")
     # the broadcast side has max_labelled rows, give or take the hash's scatter
     some = docs.select("doc_id", text).join(F.broadcast(known), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("q").cast("int").alias("q"), "text")
-    rows = some.mapInArrow(_featured, "doc_id long, q int, x array<double>").collect()
+    rows = some.transform(arrow, _featured, "doc_id long, q int, x array<double>").collect()
     rows = sorted({(r.doc_id, r.q, tuple(r.x)) for r in rows})
     return Model(np.array([r[2] for r in rows]), np.array([r[1] for r in rows]), n_pairs)
 
 
-def with_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with ``score``, by one pass over the texts and no shuffle."""
+def with_scores(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
+    """docs with the column ``out``, by one pass over the texts and no shuffle."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             texts = [(t or "").encode() for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(model.scores(texts))], [*b.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(model.scores(texts))], [*b.schema.names[:-1], out])
 
-    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + ["score double"])
-    return docs.select("*", F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + [f"`{out}` double"])
+    return docs.select("*", F.col("text").cast("string").alias("__fg_text")).transform(arrow, run, schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = 50_000, n_pairs: int = 100_000) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import Scratch, shuffle_width, table
+from fieldglass.llm.common import Scratch, arrow, shuffle_width, table
 from fieldglass.llm.files import read_file, write_file
 from fieldglass.llm.tokens import coder, text_batches
 
@@ -141,7 +141,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = "word_bpe_
     n = shuffle_width(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return rows.mapInArrow(_write(folder, vocabulary, end_id, file_ids), "part int, seq int, path string, docs long, ids long")
+    return rows.transform(arrow, _write(folder, vocabulary, end_id, file_ids), "part int, seq int, path string, docs long, ids long")
 
 
 def _read(folder: str):
@@ -163,7 +163,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document of the manifest's files."""
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     files = manifest.select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
-    return files.repartition(shuffle_width(manifest.sparkSession)).mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(shuffle_width(manifest.sparkSession)).transform(arrow, _read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

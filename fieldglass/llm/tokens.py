@@ -1,7 +1,8 @@
 """Token ids of whole texts by the tokenizers library, with a bounded memory of pieces between blanks.
 
 A text is cut at single blanks that stand between two non-blanks: there both vocabularies always end a token, so the
-ids of a text are the ids of its pieces, joined. Each process keeps the ids of up to MEMO pieces it has met. Texts
+ids of a text are the ids of its pieces, joined. Each process keeps the ids of the pieces it has met in two generations
+of MEMO: a full one becomes the old one, and what is met again moves on to the new. Texts
 with other white space around a blank, where a cut could change ids, go to the library whole.
 """
 
@@ -11,7 +12,7 @@ import os
 from array import array
 from itertools import filterfalse
 
-MEMO = 500_000
+MEMO = 400_000
 #: Longer pieces are encoded but not kept.
 LONG = 80
 
@@ -27,6 +28,7 @@ class Coder:
         self.model = Tokenizer.from_file(file)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.memo: dict = {}
+        self.old: dict = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -50,11 +52,13 @@ class Coder:
         else:
             cut = [t.split(" ") for t in texts]
         if len(self.memo) > MEMO:
-            self.memo.clear()
+            self.old, self.memo = self.memo, {}
         memo, new = self.memo, set()
         for ws in cut:
             new.update(filterfalse(memo.__contains__, ws))
-        keys = list(new)
+        again = {k: self.old[k] for k in new if k in self.old}
+        memo.update(again)
+        keys = [k for k in new if k not in again]
         literal = [self._literal(k) for k in keys]
         some = [i for i, x in enumerate(literal) if x is not None]
         memo.update(dict.fromkeys(keys))

@@ -27,7 +27,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import Scratch, shuffle_width, table
+from fieldglass.llm.common import Scratch, arrow, shuffle_width, table
 from fieldglass.llm.files import read_file, write_file
 
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -111,7 +111,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 1000, archive_byt
     key = F.when(F.octet_length("html") >= least, F.sha1(F.col("html").cast("binary")))
     again = p.select("page_id", key.alias("digest")).where("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("keeper")).where("n > 1")
     rows = p.withColumn("digest", key).join(again, "digest", "left").select("page_id", "url", "html", "keeper")
-    return rows.mapInArrow(_write(folder, archive_bytes), "path string")
+    return rows.transform(arrow, _write(folder, archive_bytes), "path string")
 
 
 def _read(folder: str, with_payload: bool):
@@ -152,7 +152,7 @@ def _read(folder: str, with_payload: bool):
 def read_archives(manifest: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
     """All records: type, record_id, concurrent_to, url, payload_bytes, payload_digest, fields (JSON), payload."""
     schema = "type string, record_id string, concurrent_to string, url string, payload_bytes long, payload_digest string, fields string, payload binary"
-    return manifest.repartition(shuffle_width(manifest.sparkSession)).mapInArrow(_read(folder, with_payload), schema)
+    return manifest.repartition(shuffle_width(manifest.sparkSession)).transform(arrow, _read(folder, with_payload), schema)
 
 
 def assemble(records: DataFrame) -> DataFrame:
