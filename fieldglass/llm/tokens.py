@@ -50,7 +50,7 @@ class Coder:
             for ws in cut:
                 ws[0] = (ws[0],)
         else:
-            cut = [t.split(" ") for t in texts]
+            cut = [t.replace("\n", " ").split(" ") for t in texts]  # white space only parts words
         if len(self.memo) > MEMO:
             self.old, self.memo = self.memo, {}
         memo, new = self.memo, set()
