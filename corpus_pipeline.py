@@ -24,9 +24,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    gone = near_duplicates(docs, k=5, threshold=80).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row (of the smallest doc_id, null last) of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+
+    Groups are of rows, by a key of their own: rows may repeat, ids may be null or carry several texts.
+    """
+    rows = Scratch(spark, "rows").put(docs.withColumn("__fg_key", F.monotonically_increasing_id()), "keyed")  # written, so that keys stay
+    near = near_duplicates(rows.select(F.col("__fg_key").alias("doc_id"), "text"), k=5, threshold=80).select(F.col("doc_id").alias("__fg_key"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__fg_key")
+    stay = near.join(rows.select("__fg_key", "doc_id"), "__fg_key").groupBy("component_id").agg(F.min(order)["__fg_key"].alias("__fg_key")).select("__fg_key")
+    return rows.join(stay, "__fg_key", "left_semi").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
