@@ -43,10 +43,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix's documents, each as often as it is drawn; of a source's last document the nearer of all or nothing."""
+    rows = Scratch(spark, "rows").put(docs.withColumn("__fg_key", F.monotonically_increasing_id()), "keyed")  # as ids may repeat or be null
     drawn = F.size(F.filter("draws", lambda d: 2 * d["words"] >= F.col("size")))
-    plan = mix_sources(docs).select(F.col("doc_id").alias("__fg_id"), F.col("size").alias("__fg_size"), drawn.alias("__fg_n"))
-    plan = plan.groupBy("__fg_id", "__fg_size").agg(F.max("__fg_n").alias("__fg_n")).where("__fg_n > 0").groupBy("__fg_id").agg(F.max("__fg_n").alias("__fg_n"))
-    rows = docs.join(plan, docs["doc_id"].eqNullSafe(plan["__fg_id"]))
+    plan = mix_sources(rows, keep=("__fg_key",)).select("__fg_key", drawn.alias("__fg_n")).where("__fg_n > 0")
+    rows = rows.join(plan, "__fg_key")
     return rows.withColumn("__fg_copy", F.explode(F.sequence(F.lit(1), F.col("__fg_n")))).select(*docs.columns)
 
 

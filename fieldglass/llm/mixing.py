@@ -63,13 +63,14 @@ def splitting_tree(counts: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix_sources(docs: DataFrame, weights=(1, 2, 3), most: float = 3.0, shards: int = 8, block_docs: int = 1024, seed: int = 11, max_sources: int = 100_000) -> DataFrame:
+def mix_sources(docs: DataFrame, weights=(1, 2, 3), most: float = 3.0, shards: int = 8, block_docs: int = 1024, seed: int = 11, max_sources: int = 100_000, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, size, source, source_size, target, taken, and draws: (shard, epoch, words, place in it).
 
     ``weights`` repeat over the sources in code point order. ``explode('draws')`` gives the mix's rows.
+    Columns of ``keep`` are returned too.
     """
     spark = docs.sparkSession
-    base = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    base = docs.select("doc_id", *keep, F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     base = Scratch(spark, "mix").put(base, "sizes")  # texts are read once
     stats = base.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")).limit(max_sources + 1).collect()
     if len(stats) > max_sources:
@@ -109,7 +110,7 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), most: float = 3.0, shards: i
     got = got.withColumn("last", last.cast("long"))
     drawn = F.transform(F.col("to"), lambda e: F.struct(e["shard"].alias("shard"), e["epoch"].alias("epoch"), words(e).alias("words"), F.xxhash64("order", e["epoch"]).alias("place")))
     got = got.withColumn("draws", F.filter(F.coalesce(drawn, F.array().cast("array<struct<shard:int,epoch:int,words:bigint,place:bigint>>")), lambda d: d["words"] > 0))
-    return got.select("doc_id", "size", "source", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("last")).cast("long").alias("taken"), "draws")
+    return got.select("doc_id", "size", "source", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("last")).cast("long").alias("taken"), "draws", *keep)
 
 
 def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
