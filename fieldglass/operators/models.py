@@ -53,7 +53,8 @@ def screen(df: DataFrame, features: list[str], label: str, most: int = 128, redu
 
 def walk_forward(df: DataFrame, features: list[str], season: str, label: str = "y", c: float = 0.1, first: int | None = None, boosted: bool = False) -> DataFrame:
     """Forecasts of each season by a model of strictly earlier seasons: mirrored rows, median fill, scaling, then L2
-    logistic regression (no intercept: the mirror makes the problem symmetric) or boosted trees."""
+    logistic regression (no intercept: the mirror makes the problem symmetric) or boosted trees. Without a season that
+    has an earlier one there are no rows."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -72,8 +73,8 @@ def walk_forward(df: DataFrame, features: list[str], season: str, label: str = "
         model = Pipeline(stages=[*head, last]).fit(train)
         forecast = model.transform(df.where(F.col(season) == s)).withColumn("p", vector_to_array("probability")[1])
         parts.append(forecast.select(*df.columns, "p"))
-    out = parts[0]
-    for p in parts[1:]:
+    out = df.limit(0).withColumn("p", F.lit(None).cast("double"))
+    for p in parts:
         out = out.unionByName(p)
     return out
 

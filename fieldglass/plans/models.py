@@ -118,12 +118,12 @@ def training_screen(spark, d):
 
 @query("walk_forward_logistic")
 def walk_forward_logistic(spark, d):
-    return M.walk_forward(matrix(spark, d), FEATURES, "Season", first=2000)
+    return M.walk_forward(matrix(spark, d), FEATURES, "Season")
 
 
 @query("walk_forward_boosted")
 def walk_forward_boosted(spark, d):
-    return M.walk_forward(matrix(spark, d), FEATURES, "Season", first=2000, boosted=True)
+    return M.walk_forward(matrix(spark, d), FEATURES, "Season", boosted=True)
 
 
 @query("simplex_blend")
