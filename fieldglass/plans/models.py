@@ -97,6 +97,14 @@ def price_comparison(spark, d):
     return t.select("l_orderkey", "l_linenumber", F.round(a / (a + b), 9).alias("no_vig"), F.round(a + b - 1, 9).alias("overround"))
 
 
+@query("price_comparison_all", "select l_orderkey, l_linenumber, round((1/(1+l_discount))/(1/(1+l_discount)+1/(1.5+l_tax)),9) as no_vig, round(1/(1+l_discount)+1/(1.5+l_tax)-1,9) as overround from lineitem")
+def price_comparison_all(spark, d):
+    """Every line, not only those of one quantity."""
+    t = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_discount", "l_tax")
+    a, b = 1 / (1 + F.col("l_discount")), 1 / (1.5 + F.col("l_tax"))
+    return t.select("l_orderkey", "l_linenumber", F.round(a / (a + b), 9).alias("no_vig"), F.round(a + b - 1, 9).alias("overround"))
+
+
 def matrix(spark, d):
     """Late games as labelled matchups: differences of both teams' regular season and the outcome of the lower id."""
     from fieldglass.operators.reshape import canonical
@@ -140,6 +148,13 @@ def frozen_scoring(spark, d):
     return M.score_frozen(t, {"l_discount": (0.05, 0.7), "l_tax": (0.04, -0.4)}).select("l_orderkey", "l_linenumber", F.round("p", 9).alias("p"))
 
 
+@query("frozen_scoring_all", "select l_orderkey, l_linenumber, round(1/(1+exp(-(l_discount/0.05*0.7+l_tax/0.04*-0.4))),9) as p from lineitem")
+def frozen_scoring_all(spark, d):
+    """Every line, not only those of one quantity."""
+    t = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_discount", "l_tax")
+    return M.score_frozen(t, {"l_discount": (0.05, 0.7), "l_tax": (0.04, -0.4)}).select("l_orderkey", "l_linenumber", F.round("p", 9).alias("p"))
+
+
 @query("symmetric_scaler", "select round(sqrt(avg(l_discount*l_discount)),9) as discount, round(sqrt(avg(l_tax*l_tax)),9) as tax from lineitem")
 def symmetric_scaler(spark, d):
     t = table(spark, d, "lineitem", "l_discount", "l_tax")
