@@ -110,6 +110,16 @@ def vector_fingerprint(spark, d):
     return e.groupBy("event_type").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"]), ","), 256).alias("fingerprint"))
 
 
+@query("vector_fingerprint_all", "with s as (select event_type, event_id, event_id//1000 as run, event_id||':'||coalesce(cast(cast(round(value*100) as bigint) as varchar),'null') as s from events), r as (select event_type, run, sha256(string_agg(s, ',' order by event_id, s)) as d from s group by all) select event_type, sha256(string_agg(d, ',' order by run)) as fingerprint from r group by all")
+def vector_fingerprint_all(spark, d):
+    """Every event: a digest of each run of 1000 ids, then a digest of those in order, so no task holds a type's events."""
+    s = F.concat_ws(":", "event_id", F.coalesce(F.round(F.col("value") * 100).cast("long").cast("string"), F.lit("null")))
+    e = table(spark, d, "events", "event_type", "event_id", "value").select("event_type", F.expr("event_id div 1000").alias("run"), "event_id", s.alias("s"))
+    digest = lambda key, value: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), ","), 256)
+    runs = e.groupBy("event_type", "run").agg(digest("event_id", "s").alias("d"))
+    return runs.groupBy("event_type").agg(digest("run", "d").alias("fingerprint"))
+
+
 @query("synthetic_uniform", "select range as id, round(('0x'||substr(sha256('42:'||range),1,12))::bigint/281474976710656.0,9) as u from range(1000)")
 def synthetic_uniform(spark, d):
     from fieldglass.functions.stats import uniform_hash

@@ -306,6 +306,12 @@ def tenure_islands(spark, d):
     return run_lengths(long(spark, d).where("OppID % 3 = 0"), ["Gender", "TeamID"], "Season").select("Gender", "TeamID", "first", "last", "length")
 
 
+@query("tenure_islands_all", L + ', s as (select distinct "Gender","TeamID","Season" from long), i as (select *, "Season"-row_number() over (partition by "Gender","TeamID" order by "Season") as g from s) select "Gender","TeamID", min("Season") as first, max("Season") as last, count(*) as length from i group by "Gender","TeamID",g')
+def tenure_islands_all(spark, d):
+    """From every season of a team, whoever it met."""
+    return run_lengths(long(spark, d), ["Gender", "TeamID"], "Season").select("Gender", "TeamID", "first", "last", "length")
+
+
 @query("ragged_union", "select cast(s_suppkey as bigint) as id, s_name as name, s_acctbal as balance, cast(null as varchar) as segment from supplier union all select c_custkey, c_name, c_acctbal, c_mktsegment from customer")
 def ragged_union(spark, d):
     from fieldglass.sources.tables import table
