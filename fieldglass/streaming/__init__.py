@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the time semantics: availability clocks, late rows, as-of lookups, the Elo fold."""
+"""Structured Streaming forms of the time semantics: availability clocks, late rows, the latest value of a key. As-of joins and the Elo fold have batch forms only."""
 
 from __future__ import annotations
 
