@@ -24,9 +24,12 @@ _OWN: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only if unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode one of our own if unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="fieldglass-"))
         root = _OWN[0]
@@ -36,21 +39,32 @@ def scratch_root(spark: SparkSession) -> str:
     return (full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full).rstrip("/")
 
 
+#: A function over Arrow batches gets at most so many rows and bytes at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
 def arrow(df: DataFrame, f, schema: str) -> DataFrame:
-    """``mapInArrow`` with bounded memory: batches of at most 1000 rows and 8 MB, and what a task has freed is given back
-    to the system at its end, as idle workers live on beside the executor."""
-    conf = df.sparkSession.conf
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(rows)) <= 1000:
-        conf.set(rows, "1000")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
-    return df.mapInArrow(_released(f), schema)
+    """``mapInArrow`` with bounded memory: f gets slices of BATCH_ROWS rows or BATCH_BYTES (a longer row alone), whatever
+    the session's batches, and what a task has freed is given back to the system, as idle workers live on."""
+    return df.mapInArrow(_bounded(f), schema)
+
 
+def slices(batches, rows: int = BATCH_ROWS, size: int = BATCH_BYTES):
+    """The batches cut into slices, without a copy."""
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            step = min(rows, b.num_rows - at)
+            while step > 1 and b.slice(at, step).nbytes > size:
+                step = -(-step // 2)
+            yield b.slice(at, step)
+            at += step
 
-def _released(f):
+
+def _bounded(f):
     def run(batches):
         try:
-            yield from f(batches)
+            yield from f(slices(batches))
         finally:
             import ctypes
             import gc
@@ -153,17 +167,21 @@ def _forest(batches):
     yield flush()
 
 
+#: Rounds of large-star and small-star, which settle in the order of log(nodes) squared; a chain of 2**40 nodes needs fewer.
+ROUNDS = 200
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """(id, label) of every node of the edges (a, b); label is the smallest id reachable.
 
     A union-find pass in each partition leaves local stars; large-star and small-star rounds then join them until
     nothing changes. Each round is a partial aggregate and joins on node ids, and its edges are written to the
-    shared folder; the driver only sees a count and a checksum.
+    shared folder; the driver only sees a count and a checksum. Labels that don't settle raise an error.
     """
     cur = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").transform(arrow, _forest, "a long, b long").distinct()
     cur = scratch.put(cur, f"{tag}-0")
     seen = None
-    for k in range(1, 60):
+    for k in range(1, ROUNDS + 1):
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
@@ -175,4 +193,6 @@ def connected_components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFr
         if mark == seen:
             break
         seen = mark
+    else:
+        raise RuntimeError(f"components are not settled after {ROUNDS} rounds")
     return cur.select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(cur.select(F.col("b").alias("id"), F.col("b").alias("label"))).distinct()
