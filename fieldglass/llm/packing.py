@@ -22,6 +22,10 @@ from fieldglass.llm.common import Scratch, arrow, gapless_rank, shuffle_width, t
 from fieldglass.llm.tokens import coder, text_batches
 
 
+#: Runs follow from the lengths that occur, not from the input's size; more of them than this (20 MB) are not broadcast.
+MOST_RUNS = 500_000
+
+
 class CapacityTree:
     """Which remaining capacities have open bins; ``tightest(need)`` is the smallest that fits, or None."""
 
@@ -90,11 +94,11 @@ def best_fit_runs(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
     return runs
 
 
-def _pieces(vocabulary: str, end_id: int, capacity: int):
+def _pieces(vocabulary: str, end_id: int, capacity: int, specials_as_text: bool):
     def run(batches):
         import pyarrow as pa
 
-        code, end = coder(vocabulary, lead=True), end_id.to_bytes(4, "little")
+        code, end = coder(vocabulary, True, specials_as_text), end_id.to_bytes(4, "little")
         for ids, texts in text_batches(batches):
             row, piece, start, length, crc = [], [], [], [], []
             for i, data in enumerate(code.encode(texts)):
@@ -114,18 +118,24 @@ def _pieces(vocabulary: str, end_id: int, capacity: int):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0, capacity: int = 2048) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset. Longer documents are cut, their first piece is the shorter."""
+def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0, capacity: int = 2048, specials_as_text: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset. Longer documents are cut, their first piece is the shorter.
+
+    ``specials_as_text``: strings of special tokens (``<|endoftext|>``) are text; else they become those tokens.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    pieces = docs.select("doc_id", F.col("text").cast("string").alias("text")).transform(arrow, _pieces(vocabulary, end_id, capacity), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
-    pieces = scratch.put(pieces, "pieces")
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    pieces = scratch.put(texts.transform(arrow, _pieces(vocabulary, end_id, capacity, specials_as_text), schema), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    runs = spark.createDataFrame(best_fit_runs(histogram, capacity), "of long, lo long, hi long, first long, offset long")
+    found = best_fit_runs(histogram, capacity)
+    runs = spark.createDataFrame(found, "of long, lo long, hi long, first long, offset long")
+    if len(found) <= MOST_RUNS:
+        runs = F.broadcast(runs)
     ranked = gapless_rank(pieces, ["length"], F.xxhash64("doc_id", "piece", "ids_crc32"), ["doc_id", "piece", "ids_crc32"], "rank", shuffle_width(spark))
-    # the runs' number is bounded by the capacity, not by the input
-    placed = ranked.join(F.broadcast(runs), (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    placed = ranked.join(runs, (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
 
 

@@ -108,12 +108,12 @@ def parse_file(raw: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if z else int(d) for d, z in zip(docs, nulls, strict=True)], counts, ids
 
 
-def _write(folder: str, vocabulary: str, end_id: int, file_ids: int):
+def _write(folder: str, vocabulary: str, end_id: int, file_ids: int, specials_as_text: bool):
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        code, end, part = coder(vocabulary, lead=False), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
+        code, end, part = coder(vocabulary, False, specials_as_text), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
         docs, ids, held, rows = [], [], 0, []
 
         def close():
@@ -136,12 +136,15 @@ def _write(folder: str, vocabulary: str, end_id: int, file_ids: int):
     return run
 
 
-def write_token_files(docs: DataFrame, folder: str, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, file_ids: int = 4_000_000) -> DataFrame:
-    """Write all documents in ascending doc_id order; the manifest (part, seq, path, docs, ids), to be kept by the caller."""
+def write_token_files(docs: DataFrame, folder: str, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, file_ids: int = 4_000_000, specials_as_text: bool = False) -> DataFrame:
+    """Write all documents in ascending doc_id order; the manifest (part, seq, path, docs, ids), to be kept by the caller.
+
+    ``specials_as_text``: strings of special tokens (``<|endoftext|>``) are text; else they become those tokens.
+    """
     n = shuffle_width(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return rows.transform(arrow, _write(folder, vocabulary, end_id, file_ids), "part int, seq int, path string, docs long, ids long")
+    return rows.transform(arrow, _write(folder, vocabulary, end_id, file_ids, specials_as_text), "part int, seq int, path string, docs long, ids long")
 
 
 def _read(folder: str):

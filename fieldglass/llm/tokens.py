@@ -3,7 +3,9 @@
 A text is cut at single blanks that stand between two non-blanks: there both vocabularies always end a token, so the
 ids of a text are the ids of its pieces, joined. Each process keeps the ids of the pieces it has met in two generations
 of MEMO: a full one becomes the old one, and what is met again moves on to the new. Texts
-with other white space around a blank, where a cut could change ids, go to the library whole.
+with other white space around a blank, where a cut could change ids, go to the library whole, and so do texts that
+hold the string of a token added to the vocabulary (``<|endoftext|>``): as the library does on a plain call, it
+becomes that token. With ``specials_as_text`` such strings are ordinary text instead.
 """
 
 from __future__ import annotations
@@ -20,13 +22,16 @@ LONG = 80
 class Coder:
     """``encode(texts)`` gives each text's ids as little-endian 32-bit bytes. ``lead``: a blank belongs to the piece after it."""
 
-    def __init__(self, file: str, lead: bool):
+    def __init__(self, file: str, lead: bool, specials_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lead = lead
         self.model = Tokenizer.from_file(file)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model.encode_special_tokens = specials_as_text
+        added = [] if specials_as_text else list(self.model.get_added_tokens_decoder().values())
+        # a string that is looked for in the normalised text may be anywhere: then no text is cut
+        self.special = [""] if any(t.normalized for t in added) else [t.content for t in added]
         self.memo: dict = {}
         self.old: dict = {}
 
@@ -45,6 +50,16 @@ class Coder:
         return key if key[0] == "\n" else " " + key
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [i for i, t in enumerate(texts) if any(x in t for x in self.special)]
+        if not whole:
+            return self._pieced(texts)
+        apart = set(whole)
+        out = self._pieced(["" if i in apart else t for i, t in enumerate(texts)])
+        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        return out
+
+    def _pieced(self, texts: list[str]) -> list[bytes]:
         if self.lead:
             cut = [t.replace("\n", " \n").split(" ") for t in texts]
             for ws in cut:
@@ -75,20 +90,21 @@ class Coder:
         return out
 
 
-_CODERS: dict[tuple[str, bool], Coder] = {}
+_CODERS: dict[tuple[str, bool, bool], Coder] = {}
 
 
-def coder(name: str, lead: bool) -> Coder:
+def coder(name: str, lead: bool, specials_as_text: bool = False) -> Coder:
     """The process's coder for a public vocabulary file; ``name`` may also be a path."""
-    if (name, lead) not in _CODERS:
+    key = (name, lead, specials_as_text)
+    if key not in _CODERS:
         if os.path.sep in name:
             file = name
         else:
             import public_tokenizers
 
             file = public_tokenizers.path(name)
-        _CODERS[name, lead] = Coder(file, lead)
-    return _CODERS[name, lead]
+        _CODERS[key] = Coder(file, lead, specials_as_text)
+    return _CODERS[key]
 
 
 def text_batches(batches, size: int = 2 << 20):
