@@ -3,22 +3,26 @@
 1. Candidate places. Of the ``gram``-byte grams inside each span-byte window the one with the least hash (the leftmost
    of equals) is the window's anchor. Equal windows have equal anchors at equal offsets, so every repeat lies in
    the context of an anchor whose gram occurs elsewhere: the bytes that windows with that anchor can reach.
-2. Occurrences meet by gram. Equal whole contexts at two places are repeats as they stand and need no comparison;
-   those within a chunk of texts are collapsed to one before the shuffle. Grams with two or more different contexts send one of each on.
-3. Shards of such contexts get a suffix array by Larsson-Sadakane refinement (prefix doubling from four-byte ranks,
+2. Occurrences meet by gram. Equal whole contexts at two places are repeats as they stand and need no comparison; a task
+   sends two of them at most. Grams with two or more different contexts send one of each on. Grams that are frequent in
+   a sample of the texts are dealt by gram and a salt of the context (the sample decides the routing, not the result).
+3. Shards of such contexts get a suffix array by Larsson-Sadakane refinement (prefix doubling from eight-byte ranks,
    sorting only groups that aren't settled) and Kasai's common prefixes. A run of suffixes that agree on ``span``
    bytes and start at different places of the corpus is a repeat. A gram with more contexts than a shard takes
-   is dealt over several shards; each later shard's suffixes are merged with the others' by binary search.
+   is dealt over several shards. Each of these writes its suffix array once, as the places of its distinct windows in
+   suffix order, and each pair of them is merged by binary search of one array's windows in the other's.
 4. The intervals found are joined to their texts and cut out.
 
 Spans are judged on the input, so a repeat is removed at all of its places.
 
 Scale: one row an anchor (about one per 70 bytes) is shuffled by gram; texts are shuffled only to cut contexts and to
-remove intervals. Sorting by gram streams, so a gram in a third of all documents never sits in memory.
+remove intervals. Sorting by gram streams, so a gram in a third of all documents never sits in memory. Of one gram with
+c different contexts, (c / SHARD_CONTEXTS)**2 / 2 pairs of shards are merged: equal contexts cost nothing there, but a
+gram with very many different ones does.
 
 Defined cases: null or empty text: no bytes, nothing removed, the digest of no bytes. Texts under ``span`` bytes stay
-whole. Rows are told apart by (doc_id, hash of the text); repeats of a row are removed like any copies and returned
-each. Null doc_ids are ordinary. An empty table gives no rows. Extra columns are carried along by ``strip_repeats``.
+whole. Rows are told apart by 128 bits of hashes of (doc_id or null, text); repeats of a row are removed like any
+copies and returned each. Null doc_ids are ordinary, also many of them. An empty table gives no rows. Extra columns are carried along by ``strip_repeats``.
 """
 
 from __future__ import annotations
@@ -83,12 +87,12 @@ def words8(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_order(text: np.ndarray, ends: np.ndarray, span: int) -> np.ndarray:
-    """Starts of all span-byte windows (those with start + span <= ends[start]) in suffix order, by Larsson-Sadakane.
+def suffix_order(text: np.ndarray, ends: np.ndarray, span: int, every: bool = False) -> np.ndarray:
+    """Starts of span-byte windows (those with start + span <= ends[start]) in suffix order, by Larsson-Sadakane.
 
     Ranks of eight bytes are refined to 16, 32, ... bytes: a group of equal ranks is sorted by the ranks that many
     bytes on, and groups of one are settled. The last step overlaps, so that a rank is for just ``span`` bytes. Only
-    windows that still share their rank are returned; the others occur nowhere else in the text.
+    windows that still share their rank are returned (the others occur nowhere else in the text), or ``every`` window.
     """
     place = np.arange(len(text))
     size = 8
@@ -117,24 +121,27 @@ def suffix_order(text: np.ndarray, ends: np.ndarray, span: int) -> np.ndarray:
         rank[live] = old.astype(np.int64) + np.repeat(group, count) - base
         alone[live[group[count == 1]]] = True
         size += step
-    return live[~alone[live]]
+    live = place[place + span <= ends] if every else np.sort(live[~alone[live]])
+    return live[np.argsort(rank[live], kind="stable")]  # of equal windows the first place first
 
 
-def common_prefixes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: np.ndarray) -> np.ndarray:
+def common_prefixes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: np.ndarray, span: int) -> np.ndarray:
     """Kasai's common prefix of each suffix of the order with the one before it (the first: 0).
 
-    Places follow each other in steps of one within each string, a string to a lane: the prefix at a place is at least
-    that of the place before less one, so only what goes beyond is compared, eight bytes at a time.
+    Places follow each other in steps of one within each string, a string to a lane: if the place after a suffix's
+    predecessor is in the order too, the prefix at the next place is at least that of this one less one, so only what
+    goes beyond is compared, eight bytes at a time.
     """
     w = words8(text)
     prev = np.full(len(text), -1, np.int64)
     prev[order[1:]] = order[:-1]
     out = np.zeros(len(text), np.int64)
-    have = np.zeros(len(text), bool)
+    have = np.zeros(len(text) + 1, bool)
     have[order] = True
     at, stop, h = starts.copy(), ends[starts], np.zeros(len(starts), np.int64)
+    known = np.zeros(len(starts), bool)
     while len(at):
-        h = np.maximum(h - 1, 0)
+        h = np.where(known, np.maximum(h - 1, 0), 0)
         q = prev[at]
         ok = have[at] & (q >= 0)
         h[~ok] = 0
@@ -151,9 +158,10 @@ def common_prefixes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, orde
             h[lane] = np.minimum(h[lane] + lead, most)
             lane = lane[diff == 0]
         out[at] = h
+        known = ok & have[q + 1] & (h != span)  # the order is by span bytes: those that part just after aren't in their order
         at = at + 1
         stay = at < stop
-        at, stop, h = at[stay], stop[stay], h[stay]
+        at, stop, h, known = at[stay], stop[stay], h[stay], known[stay]
     return out[order]
 
 
@@ -166,32 +174,61 @@ def repeated_windows(strings: list[bytes], span: int) -> np.ndarray:
     order = suffix_order(text, ends, span)
     hit = np.zeros(len(text), bool)
     if len(order):
-        lcp = common_prefixes(text, stop - sizes, ends, order)
+        lcp = common_prefixes(text, stop - sizes, ends, order, span)
         same = lcp >= span
         hit[order[same]] = True
         hit[order[:-1][same[1:]]] = True
     return hit
 
 
-def merged_windows(left: list[bytes], right: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of two shards that occur in both: each shard's sorted windows are searched for the other's by bisection."""
-    sides = []
-    for strings in (left, right):
-        text = np.frombuffer(b"".join(strings), np.uint8)
-        sizes = np.array([len(s) for s in strings])
-        ends = np.repeat(np.cumsum(sizes), sizes)
-        at = np.flatnonzero(np.arange(len(text)) + span <= ends)
-        windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, span)[at]).view(f"S{span}").ravel()
-        order = np.argsort(windows, kind="stable")
-        sides.append((len(text), at[order], windows[order]))
-    out = []
-    for (n, at, mine), (_, _, other) in (sides, sides[::-1]):
-        place = np.searchsorted(other, mine)
-        hit = np.zeros(n, bool)
-        inside = place < len(other)
-        hit[at[inside]] = other[place[inside]] == mine[inside]
-        out.append(hit)
-    return out[0], out[1]
+def suffix_array(strings: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``repeated_windows``, and the first place of each distinct window, in suffix order."""
+    text = np.frombuffer(b"".join(strings), np.uint8)
+    sizes = np.array([len(s) for s in strings])
+    stop = np.cumsum(sizes)
+    ends = np.repeat(stop, sizes)
+    order = suffix_order(text, ends, span, every=True)
+    same = common_prefixes(text, stop - sizes, ends, order, span) >= span
+    hit = np.zeros(len(text), bool)
+    hit[order[same]] = True
+    hit[order[:-1][same[1:]]] = True
+    return hit, order[~same]
+
+
+def _compare(a: np.ndarray, p: np.ndarray, b: np.ndarray, q: np.ndarray, span: int) -> np.ndarray:
+    """-1, 0 or 1: how the windows at places p (words8 a) stand to those at q (words8 b)."""
+    out, lane = np.zeros(len(p), np.int8), np.arange(len(p))
+    for off in range(0, span, 8):
+        if not len(lane):
+            break
+        drop = U(8 * max(0, off + 8 - span))
+        x, y = a[p[lane] + off] >> drop, b[q[lane] + off] >> drop
+        out[lane[x < y]], out[lane[x > y]] = -1, 1
+        lane = lane[x == y]
+    return out
+
+
+def merged_windows(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of two shards (text, distinct windows in suffix order), which windows of either occur in the other: the windows
+    of the shorter array are searched in the longer by bisection."""
+    if len(left[1]) > len(right[1]):
+        y, x = merged_windows(right, left, span)
+        return x, y
+    (text, mine), (other, at) = left, right
+    a, b = words8(text), words8(other)
+    lo, hi = np.zeros(len(mine), np.int64), np.full(len(mine), len(at), np.int64)
+    lane = np.flatnonzero(lo < hi)
+    while len(lane):
+        mid = (lo[lane] + hi[lane]) // 2
+        after = _compare(a, mine[lane], b, at[mid], span) > 0
+        lo[lane[after]], hi[lane[~after]] = mid[after] + 1, mid[~after]
+        lane = lane[lo[lane] < hi[lane]]
+    inside = np.flatnonzero(lo < len(at))
+    met = inside[_compare(a, mine[inside], b, at[lo[inside]], span) == 0]
+    out = np.zeros(len(text), bool), np.zeros(len(other), bool)
+    out[0][mine[met]] = True
+    out[1][at[lo[met]]] = True
+    return out
 
 
 def _spans(hit: np.ndarray, sizes: np.ndarray, span: int):
@@ -207,86 +244,109 @@ def _spans(hit: np.ndarray, sizes: np.ndarray, span: int):
     return s[new], on[new] - base[s[new]], on[last] - base[s[new]] + span
 
 
-MARK = "gram long, doc_id long, crc long, s long, e long"
+MARK = "gram long, a long, b long, s long, e long"
+#: Contexts that a task remembers having sent; beyond it forgets them and sends more rows than it need.
+SEEN = 4_000_000
+
+
+def _within(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(sorted_, x)
+    return (at < len(sorted_)) & (sorted_[np.minimum(at, len(sorted_) - 1)] == x) if len(sorted_) else np.zeros(len(x), bool)
+
 
+class _Collapse:
+    """Of each context a task sends the first two at most, so that they meet and are found to be repeats; all others are
+    repeats already. ``of`` gives a mask of those to send among the contexts of a chunk in text order."""
 
-def collapsed(r, gram, ctx, start, length):
-    """Contexts that occur twice or more among these are repeats already: their merged intervals (row, start, end), and
-    a mask of the rows that must still meet others: one of each context."""
-    order = np.lexsort((ctx, gram))
-    again = np.r_[False, (gram[order][1:] == gram[order][:-1]) & (ctx[order][1:] == ctx[order][:-1])]
-    twice = np.zeros(len(r), bool)
-    twice[order] = again | np.r_[again[1:], False]
-    send = np.ones(len(r), bool)
-    send[order] = ~again
-    rows, lo = r[twice], start[twice]
-    hi = lo + length[twice]
-    # in text order starts and ends both rise, so an interval joins the one before it or begins anew
-    new = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (lo[1:] > hi[:-1])]) if len(rows) else np.zeros(0, np.int64)
-    last = np.r_[new[1:], len(rows)] - 1 if len(rows) else new
-    return rows[new], lo[new], hi[last], send
+    def __init__(self):
+        self.once, self.twice = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def of(self, ctx: np.ndarray) -> np.ndarray:
+        value, first, times = np.unique(ctx, return_index=True, return_counts=True)
+        before, often = _within(self.once, value), _within(self.twice, value)
+        send = np.zeros(len(ctx), bool)
+        send[first[~often]] = True
+        again = (times > 1) & ~before  # twice in this chunk: a second one goes along, so that both meet
+        second = np.setdiff1d(np.arange(len(ctx)), first, assume_unique=True)
+        _, k = np.unique(ctx[second], return_index=True)
+        second = second[k]
+        send[second[_within(value[again], ctx[second])]] = True
+        if len(self.once) > SEEN:
+            self.once, self.twice = self.once[:0], self.twice[:0]
+        else:
+            self.twice = np.sort(np.concatenate([self.twice, value[(before | again) & ~often]]), kind="stable")
+            self.once = np.sort(np.concatenate([self.once, value[~before]]), kind="stable")
+        return send
+
+
+def _anchored(span: int, hot: np.ndarray):
+    """Rows of contexts: open ones are to meet by (gram, salt); closed ones are intervals of repeats, which pass through."""
 
-def _anchored(span: int):
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            docs, crc = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            for lo, data, offs in K.text_chunks(b.column(2)):
+        known = _Collapse()
+        for batch in batches:
+            a, b = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            for lo, data, offs in K.text_chunks(batch.column(2)):
                 r, gram, ctx, start, length = anchors(data, offs, span)
-                cr, cs, ce, send = collapsed(r, gram, ctx, start, length)
-                # intervals found here only pass through the exchange, dealt by a hash of their own
-                key = K.mix((crc[lo + cr] * 1_000_003 + cs).astype(U)).view(np.int64) if len(cr) else cr
-                rows = [np.r_[np.zeros(len(cr), bool), np.ones(int(send.sum()), bool)], np.r_[key, gram[send]], np.r_[cr * 0, ctx[send]]]
-                at = lo + np.r_[cr, r[send]]
-                rows += [docs[at], crc[at], np.r_[cs, start[send]], np.r_[ce, (start + length)[send]]]
+                send = known.of(ctx)
+                rows, cs = r[~send], start[~send]
+                ce = cs + length[~send]
+                # in text order starts and ends both rise, so an interval joins the one before it or begins anew
+                new = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (cs[1:] > ce[:-1])]) if len(rows) else np.zeros(0, np.int64)
+                rows, cs, ce = rows[new], cs[new], ce[np.r_[new[1:], len(rows)] - 1] if len(rows) else ce
+                n, at = len(rows), lo + np.r_[rows, r[send]]
+                often = _within(hot, gram[send])
+                out = [np.r_[np.zeros(n, bool), np.ones(int(send.sum()), bool)], np.r_[np.zeros(n, bool), often]]
+                out += [np.r_[K.mix(a[at[:n]].astype(U) + cs.astype(U)).view(np.int64), gram[send]], np.r_[np.zeros(n, np.int32), np.where(often, ctx[send] % SALTS, 0).astype(np.int32)]]
+                out += [np.r_[cs * 0, ctx[send]], a[at], b[at], np.r_[cs, start[send]], np.r_[ce, (start + length)[send]]]
                 for i in range(0, len(at), 1 << 17):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)]) for x in rows], ["open", "gram", "ctx", "doc_id", "crc", "s", "e"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)]) for x in out], ["open", "hot", "gram", "salt", "ctx", "a", "b", "s", "e"])
 
     return run
 
 
 def _met(batches):
     """Over rows sorted by gram and context: gram 0 and the interval of places whose context occurs twice or more;
-    gram and interval of one place of each context whose gram has others. Keeps three rows between batches."""
+    gram and interval of one place of each context whose gram has others (or is hot, and so dealt over several tasks).
+    Keeps three rows between batches."""
     import pyarrow as pa
 
+    names = ["gram", "a", "b", "s", "e"]
     tail = None  # the last row so far, not yet emitted, with its flags
-    state = {"first": None, "many": False}  # the first context's row of the last gram; whether that gram has two contexts
+    state = {"first": None, "many": False}  # the first context's row of the last gram; whether that gram needs no more of it
 
     def flush(rows, same_gram, same_ctx):
         """rows: those to emit, the next row known; same_*: with the row before, one longer than rows."""
-        n = len(rows[0])
+        n, hot = len(rows[0]), rows[6].astype(bool)
         cover = same_ctx[:-1] | same_ctx[1:]
         new_ctx = ~same_ctx[:-1]
         other = new_ctx & same_gram[:-1]  # a context after another of its gram
         first = np.flatnonzero(new_ctx & ~same_gram[:-1])
         gid = np.searchsorted(first, np.arange(n), "right")  # 0: the gram carried from before
         has = np.bincount(gid[other], minlength=len(first) + 1) > 0
-        send = other.copy()
+        send = other | (new_ctx & hot)
         send[first[has[1:]]] = True
         early = []
         if has[0] and not state["many"] and state["first"] is not None:
             early = [state["first"]]
         if len(first):
             state["first"] = tuple(c[first[-1]] for c in rows)
-            state["many"] = bool(has[-1])
+            state["many"] = bool(has[-1]) or bool(hot[first[-1]])
         else:
             state["many"] = state["many"] or bool(has[0])
         out = [np.concatenate([np.zeros(int(cover.sum()), np.int64), rows[0][send], np.array([e[0] for e in early], np.int64)])]
         for c in range(2, 6):
             out.append(np.concatenate([rows[c][cover], rows[c][send], np.array([e[c] for e in early], np.int64)]))
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["gram", "doc_id", "crc", "s", "e"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names)
 
     before = None
     for b in batches:
-        if not b.num_rows:
-            continue
         open_ = b.column(0).to_numpy(zero_copy_only=False)
-        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(1, 7)]
+        cols = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 4, 5, 6, 7, 8, 1)]
         if not open_.all():
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(int((~open_).sum()), np.int64)), *(pa.array(c[~open_]) for c in cols[2:])], ["gram", "doc_id", "crc", "s", "e"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(int((~open_).sum()), np.int64)), *(pa.array(c[~open_]) for c in cols[2:6])], names)
             cols = [c[open_] for c in cols]
             if not len(cols[0]):
                 continue
@@ -311,98 +371,171 @@ def _met(batches):
 def _contexts(batches):
     import pyarrow as pa
 
-    for b in batches:
-        for i in range(b.num_rows):
-            doc, crc, text, wanted = (b.column(k)[i].as_py() for k in range(4))
+    kinds = [("gram", pa.int64()), ("own", pa.int32()), ("k", pa.int32())]
+    for batch in batches:
+        for i in range(batch.num_rows):
+            a, b, text, wanted = (batch.column(k)[i].as_py() for k in range(4))
             raw = text.encode()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([w["gram"] for w in wanted], pa.int64()), pa.array([w["i"] for w in wanted], pa.int32()), pa.array([w["j"] for w in wanted], pa.int32()), pa.array([w["own"] for w in wanted], pa.int32())]
-                + [pa.array([x] * len(wanted), pa.int64()) for x in (doc, crc)]
+                [pa.array([w[c] for w in wanted], t) for c, t in kinds]
+                + [pa.array([x] * len(wanted), pa.int64()) for x in (a, b)]
                 + [pa.array([w["s"] for w in wanted], pa.int64()), pa.array([raw[w["s"] : w["e"]] for w in wanted], pa.binary())],
-                ["gram", "i", "j", "own", "doc_id", "crc", "s", "bytes"],
+                [c for c, _ in kinds] + ["a", "b", "s", "bytes"],
             )
 
 
-def _sharded(span: int):
-    """Over contexts sorted by (gram, i, j): whole grams to a suffix array, pairs of sub-shards of a gram merged."""
+#: What a shard's task returns: intervals, and for a gram over several shards the shard's suffix array.
+SHARD = "a long, b long, s long, e long, gram long, own int, k int, text binary, sizes binary, windows binary, pa binary, pb binary, ps binary"
 
-    def solve(rows):
-        strings = [r[7] for r in rows]
-        hit = repeated_windows(strings, span)
-        return found(rows, hit)
 
-    def found(rows, hit):
-        which, lo, hi = _spans(hit, np.array([len(r[7]) for r in rows]), span)
-        return [(rows[k][4], rows[k][5], rows[k][6] + a, rows[k][6] + e) for k, a, e in zip(which.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+def _emit(found, packed=()):
+    import pyarrow as pa
+
+    kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()] * 6
+    rows = [(*f, *[None] * 9) for f in found] + [(*[None] * 4, *p) for p in packed]
+    cols = list(zip(*rows, strict=True)) or [()] * 13
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in SHARD.split(", ")])
 
-    def emit(out):
-        import pyarrow as pa
 
-        cols = list(zip(*out, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "crc", "s", "e"])
+def _found(a, b, s, sizes, hit: np.ndarray, span: int) -> list[tuple]:
+    which, lo, hi = _spans(hit, sizes, span)
+    return list(zip(a[which].tolist(), b[which].tolist(), (s[which] + lo).tolist(), (s[which] + hi).tolist(), strict=True))
+
+
+def _sharded(span: int):
+    """Over contexts sorted by (gram, own): whole grams are joined to suffix arrays of SHARD_BYTES; a part of a gram has one
+    of its own, which is returned with those of its contexts that hold the first place of some window."""
+
+    def columns(rows):
+        return [np.array([r[c] for r in rows], np.int64) for c in (3, 4, 5)] + [np.array([len(r[6]) for r in rows], np.int64)]
+
+    def solve(rows):
+        a, b, s, sizes = columns(rows)
+        return _found(a, b, s, sizes, repeated_windows([r[6] for r in rows], span), span)
+
+    def part(rows):
+        a, b, s, sizes = columns(rows)
+        strings = [r[6] for r in rows]
+        hit, windows = suffix_array(strings, span)
+        base = np.r_[0, np.cumsum(sizes)]
+        of = np.searchsorted(base, windows, "right") - 1
+        kept = np.unique(of)
+        moved = np.zeros(len(rows) + 1, np.int64)
+        moved[kept] = np.r_[0, np.cumsum(sizes[kept])[:-1]]
+        places = (windows - base[of] + moved[of]).astype(np.int32)
+        pack = (rows[0][0], rows[0][1], rows[0][2], b"".join(strings[i] for i in kept), sizes[kept].tobytes(), places.tobytes(), *(x[kept].tobytes() for x in (a, b, s)))
+        return _found(a, b, s, sizes, hit, span), pack
 
     def run(batches):
         held, size, group, key = [], 0, [], None
 
         def close(group, key):
-            """The pairs of a finished group; a whole gram's contexts are held for the next suffix array."""
             nonlocal held, size
-            if key[1] != key[2]:
-                left, right = [r for r in group if r[3] == key[1]], [r for r in group if r[3] != key[1]]
-                if left and right:
-                    a, b = merged_windows([r[7] for r in left], [r[7] for r in right], span)
-                    return found(left, a) + found(right, b)
-                return []
+            if key[2] > 1:
+                out, pack = part(group)
+                return out, [pack]
             out = []
-            more = sum(len(r[7]) for r in group)
+            more = sum(len(r[6]) for r in group)
             if held and size + more > SHARD_BYTES:
                 out, held, size = solve(held), [], 0
             held += group
             size += more
-            return out
+            return out, []
 
         for b in batches:
-            out = []
-            for row in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+            for row in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
                 if row[:3] != key:
                     if group:
-                        out += close(group, key)
+                        out, packed = close(group, key)
+                        if out or packed:
+                            yield _emit(out, packed)
                     group, key = [], row[:3]
                 group.append(row)
-            if out:
-                yield emit(out)
-        out = close(group, key) if group else []
-        yield emit(out + (solve(held) if held else []))
+        if group:
+            yield _emit(*close(group, key))
+        if held:
+            yield _emit(solve(held))
+
+    return run
+
+
+def _merged(span: int):
+    """Over shards' suffix arrays sorted by (gram, i, j), two to each pair: the intervals of windows that both hold."""
+
+    def side(row):
+        sizes, at = np.frombuffer(row[4], np.int64), np.frombuffer(row[5], np.int32).astype(np.int64)
+        return (np.frombuffer(row[3], np.uint8), at), [np.frombuffer(x, np.int64) for x in row[6:9]], sizes
+
+    def run(batches):
+        last = None
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+                if last is None or last[:3] != row[:3]:
+                    last = row
+                    continue
+                (x, kx, nx), (y, ky, ny) = side(last), side(row)
+                hx, hy = merged_windows(x, y, span)
+                yield _emit(_found(*kx, nx, hx, span) + _found(*ky, ny, hy, span)).select(["a", "b", "s", "e"])
+                last = None
 
     return run
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    """The columns of docs with ``__fg_doc`` and ``__fg_crc``, which tell rows apart, and ``__fg_text``."""
+    """The columns of docs with ``__fg_a`` and ``__fg_b``, 128 bits that tell rows apart, and ``__fg_text``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**62))).alias("__fg_doc"), F.crc32(text.cast("binary")).alias("__fg_crc"), text.alias("__fg_text"))
+    doc = (F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return docs.select("*", F.xxhash64(F.lit(1), *doc, text).alias("__fg_a"), F.xxhash64(F.lit(2), text, *doc).alias("__fg_b"), text.alias("__fg_text"))
+
+
+#: Tasks that a frequent gram is dealt over, and the share of the texts that is looked at to find frequent grams.
+SALTS = 64
+LOOK = 0.01
+#: Times that a gram of the sample must occur to count as frequent.
+OFTEN = 16
+
+
+def frequent_grams(src: DataFrame, span: int, tasks: int) -> np.ndarray:
+    """The 4 * tasks most frequent grams of a sample of the texts, those met OFTEN times or more, sorted. They are only routed otherwise."""
+
+    def grams(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for _, data, offs in K.text_chunks(b.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(anchors(data, offs, span)[1])], ["gram"])
+
+    some = src.where(F.pmod("__fg_a", F.lit(1_000_003)) < int(LOOK * 1_000_003)).select("__fg_text")
+    counts = some.transform(arrow, grams, "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
+    return np.sort(np.array([r.gram for r in counts.orderBy(F.col("n").desc()).limit(4 * tasks).collect()], np.int64))
 
 
 def repeated_intervals(docs: DataFrame, span: int = 200) -> DataFrame:
-    """(_doc, _crc, spans): the byte intervals of each text with repeats, as an array of (s, e), not yet merged."""
+    """(__fg_a, __fg_b, spans): the byte intervals of each text with repeats, as an array of (s, e), not yet merged."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
     n = shuffle_width(spark)
-    src = _identified(docs).select("__fg_doc", "__fg_crc", "__fg_text")
-    placed = src.transform(arrow, _anchored(span), "open boolean, gram long, ctx long, doc_id long, crc long, s long, e long")
-    marks = scratch.put(placed.repartition(n, "gram").sortWithinPartitions("open", "gram", "ctx").transform(arrow, _met, MARK), "marks")
+    src = _identified(docs).select("__fg_a", "__fg_b", "__fg_text")
+    hot = frequent_grams(src, span, n)
+    placed = src.transform(arrow, _anchored(span, hot), "open boolean, hot boolean, gram long, salt int, ctx long, a long, b long, s long, e long")
+    marks = scratch.put(placed.repartition(n, "gram", "salt").sortWithinPartitions("open", "gram", "ctx").transform(arrow, _met, MARK), "marks")
     asked = marks.where("gram <> 0")
-    parts = asked.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARD_CONTEXTS)).cast("int").alias("k")).where("k > 1")
-    asked = asked.join(parts, "gram", "left").withColumn("own", F.when(F.col("k").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", "crc", "s"), "k")).cast("int"))
-    with_ = F.transform(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1), lambda o: F.struct(F.least(o, "own").alias("i"), F.greatest(o, "own").alias("j")))
-    asked = asked.select("gram", "doc_id", "crc", "s", "e", "own", F.explode(with_).alias("p")).select(F.col("doc_id").alias("__fg_doc"), F.col("crc").alias("__fg_crc"), F.struct("gram", "p.i", "p.j", "own", "s", "e").alias("w"))
-    per_text = asked.groupBy("__fg_doc", "__fg_crc").agg(F.collect_list("w").alias("wanted"))  # as many as the text has places
-    one = src.join(per_text, ["__fg_doc", "__fg_crc"]).dropDuplicates(["__fg_doc", "__fg_crc"])
-    contexts = one.select("__fg_doc", "__fg_crc", "__fg_text", "wanted").transform(arrow, _contexts, "gram long, i int, j int, own int, doc_id long, crc long, s long, bytes binary")
-    shards = contexts.repartition(n, "gram", "i", "j").sortWithinPartitions("gram", "i", "j")
-    found = scratch.put(shards.transform(arrow, _sharded(span), "doc_id long, crc long, s long, e long"), "found")
-    every = marks.where("gram = 0").select("doc_id", "crc", "s", "e").unionByName(found)
-    return every.groupBy(F.col("doc_id").alias("__fg_doc"), F.col("crc").alias("__fg_crc")).agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    # both sides of the join are tables, so Spark sees their sizes and can split a hot gram's partition
+    parts = scratch.put(asked.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARD_CONTEXTS)).cast("int").alias("k")).where("k > 1"), "parts")
+    k = F.coalesce("k", F.lit(1))
+    asked = asked.join(parts, "gram", "left").select("a", "b", F.struct("gram", F.pmod(F.xxhash64("a", "b", "s"), k).cast("int").alias("own"), k.alias("k"), "s", "e").alias("w"))
+    asked = scratch.put(asked.select(F.col("a").alias("__fg_a"), F.col("b").alias("__fg_b"), "w"), "asked")
+    per_text = asked.groupBy("__fg_a", "__fg_b").agg(F.collect_list("w").alias("wanted"))  # as many as the text has places
+    one = src.join(per_text, ["__fg_a", "__fg_b"]).dropDuplicates(["__fg_a", "__fg_b"])
+    contexts = one.select("__fg_a", "__fg_b", "__fg_text", "wanted").transform(arrow, _contexts, "gram long, own int, k int, a long, b long, s long, bytes binary")
+    shards = contexts.repartition(n, "gram", "own").sortWithinPartitions("gram", "own")
+    found = scratch.put(shards.transform(arrow, _sharded(span), SHARD), "found")
+    split = found.where("gram is not null").drop("a", "b", "s", "e")
+    others = F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda o: o != F.col("own"))
+    pairs = split.withColumn("o", F.explode(others)).select("gram", F.least("o", "own").alias("i"), F.greatest("o", "own").alias("j"), "text", "sizes", "windows", "pa", "pb", "ps")
+    pairs = pairs.repartition(n, "gram", "i", "j").sortWithinPartitions("gram", "i", "j").transform(arrow, _merged(span), "a long, b long, s long, e long")
+    every = marks.where("gram = 0").select("a", "b", "s", "e").unionByName(found.where("gram is null").select("a", "b", "s", "e")).unionByName(pairs)
+    return every.groupBy(F.col("a").alias("__fg_a"), F.col("b").alias("__fg_b")).agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def merge(spans) -> list[tuple[int, int]]:
@@ -448,7 +581,7 @@ def _stripped(batches):
 def with_intervals(docs: DataFrame, span: int = 200) -> DataFrame:
     """docs with ``__fg_text`` (null: empty) and ``__fg_spans`` (null: none)."""
     got = repeated_intervals(docs, span).withColumnRenamed("spans", "__fg_spans")
-    return _identified(docs).join(got, ["__fg_doc", "__fg_crc"], "left").select(*[F.col(c) for c in docs.columns], "__fg_text", "__fg_spans")
+    return _identified(docs).join(got, ["__fg_a", "__fg_b"], "left").select(*[F.col(c) for c in docs.columns], "__fg_text", "__fg_spans")
 
 
 def repeat_digests(docs: DataFrame, span: int = 200) -> DataFrame:

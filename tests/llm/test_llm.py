@@ -12,7 +12,7 @@ import pytest
 
 from fieldglass.llm import embedding_dedup, kernels, mixing, near_dedup, neighbours, packing, quality, sharding, suffix_dedup, token_files, warc
 from fieldglass.llm.common import Scratch, connected_components, gapless_rank
-from fieldglass.llm.tokens import Coder, coder
+from fieldglass.llm.tokens import coder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, c long, bands string, rank int, _text string, shard int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -229,17 +229,54 @@ def test_repeats_equal_brute_force(docs, span):
     assert sorted(got) == sorted(removed(ROWS, span))
 
 
-def test_repeats_of_a_split_gram_and_without_rows(spark, none, monkeypatch):
+@pytest.mark.parametrize("hot", [False, True])
+def test_repeats_of_a_split_gram_and_without_rows(spark, none, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "SHARD_CONTEXTS", 3)
+    if hot:  # grams that occur four times anywhere are dealt over several tasks
+        monkeypatch.setattr(suffix_dedup, "LOOK", 1.0)
+        monkeypatch.setattr(suffix_dedup, "OFTEN", 4)
     rng = random.Random(2)
     middle = sentence(rng, 25)[:90]
     tails = [sentence(rng, 40) for _ in range(4)]
     rows = [(i, sentence(rng, 40) + middle + rng.choice(tails)) for i in range(25)]
-    got = [tuple(r) for r in suffix_dedup.repeat_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    rows += [(i + 100, t) for i, t in rows[:6]] * 2 + [(300 + i, "lead " + tails[0] + f" {i}") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    src = suffix_dedup._identified(df).select("__fg_a", "__fg_b", "__fg_text")
+    assert (len(suffix_dedup.frequent_grams(src, 200, 4)) > 0) == hot
+    got = [tuple(r) for r in suffix_dedup.repeat_digests(df).collect()]
     assert sorted(got) == sorted(removed(rows, 200))
     assert suffix_dedup.strip_repeats(none).columns == none.columns and suffix_dedup.strip_repeats(none).count() == 0
 
 
+def test_repeats_with_many_null_ids_of_one_checksum(spark):
+    """Rows are told apart even where their ids are null and their checksums equal."""
+    rng = random.Random(6)
+    a, b = sentence(rng, 90), sentence(rng, 90)
+
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+
+    def forged(text, crc):  # with four bytes that bring its crc32 to crc
+        have, want = zlib.crc32(text) ^ 0xFFFFFFFF, crc ^ 0xFFFFFFFF
+        for _ in range(4):
+            i = next(i for i in range(256) if table[i] >> 24 == want >> 24)
+            want = ((want ^ table[i]) << 8 & 0xFFFFFFFF) | i
+        return text + (want ^ have).to_bytes(4, "little")
+
+    target = zlib.crc32(a.encode())
+    made = (forged(f"{b} {k} ".encode(), target) for k in range(100_000))
+    other = next(x for x in made if max(x[-4:]) < 128)
+    assert zlib.crc32(other) == target
+    rows = [(None, a), (None, a + " and more"), (None, other.decode()), (None, None), (None, ""), (None, "short"), (7, a)]
+    got = [tuple(r) for r in suffix_dedup.repeat_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    assert sorted(got, key=key) == sorted(removed(rows, 200), key=key)
+    assert next(r for r in got if r[1] == len(other))[2] == 0
+
+
 def test_stripped_texts_are_whole_characters_and_keep_columns(docs):
     out = suffix_dedup.strip_repeats(docs)
     assert out.columns == docs.columns
@@ -255,14 +292,22 @@ def test_suffix_kernels_equal_brute_force():
         seen = Counter(s[i : i + 20] for s in strings for i in range(len(s) - 19))
         expect = [i + 20 <= len(s) and seen[s[i : i + 20]] > 1 for s in strings for i in range(len(s))]
         assert suffix_dedup.repeated_windows(strings, 20).tolist() == expect
-        left, _ = suffix_dedup.merged_windows(strings[:1], strings[1:], 20)
-        other = {s[i : i + 20] for s in strings[1:] for i in range(len(s) - 19)}
-        assert left.tolist() == [i + 20 <= len(strings[0]) and strings[0][i : i + 20] in other for i in range(len(strings[0]))]
+        sides = strings[:1], strings[1:]
+        made = []
+        for part in sides:
+            hit, at = suffix_dedup.suffix_array(part, 20)
+            text = b"".join(part)
+            assert hit.tolist() == suffix_dedup.repeated_windows(part, 20).tolist()
+            assert [text[i : i + 20] for i in at] == sorted({s[i : i + 20] for s in part for i in range(len(s) - 19)})
+            made.append((np.frombuffer(text, np.uint8), at))
+        for mine, (text, at), (other, there) in zip(suffix_dedup.merged_windows(*made, 20), made, made[::-1], strict=True):
+            known = {other[i : i + 20].tobytes() for i in there}
+            assert np.flatnonzero(mine).tolist() == sorted(i for i in at if text[i : i + 20].tobytes() in known)
 
 
 def test_packing_fills_sequences_without_gaps(docs, none):
     rows = packing.pack(docs).collect()
-    model = coder("byte_bpe_50k.json", True).model
+    model = plain_tokenizer("byte_bpe_50k.json")
     by_text, bins = defaultdict(list), defaultdict(list)
     for r in rows:
         by_text[r.doc_id].append(r)
@@ -315,11 +360,26 @@ def test_runs_of_bins_equal_best_fit_decreasing_piece_by_piece():
         assert sorted(cap - u for u in used.values()) == best_fit_one_by_one(lengths, cap)
 
 
+def plain_tokenizer(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
+def test_special_strings_as_text():
+    t = plain_tokenizer("byte_bpe_50k.json")
+    t.encode_special_tokens = True
+    texts = ["a <|endoftext|> b", "plain"]
+    got = coder("byte_bpe_50k.json", True, specials_as_text=True).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize(("name", "lead"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_piecewise_ids_are_the_librarys(name, lead):
-    c = coder(name, lead)
-    fresh = Coder(__import__("public_tokenizers").path(name), lead).model
-    texts = [t or "" for _, t, *_ in ROWS] + ["a b c　 d", "x  y", "\n\n\na\n b", "it's  'll we'd", "퟿​ ok", "á e ́b", "Aİ Σ σ"]
+    c, fresh = coder(name, lead), plain_tokenizer(name)
+    specials = ["<|endoftext|>", "a b<|endoftext|> c", "x<|startoftext|>y <|ENDOFTEXT|>", "<|endoftext|><|endoftext|>\n"]
+    texts = [t or "" for _, t, *_ in ROWS] + specials + ["a b c　 d", "x  y", "\n\n\na\n b", "it's  'll we'd", "퟿​ ok", "á e ́b", "Aİ Σ σ"]
     for t, got in zip(texts, c.encode(texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids, repr(t)
 
@@ -330,7 +390,7 @@ def test_token_files_round_trip(spark, docs, with_null_id, none, tmp_path):
         folder = scratch.path("files")
         manifest = scratch.put(token_files.write_token_files(df, folder, file_ids=3000), "manifest")
         got = sorted((tuple(r) for r in token_files.read_token_files(manifest, folder).collect()), key=lambda r: r[1])
-        model = coder("word_bpe_49k.json", False).model
+        model = plain_tokenizer("word_bpe_49k.json")
         expect = []
         for i, t, *_ in rows:
             ids = model.encode(t or "", add_special_tokens=False).ids + [1]
