@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldglass.llm import embedding_dedup, kernels, mixing, near_dedup, neighbours, packing, quality, sharding, suffix_dedup, token_files, warc
 from fieldglass.llm.common import Scratch, connected_components, gapless_rank
@@ -167,16 +168,15 @@ def good(v):
     return v is not None and len(v) == 16 and all(x is not None and np.isfinite(x) for x in v) and any(v)
 
 
-def test_neighbours_reach_recall_with_exact_scores(spark):
+def test_neighbours_reach_recall_with_exact_scores(spark, monkeypatch):
     df, rows = embeddings(spark)
     ids, first = np.unique([r[0] for r in rows if good(r[1])], return_index=True)
     x = np.array([r[1] for r in rows if good(r[1])], np.float32)[first].astype(float)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     got = defaultdict(list)
-    from pyspark.sql import functions as F
-
-    for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0, shard_rows=70, block_queries=3).orderBy("query_id", "rank").collect():
+    for r in neighbours.nearest(df.repartition(3), F.col("vec_id") % 50 == 0, shard_rows=70, block_queries=3).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
+        assert r.rank == len(got[r.query_id])
     hits = 0
     for q in ids[ids % 50 == 0]:
         s = unit @ unit[np.flatnonzero(ids == q)[0]]
@@ -188,6 +188,38 @@ def test_neighbours_reach_recall_with_exact_scores(spark):
     assert len(few) == 2 and neighbours.nearest(df.where("false"), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_with_ties_repeats_null_ids_and_other_dimensions(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, 16)).round(3).tolist()
+    rows = [(i, v) for i, v in enumerate(base)]
+    rows += [(60 + i, base[0]) for i in range(7)][::-1]  # equal scores: the smaller ids
+    rows += [(70, base[3]), (70, base[5]), (70, base[3]), (1, base[7]), (1, base[9])]  # ids of several vectors, as rows and as queries
+    rows += [(None, base[0]), (None, None), (80, [1.0, 2.0, 3.0]), (81, [2.0, 1.0, 3.0]), (82, [3.0, 1.0, -1.0])]
+    df = spark.createDataFrame([(i, v, 1.0, 2, 3) for i, v in rows], "vec_id long, embedding array<double>, score double, rank int, query_id int")
+    best = defaultdict(dict)
+    for q, x in rows:
+        for i, y in rows:
+            if None not in (q, i, x, y) and q != i and len(x) == len(y) and q in (0, 1, 70, 80):
+                x_, y_ = np.array(x), np.array(y)
+                score = float(x_ @ y_ / np.sqrt((x_ @ x_) * (y_ @ y_)))
+                best[q][i] = max(best[q].get(i, -2.0), round(score, 9))
+    expect = {(q, k + 1, i, s) for q, found in best.items() for k, (i, s) in enumerate(sorted(found.items(), key=lambda r: (-r[1], r[0]))[:5])}
+    for n in (1, 4):
+        got = neighbours.nearest(df.repartition(n), F.col("vec_id").isin(0, 1, 70, 80), shard_rows=20, reach=1.0)
+        assert {(r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in got.collect()} == expect
+
+
+def test_probing_finds_every_code_within_the_radius():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 64))
+    codes = neighbours.Codes(x, 5, 0.9)
+    assert sum(codes.each) == codes.radius - len(codes.each) + 1
+    index, asked = neighbours.Index(codes, x), codes.of(x[:50])
+    near = np.array([[sum(bin(int(a) ^ int(b)).count("1") for a, b in zip(p, q, strict=True)) <= codes.radius for q in index.code] for p in asked])
+    met, hit = index.probe(asked)
+    assert (hit == near).all() and not met.all()
+
+
 def test_embedding_links_equal_brute_force(spark):
     df, rows = embeddings(spark)
     once = {r[0]: r for r in rows}
@@ -204,6 +236,16 @@ def test_embedding_links_equal_brute_force(spark):
     assert embedding_dedup.similar_embeddings(df.where("false")).count() == 0
 
 
+def test_embedding_links_with_null_ids_clashing_names_and_other_dimensions(spark):
+    a, b = [1.0, 0.0, 0.1], [1.0, 0.01, 0.1]
+    rows = [(1, a, "x"), (2, b, "x"), (3, a, "y"), (4, [1.0, 0.0], "x"), (5, [1.0, 0.01], "x"), (None, a, "x"), (6, [0.0, 1.0, 0.0], "x")]
+    rows += [(7, [0.0, 0.0, 1.0], "x"), (7, [0.0, -1.0, 0.0], "x"), (8, [0.0, -1.0, 0.01], "x"), (2, b, "x")]  # 7 counts by its least vector
+    df = spark.createDataFrame([(*r, 1, 2, True, 3) for r in rows], "vec_id long, embedding array<double>, label string, n_links int, component_id int, kept boolean, rep int")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.similar_embeddings(df.repartition(3)).collect()), key=lambda r: (r[0] is None, r[0] or 0))
+    expect = [(1, 1, 1, True), (2, 1, 1, False), (2, 1, 1, False), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (6, 0, 6, True), (7, 1, 7, True), (7, 1, 7, True), (8, 1, 7, False), (None, 0, None, True)]
+    assert got == expect
+
+
 def removed(rows, span):
     seen = Counter()
     for _, t, *_ in rows:
@@ -491,8 +533,6 @@ def test_components_of_chains_and_stars(spark):
 
 def test_ranks_are_gapless_with_null_keys(spark):
     df = spark.createDataFrame([(k, i) for k in ("a", None, "b") for i in range(37)], "k string, i int")
-    from pyspark.sql import functions as F
-
     got = gapless_rank(df, ["k"], F.col("i"), ["i"], "r", 5).collect()
     for k in ("a", None, "b"):
         assert sorted(r.r for r in got if r.k == k) == list(range(37))
