@@ -1,17 +1,20 @@
 """Embedding near-dedup by an epsilon grid order join.
 
 Unit vectors at cosine >= t are at distance <= eps = sqrt(2 - 2 t). Vectors of a label are sorted by the cells of an eps
-grid on leading principal directions (learned on a bounded sample), so that what is near in space is near in the
+grid on 16 leading principal directions (learned on a bounded sample), so that what is near in space is near in the
 sequence. The sequence is cut into blocks; two blocks meet only if their boxes in the leading directions are within
 eps, and the join then halves both intervals recursively, skipping pairs of intervals whose boxes are provably
-further apart, down to small products in double precision.
+further apart. In what is left, a pair's distance in the leading directions is a lower bound too: only pairs within
+eps there get their cosine, in double precision.
 
 Scale: equal vectors are one class with a count, so copies never meet. A task holds two blocks. It returns counts of
-links and a union-find forest of them, at most one edge a vector, never the pairs.
+links and a union-find forest of them, at most one edge a vector, never the pairs. Where the vectors of a label have
+no structure in any direction, boxes overlap and all pairs of that label's blocks meet, which is quadratic in them.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, or whose label is null, link
-with nothing (n_links 0, component their own id). Repeated vec_ids count once as a vector and are returned each. A null
-vec_id has a null component and is kept. Other columns are ignored; an empty table gives no rows.
+with nothing (n_links 0, component their own id). Vectors of different dimensions don't link. Repeated vec_ids count
+once (of several vectors or labels the least, in Spark's order) and are returned each. A null vec_id has a null
+component and is kept. Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -46,6 +49,12 @@ def join_intervals(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray,
             stack += [(a0, a1, b0, m), (a0, a1, m, b1)]
 
 
+def within(p: np.ndarray, q: np.ndarray, eps: float) -> np.ndarray:
+    """Which pairs of rows of p and q are within eps in the leading directions, give or take SLACK."""
+    gap = (p * p).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :] - 2 * (p @ q.T)
+    return gap <= eps * eps + SLACK
+
+
 def links(xa, pa_, wa, xb, pb, wb, threshold: float, eps: float, same: bool, exact):
     """Counts of links of both sides (weighted by the other side's class sizes), and forest edges (i in a, j in b)."""
     na, nb = np.zeros(len(xa), np.int64), np.zeros(len(xb), np.int64)
@@ -59,7 +68,15 @@ def links(xa, pa_, wa, xb, pb, wb, threshold: float, eps: float, same: bool, exa
 
     edges = []
     for a0, a1, b0, b1 in join_intervals(xa, pa_, xb, pb, eps, same):
-        s = xa[a0:a1] @ xb[b0:b1].T
+        near = within(pa_[a0:a1], pb[b0:b1], eps)
+        if not near.any():
+            continue
+        if near.mean() > 0.1:
+            s = xa[a0:a1] @ xb[b0:b1].T
+        else:
+            s = np.full(near.shape, -2.0)
+            i, j = np.nonzero(near)
+            s[i, j] = (xa[a0 + i] * xb[b0 + j]).sum(axis=1)
         hit = s >= threshold
         for i, j in np.argwhere(np.abs(s - threshold) < SLACK):
             hit[i, j] = exact(a0 + i, b0 + j) >= threshold
@@ -79,12 +96,13 @@ def links(xa, pa_, wa, xb, pb, wb, threshold: float, eps: float, same: bool, exa
     return na, nb, edges
 
 
-def similar_embeddings(embeddings: DataFrame, threshold: float = 0.93, leading: int = 4, sample_rows: int = 8000, block: int = 2048) -> DataFrame:
+def similar_embeddings(embeddings: DataFrame, threshold: float = 0.93, leading: int = 16, sample_rows: int = 8000, block: int = 2048) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
     spark = embeddings.sparkSession
     scratch = Scratch(spark, "ego")
     eps = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    rows = usable(embeddings, "label").where("label is not null").dropDuplicates(["vec_id"])
+    kind = embeddings.schema["label"].dataType.simpleString()
+    rows = usable(embeddings, "label").where("label is not null").groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("m")).select("vec_id", "m.label", "m.v")
     key = [F.xxhash64("label", "v").alias("h1"), F.xxhash64(F.lit(9), "v", "label").alias("h2")]
     rows = scratch.put(rows.select("vec_id", "label", "v", *key), "rows")
     classes = rows.groupBy("h1", "h2", "label", F.size("v").alias("dim")).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
@@ -107,7 +125,7 @@ def similar_embeddings(embeddings: DataFrame, threshold: float = 0.93, leading:
                 out.append((u @ axes).tolist() if len(x) == dim else [0.0] * axes.shape[1])
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(out, pa.list_(pa.float64()))], ["rep", "n", "label", "dim", "v", "p"])
 
-    lead = scratch.put(classes.select("rep", "n", "label", "dim", "v").transform(arrow, placed, "rep long, n long, label int, dim int, v array<double>, p array<double>"), "lead")
+    lead = scratch.put(classes.select("rep", "n", "label", "dim", "v").transform(arrow, placed, f"rep long, n long, label {kind}, dim int, v array<double>, p array<double>"), "lead")
     cells = [F.floor(F.col("p")[i] / eps).alias(f"g{i}") for i in range(axes.shape[1])]
     order = ["label", "dim", *[f"g{i}" for i in range(axes.shape[1])], "rep"]
 
@@ -126,14 +144,19 @@ def similar_embeddings(embeddings: DataFrame, threshold: float = 0.93, leading:
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(6)), pa.array(out, pa.int64())], ["rep", "n", "label", "dim", "v", "p", "block"])
 
     seq = lead.select("*", *cells).repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order)
-    seq = scratch.put(seq.select("rep", "n", "label", "dim", "v", "p").transform(arrow, cut, "rep long, n long, label int, dim int, v array<double>, p array<double>, block long"), "sequence")
-    low = [F.min(F.col("p")[i]).alias(f"l{i}") for i in range(axes.shape[1])]
-    high = [F.max(F.col("p")[i]).alias(f"u{i}") for i in range(axes.shape[1])]
-    boxes = seq.groupBy("label", "dim", "block").agg(*low, *high)
-    a, b = boxes.alias("a"), boxes.alias("b")
-    meet = (F.col("a.label") == F.col("b.label")) & (F.col("a.dim") == F.col("b.dim")) & (F.col("a.block") <= F.col("b.block"))
-    for i in range(axes.shape[1]):
-        meet = meet & (F.col(f"a.l{i}") <= F.col(f"b.u{i}") + eps + SLACK) & (F.col(f"b.l{i}") <= F.col(f"a.u{i}") + eps + SLACK)
+    seq = scratch.put(seq.select("rep", "n", "label", "dim", "v", "p").transform(arrow, cut, f"rep long, n long, label {kind}, dim int, v array<double>, p array<double>, block long"), "sequence")
+    dims = range(axes.shape[1])
+    low, high = (F.array(*[f(F.col("p")[i]) for i in dims]) for f in (F.min, F.max))
+    boxes = scratch.put(seq.groupBy("label", "dim", "block").agg(low.alias("low"), high.alias("high")), "boxes")
+    salts = max(1, min(256, boxes.count() // 512))  # so a label's blocks meet in several tasks
+    a = boxes.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts))).alias("a")
+    b = boxes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).alias("b")
+    meet = F.lit(True)
+    for c in ("label", "dim", "salt"):
+        meet = meet & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    gap = lambda x, y: F.zip_with(x, y, lambda l, h: F.greatest(l - h, F.lit(0.0)))  # noqa: E731, E741
+    apart = F.zip_with(gap(F.col("a.low"), F.col("b.high")), gap(F.col("b.low"), F.col("a.high")), lambda x, y: F.greatest(x, y))
+    meet = meet & (F.col("a.block") <= F.col("b.block")) & (F.aggregate(apart, F.lit(0.0), lambda t, x: t + x * x) <= (eps + SLACK) ** 2)
     pairs = scratch.put(a.join(b, meet).select(F.col("a.block").alias("x"), F.col("b.block").alias("y")), "pairs")
     sides = pairs.select("x", "y", F.col("x").alias("block")).unionByName(pairs.select("x", "y", F.col("y").alias("block"))).distinct()
 
