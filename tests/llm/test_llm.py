@@ -2,6 +2,7 @@
 texts, copies, near copies, shared passages, repeated rows, ties, columns with clashing names, and no rows at all."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.llm import embedding_dedup, kernels, mixing, near_dedup, neighbours, packing, quality, sharding, suffix_dedup, token_files, warc
 from fieldglass.llm.common import Scratch, connected_components, gapless_rank
+from fieldglass.llm.files import read_file
 from fieldglass.llm.tokens import coder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, c long, bands string, rank int, _text string, shard int"
@@ -476,32 +478,40 @@ def test_splitting_tree_keeps_exact_quotas():
     assert quota.sum(axis=1).tolist() == [7, 0, 100, 33] and quota.sum(axis=0).max() - quota.sum(axis=0).min() <= 1
 
 
-PAGES = "page_id long, url string, html string, type string, payload string"
+PAGES = "page_id long, url string, html string, type string, payload string, keeper long, digest string, refers_to string, n int"
 
 
 def test_archives_round_trip(spark):
     big, other = "é" * 600, "y" * 1500
-    rows = [(1, "http://a/1", big), (5, "http://a/5\r\nX: 1", big), (3, None, big), (4, "u", "small"), (6, "u", "small"), (7, "u", None), (8, "u", ""), (9, "u", other), (None, "u", other), (5, "http://a/5\r\nX: 1", big)]
-    df = spark.createDataFrame([(*r, "t", "p") for r in rows], PAGES)
+    long = "<p>" + "z" * 3_000_000
+    rows = [(20, "u", long), (21, None, long), (21, "v", long), (1, "http://a/1", big), (5, "http://a/5\r\nX: 1", big), (3, None, big), (4, "u", "small"), (6, "u", "small"), (7, "u", None), (8, "u", ""), (9, "u", other), (None, "u", other), (5, "http://a/5\r\nX: 1", big)]
+    df = spark.createDataFrame([(*r, "t", "p", 1, "d", "r", 2) for r in rows], PAGES)
     scratch = Scratch(spark, "w")
     manifest = scratch.put(warc.write_archives(df, scratch.path("f"), archive_bytes=2000), "m")
-    captures = warc.assemble(warc.read_archives(manifest, scratch.path("f"))).collect()
+    records = warc.read_archives(manifest, scratch.path("f"))
+    assert records.where("type = 'warcinfo'").count() == manifest.count()
+    captures = warc.with_referred(warc.assemble(records)).collect()
     assert len(captures) == len(rows) and all(c.request and c.metadata for c in captures)
-    import json
-
     got = Counter()
     for c in captures:
-        f = json.loads(c.metadata.fields)
-        got[f["page_id"], c.response.type, c.response.payload_bytes, c.response.payload_digest, f["refers_to"]] += 1
+        page, to = (json.loads(x)["page_id"] if x else None for x in (c.metadata.fields, c.refers_to))
+        got[page, c.response.type, c.response.payload_bytes, c.response.payload_digest, to] += 1
         if c.response.type == "response":
-            assert hashlib.sha1(c.response.payload).hexdigest() == c.response.payload_digest
+            assert hashlib.sha1(c.response.payload).hexdigest() == c.response.payload_digest and c.response.refers_to is None
     expect = Counter()
     for i, _, h in rows:
         b = (h or "").encode()
-        keeper = {big: 5, other: 9}.get(h)
+        keeper = {big: 5, other: 9, long: 21}.get(h)
         revisit = keeper is not None and keeper != i
         expect[i, "revisit" if revisit else "response", len(b), hashlib.sha1(b).hexdigest(), keeper if revisit else None] += 1
     assert got == expect
+    heads = [h for path in (r.path for r in manifest.collect()) for h, _ in warc.members(read_file(scratch.path("f"), path))]
+    revisits = [h for h in heads if h["WARC-Type"] == "revisit"]
+    responses = {h["WARC-Record-ID"]: h for h in heads if h["WARC-Type"] == "response"}
+    for h in revisits:
+        to = responses[h["WARC-Refers-To"]]
+        assert h.get("WARC-Refers-To-Target-URI") == to.get("WARC-Target-URI") and h["WARC-Refers-To-Date"] == to["WARC-Date"] and h["WARC-Payload-Digest"] == to["WARC-Payload-Digest"]
+    assert revisits and sum(h["WARC-Type"] == "warcinfo" for h in heads) == manifest.count()
     empty = warc.write_archives(df.where("false"), scratch.path("g"))
     assert warc.assemble(warc.read_archives(scratch.put(empty, "e"), scratch.path("g"))).count() == 0
 
