@@ -1,16 +1,18 @@
 """Quality classifier by Bradley-Terry pairwise ranking.
 
-Each document's whole text becomes a vector of shape features (repetition, symbols, lengths, lines). Preference pairs
-set a document labelled 1 above one labelled 0; a logistic loss on the differences of their features learns the
-strength of a document. The cut is the quantile of training strengths that parts the labels best, and the score is
-a logistic curve through ``cut`` at 0.7, so "score >= 0.7" is the threshold by quantile.
+Each document's whole text becomes a vector: its words and word pairs (lower case) hashed into buckets, whose weights
+are learned, and shape features (repetition, symbols, lengths, lines). Preference pairs set a document labelled 1
+above one labelled 0; a logistic loss on the differences of their features learns the strength of a document. The cut
+is the quantile of training strengths that parts the labels best, and the score is a logistic curve through ``cut``
+at 0.7, so "score >= 0.7" is the threshold by quantile.
 
-Scale: the fit takes at most ``max_labelled`` rows by hash and ``n_pairs`` pairs, both bounds whatever the input, and
-finds its rows by a broadcast of that bounded table; scoring is one pass over the texts without a shuffle.
+Scale: the fit takes at most ``max_labelled`` labelled ids by hash and ``n_pairs`` pairs, both bounds whatever the input,
+and finds its rows by a broadcast of that bounded table; scoring is one pass over the texts without a shuffle.
 
 Defined cases: null text counts as empty; empty texts have features (zeros) and a score. A null doc_id is not held out
-and has no label. Labels that are null, or differ for one doc_id, teach nothing. Without labels of both kinds every
-score is 0.7. Repeated rows are scored each. An empty table gives no rows. Only doc_id and text make a score.
+and has no label. Labels that are null, or differ for one doc_id, teach nothing; of a labelled id's several texts one
+does. Without labels of both kinds every score is 0.7. Repeated rows are scored each. An empty table gives no rows. Only
+doc_id and text make a score.
 """
 
 from __future__ import annotations
@@ -19,8 +21,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldglass.llm import kernels as K
 from fieldglass.llm.common import arrow, table
 
+#: Buckets of hashed words and word pairs.
+HASHED = 128
 SYMBOLS = b"*$%&|#@<>{}[]=_~^+/\\"
 NAMES = ["log_bytes", "log_words", "word_length", "distinct_words", "same_as_last", "distinct_lines", "words_a_line", "stops", "commas", "digits", "capitals", "not_ascii", "blank", "symbols", *(f"byte_{chr(c)}" for c in SYMBOLS), "same_log", "symbols_log", "distinct_low", "length_gap", "longest_word", "short_words"]
 
@@ -46,32 +51,56 @@ def features(text: bytes) -> list[float]:
     ]
 
 
+def hashed(words: np.ndarray, woffs: np.ndarray) -> np.ndarray:
+    """rows x HASHED: roots of the shares of a text's words and word pairs that fall into each bucket."""
+    n, k = len(woffs) - 1, np.diff(woffs)
+    row = np.repeat(np.arange(n), k)
+    pair = row[1:] == row[:-1]
+    two = K.mix(words[:-1][pair] ^ (words[1:][pair] << np.uint64(1)))
+    bucket = np.concatenate([words, two]) % np.uint64(HASHED)
+    at = np.concatenate([row, row[1:][pair]]) * HASHED + bucket.astype(np.int64)
+    return np.sqrt(np.bincount(at, minlength=n * HASHED).reshape(n, HASHED) / np.maximum(2 * k - 1, 1)[:, None])
+
+
+def vectors(texts) -> np.ndarray:
+    """One row of features for each text of an Arrow string column (null: empty)."""
+    parts = [np.zeros((0, len(NAMES) + HASHED))]
+    for _, data, offs in K.text_chunks(texts):
+        raw = data.tobytes()
+        shape = np.array([features(raw[a:e]) for a, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)])
+        parts.append(np.concatenate([shape, hashed(*K.word_hashes(data, offs))], axis=1))
+    return np.concatenate(parts)
+
+
 def _featured(batches):
     import pyarrow as pa
 
     for b in batches:
-        rows = [features((t or "").encode()) for t in b.column(2).to_pylist()]
-        flat = np.array(rows, np.float64).reshape(-1)
-        at = np.arange(0, len(flat) + 1, len(NAMES), dtype=np.int32)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["doc_id", "q", "x"])
+        x = vectors(b.column(2)).astype("<f4")
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "q", "x"])
 
 
-def fit(x: np.ndarray, y: np.ndarray, n_pairs: int = 100_000, l2: float = 1e-3, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
+def fit(x: np.ndarray, y: np.ndarray, n_pairs: int = 100_000, l2: float = 1e-3, l2_hashed: float = 0.1, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
     """Means, scales, weights, cut and steepness of the ranking learned from rows x with labels y."""
     mean, scale = x.mean(axis=0), x.std(axis=0)
     scale[scale < 1e-9] = 1.0
     z = np.clip((x - mean) / scale, -8, 8)
     rng = np.random.default_rng(seed)
-    d = z[rng.choice(np.flatnonzero(y == 1), n_pairs)] - z[rng.choice(np.flatnonzero(y == 0), n_pairs)]
+    better, worse = rng.choice(np.flatnonzero(y == 1), n_pairs), rng.choice(np.flatnonzero(y == 0), n_pairs)
+    ridge = np.r_[np.full(len(NAMES), l2), np.full(x.shape[1] - len(NAMES), l2_hashed)]
     w = np.zeros(x.shape[1])
-    for _ in range(30):  # Newton steps on mean log(1 + exp(-w.d)) + l2/2 |w|^2
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        g = -(d * p[:, None]).mean(axis=0) + l2 * w
-        h = (d * (p * (1 - p))[:, None]).T @ d / len(d) + l2 * np.eye(len(w))
-        step = np.linalg.solve(h, g)
-        w -= step
-        if np.abs(step).max() < 1e-6:
-            break
+    for size in (min(n_pairs, 10_000), n_pairs):  # a start on some of the pairs, then all
+        for _ in range(30):  # Newton steps on mean log(1 + exp(-w.d)) + ridge/2 w^2
+            g, h = ridge * w, np.diag(ridge)
+            for at in range(0, size, 10_000):
+                d = z[better[at : min(at + 10_000, size)]] - z[worse[at : min(at + 10_000, size)]]
+                p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+                g = g - p @ d / size
+                h = h + (d * (p * (1 - p))[:, None]).T @ d / size
+            step = np.linalg.solve(h, g)
+            w = w - step
+            if np.abs(step).max() < 1e-4:
+                break
     s = z @ w
     order = np.argsort(s, kind="stable")
     ys, n1, n0 = y[order], y.sum(), len(y) - y.sum()
@@ -88,11 +117,12 @@ class Model:
     def __init__(self, x: np.ndarray, y: np.ndarray, n_pairs: int):
         self.fitted = fit(x, y, n_pairs) if len(set(y.tolist())) == 2 else None
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        if self.fitted is None or not texts:
+    def scores(self, texts) -> np.ndarray:
+        """The scores of an Arrow string column."""
+        if self.fitted is None or not len(texts):
             return np.full(len(texts), 0.7)
         mean, scale, w, cut, steep = self.fitted
-        z = np.clip((np.array([features(t) for t in texts]) - mean) / scale, -8, 8)
+        z = np.clip((vectors(texts) - mean) / scale, -8, 8)
         s = (z * w).sum(axis=1)
         return 1 / (1 + np.exp(-np.clip(np.log(0.7 / 0.3) + (s - cut) * steep, -500, 500)))
 
@@ -110,9 +140,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 50_000, n_pair
     text = F.col("text").cast("string").alias("text")
     # the broadcast side has max_labelled rows, give or take the hash's scatter
     some = docs.select("doc_id", text).join(F.broadcast(known), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("q").cast("int").alias("q"), "text")
-    rows = some.transform(arrow, _featured, "doc_id long, q int, x array<double>").collect()
-    rows = sorted({(r.doc_id, r.q, tuple(r.x)) for r in rows})
-    return Model(np.array([r[2] for r in rows]), np.array([r[1] for r in rows]), n_pairs)
+    rows = some.transform(arrow, _featured, "doc_id long, q int, x binary").groupBy("doc_id", "q").agg(F.min("x").alias("x")).toArrow().sort_by("doc_id")
+    x = np.frombuffer(b"".join(rows["x"].to_pylist()), "<f4").reshape(rows.num_rows, len(NAMES) + HASHED).astype(np.float64)
+    return Model(x, rows["q"].to_numpy(), n_pairs)
 
 
 def with_scores(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
@@ -122,8 +152,8 @@ def with_scores(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            texts = [(t or "").encode() for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(model.scores(texts))], [*b.schema.names[:-1], out])
+            scores = model.scores(b.column(b.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(scores)], [*b.schema.names[:-1], out])
 
     schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + [f"`{out}` double"])
     return docs.select("*", F.col("text").cast("string").alias("__fg_text")).transform(arrow, run, schema)

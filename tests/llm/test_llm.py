@@ -535,6 +535,33 @@ def test_quality_ranks_held_out_documents(spark, none):
     assert quality.score_documents(none, lab).count() == 0
 
 
+def test_quality_learns_words_of_texts_alike_in_shape(spark):
+    """Good and bad texts differ by their words only; repeated rows and a very long text are scored like any other."""
+    rng = random.Random(12)
+    names = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60)]
+    text = lambda words: " ".join(rng.choice(words) for _ in range(60))
+    rows = [(i, text(names[:40] if i % 2 else names[20:])) for i in range(600)]
+    rows += [rows[1], rows[1], (601, " ".join([rows[1][1]] * 4000)), (602, "x" * 200_000), (3, rows[2][1])]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600) if i != 3], "doc_id long, quality int")
+    got = [tuple(r) for r in quality.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), labels).collect()]
+    assert len(got) == len(rows) and len([r for r in got if r[0] == 1]) == 3 and len({r for r in got if r[0] == 1}) == 1
+    held = [(r[3], r[0] % 2) for r in got if r[1] and r[0] < 600 and r[0] != 3]
+    assert np.mean([a == b for a, b in held]) > 0.95
+    again = [tuple(r) for r in quality.score_documents(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(2), labels).collect()]
+    assert sorted(got) == sorted(again)
+
+
+def test_hashed_words_equal_counting_by_hand():
+    import pyarrow as pa
+
+    texts = ["A b a", "", None, "one", "b a  b\nA"]
+    got = quality.vectors(pa.array(texts))[:, len(quality.NAMES) :]
+    assert got.shape == (5, quality.HASHED) and not got[1:3].any() and got[3].sum() == 1
+    assert np.allclose((got**2).sum(axis=1), [1, 0, 0, 1, 1])
+    words = lambda t: quality.vectors(pa.array([t]))[0, len(quality.NAMES) :]
+    assert (words("THE cat") == words("the  CAT")).all() and (words("the cat") != words("cat the")).any()
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (500, 499)]
     got = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(5), Scratch(spark, "cc"), "t").collect()
