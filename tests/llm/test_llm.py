@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -450,6 +451,36 @@ def test_values_round_trip_in_all_widths():
     assert token_files.decode_values(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), len(v)).tolist() == v.tolist()
 
 
+def shares(sizes, weights, most):
+    """Exact targets: the level that hands out all of the sizes, found by trying every set of sources at their limit."""
+    order = sorted(range(len(sizes)), key=lambda i: Fraction(most * sizes[i], weights[i]))
+    for n in range(len(order)):
+        full, left = order[:n], order[n:]
+        level = Fraction(sum(sizes) - most * sum(sizes[i] for i in full), sum(weights[i] for i in left))
+        if level * weights[left[0]] <= most * sizes[left[0]]:
+            return [float(most * sizes[i]) if i in full else float(level * weights[i]) for i in range(len(sizes))]
+    raise AssertionError
+
+
+def test_targets_of_many_sources_and_dealt_quotas(spark):
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choice("aB\u00e9\uffee\U0001f600") for _ in range(rng.randint(0, 4))) for _ in range(120)})
+    rows = [(k, " ".join(["w"] * rng.choice([0, 1, 2, 40])), n) for k, n in enumerate([*names, None] * 2)]
+    total = Counter()
+    for _, t, n in rows:
+        total[n] += len(t.split())
+    want = dict(zip([*names, None], shares([total[n] for n in [*names, None]], [1 + i % 3 for i in range(len(names) + 1)], 3), strict=True))
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), shards=4, block_docs=1).collect()
+    taken, shard = Counter(), Counter()
+    for r in got:
+        assert r.target == pytest.approx(want[r.source]) and r.source_size == total[r.source] and sum(d.words for d in r.draws) == r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+        shard.update(d.shard for d in r.draws)
+    assert all(abs(taken[n] - want[n]) <= 0.5 for n in want) and max(shard.values()) - min(shard.values()) <= max(6, len(rows) // 10)
+    quota = mixing.deal([5, 0, 7, 20], np.array([8, 8, 8, 8]), 3)
+    assert quota.sum(axis=1).tolist() == [5, 0, 7, 20] and quota.sum(axis=0).tolist() == [8] * 4
+
+
 def test_mix_meets_targets_and_limits(docs, with_null_id, none):
     rows = mixing.mix_sources(docs, block_docs=4).collect()
     assert len(rows) == len(ROWS)
@@ -459,7 +490,7 @@ def test_mix_meets_targets_and_limits(docs, with_null_id, none):
     for i, *_ in ROWS:
         total[source[i]] += size[i]
     names = sorted(total, key=lambda s: (s is None, s or ""))
-    want = mixing.water_fill([total[s] for s in names], [1.0, 2.0, 3.0, 1.0], 3.0)
+    want = shares([total[s] for s in names], [1, 2, 3, 1], 3)
     assert abs(sum(want) - sum(total.values())) < 1e-6 and all(w <= 3 * total[s] + 1e-9 for w, s in zip(want, names))
     taken = Counter()
     for r in rows:
