@@ -50,7 +50,7 @@ def propagate(nodes: DataFrame, shards: int, rounds: int, quota: list[int], scra
             left[r.to] -= take
             share.append((r.to, r.gain, take / r.n))
         shares = F.broadcast(spark.createDataFrame(share, "to int, gain int, share double"))  # shards x gain classes
-        asks = asks.join(shares, ["to", "gain"]).where("share > 0").select("g1", "g2", "shard", "to", "share")
+        asks = scratch.put(asks.join(shares, ["to", "gain"]).where("share > 0").select("g1", "g2", "shard", "to", "share"), f"asks{k}")
         draw = F.pmod(F.xxhash64("node", F.lit(100 + k)), F.lit(1 << 30)) / float(1 << 30)
         cur = cur.join(asks, ["g1", "g2", "shard"], "left").select("node", "g1", "g2", F.when(draw < F.col("share"), F.col("to")).otherwise(F.col("shard")).alias("shard"))
         cur = scratch.put(cur, f"round{k}")
@@ -72,14 +72,15 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 6) -> DataFr
         F.when(F.col("text").isNotNull(), F.xxhash64(F.lit(1), "text", F.lit(2))).alias("g2"),
     )
     base = scratch.put(base.withColumn("node", F.xxhash64("doc_id", "g1", F.lit(5))), "base")
-    groups = base.where("g2 is not null").groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    # written first: a join of two tables, not of an aggregate, is one whose hot groups Spark can split
+    groups = scratch.put(base.where("g2 is not null").groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("group_size")).where("group_size > 1"), "groups")
     rows = scratch.put(base.join(groups, ["g1", "g2"], "left"), "rows")
     total = rows.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
 
     linked = propagate(rows.where("group_size is not null").select("node", "g1", "g2"), shards, rounds, quota, scratch)
     # equal (node, group) rows are repeats of one row and go where their group goes: one of their shards serves for all
-    where = linked.groupBy("node", "g1", "g2").agg(F.min("shard").alias("to"))
+    where = scratch.put(linked.groupBy("node", "g1", "g2").agg(F.min("shard").alias("to")), "where")
     loose = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(shards)).cast("int")
     placed = rows.join(where, ["node", "g1", "g2"], "left").withColumn("shard", F.coalesce("to", loose)).withColumn("last", F.when(F.col("group_size").isNull(), 1).otherwise(0))
     placed = placed.select("doc_id", "size", "text_crc32", "node", "group_size", "shard", "last")
