@@ -14,8 +14,9 @@ leave a task. Sets that share too few items with any other candidate to reach th
 bound, so no link is lost). There is no cap.
 
 Defined cases: null or empty text, or no word: empty set, linked with nothing. A null doc_id links with nothing; its
-component is null and it is kept. Repeated rows of one doc_id and text are one node and all returned. Extra columns
-of the input don't matter: only doc_id and text are read.
+component is null and it is kept. Repeated rows of one doc_id and text are one node and all returned. Rows of one doc_id
+with different texts are documents of their own: each has the component of its text, whose smallest doc_id counts.
+Extra columns of the input don't matter: only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -193,8 +194,9 @@ def _between(threshold: int):
     return run
 
 
-#: Members of a bucket that one block holds; a task compares two blocks.
+#: Members of a bucket, and items of their sets, that one block holds on average; a task compares two blocks.
 BLOCK = 1024
+BLOCK_ITEMS = 1_000_000
 
 
 def _across(at: DataFrame, sets: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
@@ -202,8 +204,8 @@ def _across(at: DataFrame, sets: DataFrame, classes: DataFrame, threshold: int)
     only links leave it."""
 
     def mixed(rows: DataFrame) -> DataFrame:
-        keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
-        return rows.join(keys.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("k")), "key")
+        keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("items"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
+        return rows.join(keys.select("key", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("items") / BLOCK_ITEMS)).cast("int").alias("k")), "key")
 
     rows = mixed(at.select("key", "band", "c", "n", "label"))
     # what shares too few of its items with any other can link with none

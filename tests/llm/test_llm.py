@@ -102,6 +102,27 @@ def test_sharding_law_slots_and_groups(docs, with_null_id, none):
     assert sharding.shard_documents(with_null_id, 3).count() == 21 and sharding.shard_documents(none).count() == 0
 
 
+def test_sharding_cuts_fewer_links_than_dealing_in_order(spark):
+    """Against a plain greedy dealing of whole groups: hardly more groups are cut, and far fewer than by hash alone."""
+    rng = random.Random(3)
+    rows = [(i, f"t{rng.randint(0, 120)}") for i in range(900)] + [(1000 + i, f"alone{i}") for i in range(300)]
+    rng.shuffle(rows)
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 6).collect()
+    text, members = dict(rows), defaultdict(list)
+    for r in got:
+        members[text[r.doc_id]].append(r.shard)
+    assert all(r.group_size == len(members[text[r.doc_id]]) for r in got)
+    cut = sum(len(set(m)) > 1 for m in members.values())
+    room, plain = [200] * 6, 0  # the plain version: the largest groups first, each to the emptiest shard
+    for m in sorted(members.values(), key=len, reverse=True):
+        n = len(m)
+        s = max(range(6), key=lambda k: room[k])
+        plain += room[s] < n
+        room[s] -= n
+    by_hash = sum(len({hash((t, k)) % 6 for k in range(len(m))}) > 1 for t, m in members.items())
+    assert cut <= plain + 12 and cut < by_hash / 4
+
+
 def test_sharding_spreads_a_group_larger_than_a_shard(spark):
     df = spark.createDataFrame([(i, "same" if i < 60 else f"t{i}") for i in range(100)], "doc_id long, text string")
     rows = sharding.shard_documents(df, 4).collect()
@@ -118,6 +139,30 @@ def test_near_duplicates_equal_brute_force(docs, k):
     assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows} == {(i, len(s), expect[i], expect[i] == i) for i, s in sets.items()}
 
 
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (5, b), (3, a + " tail"), (7, b), (5, a)]
+    got = Counter(tuple(r) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(5, 56, 3, False), (5, 56, 3, False), (5, 56, 5, True), (3, 57, 3, True), (7, 56, 5, False)])
+
+
+@pytest.mark.parametrize("items", [50, 400])
+def test_near_duplicates_in_small_blocks(spark, monkeypatch, items):
+    """Members of a bucket dealt over many blocks, also by the size of their sets, keep all their links."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ITEMS", items)
+    rng = random.Random(8)
+    rows = []
+    for i in range(40):
+        w = [f"w{k}" for k in range(120)]
+        for p in rng.sample(range(0, 120, 6), rng.randint(0, 6)):
+            w[p] = rng.choice("xyz")
+        rows.append((i, " ".join(w)))
+    sets = word_sets(rows, 4)
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == roots(links, sets)
+
+
 def test_near_duplicates_with_null_ids_and_without_rows(with_null_id, none):
     rows = near_dedup.near_duplicates(with_null_id).collect()
     assert [(r.component_id, r.kept) for r in rows if r.doc_id is None] == [(None, True)]
