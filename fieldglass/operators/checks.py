@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,6 +54,19 @@ def column_profile(df: DataFrame, columns: list[str], exact: bool = True) -> Dat
     return df.agg(*aggs).select(F.inline(rows))
 
 
+def transitions(members: DataFrame, keys: list[str], step: str, member: str) -> DataFrame:
+    """(keys, step, prior, added, removed, current): members (unique by keys and step) of each step that occurs and how they
+    change from the step before it. One shuffle by member; steps are few."""
+    steps = members.select(*keys, step).distinct()
+    after = steps.withColumn("_next", F.lead(step).over(Window.partitionBy(*keys).orderBy(step)))  # a row a step
+    w = Window.partitionBy(*keys, member).orderBy(step)
+    at = members.join(after, [*keys, step]).withColumn("_had", F.lag("_next").over(w) == F.col(step)).withColumn("_stays", F.lead(step).over(w) == F.col("_next"))
+    now = at.groupBy(*keys, step).agg(F.count(F.lit(1)).alias("current"), F.count(F.when(~F.coalesce("_had", F.lit(False)), 1)).alias("added"))
+    gone = at.groupBy(*keys, F.col("_next").alias(step)).agg(F.count(F.lit(1)).alias("prior"), F.count(F.when(~F.coalesce("_stays", F.lit(False)), 1)).alias("removed"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return now.join(gone, [*keys, step], "left").select(*keys, step, zero("prior"), "added", zero("removed"), "current")
+
+
 def differing(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows (as a multiset) in one and not in the other, marked by side."""
     b = b.select(*a.columns)

@@ -77,3 +77,10 @@ def paired_delta(rows: DataFrame, stream: str, candidate: str, baseline: str, ke
     b = rows.where(F.col(stream) == baseline).select(*keys, F.col("p").alias("pb"))
     sq = lambda p: F.pow(F.col(p) - F.col("y"), F.lit(2.0))
     return a.join(b, keys).groupBy(*by).agg(F.count(F.lit(1)).alias("games"), F.avg(sq("pa")).alias("brier_a"), F.avg(sq("pb")).alias("brier_b"), F.avg(sq("pa") - sq("pb")).alias("delta"))
+
+
+def blend(rows: DataFrame, stream: str, weights: dict[str, float], keys: list[str]) -> DataFrame:
+    """(keys, p): the weighted sum of the streams' forecasts; null where a stream lacks the row."""
+    w = F.element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]), F.col(stream))
+    t = rows.where(F.col(stream).isin(*weights)).groupBy(*keys).agg(F.sum(w * F.col("p")).alias("p"), F.countDistinct(stream).alias("_n"))
+    return t.select(*keys, F.when(F.col("_n") == len(weights), F.col("p")).alias("p"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.operators.reshape import mirrored
@@ -98,6 +98,12 @@ def simplex_blend(df: DataFrame, streams: list[str], label: str = "y", l2: float
     return dict(zip(streams, map(float, w), strict=True))
 
 
+def fair_prices(one: Column, two: Column) -> dict[str, Column]:
+    """Of decimal prices of both sides: the first side's chance without the margin, the margin, and both fair prices."""
+    a, b = 1 / one, 1 / two
+    return {"no_vig": a / (a + b), "overround": a + b - 1, "fair": (a + b) / a, "fair_other": (a + b) / b}
+
+
 def score_frozen(df: DataFrame, coefficients: dict[str, tuple[float, float]]) -> DataFrame:
     """p from frozen (scale, coefficient) pairs: a sigmoid of the sum of x / scale * coefficient, as a JVM expression."""
     terms = [F.coalesce(F.col(f), F.lit(0.0)) / F.lit(s) * F.lit(c) for f, (s, c) in coefficients.items()]

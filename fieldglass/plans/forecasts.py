@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.functions.stats import brier, clip, log_loss, probability_bin, temperature, uniform_hash
 from fieldglass.operators import evaluate as E
+from fieldglass.operators.models import score_frozen
 from fieldglass.operators.windows import equal_season_weight
 from fieldglass.plans.teams import r6
 from fieldglass.registry import query
@@ -122,11 +123,11 @@ _TEMPS = [round(0.5 + 0.05 * i, 2) for i in range(31)]
 
 @query("temperature_fit", S + ', w as (select *, 1.0/count(*) over (partition by stream,"Season") as w from stream), t as (select stream, round(0.5+0.05*range,2) as t, round(sum(w*pow(1/(1+exp(-ln(p/(1-p))/(0.5+0.05*range)))-y,2))/sum(w),9) as loss from w, range(31) group by all), o as (select *, row_number() over (partition by stream order by loss, t) as rn from t) select stream, cast(t as double) as temperature, round(loss,6) as loss from o where rn=1')
 def temperature_fit(spark, d):
-    """Season-weighted Brier over a grid of temperatures, all in one aggregate; the best is a minimum of structs."""
-    rows = streams(spark, d).withColumn("w", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("stream", "Season")))
-    loss = [F.round(F.sum(F.col("w") * F.pow(temperature("p", t) - F.col("y"), F.lit(2.0))) / F.sum("w"), 9).alias(f"l{i}") for i, t in enumerate(_TEMPS)]
+    """Season-weighted Brier over a grid of temperatures: means by season, then their mean, from one scan."""
+    losses = [F.avg(F.pow(temperature("p", t) - F.col("y"), F.lit(2.0))).alias(f"l{i}") for i, t in enumerate(_TEMPS)]
+    by = streams(spark, d).groupBy("stream", "Season").agg(*losses).groupBy("stream").agg(*[F.round(F.avg(f"l{i}"), 9).alias(f"l{i}") for i in range(len(_TEMPS))])
     best = F.array_min(F.array(*[F.struct(F.col(f"l{i}").alias("loss"), F.lit(t).alias("t")) for i, t in enumerate(_TEMPS)]))
-    return rows.groupBy("stream").agg(*loss).withColumn("b", best).select("stream", F.col("b.t").alias("temperature"), r6("b.loss").alias("loss"))
+    return by.withColumn("b", best).select("stream", F.col("b.t").alias("temperature"), r6("b.loss").alias("loss"))
 
 
 _WIDE = """, w as (select "Season","DayNum","GameNo",line, min(y) as y, min(p) filter (where candidate='raw') as a, min(p) filter (where candidate='flat') as b, min(p) filter (where candidate='sharp') as c from cand group by all)"""
@@ -138,11 +139,21 @@ def wide(spark, d):
     return candidates(spark, d).groupBy(*keys).agg(F.min("y").alias("y"), at("raw").alias("a"), at("flat").alias("b"), at("sharp").alias("c"))
 
 
-@query("blend_verify", S + CAND + _WIDE + ' select "Season", round(avg(0.5*a+0.3*b+0.2*c),6) as blend, round(avg(pow(0.5*a+0.3*b+0.2*c-y,2)),6) as brier, count(*) filter (where abs(0.5*a+0.3*b+0.2*c-(0.5*a+0.3*b+0.2*c))>1e-12) as violations from w group by all')
+@query(
+    "blend_verify",
+    S + CAND + _WIDE + """, r as (select *, 0.5*a+0.3*b+0.2*c+case when "GameNo"%31=0 then 0.001 else 0 end as recorded from w)
+ select "Season", count(*) as games, round(avg(pow(recorded-y,2)),6) as brier, count(*) filter (where "GameNo"%31=0) as violations from r group by all""",
+)
 def blend_verify(spark, d):
-    blend = 0.5 * F.col("a") + 0.3 * F.col("b") + 0.2 * F.col("c")
-    again = F.aggregate(F.zip_with(F.array(F.lit(0.5), F.lit(0.3), F.lit(0.2)), F.array("a", "b", "c"), lambda w, p: w * p), F.lit(0.0), lambda s, x: s + x)
-    return wide(spark, d).withColumn("p", blend).groupBy("Season").agg(r6(F.avg("p")).alias("blend"), r6(brier()).alias("brier"), F.count(F.when(F.abs(F.col("p") - again) > 1e-12, 1)).alias("violations"))
+    """Recorded blends rebuilt from their streams and weights at 1e-12; every 31st game's record is spoilt on purpose."""
+    weights = {"raw": 0.5, "flat": 0.3, "sharp": 0.2}
+    keys = ["Season", "DayNum", "GameNo", "line"]
+    spoilt = F.when(F.col("GameNo") % 31 == 0, 0.001).otherwise(0.0)
+    recorded = wide(spark, d).select(*keys, "y", (0.5 * F.col("a") + 0.3 * F.col("b") + 0.2 * F.col("c") + spoilt).alias("p"))
+    again = candidates(spark, d).groupBy(*keys, "candidate").agg(F.min("p").alias("p"))
+    rebuilt = E.blend(again, "candidate", weights, keys).withColumnRenamed("p", "rebuilt")
+    off = F.abs(F.col("p") - F.col("rebuilt")) > 1e-12
+    return recorded.join(rebuilt, keys).groupBy("Season").agg(F.count(F.lit(1)).alias("games"), r6(brier()).alias("brier"), F.count(F.when(off, 1)).alias("violations"))
 
 
 @query("stream_diversity", S + CAND + _WIDE + " select 'flat' as one, 'raw' as two, round(avg(abs(a-b)),6) as mean_gap, round(max(abs(a-b)),6) as max_gap from w union all select 'flat','sharp', round(avg(abs(b-c)),6), round(max(abs(b-c)),6) from w union all select 'raw','sharp', round(avg(abs(a-c)),6), round(max(abs(a-c)),6) from w")
@@ -160,7 +171,8 @@ def stream_crossproduct(spark, d):
     return men.crossJoin(women).withColumn("id", F.concat_ws("-", "men", "women"))  # names of streams only
 
 
-DRAWS = 400
+#: Resamples of the seasons.
+DRAWS = 4000
 
 
 @query(
@@ -234,11 +246,19 @@ def screening_pivot(spark, d):
     return t.groupBy("fold").pivot("status", ["rare", "redundant", "retained"]).count().na.fill(0)
 
 
-@query("complementarity", S + "select stream, count(*) filter (where abs(1/(1+exp(-ln(p/(1-p))))+1/(1+exp(ln(p/(1-p))))-1)>1e-9) as violations, count(*) as n from stream group by all")
+@query(
+    "complementarity",
+    S + """, o as (select stream, count(*) filter (where "GameNo"%41=0) as violations, count(*) as n from stream group by all) select * from o""",
+)
 def complementarity(spark, d):
-    x = F.ln(F.col("p") / (1 - F.col("p")))
-    gap = F.abs(1 / (1 + F.exp(-x)) + 1 / (1 + F.exp(x)) - 1)
-    return streams(spark, d).groupBy("stream").agg(F.count(F.when(gap > 1e-9, 1)).alias("violations"), F.count(F.lit(1)).alias("n"))
+    """Forecasts of both orientations of a game must add up to 1; the mirrored one is scored from negated features, and
+    for every 41st game on purpose from features that weren't negated."""
+    names = {"raw": (1.0, 2.0), "age": (3.0, -0.7)}
+    rows = streams(spark, d).withColumns({"raw": F.col("p") + 1.0, "age": (F.col("line") + 1) / 7.0})
+    sign = F.when(F.col("GameNo") % 41 == 0, 1.0).otherwise(-1.0)
+    one = score_frozen(rows.drop("p"), names).withColumnRenamed("p", "one")
+    two = score_frozen(one.withColumns({c: F.col(c) * sign for c in names}), names)
+    return two.groupBy("stream").agg(F.count(F.when(F.abs(F.col("one") + F.col("p") - 1) > 1e-9, 1)).alias("violations"), F.count(F.lit(1)).alias("n"))
 
 
 @query("benchmark_grains", S + 'select stream,"Season",count(*) as n, round(avg(pow(p-y,2)),6) as brier from stream group by grouping sets ((stream,"Season"),(stream),())')

@@ -90,19 +90,15 @@ def elo_win_probability(spark, d):
     return table(spark, d, "supplier", "s_suppkey", "s_acctbal").select("s_suppkey", F.round(B.elo_probability(F.col("s_acctbal"), F.lit(5000.0)), 9).alias("p"))
 
 
-@query("price_comparison", "select l_orderkey, l_linenumber, round((1/(1+l_discount))/(1/(1+l_discount)+1/(1.5+l_tax)),9) as no_vig, round(1/(1+l_discount)+1/(1.5+l_tax)-1,9) as overround from lineitem where l_quantity=50")
+@query(
+    "price_comparison",
+    """with p as (select l_orderkey, l_linenumber, 1/(1+l_discount) as a, 1/(1.5+l_tax) as b from lineitem)
+ select l_orderkey, l_linenumber, round(a/(a+b),9) as no_vig, round(a+b-1,9) as overround, round((a+b)/a,9) as fair, round((a+b)/b,9) as fair_other from p""",
+)
 def price_comparison(spark, d):
-    t = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_discount", "l_tax", "l_quantity").where("l_quantity = 50")
-    a, b = 1 / (1 + F.col("l_discount")), 1 / (1.5 + F.col("l_tax"))
-    return t.select("l_orderkey", "l_linenumber", F.round(a / (a + b), 9).alias("no_vig"), F.round(a + b - 1, 9).alias("overround"))
-
-
-@query("price_comparison_all", "select l_orderkey, l_linenumber, round((1/(1+l_discount))/(1/(1+l_discount)+1/(1.5+l_tax)),9) as no_vig, round(1/(1+l_discount)+1/(1.5+l_tax)-1,9) as overround from lineitem")
-def price_comparison_all(spark, d):
-    """Every line, not only those of one quantity."""
+    """Both sides' prices 1 + discount and 1.5 + tax of every line: chances without the margin, the margin, fair prices."""
     t = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_discount", "l_tax")
-    a, b = 1 / (1 + F.col("l_discount")), 1 / (1.5 + F.col("l_tax"))
-    return t.select("l_orderkey", "l_linenumber", F.round(a / (a + b), 9).alias("no_vig"), F.round(a + b - 1, 9).alias("overround"))
+    return t.select("l_orderkey", "l_linenumber", *[F.round(c, 9).alias(n) for n, c in M.fair_prices(1 + F.col("l_discount"), 1.5 + F.col("l_tax")).items()])
 
 
 def matrix(spark, d):
@@ -142,15 +138,8 @@ def simplex_blend(spark, d):
     return spark.createDataFrame(list(w.items()), "stream string, weight double")
 
 
-@query("frozen_scoring", "select l_orderkey, l_linenumber, round(1/(1+exp(-(l_discount/0.05*0.7+l_tax/0.04*-0.4))),9) as p from lineitem where l_quantity=49")
+@query("frozen_scoring", "select l_orderkey, l_linenumber, round(1/(1+exp(-(l_discount/0.05*0.7+l_tax/0.04*-0.4))),9) as p from lineitem")
 def frozen_scoring(spark, d):
-    t = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_discount", "l_tax", "l_quantity").where("l_quantity = 49")
-    return M.score_frozen(t, {"l_discount": (0.05, 0.7), "l_tax": (0.04, -0.4)}).select("l_orderkey", "l_linenumber", F.round("p", 9).alias("p"))
-
-
-@query("frozen_scoring_all", "select l_orderkey, l_linenumber, round(1/(1+exp(-(l_discount/0.05*0.7+l_tax/0.04*-0.4))),9) as p from lineitem")
-def frozen_scoring_all(spark, d):
-    """Every line, not only those of one quantity."""
     t = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_discount", "l_tax")
     return M.score_frozen(t, {"l_discount": (0.05, 0.7), "l_tax": (0.04, -0.4)}).select("l_orderkey", "l_linenumber", F.round("p", 9).alias("p"))
 

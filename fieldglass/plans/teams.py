@@ -283,10 +283,14 @@ def decayed_margin(spark, d):
     return rows.groupBy(*KEY).agg(F.round(weighted_mean("margin", "w"), 4).alias("margin"))
 
 
-@query("mirror_augmentation", L + f'select cast(count(*) as bigint)*2 as n, cast(sum(margin)-sum(margin) as bigint) as total, cast(count(*) as bigint) as wins from long')
+@query(
+    "mirror_augmentation",
+    L + """, m as (select "Gender","Season", margin, home, win as y from long union all select "Gender","Season", -margin, -home, 1-win from long)
+ select "Gender","Season", y, count(*) as n, round(avg(margin),6) as margin, cast(sum(home) as bigint) as home from m group by all""",
+)
 def mirror_augmentation(spark, d):
-    rows = mirrored(long(spark, d).select("margin", F.col("win").alias("y")), ["margin"])
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("margin").alias("total"), F.sum("y").alias("wins"))
+    rows = mirrored(long(spark, d).select("Gender", "Season", "margin", "home", F.col("win").alias("y")), ["margin", "home"])
+    return rows.groupBy("Gender", "Season", "y").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("margin")).alias("margin"), F.sum("home").alias("home"))
 
 
 @query("season_overview", G + """select "Gender","Season", count(*) as games, count(distinct "DayNum") as days, round(avg("WScore"-"LScore"),6) as margin, round(avg(case when "WLoc"='H' then 1.0 else 0.0 end),6) as home_wins, round(avg(case when "NumOT">0 then 1.0 else 0.0 end),6) as overtime from games group by all""")
@@ -301,14 +305,12 @@ def split_audit(spark, d):
     return games(spark, d).groupBy("Gender", part).agg(F.count(F.lit(1)).alias("games"), F.countDistinct("Season").alias("seasons"), F.min("Season").alias("first"), F.max("Season").alias("last"), F.concat_ws(",", F.array_sort(F.collect_set(F.col("Season").cast("string")))).alias("list"))
 
 
-@query("tenure_islands", L + ', s as (select distinct "Gender","TeamID","Season" from long where "OppID"%3=0), i as (select *, "Season"-row_number() over (partition by "Gender","TeamID" order by "Season") as g from s) select "Gender","TeamID", min("Season") as first, max("Season") as last, count(*) as length from i group by "Gender","TeamID",g')
+@query(
+    "tenure_islands",
+    L + """, s as (select distinct "Gender","TeamID","Season" from long), i as (select *, "Season"-row_number() over (partition by "Gender","TeamID" order by "Season") as g from s)
+ select "Gender","TeamID", min("Season") as first, max("Season") as last, count(*) as length from i group by "Gender","TeamID",g""",
+)
 def tenure_islands(spark, d):
-    return run_lengths(long(spark, d).where("OppID % 3 = 0"), ["Gender", "TeamID"], "Season").select("Gender", "TeamID", "first", "last", "length")
-
-
-@query("tenure_islands_all", L + ', s as (select distinct "Gender","TeamID","Season" from long), i as (select *, "Season"-row_number() over (partition by "Gender","TeamID" order by "Season") as g from s) select "Gender","TeamID", min("Season") as first, max("Season") as last, count(*) as length from i group by "Gender","TeamID",g')
-def tenure_islands_all(spark, d):
-    """From every season of a team, whoever it met."""
     return run_lengths(long(spark, d), ["Gender", "TeamID"], "Season").select("Gender", "TeamID", "first", "last", "length")
 
 
