@@ -96,3 +96,12 @@ def differences(pairs: DataFrame, names: list[str], keep: list[str]) -> DataFram
 def antisymmetric(a: str, b: str) -> Column:
     """a-side ``a`` times b-side ``b`` less the mirror product: changes sign when the teams swap."""
     return F.col(f"a_{a}") * F.col(f"b_{b}") - F.col(f"b_{a}") * F.col(f"a_{b}")
+
+
+def ordered_pair_differences(pairs: DataFrame, teams: DataFrame, keys: list[str], names: list[str], ordinal: str) -> DataFrame:
+    """``differences`` of pairs that carry an ordinal, so that their order can be restored; every pair must find both teams,
+    and a team must be there once."""
+    require_empty(duplicates(teams, [*keys, "TeamID"]), "a team has two snapshots")
+    roles = pair_roles(pairs, teams, keys)
+    require_empty(roles.where(F.col(f"a_{names[0]}").isNull() | F.col(f"b_{names[0]}").isNull()).select(*pairs.columns), "a pair asks for a team without a snapshot")
+    return differences(roles, names, list(pairs.columns))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["teams", "ranks", "forecasts", "audits", "models", "features"]
+MODULES = ["teams", "ranks", "forecasts", "audits", "models", "features", "bank", "history"]
 
 
 def load() -> None:
