@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["teams", "ranks", "forecasts", "audits", "models", "features", "bank", "history"]
+MODULES = ["teams", "ranks", "forecasts", "audits", "models", "features", "bank", "history", "contracts"]
 
 
 def load() -> None:

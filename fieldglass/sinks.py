@@ -11,29 +11,65 @@ from pyspark.sql import functions as F
 
 def ordered_rows(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     """Number all rows from 0 in an order: a range-partitioned sort, then each partition's start is a sum of the sizes
-    before it. No window over the whole table; the driver sees a count a partition. The sorted rows are kept (as a
-    checkpoint where the cluster names a folder), as a second sort might cut partitions elsewhere."""
-    at = df.orderBy(*order)
-    context, root = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if root and context.getCheckpointDir() is None:
-        context.setCheckpointDir(root)
-    at = at.checkpoint() if root else at.persist()
-    at = at.withColumn("_p", F.spark_partition_id())
-    rows = at.select(F.struct(*df.columns).alias("_row"), "_p", F.monotonically_increasing_id().alias("_m"))
-    local = rows.withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = {r["_p"]: r["n"] for r in rows.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before it. No window over the whole table; the driver sees a count a partition. The sorted rows are kept in the
+    shared folder with their places, as a second sort might cut partitions elsewhere."""
+    from fieldglass.store import stored
+
+    def numbered(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, at = TaskContext.get().partitionId(), 0
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * b.num_rows, pa.int32()), pa.array(range(at, at + b.num_rows), pa.int64())], [*b.schema.names, "_p", "_i"])
+            at += b.num_rows
+
+    schema = ", ".join([f"`{c}` {t}" for c, t in df.dtypes] + ["_p int, _i long"])
+    at = stored(df.orderBy(*order).mapInArrow(numbered, schema), "ordered")
+    sizes = {r["_p"]: r["n"] for r in at.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
     starts, total = [], 0
     for p in range(max(sizes, default=-1) + 1):
         starts.append(total)
         total += sizes.get(p, 0)
     base = F.element_at(F.array(*[F.lit(s) for s in starts or [0]]), F.col("_p") + 1)
-    return local.select((base + F.col("_i")).cast("long").alias(out), "_row.*")
+    return at.select((base + F.col("_i")).cast("long").alias(out), *df.columns)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] = (), mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("compression", "zstd").partitionBy(*partition_by).parquet(path)
 
 
+def write_ordered(df: DataFrame, path: str, keys: list[str], files: int = 1) -> None:
+    """Parquet in zstd, range-partitioned and sorted by unique keys; readers find the order within and between files."""
+    from fieldglass.operators.joins import duplicates, require_empty
+
+    require_empty(duplicates(df, keys), f"keys {keys} are not unique")
+    df.repartitionByRange(files, *keys).sortWithinPartitions(*keys).write.mode("errorifexists").option("compression", "zstd").parquet(path)
+
+
+def splice_lines(spark, template: str, out: str, fresh: DataFrame, is_fresh: str) -> None:
+    """A CSV (ID,Pred) with the lines of ids that match ``is_fresh`` replaced by ``fresh`` (ID, Pred as text), in the template's
+    order; every other line keeps its bytes. Lines are numbered by their place in the file, not by a sort of their content."""
+    from fieldglass.operators.joins import require_empty
+
+    lines = spark.read.text(template).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])).toDF("row_ord long, line string")
+    lines = lines.withColumn("ID", F.split("line", ",")[0])
+    new = fresh.select("ID", F.concat_ws(",", "ID", "Pred").alias("_new"))
+    hit = (F.col("row_ord") > 0) & F.col("ID").rlike(is_fresh)
+    both = lines.join(new, "ID", "left")
+    require_empty(both.where(hit & F.col("_new").isNull()).select("ID"), "a line to replace has no value")
+    both.select("row_ord", F.when(hit, F.col("_new")).otherwise(F.col("line")).alias("line")).coalesce(1).sortWithinPartitions("row_ord").select("line").write.mode("errorifexists").text(out)
+
+
+def write_pairs(men: DataFrame, women: DataFrame, path: str, stream: str = "stream") -> DataFrame:
+    """Every stream of one population with every stream of the other: one folder of rows a pair (``candidate``), written in one
+    job; the pairs (names only). Rows are (stream, ID, p)."""
+    names = men.select(F.col(stream).alias("_m")).distinct().crossJoin(women.select(F.col(stream).alias("_w")).distinct()).withColumn("candidate", F.concat_ws("-", "_m", "_w"))
+    sides = [t.join(names, F.col(stream) == F.col(c)).select("candidate", "ID", "p") for t, c in ((men, "_m"), (women, "_w"))]
+    sides[0].unionByName(sides[1]).repartition("candidate").sortWithinPartitions("candidate", "ID").write.mode("errorifexists").partitionBy("candidate").parquet(path)
+    return names.select("candidate")
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One CSV file with a header, in the frame's order; for reports."""
     df.coalesce(1).write.mode(mode).option("header", True).csv(path)

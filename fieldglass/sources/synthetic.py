@@ -24,3 +24,16 @@ def round_robin(spark: SparkSession, seasons: int, teams: int, first: int = 2000
 def played(league: DataFrame, seed: int = 1) -> DataFrame:
     """The league with an outcome of the home side, from hashes of the pairing."""
     return league.withColumn("y", (uniform_hash(F.lit(seed), "Season", "Round", "home", "away") < 0.55).cast("int"))
+
+
+def unfitted(spark: SparkSession, seasons: int = 4, teams: int = 12, rounds: int = 22, first: int = 2001, seed: int = 7) -> DataFrame:
+    """Season, Game, Team1ID, Team2ID, rating1, rating2, p, y: games between teams whose ratings follow from hashes; the
+    forecast is the rating formula and no outcome has been looked at."""
+    rating = lambda t: (1300 + 400 * uniform_hash(F.lit(seed), "Season", t)).alias(f"rating{t[4]}")
+    g = spark.range(seasons * rounds).select((F.lit(first) + F.floor(F.col("id") / rounds)).cast("int").alias("Season"), (F.col("id") % rounds).cast("int").alias("Game"))
+    one = F.floor(uniform_hash(F.lit(seed), F.lit("a"), "Season", "Game") * teams).cast("int")
+    step = 1 + F.floor(uniform_hash(F.lit(seed), F.lit("b"), "Season", "Game") * (teams - 1)).cast("int")
+    g = g.withColumn("_a", one).withColumn("_b", (F.col("_a") + step) % teams)
+    g = g.select("Season", "Game", (1000 + F.least("_a", "_b")).cast("int").alias("Team1ID"), (1000 + F.greatest("_a", "_b")).cast("int").alias("Team2ID"))
+    g = g.select("*", rating("Team1ID"), rating("Team2ID")).withColumn("p", 1 / (1 + F.pow(F.lit(10.0), (F.col("rating2") - F.col("rating1")) / 400)))
+    return g.withColumn("y", (uniform_hash(F.lit(seed), F.lit("y"), "Season", "Game") < F.col("p")).cast("int"))
