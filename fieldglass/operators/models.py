@@ -9,73 +9,209 @@ from pyspark.sql import functions as F
 from fieldglass.operators.reshape import mirrored
 
 
+def _matrix(b, columns) -> np.ndarray:
+    """Columns of an Arrow batch as doubles; null and NaN become NaN."""
+    return np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in columns]) if b.num_rows else np.zeros((0, len(columns)))
+
+
+def summed(df: DataFrame, parts, size: int) -> dict:
+    """key -> sum over all rows of the vectors (of ``size`` numbers) that ``parts(batch)`` yields as (key, vector): tasks add up
+    their own, then one task a key adds up the tasks'. The driver gets a vector a key."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        total: dict = {}
+        for b in batches:
+            for key, v in parts(b):
+                total[key] = total.get(key, 0.0) + v
+        if total:
+            flat = np.concatenate([np.asarray(v, np.float64) for v in total.values()])
+            at = np.arange(0, len(flat) + 1, size, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["key", "v"])
+
+    def add(t):
+        import pyarrow as pa
+
+        v = t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, size).sum(axis=0)
+        return pa.table({"key": t.column("key")[:1], "v": pa.array([v], pa.list_(pa.float64()))})
+
+    got = df.mapInArrow(run, "key long, v array<double>").groupBy("key").applyInArrow(add, "key long, v array<double>").collect()
+    return {r["key"]: np.array(r["v"]) for r in got}
+
+
 def gram(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, sums and cross products of the columns (null: 0), from one aggregate of fixed size."""
-    c = [F.coalesce(F.col(x).cast("double"), F.lit(0.0)) for x in columns]
-    aggs = [F.count(F.lit(1))] + [F.sum(x) for x in c] + [F.sum(c[i] * c[j]) for i in range(len(c)) for j in range(i + 1)]
-    row = df.agg(*[a.alias(f"a{n}") for n, a in enumerate(aggs)]).first()
-    n, k = row[0], len(c)
-    cross = np.zeros((k, k))
-    at = 1 + k
-    for i in range(k):
-        for j in range(i + 1):
-            cross[i, j] = cross[j, i] = row[at] or 0.0
-            at += 1
-    return n, np.array([row[1 + i] or 0.0 for i in range(k)]), cross
-
-
-def screen(df: DataFrame, features: list[str], label: str, most: int = 128, redundant: float = 0.995, rare: float = 0.005) -> list[tuple[str, str, float]]:
-    """(feature, status, |r|): greedy choice by correlation with the label; rare, constant and redundant ones are named."""
-    n, s, x = gram(df, [*features, label])
-    known = df.agg(*[F.sum(F.when(F.col(f).isNotNull() & (F.col(f) != 0), 1).otherwise(0)).alias(f"k{i}") for i, f in enumerate(features)]).first()
-    known = tuple(known)
-    cov = x - np.outer(s, s) / max(n, 1)
+    """Rows, sums and cross products of the columns (null: 0), from products of Arrow batches."""
+    k = len(columns)
+
+    def parts(b):
+        x = np.nan_to_num(_matrix(b, columns))
+        yield 0, np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])
+
+    v = summed(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), parts, 1 + k + k * k).get(0, np.zeros(1 + k + k * k))
+    return int(v[0]), v[1 : 1 + k], v[1 + k :].reshape(k, k)
+
+
+def screen_moments(n: float, sums: np.ndarray, cross: np.ndarray, support: np.ndarray, nonzero: np.ndarray, most: int = 128, redundant: float = 0.995, rare: float = 0.005) -> list[tuple[str, float, int]]:
+    """(status, |r| with the label, index of the feature it repeats or -1) of each feature, from moments of features and label.
+
+    Features without a value are ``all_missing``, those with too few non-zero ones ``near_constant``, those without spread
+    ``constant``. The rest are taken by falling |r| (ties: catalog order): ``retained`` up to ``most``, ``redundant`` if their
+    correlation with a retained one reaches the bound, else ``capacity``.
+    """
+    cov = cross - np.outer(sums, sums) / max(n, 1)
     sd = np.sqrt(np.maximum(np.diag(cov), 0))
     with np.errstate(divide="ignore", invalid="ignore"):
         r = np.nan_to_num(cov / np.outer(sd, sd))
-    score = np.abs(r[:-1, -1])
-    out, kept = {}, []
-    for i in np.lexsort((np.arange(len(features)), -score)):
-        f = features[i]
-        if (known[i] or 0) / max(n, 1) < rare:
-            out[f] = "rare"
-        elif sd[i] < 1e-12:
-            out[f] = "constant"
-        elif any(abs(r[i, j]) >= redundant for j in kept):
-            out[f] = "redundant"
-        elif len(kept) >= most:
-            out[f] = "capacity"
-        else:
-            out[f] = "retained"
-            kept.append(i)
-    return [(f, out[f], float(score[i])) for i, f in enumerate(features)]
-
-
-def walk_forward(df: DataFrame, features: list[str], season: str, label: str = "y", c: float = 0.1, first: int | None = None, boosted: bool = False) -> DataFrame:
-    """Forecasts of each season by a model of strictly earlier seasons: mirrored rows, median fill, scaling, then L2
-    logistic regression (no intercept: the mirror makes the problem symmetric) or boosted trees. Without a season that
-    has an earlier one there are no rows."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression
-    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+    k = len(sums) - 1
+    flat = sd[:k] <= 1e-12 * np.maximum(1.0, np.sqrt(np.abs(np.diag(cross)[:k])))
+    few = (nonzero > 0) & (nonzero < max(2, int(np.ceil(rare * n))))
+    score = np.where(flat, 0.0, np.abs(r[:k, -1]))
+    status = np.where(support == 0, "all_missing", np.where(few, "near_constant", np.where(flat, "constant", "capacity"))).astype(object)
+    pending, partner, kept = status == "capacity", np.full(k, -1), 0
+    for i in np.lexsort((np.arange(k), -score)):
+        if not pending[i]:
+            continue
+        if kept >= most:
+            break
+        status[i], pending[i], kept = "retained", False, kept + 1
+        again = pending & (np.abs(r[:k, i]) >= redundant)
+        status[again], partner[again] = "redundant", i
+        pending &= ~again
+    return [(str(a), float(b), int(c)) for a, b, c in zip(status, score, partner, strict=True)]
+
+
+def fold_moments(df: DataFrame, features: list[str], label: str, fold: str) -> dict:
+    """fold value -> (rows, sums, cross products, support, non-zero counts) of features and label, one pass for all folds."""
+    k = len(features)
+    size = 1 + (k + 1) + (k + 1) ** 2 + 2 * k
+
+    def parts(b):
+        x, which = _matrix(b, [*features, label]), b.column(fold).to_numpy(zero_copy_only=False)
+        for f in np.unique(which):
+            raw = x[which == f]
+            z = np.nan_to_num(raw)
+            yield int(f), np.concatenate([[len(z)], z.sum(axis=0), (z.T @ z).ravel(), np.isfinite(raw[:, :k]).sum(axis=0), (np.abs(z[:, :k]) > 1e-12).sum(axis=0)])
+
+    cols = [F.col(c).cast("double").alias(c) for c in (*features, label)]
+    got = summed(df.select(F.col(fold).cast("long").alias(fold), *cols), parts, size)
+    cut = np.cumsum([1, k + 1, (k + 1) ** 2, k])
+    return {f: (v[0], v[1 : cut[1]], v[cut[1] : cut[2]].reshape(k + 1, k + 1), v[cut[2] : cut[3]], v[cut[3] :]) for f, v in got.items()}
+
+
+def screen(df: DataFrame, features: list[str], label: str, **bounds) -> list[tuple[str, str, float, str | None]]:
+    """(feature, status, |r|, feature it repeats) over all rows, as ``screen_moments`` says."""
+    moments = fold_moments(df.withColumn("_one", F.lit(0)), features, label, "_one")
+    k = len(features)
+    n, s, x, support, nonzero = moments.get(0, (0.0, np.zeros(k + 1), np.zeros((k + 1, k + 1)), np.zeros(k), np.zeros(k)))
+    return [(f, a, b, features[c] if c >= 0 else None) for f, (a, b, c) in zip(features, screen_moments(n, s, x, support, nonzero, **bounds), strict=True)]
+
+
+def screen_by_fold(df: DataFrame, features: list[str], label: str, fold: str, **bounds) -> list[tuple[int, str, str, float]]:
+    """(fold, feature, status, |r|) of a screen within each fold's own rows."""
+    found = sorted(fold_moments(df, features, label, fold).items())
+    return [(f, name, a, b) for f, m in found for name, (a, b, _) in zip(features, screen_moments(*m, **bounds), strict=True)]
+
+
+def mirrored_moments(parts: list) -> tuple:
+    """Moments of the rows of several folds together with their mirror images (features negated, label flipped)."""
+    n, s, x, support, nonzero = (sum(p[i] for p in parts) for i in range(5))
+    k = len(s) - 1
+    cross = np.zeros_like(x)
+    cross[:k, :k] = 2 * x[:k, :k]
+    cross[:k, k] = cross[k, :k] = 2 * x[:k, k] - s[:k]  # x y - x (1 - y)
+    cross[k, k] = n
+    sums = np.zeros(k + 1)
+    sums[k] = n
+    return 2 * n, sums, cross, 2 * support, 2 * nonzero
+
+
+def usable_features(df: DataFrame, features: list[str], known: float = 0.95) -> list[str]:
+    """Features with values in at least a share of the rows and with spread; one aggregate over all columns."""
+    c = {f: F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")) for f in features}
+    aggs = [F.count(F.lit(1)).alias("n")] + [a for i, f in enumerate(features) for a in (F.count(c[f]).alias(f"k{i}"), F.stddev_samp(c[f]).alias(f"s{i}"))]
+    r = df.agg(*aggs).first()
+    return [f for i, f in enumerate(features) if r["n"] and r[f"k{i}"] >= known * r["n"] and (r[f"s{i}"] or 0) > 0]
+
+
+def _fold_logistic(df: DataFrame, features: list[str], label: str, season: str, models: dict, c: float, steps: int = 25) -> dict:
+    """fold season -> weights of its retained, scaled features: Newton steps of all folds together, a pass over the rows a step.
+
+    With mirror images the loss is twice that of the rows and needs no intercept."""
+    k = len(features)
+    w = {s: np.zeros(k) for s in models}
+    scale = {s: m[0] for s, m in models.items()}  # 1 / sd of a retained feature, else 0
+    cols = df.select(F.col(season).cast("long").alias(season), *[F.col(x).cast("double").alias(x) for x in (*features, label)])
+    for _ in range(steps):
+        now = dict(w)
+
+        def parts(b, now=now):
+            x, which = _matrix(b, [*features, label]), b.column(season).to_numpy(zero_copy_only=False)
+            for s in now:
+                rows = x[which < s]
+                if len(rows):
+                    z, y = np.nan_to_num(rows[:, :k]) * scale[s], rows[:, k]
+                    p = 1 / (1 + np.exp(-np.clip(z @ now[s], -500, 500)))
+                    yield s, np.concatenate([2 * z.T @ (p - y), (2 * (z * (p * (1 - p))[:, None]).T @ z).ravel()])
+
+        got, moved = summed(cols, parts, k + k * k), 0.0
+        for s, v in got.items():
+            step = np.linalg.solve(v[k:].reshape(k, k) + np.eye(k) / c, v[:k] + now[s] / c)
+            w[s] = now[s] - step
+            moved = max(moved, float(np.abs(step).max()))
+        if moved < 1e-10:
+            break
+    return w
+
+
+def walk_forward(df: DataFrame, features: list[str], season: str, label: str = "y", c: float = 0.1, first: int | None = None, boosted: bool = False, most: int = 128) -> DataFrame:
+    """Forecasts ``p`` of each season by a model of strictly earlier seasons only: rows and their mirror images, the screen
+    within the fold, unknown values at the mirror's median (0), scaling, then L2 logistic regression or boosted trees.
+
+    A boosted forecast is the mean of p(x) and 1 - p(-x); the logistic one is symmetric by itself. Columns without a value
+    in a fold are left out there. Without a season that has an earlier one there are no rows.
+
+    Scale: the matrix is written once; the screens of all folds are one pass, and so is each Newton step of all folds.
+    """
+    from fieldglass.store import stored
+
+    df = stored(df, "walk")
+    moments = fold_moments(df, features, label, season)
+    folds = [s for s in sorted(moments)[1:] if first is None or s >= first]
+    models = {}
+    for s in folds:
+        m = mirrored_moments([moments[t] for t in moments if t < s])
+        kept = [a == "retained" for a, _, _ in screen_moments(*m, most=most)]
+        sd = np.sqrt(np.diag(m[2])[:-1] / max(m[0], 1))
+        models[s] = (np.where(kept, 1 / np.where(sd > 0, sd, 1), 0.0), kept)
+    if boosted:
+        return _boosted(df, features, season, label, models)
+    w = _fold_logistic(df, features, label, season, models, c) if models else {}
+    rows = [(int(s), [float(x) for x in w[s] * models[s][0]]) for s in folds]
+    table = df.sparkSession.createDataFrame(rows, "_s long, _w array<double>")  # a row a season
+    x = F.array(*[F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)) for f in features])
+    z = F.aggregate(F.zip_with(x, "_w", lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
+    return df.join(table, F.col(season) == F.col("_s")).withColumn("p", 1 / (1 + F.exp(-z))).select(*df.columns, "p")
+
+
+def _boosted(df: DataFrame, features: list[str], season: str, label: str, models: dict) -> DataFrame:
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    seasons = sorted(r[0] for r in df.select(season).distinct().collect())
-    parts = []
-    for s in seasons[1:]:
-        if first is not None and s < first:
-            continue
-        train = mirrored(df.where(F.col(season) < s).select(*features, label), features, label).withColumn(label, F.col(label).cast("double"))
-        n = train.count()
-        filled = [f"f_{f}" for f in features]
-        head = [Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=False)]
-        last = GBTClassifier(featuresCol="x", labelCol=label, maxIter=20, maxDepth=3, seed=1) if boosted else LogisticRegression(featuresCol="x", labelCol=label, fitIntercept=False, standardization=False, regParam=1.0 / (c * n))
-        model = Pipeline(stages=[*head, last]).fit(train)
-        forecast = model.transform(df.where(F.col(season) == s)).withColumn("p", vector_to_array("probability")[1])
-        parts.append(forecast.select(*df.columns, "p"))
     out = df.limit(0).withColumn("p", F.lit(None).cast("double"))
-    for p in parts:
-        out = out.unionByName(p)
+    zero = lambda t: t.select(*[c for c in t.columns if c not in features], *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
+    for s, (_, kept) in models.items():
+        names = [f for f, k in zip(features, kept, strict=True) if k]
+        train = mirrored(df.where(F.col(season) < s).select(*features, label), features, label).withColumn(label, F.col(label).cast("double"))
+        join = VectorAssembler(inputCols=names, outputCol="_x")
+        model = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=20, maxDepth=3, seed=1, cacheNodeIds=False).fit(join.transform(zero(train)))
+        last = df.where(F.col(season) == s)
+        ahead = model.transform(join.transform(zero(last.withColumn("_row", F.struct(*df.columns)))))
+        p = vector_to_array("probability")[1]
+        ahead = ahead.select("_row", *features, p.alias("_p"))
+        back = model.transform(join.transform(ahead.select("_row", "_p", *[(-F.col(f)).alias(f) for f in features])))
+        out = out.unionByName(back.select("_row.*", ((F.col("_p") + 1 - p) / 2).alias("p")))
     return out
 
 
@@ -86,13 +222,15 @@ def project_simplex(v: np.ndarray) -> np.ndarray:
     return np.maximum(v - css[k] / (k + 1), 0)
 
 
-def simplex_blend(df: DataFrame, streams: list[str], label: str = "y", l2: float = 1e-3, steps: int = 4000) -> dict[str, float]:
-    """Non-negative weights that sum to 1 and minimise the blend's Brier score, drawn towards equal weights by l2.
-    Spark sums the cross products; the driver solves a problem of the number of streams."""
-    n, _, x = gram(df, [*streams, label])
-    a, b, k = x[:-1, :-1] / n, x[:-1, -1] / n, len(streams)
+def simplex_blend(df: DataFrame, streams: list[str], label: str = "y", season: str = "Season", l2: float = 1e-3, steps: int = 4000) -> dict[str, float]:
+    """Non-negative weights that sum to 1 and minimise the blend's Brier score, every season weighing the same, drawn towards
+    equal weights by l2. Spark sums cross products by season; the driver solves a problem of the number of streams."""
+    moments = [m for m in fold_moments(df, streams, label, season).values() if m[0]]
+    k = len(streams)
+    x = sum((m[2] / m[0] for m in moments), np.zeros((k + 1, k + 1))) / max(len(moments), 1)
+    a, b = x[:-1, :-1], x[:-1, -1]
     w = np.full(k, 1 / k)
-    step = 1 / (np.linalg.eigvalsh(a)[-1] + l2) / 2
+    step = 1 / (np.trace(a) + l2) / 2
     for _ in range(steps):
         w = project_simplex(w - step * (2 * (a @ w - b) + 2 * l2 * (w - 1 / k)))
     return dict(zip(streams, map(float, w), strict=True))

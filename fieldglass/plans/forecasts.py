@@ -239,13 +239,6 @@ def screening_correlation(spark, d):
     return t.agg(*[r6(F.abs(F.corr(F.coalesce(F.col(f"l_{c}"), F.lit(0.0)), y))).alias(c) for c in ("quantity", "discount", "tax")])
 
 
-@query("screening_pivot", "select cast(year(l_shipdate) as int) as fold, count(*) filter (where l_quantity<=2) as rare, count(*) filter (where l_quantity>2 and l_discount>0.08) as redundant, count(*) filter (where l_quantity>2 and l_discount<=0.08) as retained from lineitem group by all")
-def screening_pivot(spark, d):
-    status = F.when(F.col("l_quantity") <= 2, "rare").when(F.col("l_discount") > 0.08, "redundant").otherwise("retained")
-    t = table(spark, d, "lineitem", "l_shipdate", "l_quantity", "l_discount").select(F.year("l_shipdate").alias("fold"), status.alias("status"))
-    return t.groupBy("fold").pivot("status", ["rare", "redundant", "retained"]).count().na.fill(0)
-
-
 @query(
     "complementarity",
     S + """, o as (select stream, count(*) filter (where "GameNo"%41=0) as violations, count(*) as n from stream group by all) select * from o""",

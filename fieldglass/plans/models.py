@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from fieldglass.operators import bracket as B
 from fieldglass.operators import models as M
 from fieldglass.operators import ratings as R
+from fieldglass.plans.forecasts import _WIDE as WIDE
+from fieldglass.plans.forecasts import CAND, wide
+from fieldglass.plans.forecasts import S as STREAMS
 from fieldglass.plans.ranks import matchups
 from fieldglass.plans.teams import G, L, long, possessions, r6
 from fieldglass.registry import query
@@ -114,15 +117,68 @@ def matrix(spark, d):
 FEATURES = ["strength", "offense", "defense"]
 
 
-@query("training_screen")
+_LATE = L + """, reg as (select "Gender","Season","TeamID", avg(margin) as strength, avg("Score") as offense, avg("OppScore") as defense from long where "DayNum"<=300 group by all),
+ mx as (select g."Gender", g."Season", g."GameNo", g."DayNum", least("WTeamID","LTeamID") as "Team1ID", greatest("WTeamID","LTeamID") as "Team2ID", ("WTeamID"<"LTeamID")::int as y, (a.strength-b.strength)/1000 as x1, (a.offense-b.offense)/1000 as x2, (a.defense-b.defense)/1000 as x3
+ from games g left join reg a on a."Gender"=g."Gender" and a."Season"=g."Season" and a."TeamID"=least("WTeamID","LTeamID") left join reg b on b."Gender"=g."Gender" and b."Season"=g."Season" and b."TeamID"=greatest("WTeamID","LTeamID") where g."DayNum">300)"""
+_SCREEN = """with w as (select *, year(l_shipdate) as fold, l_quantity as f1, l_discount as f2, l_tax as f3, l_discount+l_quantity/100000 as f4, 1.0::double as f6, case when l_orderkey%1000=7 then 1.0::double else 0.0::double end as f7, (l_returnflag='R')::int as y from lineitem),
+ k as (select {fold} as fold, count(*) as n, abs(corr(f1,y)) as r1, abs(corr(f2,y)) as r2, abs(corr(f3,y)) as r3, abs(corr(f4,y)) as r4, case when count(*) filter (where f7<>0)>0 then abs(corr(f7,y)) else 0 end as r7, count(*) filter (where f7<>0) as z from w group by all),
+ s as (select fold, unnest([{{'f':'f1','s':'retained','r':r1}}, {{'f':'f2','s':case when r4>r2 then 'redundant' else 'retained' end,'r':r2}}, {{'f':'f3','s':'retained','r':r3}}, {{'f':'f4','s':case when r4>r2 then 'retained' else 'redundant' end,'r':r4}},
+  {{'f':'f5','s':'all_missing','r':0.0::double}}, {{'f':'f6','s':'constant','r':0.0::double}}, {{'f':'f7','s':case when z=0 then 'constant' when z<greatest(2,ceil(0.005*n)) then 'near_constant' else 'retained' end,'r':r7}}]) as u from k)"""
+SCREENED = [f"f{i}" for i in range(1, 8)]
+
+
+def wide_features(spark, d):
+    """Lines with features of every kind: useful ones, one that repeats another, an unknown, a constant and a rare one."""
+    t = table(spark, d, "lineitem", "l_orderkey", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_returnflag")
+    return t.select(
+        F.year("l_shipdate").alias("fold"), F.col("l_quantity").alias("f1"), F.col("l_discount").alias("f2"), F.col("l_tax").alias("f3"), (F.col("l_discount") + F.col("l_quantity") / 100000).alias("f4"),
+        F.lit(None).cast("double").alias("f5"), F.lit(1.0).alias("f6"), F.when(F.col("l_orderkey") % 1000 == 7, 1.0).otherwise(0.0).alias("f7"), (F.col("l_returnflag") == "R").cast("int").alias("y"),
+    )
+
+
+@query("training_screen", _SCREEN.format(fold="0") + " select u.f as feature, u.s as status, round(u.r,6) as correlation, case when u.s='redundant' then case u.f when 'f2' then 'f4' else 'f2' end end as repeats from s")
 def training_screen(spark, d):
-    rows = M.screen(matrix(spark, d), FEATURES, "y")
-    return spark.createDataFrame(rows, "feature string, status string, correlation double")
+    rows = [(f, s, round(r, 6), p) for f, s, r, p in M.screen(wide_features(spark, d), SCREENED, "y")]
+    return spark.createDataFrame(rows, "feature string, status string, correlation double, repeats string")
+
+
+def _by_fold(spark, d):
+    return spark.createDataFrame(M.screen_by_fold(wide_features(spark, d), SCREENED, "y", "fold"), "fold int, feature string, status string, correlation double")
+
+
+STATUSES = ["all_missing", "constant", "near_constant", "redundant", "retained"]
+
 
+@query("screening_pivot", _SCREEN.format(fold="fold") + " select fold::int as fold, " + ", ".join(f"count(*) filter (where u.s='{x}') as {x}" for x in STATUSES) + " from s group by all")
+def screening_pivot(spark, d):
+    """Features by status within each fold, screened there."""
+    return _by_fold(spark, d).groupBy("fold").pivot("status", STATUSES).count().na.fill(0)
 
-@query("walk_forward_logistic")
+
+@query("selection_stability", _SCREEN.format(fold="fold") + " select u.f as feature, count(*) as folds, count(*) filter (where u.s='retained') as retained, round(avg((u.s='retained')::int),6) as share from s group by all")
+def selection_stability(spark, d):
+    kept = F.when(F.col("status") == "retained", 1).otherwise(0)
+    return _by_fold(spark, d).groupBy("feature").agg(F.count(F.lit(1)).alias("folds"), F.sum(kept).alias("retained"), r6(F.avg(kept)).alias("share"))
+
+
+_SOLVE = """h11*(h22*h33-h23*h23)-h12*(h12*h33-h23*h13)+h13*(h12*h23-h22*h13)"""
+_NEWTON = (
+    _LATE.replace("with ", "with recursive ", 1)
+    + """, fold as (select distinct "Season" as s from mx where "Season">(select min("Season") from mx)),
+ sc as (select s, sqrt(avg(coalesce(x1,0)*coalesce(x1,0))) as d1, sqrt(avg(coalesce(x2,0)*coalesce(x2,0))) as d2, sqrt(avg(coalesce(x3,0)*coalesce(x3,0))) as d3 from fold join mx on "Season"<s group by s),
+ tr as (select s, coalesce(x1,0)/d1 as z1, coalesce(x2,0)/d2 as z2, coalesce(x3,0)/d3 as z3, y from sc join mx on "Season"<s),
+ it as (select s, 0 as k, 0.0::double as w1, 0.0::double as w2, 0.0::double as w3 from fold union all
+  select s, k+1, w1-((h22*h33-h23*h23)*g1-(h12*h33-h13*h23)*g2+(h12*h23-h13*h22)*g3)/det, w2-(-(h12*h33-h13*h23)*g1+(h11*h33-h13*h13)*g2-(h11*h23-h13*h12)*g3)/det, w3-((h12*h23-h13*h22)*g1-(h11*h23-h13*h12)*g2+(h11*h22-h12*h12)*g3)/det
+  from (select *, """ + _SOLVE + """ as det from (select s,k,w1,w2,w3, 2*sum((p-y)*z1)+10*w1 as g1, 2*sum((p-y)*z2)+10*w2 as g2, 2*sum((p-y)*z3)+10*w3 as g3, 2*sum(q*z1*z1)+10 as h11, 2*sum(q*z1*z2) as h12, 2*sum(q*z1*z3) as h13, 2*sum(q*z2*z2)+10 as h22, 2*sum(q*z2*z3) as h23, 2*sum(q*z3*z3)+10 as h33
+   from (select *, p*(1-p) as q from (select it.*, z1, z2, z3, y, 1/(1+exp(-(w1*z1+w2*z2+w3*z3))) as p from it join tr using (s) where k<12)) group by s,k,w1,w2,w3)))
+ select m."Gender", m."Season", m."GameNo", y, round(1/(1+exp(-(w1*coalesce(x1,0)/d1+w2*coalesce(x2,0)/d2+w3*coalesce(x3,0)/d3))),5) as p from mx m join it on it.s=m."Season" and k=12 join sc on sc.s=m."Season" """
+)
+
+
+@query("walk_forward_logistic", _NEWTON)
 def walk_forward_logistic(spark, d):
-    return M.walk_forward(matrix(spark, d), FEATURES, "Season")
+    t = M.walk_forward(matrix(spark, d), FEATURES, "Season")
+    return t.select("Gender", "Season", "GameNo", "y", F.round("p", 5).alias("p"))
 
 
 @query("walk_forward_boosted")
@@ -130,12 +186,17 @@ def walk_forward_boosted(spark, d):
     return M.walk_forward(matrix(spark, d), FEATURES, "Season", boosted=True)
 
 
-@query("simplex_blend")
-def simplex_blend(spark, d):
-    from fieldglass.plans.forecasts import wide
+_BLEND = """, m as (select "Season", avg(a*a) as aa, avg(a*b) as ab, avg(a*c) as ac, avg(b*b) as bb, avg(b*c) as bc, avg(c*c) as cc, avg(a*y) as ay, avg(b*y) as bz, avg(c*y) as cy from w group by all), g as (select avg(aa) as aa, avg(ab) as ab, avg(ac) as ac, avg(bb) as bb, avg(bc) as bc, avg(cc) as cc, avg(ay) as ay, avg(bz) as bz, avg(cy) as cy from m),
+ it as (select 0 as k, 1/3.0::double as x, 1/3.0::double as y, 1/3.0::double as z union all
+  select k+1, greatest(u-th,0), greatest(v-th,0), greatest(q-th,0) from (select *, case when lo+(1-(u+v+q))/3>0 then (u+v+q-1)/3 when mid+(1-(hi+mid))/2>0 then (hi+mid-1)/2 else hi-1 end as th
+   from (select *, greatest(u,v,q) as hi, least(u,v,q) as lo, u+v+q-greatest(u,v,q)-least(u,v,q) as mid from (select k, x-st*(2*(aa*x+ab*y+ac*z-ay)+0.002*(x-1/3.0::double)) as u, y-st*(2*(ab*x+bb*y+bc*z-bz)+0.002*(y-1/3.0::double)) as v, z-st*(2*(ac*x+bc*y+cc*z-cy)+0.002*(z-1/3.0::double)) as q
+    from (select it.*, g.*, 1/(aa+bb+cc+0.001)/2 as st from it, g where k<4000)))))"""
 
+
+@query("simplex_blend", STREAMS.replace("with ", "with recursive ", 1) + CAND + WIDE + _BLEND + " select unnest(['a','b','c']) as stream, unnest([round(x,6),round(y,6),round(z,6)]) as weight from it where k=4000")
+def simplex_blend(spark, d):
     w = M.simplex_blend(wide(spark, d), ["a", "b", "c"])
-    return spark.createDataFrame(list(w.items()), "stream string, weight double")
+    return spark.createDataFrame([(s, round(x, 6)) for s, x in w.items()], "stream string, weight double")
 
 
 @query("frozen_scoring", "select l_orderkey, l_linenumber, round(1/(1+exp(-(l_discount/0.05*0.7+l_tax/0.04*-0.4))),9) as p from lineitem")
