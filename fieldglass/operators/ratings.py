@@ -1,125 +1,215 @@
 """Team ratings: ridge regressions on the incidence design, and the Elo fold.
 
-Ridge: Spark sums the normal equations by (group, row, column), so what reaches the solver of a group has the size of
-its teams squared, however many games it has. Elo is a fold in time order and runs as one ordered pass a gender.
+Ridge: Spark sums the games by pair of teams and venue, for all weightings and targets at once, so what reaches the solver
+of a league has the size of its distinct pairings, however many games it has. The solver is conjugate gradients on those
+sums; no matrix of teams by teams is ever built. Elo is a fold in time order: sorted batches stream through one task a
+population, which holds the ratings and a day's games.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOME = -1
 
 
-def normal_equations(games: DataFrame, keys: list[str], weight=None) -> DataFrame:
-    """(keys, i, j, v): sums of the design's products; j null: of the right-hand side. Column HOME is the home term."""
-    g = games.select(*keys, F.col("WTeamID").alias("w"), F.col("LTeamID").alias("l"), (F.col("WScore") - F.col("LScore")).cast("double").alias("m"), F.when(F.col("WLoc") == "H", 1.0).when(F.col("WLoc") == "A", -1.0).otherwise(0.0).alias("h"), (F.lit(1.0) if weight is None else weight).alias("q"))
-    cell = lambda i, j, v: F.struct(i.cast("int").alias("i"), (F.lit(None) if j is None else j).cast("int").alias("j"), (F.col("q") * v).alias("v"))
-    w, l, h, home, one, m = F.col("w"), F.col("l"), F.col("h"), F.lit(HOME), F.lit(1.0), F.col("m")
-    cells = [cell(w, w, one), cell(l, l, one), cell(w, l, -one), cell(l, w, -one), cell(w, home, h), cell(home, w, h), cell(l, home, -h), cell(home, l, -h), cell(home, home, h * h), cell(w, None, m), cell(l, None, -m), cell(home, None, h * m)]
-    return g.select(*keys, F.inline(F.array(*cells))).groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"))
+def conjugate_gradients(product, b: np.ndarray, steps: int = 5000, tol: float = 1e-13) -> np.ndarray:
+    """x with product(x) = b, for a symmetric positive definite product."""
+    x, r = np.zeros_like(b), b.copy()
+    p, rr = r.copy(), float(r @ r)
+    goal = tol * tol * max(rr, 1e-300)
+    for _ in range(steps):
+        if rr <= goal:
+            break
+        q = product(p)
+        a = rr / float(p @ q)
+        x, r = x + a * p, r - a * q
+        rr, old = float(r @ r), rr
+        p = r + (rr / old) * p
+    return x
+
+
+def _solved(sums: DataFrame, keys: list[str], kinds: dict[str, str], schema: str, solve) -> DataFrame:
+    def run(key, t):
+        import pyarrow as pa
+
+        cols = solve({c: t.column(c).to_numpy() for c in t.column_names if c not in keys})
+        n = len(next(iter(cols.values())))
+        return pa.table({**{k: pa.array([v.as_py()] * n) for k, v in zip(keys, key, strict=True)}, **cols}).cast(target(t))
+
+    def target(t):
+        import pyarrow as pa
+
+        own = {k: t.schema.field(k).type for k in keys}
+        rest = [x.split() for x in schema.split(", ")]
+        return pa.schema([(k, own[k]) for k in keys] + [(n, {"int": pa.int32(), "double": pa.float64()}[k]) for n, k in rest])
+
+    return sums.groupBy(*keys).applyInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + schema)
+
+
+def _kinds(df: DataFrame) -> dict[str, str]:
+    return dict(df.dtypes)
+
+
+def ridge_strength(games: DataFrame, keys: list[str], alpha: float = 20.0, weights: dict[str, Column] | None = None) -> DataFrame:
+    """(keys, TeamID, a column for each weighting): least squares of margins on winner minus loser plus home, all penalised, no
+    intercept. TeamID HOME is the home advantage. Without ``weights`` there is one column, ``strength``."""
+    weights = weights or {"strength": F.lit(1.0)}
+    h = F.when(F.col("WLoc") == "H", 1.0).when(F.col("WLoc") == "A", -1.0).otherwise(0.0)
+    g = games.select(*keys, F.col("WTeamID").alias("w"), F.col("LTeamID").alias("l"), h.alias("h"), (F.col("WScore") - F.col("LScore")).cast("double").alias("m"), *[c.alias(f"q{i}") for i, c in enumerate(weights.values())])
+    names, n = list(weights), range(len(weights))
+    sums = g.groupBy(*keys, "w", "l", "h").agg(*[F.sum(f"q{i}").alias(f"n{i}") for i in n], *[F.sum(F.col(f"q{i}") * F.col("m")).alias(f"m{i}") for i in n])
+
+    def solve(t):
+        ids, at = np.unique(np.r_[t["w"], t["l"]], return_inverse=True)
+        w, l, h, k = at[: len(t["w"])], at[len(t["w"]) :], t["h"], len(ids)
+        add = lambda v: np.r_[np.bincount(w, v, k) - np.bincount(l, v, k), (h * v).sum()]
+        out = {"TeamID": np.r_[ids, HOME].astype(np.int32)}
+        for i, name in enumerate(names):
+            q = t[f"n{i}"]
+            out[name] = conjugate_gradients(lambda b, q=q: add(q * (b[w] - b[l] + h * b[k])) + alpha * b, add(t[f"m{i}"]))
+        return out
 
+    return _solved(sums, keys, _kinds(games), "TeamID int, " + ", ".join(f"{x} double" for x in names), solve)
 
-def ridge_strength(games: DataFrame, keys: list[str], alpha: float = 20.0, weight=None) -> DataFrame:
-    """(keys, TeamID, strength): least squares of margins on winner minus loser plus home, all penalised, no intercept.
-    TeamID HOME is the home advantage."""
-    cells = normal_equations(games, keys, weight)
-    kinds = {f.name: f.dataType.simpleString() for f in games.schema.fields}
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(group["i"].to_numpy())
-        at = {t: n for n, t in enumerate(ids)}
-        a, b = np.eye(len(ids)) * alpha, np.zeros(len(ids))
-        lhs = group[group["j"].notna()]
-        np.add.at(a, (lhs["i"].map(at).to_numpy(), lhs["j"].astype(int).map(at).to_numpy()), lhs["v"].to_numpy())
-        rhs = group[group["j"].isna()]
-        np.add.at(b, rhs["i"].map(at).to_numpy(), rhs["v"].to_numpy())
-        out = pd.DataFrame({"TeamID": ids.astype(np.int32), "strength": np.linalg.solve(a, b)})
-        for k in keys:
-            out[k] = group[k].iloc[0]
-        return out[[*keys, "TeamID", "strength"]]
+def ridge_residual(games: DataFrame, ratings: DataFrame, keys: list[str], alpha: float = 20.0) -> DataFrame:
+    """(keys, equations, worst): how many normal equations there are and their largest gap at the given ratings, summed by Spark
+    from the games (not by the solver)."""
+    h = F.when(F.col("WLoc") == "H", 1.0).when(F.col("WLoc") == "A", -1.0).otherwise(0.0)
+    g = games.select(*keys, F.col("WTeamID").alias("w"), F.col("LTeamID").alias("l"), h.alias("h"), (F.col("WScore") - F.col("LScore")).cast("double").alias("m"))
+    beta = ratings.select(*keys, F.col("TeamID").alias("t"), F.col("strength").alias("b"))
+    side = lambda c: beta.withColumnRenamed("t", c).withColumnRenamed("b", f"b{c}")
+    home = beta.where(F.col("t") == HOME).select(*keys, F.col("b").alias("bh"))
+    e = g.join(side("w"), [*keys, "w"]).join(side("l"), [*keys, "l"]).join(home, keys).withColumn("e", F.col("bw") - F.col("bl") + F.col("h") * F.col("bh") - F.col("m"))
+    parts = F.array(F.struct(F.col("w").alias("t"), F.col("e").alias("v")), F.struct(F.col("l").alias("t"), (-F.col("e")).alias("v")), F.struct(F.lit(HOME).alias("t"), (F.col("h") * F.col("e")).alias("v")))
+    sums = e.select(*keys, F.inline(parts)).groupBy(*keys, "t").agg(F.sum("v").alias("v"))
+    both = beta.join(sums, [*keys, "t"], "left").withColumn("gap", F.abs(F.coalesce("v", F.lit(0.0)) + alpha * F.col("b")))
+    return both.groupBy(*keys).agg(F.count(F.lit(1)).alias("equations"), F.max("gap").alias("worst"))
+
+
+def offense_defense(rows: DataFrame, keys: list[str], targets: dict[str, tuple[Column, Column]], alpha: float = 20.0) -> DataFrame:
+    """(keys, TeamID, and for each target x_offense, x_defense, x_home, x_level): ridge of a target (value, weight) of each team row on its
+    offense, the opponent's defense and home; the intercept (level) is free. Defense is signed so that more is better.
+
+    All targets share the design: one aggregate by (team, opponent, home) with a count and a sum for each."""
+    names = list(targets)
+    r = rows.select(*keys, "TeamID", "OppID", "home", *[x for i, (v, q) in enumerate(targets.values()) for x in (v.cast("double").alias(f"v{i}"), q.alias(f"q{i}"))])
+    known = lambda i: F.when(F.col(f"v{i}").isNotNull(), F.col(f"q{i}"))
+    sums = r.groupBy(*keys, "TeamID", "OppID", "home").agg(*[x for i in range(len(names)) for x in (F.coalesce(F.sum(known(i)), F.lit(0.0)).alias(f"n{i}"), F.coalesce(F.sum(F.col(f"q{i}") * F.col(f"v{i}")), F.lit(0.0)).alias(f"y{i}"))])
+
+    def solve(t):
+        ids, at = np.unique(np.r_[t["TeamID"], t["OppID"]], return_inverse=True)
+        k, m = len(ids), len(t["TeamID"])
+        o, d, h = at[:m], at[m:] + k, t["home"].astype(float)
+        penalty = np.r_[np.full(2 * k + 1, alpha), 0.0]
+
+        def add(v):
+            return np.r_[np.bincount(o, v, k), np.bincount(d - k, v, k), (h * v).sum(), v.sum()]
+
+        out = {"TeamID": ids.astype(np.int32)}
+        for i, name in enumerate(names):
+            q = t[f"n{i}"]
+            b = conjugate_gradients(lambda b, q=q: add(q * (b[o] + b[d] + h * b[-2] + b[-1])) + penalty * b, add(t[f"y{i}"]))
+            out |= {f"{name}_offense": b[:k], f"{name}_defense": -b[k : 2 * k], f"{name}_home": np.full(k, b[-2]), f"{name}_level": np.full(k, b[-1])}
+        return out
 
-    return cells.groupBy(*keys).applyInPandas(solve, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", TeamID int, strength double")
+    cols = ", ".join(f"{n}_{c} double" for n in names for c in ("offense", "defense", "home", "level"))
+    return _solved(sums, keys, _kinds(rows), "TeamID int, " + cols, solve)
 
 
-def ridge_residual(games: DataFrame, ratings: DataFrame, keys: list[str], alpha: float = 20.0) -> DataFrame:
-    """(keys, worst): the largest gap of the normal equations at the given ratings."""
-    cells = normal_equations(games, keys)
-    beta = ratings.withColumnRenamed("TeamID", "t").withColumnRenamed("strength", "beta")
-    left = cells.where("j is not null").join(beta.withColumnRenamed("t", "j"), [*keys, "j"]).groupBy(*keys, "i").agg(F.sum(F.col("v") * F.col("beta")).alias("xb"))
-    right = cells.where("j is null").select(*keys, "i", F.col("v").alias("xm"))
-    both = right.join(left, [*keys, "i"]).join(beta.withColumnRenamed("t", "i"), [*keys, "i"])
-    return both.groupBy(*keys).agg(F.max(F.abs(F.col("xb") + alpha * F.col("beta") - F.col("xm"))).alias("worst"))
-
-
-def offense_defense(rows: DataFrame, keys: list[str], alpha: float = 20.0, value: str = "efficiency") -> DataFrame:
-    """(keys, TeamID, offense, defense): ridge of each team row's value on its offense, the opponent's defense and home;
-    the intercept is free. Defense is signed so that more is better. Sums by (team, opponent) first."""
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    sums = rows.where(F.col(value).isNotNull()).groupBy(*keys, "TeamID", "OppID", "home").agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("y"))
-
-    def solve(g: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(np.r_[g["TeamID"], g["OppID"]])
-        k = len(ids)
-        o, d = np.searchsorted(ids, g["TeamID"]), np.searchsorted(ids, g["OppID"]) + k
-        n, y, h = g["n"].to_numpy(float), g["y"].to_numpy(float), g["home"].to_numpy(float)
-        x = np.zeros((len(g), 2 * k + 2))
-        r = np.arange(len(g))
-        x[r, o], x[r, d], x[:, -2], x[:, -1] = 1, 1, h, 1
-        penalty = np.full(2 * k + 2, alpha)
-        penalty[-1] = 0
-        beta = np.linalg.solve(x.T @ (x * n[:, None]) + np.diag(penalty), x.T @ y)
-        out = pd.DataFrame({"TeamID": ids.astype(np.int32), "offense": beta[:k], "defense": -beta[k : 2 * k]})
-        for c in keys:
-            out[c] = g[c].iloc[0]
-        return out[[*keys, "TeamID", "offense", "defense"]]
-
-    return sums.groupBy(*keys).applyInPandas(solve, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", TeamID int, offense double, defense double")
-
-
-def elo_fold(g: pd.DataFrame, k: float = 20.0, home: float = 60.0, carry: float = 0.65, cap: float = 3.0, recent: int = 30) -> pd.DataFrame:
-    """Ratings at the end of each season, plain and by margin, and their change over the last ``recent`` days.
-
-    Games of a day all read the ratings of before the day. Between seasons a rating keeps ``carry`` of its distance from
-    1500 for each year that passed.
-    """
-    plain, margin, seen, out = {}, {}, {}, []
-    for season, s in g.sort_values(["Season", "DayNum", "WTeamID", "LTeamID"], kind="stable").groupby("Season", sort=True):
-        last = int(s["DayNum"].max())
-        active = set(s["WTeamID"]) | set(s["LTeamID"])
-        for t in active:
-            f = carry ** max(1, season - seen[t]) if t in seen else 1.0
-            plain[t] = 1500 + f * (plain.get(t, 1500.0) - 1500)
-            margin[t] = 1500 + f * (margin.get(t, 1500.0) - 1500)
-            seen[t] = season
-        before = {t: plain[t] for t in active}
-        for day, x in s.groupby("DayNum", sort=True):
-            step_p, step_m = {}, {}
-            for w, l, ws, ls, loc in zip(x["WTeamID"], x["LTeamID"], x["WScore"], x["LScore"], x["WLoc"], strict=True):
-                edge = home if loc == "H" else -home if loc == "A" else 0.0
-                for table, step, scale in ((plain, step_p, 1.0), (margin, step_m, min(cap, np.log1p(ws - ls)))):
-                    gain = k * scale * (1 - 1 / (1 + 10 ** ((table[l] - table[w] - edge) / 400)))
-                    step[w] = step.get(w, 0.0) + gain
-                    step[l] = step.get(l, 0.0) - gain
-            for t, v in step_p.items():
-                plain[t] += v
-            for t, v in step_m.items():
-                margin[t] += v
-            if day <= last - recent:
-                before = {t: plain[t] for t in active}
-        out += [(season, t, plain[t], margin[t], plain[t] - before[t]) for t in sorted(active)]
-    return pd.DataFrame(out, columns=["Season", "TeamID", "elo", "elo_margin", "elo_change"])
-
-
-def elo(games: DataFrame, key: str = "Gender") -> DataFrame:
-    cols = games.select(key, "Season", "DayNum", "WTeamID", "LTeamID", "WScore", "LScore", "WLoc")
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        out = elo_fold(g)
-        out.insert(0, key, g[key].iloc[0])
+def residuals(rows: DataFrame, fit: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Rows with ``residual``: the value less what the fit of ``offense_defense`` says."""
+    own = fit.select(*keys, "TeamID", F.col(f"{name}_offense").alias("_o"), F.col(f"{name}_home").alias("_h"), F.col(f"{name}_level").alias("_c"))
+    opp = fit.select(*keys, F.col("TeamID").alias("OppID"), F.col(f"{name}_defense").alias("_d"))
+    j = rows.join(own, [*keys, "TeamID"]).join(opp, [*keys, "OppID"])
+    return j.withColumn("residual", F.col(value) - (F.col("_o") - F.col("_d") + F.col("home") * F.col("_h") + F.col("_c"))).drop("_o", "_h", "_c", "_d")
+
+
+def residual_form(rows: DataFrame, keys: list[str], weight: Column, prior: float = 5.0) -> DataFrame:
+    """(keys, TeamID): spread, lower tail, recent mean (by weight) and shrunk away mean of ``residual``."""
+    r, away = F.col("residual"), F.col("home") <= 0
+    return rows.groupBy(*keys, "TeamID").agg(
+        F.stddev_samp(r).alias("residual_sd"), F.percentile(r, F.lit(0.1)).alias("residual_downside"), (F.sum(weight * r) / F.sum(weight)).alias("recent_residual"),
+        (F.coalesce(F.sum(F.when(away, r)), F.lit(0.0)) / (F.count(F.when(away, 1)) + prior)).alias("road_residual"),
+    )
+
+
+class Elo:
+    """Ratings of one population, plain and by margin, fed days in order."""
+
+    def __init__(self, cutoff: int, k: float = 20.0, home: float = 60.0, carry: float = 0.65, cap: float = 3.0, recent: int = 30):
+        self.cutoff, self.k, self.home, self.carry, self.cap, self.recent = cutoff, k, home, carry, cap, recent
+        self.ratings: dict = {}
+        self.before: dict = {}
+        self.teams: set = set()
+        self.season = None
+
+    def ended(self) -> list[tuple]:
+        """(season, team, plain, margin, change of each) of the season's teams."""
+        out = []
+        for t in sorted(self.teams):
+            now, old = self.ratings[t], self.before.get(t, (1500.0, 1500.0))
+            out.append((self.season, t, now[0], now[1], now[0] - old[0], now[1] - old[1]))
         return out
 
-    return cols.groupBy(key).applyInPandas(run, f"{key} string, Season int, TeamID int, elo double, elo_margin double, elo_change double")
+    def day(self, season: int, day: int, games: list[tuple]) -> list[tuple]:
+        """Take a day's games (winner, loser, margin, location), all read from the ratings of before the day; what the season before
+        ended with, if this is a new one."""
+        done = []
+        if season != self.season:
+            if self.season is not None:
+                done = self.ended()
+                f = self.carry ** (season - self.season)
+                self.ratings = {t: tuple(1500 + f * (x - 1500) for x in v) for t, v in self.ratings.items()}
+            self.season, self.teams, self.before = season, set(), dict(self.ratings)
+        change: dict = {}
+        for w, l, m, loc in games:
+            a, b = self.ratings.get(w, (1500.0, 1500.0)), self.ratings.get(l, (1500.0, 1500.0))
+            edge = self.home if loc == "H" else -self.home if loc == "A" else 0.0
+            for i, scale in enumerate((1.0, min(float(np.log1p(m)), self.cap))):
+                gain = self.k * scale * (1 - 1 / (1 + 10 ** (-(a[i] - b[i] + edge) / 400)))
+                for t, x in ((w, gain), (l, -gain)):
+                    change.setdefault(t, [0.0, 0.0])[i] += x
+        for t, (x, y) in change.items():
+            p, q = self.ratings.get(t, (1500.0, 1500.0))
+            self.ratings[t] = (p + x, q + y)
+        self.teams |= set(change)
+        if day <= self.cutoff - self.recent:
+            self.before = dict(self.ratings)
+        return done
+
+
+def elo(games: DataFrame, key: str = "Gender", cutoff: int = 132) -> DataFrame:
+    """(key, Season, TeamID, elo, elo_mov, elo_change, elo_mov_change) at the cutoff of each season."""
+    cols = [key, "Season", "DayNum", "WTeamID", "LTeamID", "WScore", "LScore", "WLoc"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        fold, name, at, held = Elo(cutoff), None, None, []
+
+        def emit(rows):
+            cols_ = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.int32(), pa.int32(), *[pa.float64()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *(pa.array(c, t) for c, t in zip(cols_, kinds, strict=True))], [key, "Season", "TeamID", "elo", "elo_mov", "elo_change", "elo_mov_change"])
+
+        for b in batches:
+            for g, season, day, w, l, ws, ls, loc in zip(*(b.column(c).to_pylist() for c in cols), strict=True):
+                if (g, season, day) != at:
+                    if held:
+                        yield emit(fold.day(at[1], at[2], held))
+                    if at is not None and g != name:
+                        yield emit(fold.ended())
+                        fold = Elo(cutoff)
+                    name, at, held = g, (g, season, day), []
+                held.append((w, l, ws - ls, loc))
+        if held:
+            yield emit(fold.day(at[1], at[2], held))
+            yield emit(fold.ended())
+
+    order = [key, "Season", "DayNum", "WTeamID", "LTeamID", "WScore", "LScore"]
+    seq = games.where(F.col("DayNum") <= cutoff).select(*cols).repartition(key).sortWithinPartitions(*order)
+    return seq.mapInArrow(run, f"{key} string, Season int, TeamID int, elo double, elo_mov double, elo_change double, elo_mov_change double")

@@ -8,8 +8,9 @@ from fieldglass.functions.stats import ratio, temperature
 from fieldglass.operators import evaluate as E
 from fieldglass.operators import ratings as R
 from fieldglass.plans.forecasts import S
+from fieldglass.plans.models import _BY, _SPLIT, _sides_sql, jacobi
 from fieldglass.plans.ranks import CONF, CUTOFF, STALE, TEAMS, _panel_sql, conferences, matchups, panel
-from fieldglass.plans.teams import CONTEXTS, KEY, L, QK, SEEDS, SIGNALS, _UNPIVOT, long, r6, seeds, signal_rows
+from fieldglass.plans.teams import CONTEXTS, KEY, L, QK, SEEDS, SIGNALS, _UNPIVOT, long, possessions, r6, seeds, signal_rows
 from fieldglass.registry import query
 from fieldglass.sources.league import RANKINGS_SQL, games, streams
 
@@ -131,15 +132,19 @@ def metric_reaudit(spark, d):
     return again.join(recorded, ["stream", "Season"]).select("stream", "Season", "games", F.round("again", 9).alias("again"), (F.abs(F.col("recorded") - F.col("again")) > 1e-12).alias("off"))
 
 
-@query("multi_target_ridge")
+_FACTORS = {"efg": (100, '("FGM"+0.5*"FGM3")', '"FGA"'), "tov": (-100, '"TO"', "poss"), "orb": (100, '"OR"', '("OR"+"opp_DR")'), "ftr": (100, '"FTA"', '"FGA"')}
+_FOUR = "[" + ", ".join(f"{{'w':'{k}','q':1.0::double,'y':case when \"FGA\">0 and \"OR\"+\"opp_DR\">0 then ({m}*{a}/{b})::double end}}" for k, (m, a, b) in _FACTORS.items()) + "]"
+
+
+@query("multi_target_ridge", jacobi(_sides_sql(_FOUR), _BY, 250, 0.4, _SPLIT.format(n=250) + """ select "Gender","Season","TeamID", kind as target, round(o,3) as offense, round(d,3) as defense from y"""))
 def multi_target_ridge(spark, d):
-    """Offense and defense for several targets of the same design."""
-    rows = long(spark, d, "FGM", "FGA", "FTA", "TO", "OR", "DR").where("FGA > 0 and `OR` + opp_DR > 0")
-    out = None
-    for name, value in (("fg", F.col("FGM") / F.col("FGA")), ("ft", F.col("FTA") / F.col("FGA")), ("to", F.col("TO") / F.col("FGA")), ("orb", F.col("OR") / (F.col("OR") + F.col("opp_DR")))):
-        r = R.offense_defense(rows.withColumn("v", 100 * value), ["Gender", "Season"], value="v").withColumn("target", F.lit(name))
-        out = r if out is None else out.unionByName(r)
-    return out
+    """Opponent-adjusted rates: four targets of one design, one aggregate."""
+    rows = possessions(long(spark, d, "FGM", "FGM3", "FGA", "FTA", "TO", "OR", "DR").where("DayNum <= 300")).where("clean and FGA > 0 and `OR` + opp_DR > 0")
+    c = F.col
+    values = {"efg": (c("FGM") + F.lit(0.5) * c("FGM3")) / c("FGA"), "tov": -c("TO") / c("poss"), "orb": c("OR") / (c("OR") + c("opp_DR")), "ftr": c("FTA") / c("FGA")}
+    fit = R.offense_defense(rows, ["Gender", "Season"], {k: (100 * v.cast("double"), F.lit(1.0)) for k, v in values.items()})
+    cells = F.array(*[F.struct(F.lit(k).alias("target"), F.round(f"{k}_offense", 3).alias("offense"), F.round(f"{k}_defense", 3).alias("defense")) for k in values])
+    return fit.select(*KEY, F.inline(cells))
 
 
 @query("residual_form", L + """, t as (select "Gender","Season","TeamID", round(avg(margin),6) as m from long group by all), r as (select l."Gender",l."Season",l."TeamID", l."DayNum", l.home, l.margin-(t.m-o.m) as res from long l join t on t."Gender"=l."Gender" and t."Season"=l."Season" and t."TeamID"=l."TeamID" join t o on o."Gender"=l."Gender" and o."Season"=l."Season" and o."TeamID"=l."OppID") select "Gender","Season","TeamID", round(stddev_samp(res),4) as sd, round(quantile_cont(res,0.1),4) as q10, round(coalesce(sum(res) filter (where home=-1),0)/(count(*) filter (where home=-1)+5.0),4) as road from r group by all""")

@@ -19,36 +19,118 @@ from fieldglass.sources.tables import table
 LEAGUE = ["Gender", "Season"]
 
 
-@query("ridge_strength")
+def jacobi(cells: str, by: str, steps: int, damp: float, out: str) -> str:
+    """SQL: solutions of the systems a (by, i, j, v), b (by, i, v), which ``cells`` defines, by damped Jacobi steps."""
+    q = [c.strip() for c in by.split(",")]
+    same = lambda x, y: " and ".join(f"{x}.{c}={y}.{c}" for c in q)
+    return f"""{cells}, dg as (select {by}, i, v from a where i=j),
+ x as (select 0 as k, {by}, i, 0.0::double as v from b union all
+  select x.k+1, {", ".join(f"a.{c}" for c in q)}, a.i, max(x.v) filter (where a.i=a.j)+{damp}*(max(b.v)-sum(a.v*x.v))/max(dg.v) from a join x on {same("x", "a")} and x.i=a.j join b on {same("b", "a")} and b.i=a.i join dg on {same("dg", "a")} and dg.i=a.i where x.k<{steps} group by x.k, {", ".join(f"a.{c}" for c in q)}, a.i)
+ {out}"""
+
+
+_RIDGE = (
+    G.replace("with ", "with recursive ", 1)
+    + """, gm as (select "Gender","Season", unnest([{'w':'strength','q':1.0::double},{'w':'recent','q':pow(0.5,(300-"DayNum")/30.0)}]) as u, "WTeamID" as w, "LTeamID" as l, ("WScore"-"LScore")::double as m, case "WLoc" when 'H' then 1 when 'A' then -1 else 0 end as h from games where "DayNum"<=300),
+ e as (select "Gender","Season", u.w as kind, u.q as q, m, unnest([{'i':w,'v':1},{'i':l,'v':-1},{'i':-1,'v':h}]) as c, [{'i':w,'v':1},{'i':l,'v':-1},{'i':-1,'v':h}] as row from gm),
+ aa as (select "Gender","Season",kind, c.i as i, unnest(row) as r, c.v as cv, q from e), ab as (select "Gender","Season",kind, i, r.i as j, q*cv*r.v as v from aa), a as (select "Gender","Season",kind, i, j, sum(v)+max(case when i=j then 20 else 0 end) as v from ab group by all),
+ b as (select "Gender","Season",kind, c.i as i, sum(q*c.v*m) as v from e group by all)"""
+)
+_BY = '"Gender", "Season", kind'
+
+
+def strengths(spark, d):
+    g = games(spark, d).where("DayNum <= 300")
+    weight = F.pow(F.lit(0.5), (F.lit(300) - F.col("DayNum")) / F.lit(30.0))
+    return g, R.ridge_strength(g, LEAGUE, weights={"strength": F.lit(1.0), "recent": weight})
+
+
+@query("ridge_strength", jacobi(_RIDGE.replace(""",{'w':'recent','q':pow(0.5,(300-"DayNum")/30.0)}""", ""), _BY, 150, 0.6, 'select "Gender","Season", i as "TeamID", round(v,3) as strength from x where k=150'))
 def ridge_strength(spark, d):
-    return R.ridge_strength(games(spark, d), LEAGUE).select(*LEAGUE, "TeamID", r6("strength").alias("strength"))
+    return strengths(spark, d)[1].select(*LEAGUE, "TeamID", F.round("strength", 3).alias("strength"))
 
 
-@query("ridge_residual_check", G + ' select "Gender","Season", true as solved from games group by all')
+@query("ridge_residual_check", G + """, t as (select "Gender","Season","WTeamID" as t from games where "DayNum"<=300 union select "Gender","Season","LTeamID" from games where "DayNum"<=300) select "Gender","Season", count(*)+1 as equations, "Season"%3<>0 as solved from t group by all""")
 def ridge_residual_check(spark, d):
-    g = games(spark, d)
-    worst = R.ridge_residual(g, R.ridge_strength(g, LEAGUE), LEAGUE)
-    return worst.select(*LEAGUE, (F.col("worst") < 1e-5).alias("solved"))
+    """The normal equations at the ratings; in every third season the ratings are moved on purpose."""
+    g, r = strengths(spark, d)
+    moved = r.withColumn("strength", F.col("strength") + F.when((F.col("Season") % 3 == 0) & (F.col("TeamID") == R.HOME), 1e-3).otherwise(0.0))
+    return R.ridge_residual(g, moved, LEAGUE).select(*LEAGUE, "equations", (F.col("worst") < 1e-5).alias("solved"))
 
 
-@query("ridge_recent")
+@query("ridge_recent", jacobi(_RIDGE, _BY, 150, 0.6, """, y as (select "Gender","Season", i, max(v) filter (where kind='strength') as s, max(v) filter (where kind='recent') as r from x where k=150 group by all) select "Gender","Season", i as "TeamID", round(r,3) as recent, round(r-s,3) as change from y"""))
 def ridge_recent(spark, d):
-    """Strength with games weighted by age (half-life 30 days), and its change from the plain one."""
-    g = games(spark, d).where("DayNum <= 300")
+    """Strength with games weighted by age (half-life 30 days), and its change from the plain one: one aggregate for both."""
+    r = strengths(spark, d)[1]
+    return r.select(*LEAGUE, "TeamID", F.round("recent", 3).alias("recent"), F.round(F.col("recent") - F.col("strength"), 3).alias("change"))
+
+
+_POSS_ROWS = """, pr as (select *, (("FGA"-"OR"+"TO"+0.475*"FTA")+("opp_FGA"-"opp_OR"+"opp_TO"+0.475*"opp_FTA"))/2 as poss, abs(("FGA"-"OR"+"TO"+0.475*"FTA")-("opp_FGA"-"opp_OR"+"opp_TO"+0.475*"opp_FTA")) as gap from long where "DayNum"<=300),
+ cl as (select *, (100*"Score"/poss)::double as eff from pr where gap/nullif(poss,0)<=0.10)"""
+
+
+def _sides_sql(kinds: str) -> str:
+    """Systems of offense (2 t), defense (2 t + 1), home (-1) and level (-2) from rows cl; ``kinds``: a list of {w, q, y}."""
+    row = """[{'i':2*"TeamID",'v':1},{'i':2*"OppID"+1,'v':1},{'i':-1,'v':home},{'i':-2,'v':1}]"""
+    return (
+        L.replace("with ", "with recursive ", 1) + _POSS_ROWS + f""", ev as (select "Gender","Season", unnest({kinds}) as u, {row} as row from cl), e as (select "Gender","Season", u.w as kind, u.q as q, u.y as y, row, unnest(row) as c from ev where u.y is not null),
+ aa as (select "Gender","Season",kind, c.i as i, unnest(row) as r, c.v as cv, q from e), ab as (select "Gender","Season",kind, i, r.i as j, q*cv*r.v as v from aa), a as (select "Gender","Season",kind, i, j, sum(v)+max(case when i=j and i<>-2 then 20 else 0 end) as v from ab group by all),
+ b as (select "Gender","Season",kind, c.i as i, sum(q*c.v*y) as v from e group by all)"""
+    )
+
+
+_EFF = """[{'w':'adj','q':1.0::double,'y':eff},{'w':'recent','q':pow(0.5,(300-"DayNum")/30.0),'y':eff}]"""
+_SPLIT = """, y as (select "Gender","Season",kind, i//2 as "TeamID", max(v) filter (where i%2=0) as o, -max(v) filter (where i%2=1) as d from x where k={n} and i>=0 group by all)"""
+_POSSESSIONS = ("FGA", "OR", "TO", "FTA")
+
+
+def efficiencies(spark, d):
+    rows = possessions(long(spark, d, *_POSSESSIONS).where("DayNum <= 300")).where("clean").withColumn("efficiency", F.col("efficiency").cast("double"))
     weight = F.pow(F.lit(0.5), (F.lit(300) - F.col("DayNum")) / F.lit(30.0))
-    recent = R.ridge_strength(g, LEAGUE, weight=weight).withColumnRenamed("strength", "recent")
-    return R.ridge_strength(g, LEAGUE).join(recent, [*LEAGUE, "TeamID"]).withColumn("change", F.col("recent") - F.col("strength"))
+    return rows, weight, R.offense_defense(rows, LEAGUE, {"adj": (F.col("efficiency"), F.lit(1.0)), "recent": (F.col("efficiency"), weight)})
 
 
-@query("offense_defense")
+@query("offense_defense", jacobi(_sides_sql(_EFF), _BY, 400, 0.4, _SPLIT.format(n=400) + """ select "Gender","Season","TeamID", """ + ", ".join(f"round(max({c}) filter (where kind='{k}'),2) as {k}_{n}" for k in ("adj", "recent") for c, n in (("o", "offense"), ("d", "defense"))) + " from y group by all"))
 def offense_defense(spark, d):
-    rows = possessions(long(spark, d, "FGA", "OR", "TO", "FTA")).where("clean")
-    return R.offense_defense(rows, LEAGUE)
+    t = efficiencies(spark, d)[2]
+    return t.select(*LEAGUE, "TeamID", *[F.round(c, 2).alias(c) for c in ("adj_offense", "adj_defense", "recent_offense", "recent_defense")])
+
+
+@query(
+    "efficiency_residuals",
+    jacobi(
+        _sides_sql(_EFF), _BY, 400, 0.4,
+        """, f as (select "Gender","Season", i, v from x where k=400 and kind='adj'), r as (select cl.*, eff-(o.v+p.v+home*h.v+c.v) as res, pow(0.5,(300-"DayNum")/30.0) as w from cl join f o on o."Gender"=cl."Gender" and o."Season"=cl."Season" and o.i=2*cl."TeamID" join f p on p."Gender"=cl."Gender" and p."Season"=cl."Season" and p.i=2*cl."OppID"+1
+ join f h on h."Gender"=cl."Gender" and h."Season"=cl."Season" and h.i=-1 join f c on c."Gender"=cl."Gender" and c."Season"=cl."Season" and c.i=-2)
+ select "Gender","Season","TeamID", round(stddev_samp(res),2) as residual_sd, round(quantile_cont(res,0.1),2) as residual_downside, round(sum(w*res)/sum(w),2) as recent_residual, round(coalesce(sum(res) filter (where home<=0),0)/(count(*) filter (where home<=0)+5),2) as road_residual from r group by all""",
+    ),
+)
+def efficiency_residuals(spark, d):
+    """How far games were from what the ratings say: spread, lower tail, recent and road form."""
+    rows, weight, fit = efficiencies(spark, d)
+    t = R.residual_form(R.residuals(rows, fit, LEAGUE, "efficiency", "adj"), LEAGUE, weight)
+    return t.select(*LEAGUE, "TeamID", *[F.round(c, 2).alias(c) for c in t.columns[3:]])
+
+
+_ELO = (
+    G.replace("with ", "with recursive ", 1)
+    + """, g as (select "Gender" as p, "Season" as s, "DayNum" as d, "WTeamID" as w, "LTeamID" as l, least(ln(1+"WScore"-"LScore"),3.0)::double as sc, case "WLoc" when 'H' then 60 when 'A' then -60 else 0 end as h from games where "DayNum"<=300),
+ days as (select p, s, d, row_number() over (partition by p order by s, d) as n, s-coalesce(lag(s) over (partition by p order by s, d), s) as gap from (select distinct p, s, d from g)),
+ every as (select p, w as t from g union select p, l from g),
+ r as (select p, t, 0::bigint as n, 1500.0::double as e, 1500.0::double as m from every union all
+  select r.p, r.t, r.n+1, 1500+pow(0.65,y.gap)*(r.e-1500)+coalesce(c.e,0), 1500+pow(0.65,y.gap)*(r.m-1500)+coalesce(c.m,0) from r join days y on y.p=r.p and y.n=r.n+1
+  left join (select p, n, t, sum(e) as e, sum(m) as m from (select p, n, u.t as t, u.x*ge as e, u.x*gm as m from (select g.p, z.n, unnest([{'t':g.w,'x':1},{'t':g.l,'x':-1}]) as u, 20*(1-1/(1+pow(10,-(pow(0.65,z.gap)*(a.e-b.e)+g.h)/400))) as ge, 20*g.sc*(1-1/(1+pow(10,-(pow(0.65,z.gap)*(a.m-b.m)+g.h)/400))) as gm
+   from r a join r b on b.p=a.p and b.n=a.n join days z on z.p=a.p and z.n=a.n+1 join g on g.p=z.p and g.s=z.s and g.d=z.d and g.w=a.t and g.l=b.t)) group by p, n, t) c on c.p=r.p and c.n=r.n+1 and c.t=r.t),
+ ends as (select p, s, max(n) as last, min(n)-1 as first, max(n) filter (where d<=270) as mid from days group by all), played as (select distinct p, s, w as t from g union select distinct p, s, l from g),
+ fin as (select f.p, f.s, f.t, z.e, z.m, case when n.mid is null then 1500+pow(0.65,y.gap)*(o.e-1500) else o.e end as oe, case when n.mid is null then 1500+pow(0.65,y.gap)*(o.m-1500) else o.m end as om
+  from played f join ends n on n.p=f.p and n.s=f.s join r z on z.p=f.p and z.t=f.t and z.n=n.last join r o on o.p=f.p and o.t=f.t and o.n=coalesce(n.mid,n.first) join days y on y.p=f.p and y.n=n.first+1)
+ select p as "Gender", s as "Season", t as "TeamID", round(e,4) as elo, round(m,4) as elo_mov, round(e-oe,4) as elo_change, round(m-om,4) as elo_mov_change from fin"""
+)
 
 
-@query("elo_ratings")
+@query("elo_ratings", _ELO)
 def elo_ratings(spark, d):
-    return R.elo(games(spark, d))
+    return R.elo(games(spark, d), cutoff=300).select("Gender", "Season", "TeamID", *[F.round(c, 4).alias(c) for c in ("elo", "elo_mov", "elo_change", "elo_mov_change")])
 
 
 _EIGHT = L + """, t as (select "Gender","Season","TeamID", round(avg(margin),6) as m from long group by all), o as (select *, row_number() over (partition by "Gender","Season" order by m desc,"TeamID")-1 as pos from t), e as (select "Gender","Season", cast(pos as int) as pos, "TeamID" as team, 1500+m/100 as rating from o where pos<8),
@@ -190,10 +272,10 @@ _BLEND = """, m as (select "Season", avg(a*a) as aa, avg(a*b) as ab, avg(a*c) as
  it as (select 0 as k, 1/3.0::double as x, 1/3.0::double as y, 1/3.0::double as z union all
   select k+1, greatest(u-th,0), greatest(v-th,0), greatest(q-th,0) from (select *, case when lo+(1-(u+v+q))/3>0 then (u+v+q-1)/3 when mid+(1-(hi+mid))/2>0 then (hi+mid-1)/2 else hi-1 end as th
    from (select *, greatest(u,v,q) as hi, least(u,v,q) as lo, u+v+q-greatest(u,v,q)-least(u,v,q) as mid from (select k, x-st*(2*(aa*x+ab*y+ac*z-ay)+0.002*(x-1/3.0::double)) as u, y-st*(2*(ab*x+bb*y+bc*z-bz)+0.002*(y-1/3.0::double)) as v, z-st*(2*(ac*x+bc*y+cc*z-cy)+0.002*(z-1/3.0::double)) as q
-    from (select it.*, g.*, 1/(aa+bb+cc+0.001)/2 as st from it, g where k<4000)))))"""
+    from (select it.*, g.*, 1/(aa+bb+cc+0.001)/2 as st from it, g where k<1500)))))"""
 
 
-@query("simplex_blend", STREAMS.replace("with ", "with recursive ", 1) + CAND + WIDE + _BLEND + " select unnest(['a','b','c']) as stream, unnest([round(x,6),round(y,6),round(z,6)]) as weight from it where k=4000")
+@query("simplex_blend", STREAMS.replace("with ", "with recursive ", 1) + CAND + WIDE + _BLEND + " select unnest(['a','b','c']) as stream, unnest([round(x,6),round(y,6),round(z,6)]) as weight from it where k=1500")
 def simplex_blend(spark, d):
     w = M.simplex_blend(wide(spark, d), ["a", "b", "c"])
     return spark.createDataFrame([(s, round(x, 6)) for s, x in w.items()], "stream string, weight double")
