@@ -23,7 +23,7 @@ def jacobi(cells: str, by: str, steps: int, damp: float, out: str) -> str:
     """SQL: solutions of the systems a (by, i, j, v), b (by, i, v), which ``cells`` defines, by damped Jacobi steps."""
     q = [c.strip() for c in by.split(",")]
     same = lambda x, y: " and ".join(f"{x}.{c}={y}.{c}" for c in q)
-    return f"""{cells}, dg as (select {by}, i, v from a where i=j),
+    return f"""{cells}, dg as materialized (select {by}, i, v from a where i=j),
  x as (select 0 as k, {by}, i, 0.0::double as v from b union all
   select x.k+1, {", ".join(f"a.{c}" for c in q)}, a.i, max(x.v) filter (where a.i=a.j)+{damp}*(max(b.v)-sum(a.v*x.v))/max(dg.v) from a join x on {same("x", "a")} and x.i=a.j join b on {same("b", "a")} and b.i=a.i join dg on {same("dg", "a")} and dg.i=a.i where x.k<{steps} group by x.k, {", ".join(f"a.{c}" for c in q)}, a.i)
  {out}"""
@@ -33,8 +33,8 @@ _RIDGE = (
     G.replace("with ", "with recursive ", 1)
     + """, gm as (select "Gender","Season", unnest([{'w':'strength','q':1.0::double},{'w':'recent','q':pow(0.5,(300-"DayNum")/30.0)}]) as u, "WTeamID" as w, "LTeamID" as l, ("WScore"-"LScore")::double as m, case "WLoc" when 'H' then 1 when 'A' then -1 else 0 end as h from games where "DayNum"<=300),
  e as (select "Gender","Season", u.w as kind, u.q as q, m, unnest([{'i':w,'v':1},{'i':l,'v':-1},{'i':-1,'v':h}]) as c, [{'i':w,'v':1},{'i':l,'v':-1},{'i':-1,'v':h}] as row from gm),
- aa as (select "Gender","Season",kind, c.i as i, unnest(row) as r, c.v as cv, q from e), ab as (select "Gender","Season",kind, i, r.i as j, q*cv*r.v as v from aa), a as (select "Gender","Season",kind, i, j, sum(v)+max(case when i=j then 20 else 0 end) as v from ab group by all),
- b as (select "Gender","Season",kind, c.i as i, sum(q*c.v*m) as v from e group by all)"""
+ aa as (select "Gender","Season",kind, c.i as i, unnest(row) as r, c.v as cv, q from e), ab as (select "Gender","Season",kind, i, r.i as j, q*cv*r.v as v from aa), a as materialized (select "Gender","Season",kind, i, j, sum(v)+max(case when i=j then 20 else 0 end) as v from ab group by all),
+ b as materialized (select "Gender","Season",kind, c.i as i, sum(q*c.v*m) as v from e group by all)"""
 )
 _BY = '"Gender", "Season", kind'
 
@@ -74,8 +74,8 @@ def _sides_sql(kinds: str) -> str:
     row = """[{'i':2*"TeamID",'v':1},{'i':2*"OppID"+1,'v':1},{'i':-1,'v':home},{'i':-2,'v':1}]"""
     return (
         L.replace("with ", "with recursive ", 1) + _POSS_ROWS + f""", ev as (select "Gender","Season", unnest({kinds}) as u, {row} as row from cl), e as (select "Gender","Season", u.w as kind, u.q as q, u.y as y, row, unnest(row) as c from ev where u.y is not null),
- aa as (select "Gender","Season",kind, c.i as i, unnest(row) as r, c.v as cv, q from e), ab as (select "Gender","Season",kind, i, r.i as j, q*cv*r.v as v from aa), a as (select "Gender","Season",kind, i, j, sum(v)+max(case when i=j and i<>-2 then 20 else 0 end) as v from ab group by all),
- b as (select "Gender","Season",kind, c.i as i, sum(q*c.v*y) as v from e group by all)"""
+ aa as (select "Gender","Season",kind, c.i as i, unnest(row) as r, c.v as cv, q from e), ab as (select "Gender","Season",kind, i, r.i as j, q*cv*r.v as v from aa), a as materialized (select "Gender","Season",kind, i, j, sum(v)+max(case when i=j and i<>-2 then 20 else 0 end) as v from ab group by all),
+ b as materialized (select "Gender","Season",kind, c.i as i, sum(q*c.v*y) as v from e group by all)"""
     )
 
 
@@ -268,7 +268,7 @@ def walk_forward_boosted(spark, d):
     return M.walk_forward(matrix(spark, d), FEATURES, "Season", boosted=True)
 
 
-_BLEND = """, m as (select "Season", avg(a*a) as aa, avg(a*b) as ab, avg(a*c) as ac, avg(b*b) as bb, avg(b*c) as bc, avg(c*c) as cc, avg(a*y) as ay, avg(b*y) as bz, avg(c*y) as cy from w group by all), g as (select avg(aa) as aa, avg(ab) as ab, avg(ac) as ac, avg(bb) as bb, avg(bc) as bc, avg(cc) as cc, avg(ay) as ay, avg(bz) as bz, avg(cy) as cy from m),
+_BLEND = """, m as (select "Season", avg(a*a) as aa, avg(a*b) as ab, avg(a*c) as ac, avg(b*b) as bb, avg(b*c) as bc, avg(c*c) as cc, avg(a*y) as ay, avg(b*y) as bz, avg(c*y) as cy from w group by all), g as materialized (select avg(aa) as aa, avg(ab) as ab, avg(ac) as ac, avg(bb) as bb, avg(bc) as bc, avg(cc) as cc, avg(ay) as ay, avg(bz) as bz, avg(cy) as cy from m),
  it as (select 0 as k, 1/3.0::double as x, 1/3.0::double as y, 1/3.0::double as z union all
   select k+1, greatest(u-th,0), greatest(v-th,0), greatest(q-th,0) from (select *, case when lo+(1-(u+v+q))/3>0 then (u+v+q-1)/3 when mid+(1-(hi+mid))/2>0 then (hi+mid-1)/2 else hi-1 end as th
    from (select *, greatest(u,v,q) as hi, least(u,v,q) as lo, u+v+q-greatest(u,v,q)-least(u,v,q) as mid from (select k, x-st*(2*(aa*x+ab*y+ac*z-ay)+0.002*(x-1/3.0::double)) as u, y-st*(2*(ab*x+bb*y+bc*z-bz)+0.002*(y-1/3.0::double)) as v, z-st*(2*(ac*x+bc*y+cc*z-cy)+0.002*(z-1/3.0::double)) as q

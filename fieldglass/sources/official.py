@@ -55,7 +55,7 @@ def inventory(spark: SparkSession, folder: str, suffix: str = ".csv", encoding:
     lines = spark.read.option("encoding", encoding).option("pathGlobFilter", f"*{suffix}").text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
     rows = lines.groupBy("path").agg((F.count(F.when(F.trim("value") != "", 1)) - 1).alias("rows"))
     name = lambda c: F.element_at(F.split(c, "/"), -1)
-    files = raw.select(name("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.size(F.split(F.element_at(F.split(F.decode("content", F.lit(encoding)), "\r?\n"), 1), ",")).alias("columns"))
+    files = raw.select(name("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.size(F.split(F.element_at(F.split(F.decode("content", encoding), "\r?\n"), 1), ",")).alias("columns"))
     return files.join(rows.select(name("path").alias("file"), "rows"), "file", "left")
 
 

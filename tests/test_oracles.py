@@ -41,10 +41,3 @@ def test_query_equals_its_statement(spark, duck, name):
     assert sorted(df.columns) == sorted(names)
     assert {c: KINDS.get(t, t) for c, t in df.dtypes} == {n: k.replace("STRING", "VARCHAR") for n, k in zip(names, kinds, strict=True)}
     assert rows(df.columns, got) == rows(names, cur.fetchall())
-
-
-@pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tables are not here")
-@pytest.mark.parametrize("name", ["ridge_strength", "elo_ratings", "offense_defense", "ridge_recent"])
-def test_rating_queries_have_rows_without_nulls(spark, name):
-    got = registry.queries()[name](spark, SF).collect()
-    assert got and all(v is not None for r in got for v in r)

@@ -16,7 +16,7 @@ def league(spark, seasons):
 
 @pytest.mark.parametrize("name", ["walk_forward_logistic", "walk_forward_boosted"])
 def test_all_seasons_but_the_first_are_forecast(spark, monkeypatch, name):
-    df = league(spark, [1997, 1998, 1999, 2001])
+    df = league(spark, [1997, 1998, 1999, 2001]).selectExpr("*", "'M' as Gender", "1 as GameNo")
     monkeypatch.setattr(plans, "matrix", lambda spark, d: df)
     got = {(r.Season, r["count"]) for r in registry.queries()[name](spark, "").groupBy("Season").count().collect()}
     assert got == {(1998, 30), (1999, 30), (2001, 30)}
