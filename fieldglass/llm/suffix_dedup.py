@@ -40,7 +40,7 @@ U = np.uint64
 GRAM = 64
 #: Bytes of contexts that one suffix array takes at most (a single context is never split), and contexts of one gram.
 SHARD_BYTES = 2 << 20
-SHARD_CONTEXTS = 4096
+SHARD_CONTEXTS = 1024
 
 
 def window_minimum(v: np.ndarray, w: int) -> np.ndarray:
