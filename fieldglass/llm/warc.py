@@ -198,10 +198,15 @@ def assemble(records: DataFrame) -> DataFrame:
     return groups.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest("n", F.lit(1)).cast("int")))).drop("n")
 
 
-def with_referred(captures: DataFrame) -> DataFrame:
-    """Captures with ``refers_to``: the metadata fields of the capture that a revisit's record names; else null."""
-    target = captures.where("response.type = 'response'").select(F.col("response.record_id").alias("known"), F.col("metadata.fields").alias("refers_to")).dropDuplicates(["known"])
-    return captures.join(target, F.col("response.refers_to") == F.col("known"), "left").drop("known")
+def with_referred(captures: DataFrame, scratch: Scratch) -> DataFrame:
+    """Captures with ``refers_to``: the metadata fields of the capture that a revisit's record names; else null.
+
+    Only revisits are joined, with a table of the responses, so Spark can split a response that very many refer to."""
+    known = captures.where("response.type = 'response'").select(F.col("response.record_id").alias("known"), F.col("metadata.fields").alias("refers_to"))
+    known = scratch.put(known.dropDuplicates(["known"]), "responses")
+    to = F.col("response.refers_to")
+    revisits = captures.where(to.isNotNull()).join(known, to == F.col("known"), "left").drop("known")
+    return revisits.unionByName(captures.where(to.isNull()).withColumn("refers_to", F.lit(None).cast("string")))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +214,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = scratch.put(write_archives(table(spark, sf_dir, "pages"), scratch.path("files")), "manifest")
     captures = scratch.put(assemble(read_archives(manifest, scratch.path("files"), with_payload=False)), "captures")
     page = lambda c: F.get_json_object(c, "$.page_id").cast("long")
-    return with_referred(captures).select(
+    return with_referred(captures, scratch).select(
         page("metadata.fields").alias("page_id"), "response.payload_bytes", "response.payload_digest",
         F.col("response.type").alias("record_type"), page("refers_to").alias("refers_to"),
     )

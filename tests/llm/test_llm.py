@@ -566,7 +566,7 @@ def test_archives_round_trip(spark):
     manifest = scratch.put(warc.write_archives(df, scratch.path("f"), archive_bytes=2000), "m")
     records = warc.read_archives(manifest, scratch.path("f"))
     assert records.where("type = 'warcinfo'").count() == manifest.count()
-    captures = warc.with_referred(warc.assemble(records)).collect()
+    captures = warc.with_referred(warc.assemble(records), scratch).collect()
     assert len(captures) == len(rows) and all(c.request and c.metadata for c in captures)
     got = Counter()
     for c in captures:
