@@ -84,3 +84,54 @@ def blend(rows: DataFrame, stream: str, weights: dict[str, float], keys: list[st
     w = F.element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]), F.col(stream))
     t = rows.where(F.col(stream).isin(*weights)).groupBy(*keys).agg(F.sum(w * F.col("p")).alias("p"), F.countDistinct(stream).alias("_n"))
     return t.select(*keys, F.when(F.col("_n") == len(weights), F.col("p")).alias("p"))
+
+
+def season_losses(rows: DataFrame, keys: list[str], temperatures: list[float], season: str = "Season") -> DataFrame:
+    """(keys, season, t, loss): mean squared error of every season at each temperature; one scan, then a small table."""
+    from fieldglass.functions.stats import temperature
+
+    made = [F.avg(F.pow(temperature("p", t) - F.col("y"), F.lit(2.0))).alias(f"l{i}") for i, t in enumerate(temperatures)]
+    cells = F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"l{i}").alias("loss")) for i, t in enumerate(temperatures)])
+    return rows.groupBy(*keys, season).agg(*made).select(*keys, season, F.inline(cells))
+
+
+def prequential(losses: DataFrame, keys: list[str], season: str = "Season") -> DataFrame:
+    """(keys, season, method, temperature, identity, brier) for seasons with two or more before them.
+
+    A season's temperature is the best over strictly earlier seasons, which weigh the same. Whether it is used is decided by
+    how such forward choices did, against leaving forecasts alone, over the earlier seasons that had one themselves.
+    """
+    ahead = Window.partitionBy(*keys, "t").orderBy(season).rowsBetween(Window.unboundedPreceding, -1)
+    past = losses.withColumn("past", F.round(F.avg("loss").over(ahead), 12)).withColumn("seen", F.count(F.lit(1)).over(ahead))
+    now = past.groupBy(*keys, season).agg(F.min(F.when(F.col("seen") > 0, F.struct("past", "t"))).alias("b"), F.max("seen").alias("seen"), F.max(F.when(F.col("t") == 1.0, F.col("loss"))).alias("identity"), F.map_from_entries(F.collect_list(F.struct("t", "loss"))).alias("at"))
+    now = now.withColumn("fitted", F.try_element_at("at", F.col("b.t")))
+    tried = Window.partitionBy(*keys).orderBy(season).rowsBetween(Window.unboundedPreceding, -1)
+    fair = lambda c: F.avg(F.when(F.col("seen") > 0, F.col(c))).over(tried)
+    use = F.round(fair("fitted"), 12) < F.round(fair("identity"), 12)
+    out = now.withColumn("use", use).where("seen >= 2")
+    return out.select(*keys, season, F.when(F.col("use"), "temperature").otherwise("identity").alias("method"), F.when(F.col("use"), F.col("b.t")).otherwise(1.0).alias("temperature"), "identity", F.when(F.col("use"), F.col("fitted")).otherwise(F.col("identity")).alias("brier"))
+
+
+def diversity(rows: DataFrame, stream: str, game: list[str]) -> DataFrame:
+    """(one, two, games, mean_gap, max_gap) of every pair of streams over the games that both forecast."""
+    a = rows.select(*game, F.col(stream).alias("one"), F.col("p").alias("_p"))
+    b = rows.select(*game, F.col(stream).alias("two"), F.col("p").alias("_q"))
+    gap = F.abs(F.col("_p") - F.col("_q"))
+    return a.join(b, game).where("one < two").groupBy("one", "two").agg(F.count(F.lit(1)).alias("games"), F.avg(gap).alias("mean_gap"), F.max(gap).alias("max_gap"))
+
+
+def pairing_gaps(a: DataFrame, b: DataFrame, game: list[str]) -> DataFrame:
+    """(game, rule) where two streams can't be paired: a game that only one has, or labels that differ. Games are unique in each."""
+    j = a.select(*game, F.col("y").alias("_a")).join(b.select(*game, F.col("y").alias("_b")), game, "full")
+    rule = F.when(F.col("_b").isNull(), "only one").when(F.col("_a").isNull(), "only two").when(F.col("_a") != F.col("_b"), "labels")
+    return j.select(*game, rule.alias("rule")).where("rule is not null")
+
+
+def permuted(df: DataFrame, column: str, order: list, mix: list) -> DataFrame:
+    """df with the column dealt anew: the row that is n-th by ``order`` gets the value of the row that is n-th by ``mix``. Both
+    orders are range-partitioned sorts, so no window holds all rows."""
+    from fieldglass.sinks import ordered_rows
+
+    rows = ordered_rows(df, order, "_n")
+    other = ordered_rows(df.select(column, *[c.alias(f"_o{i}") for i, c in enumerate(mix)]), [F.col(f"_o{i}") for i in range(len(mix))], "_n")
+    return rows.drop(column).join(other.select("_n", column), "_n").select(*df.columns)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fieldglass.functions.stats import ratio, temperature
 from fieldglass.operators import evaluate as E
 from fieldglass.operators import ratings as R
-from fieldglass.plans.forecasts import S
+from fieldglass.plans.forecasts import CAND, S, candidates
 from fieldglass.plans.models import _BY, _SPLIT, _sides_sql, jacobi
 from fieldglass.plans.ranks import CONF, CUTOFF, STALE, TEAMS, _panel_sql, conferences, matchups, panel
 from fieldglass.plans.teams import CONTEXTS, KEY, L, QK, SEEDS, SIGNALS, _UNPIVOT, long, possessions, r6, seeds, signal_rows
@@ -17,14 +17,14 @@ from fieldglass.sources.league import RANKINGS_SQL, games, streams
 STATS = ["mean", "sd", "low", "high"]
 
 
-def registry_rows() -> list[tuple[str, str, str]]:
-    """(name, family, policy) of every column that the wide candidate matrix has."""
-    return [(f"{s}__{c}__{a}", c, "null if no game is in the context") for s in SIGNALS for c in CONTEXTS for a in STATS]
+def registry_rows() -> list[tuple[str, str, str, str]]:
+    """(name, signal, context, policy) of every value column of ``candidate_matrix``."""
+    return [(f"{s}__{c}__{a}", s, c, "null if no game is in the context") for s in SIGNALS[:3] for c in CONTEXTS for a in ("mean", "high")]
 
 
-@query("feature_registry")
+@query("feature_registry", f"select s||'__'||c||'__'||a as feature, s as signal, c as context, 'null if no game is in the context' as policy from (select unnest({SIGNALS[:3]}) as s), (select unnest({list(CONTEXTS)}) as c), (select unnest(['mean','high']) as a)")
 def feature_registry(spark, d):
-    return spark.createDataFrame(registry_rows(), "feature string, family string, policy string")
+    return spark.createDataFrame(registry_rows(), "feature string, signal string, context string, policy string")
 
 
 @query("candidate_matrix", L + f""", u as ({_UNPIVOT}) select {QK}, """ + ", ".join(f"round({fn}(value) filter (where context='{c}' and signal='{s}'),6) as \"{s}__{c}__{a}\"" for s in SIGNALS[:3] for c in CONTEXTS for a, fn in (("mean", "avg"), ("high", "max"))) + " from u group by all")
@@ -60,14 +60,40 @@ def route_counts(spark, d):
     return pairs.withColumn("route", F.when(diff.isNull(), "seed_free").otherwise("seeded")).groupBy("Gender", "route").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(diff)).alias("mean_diff"))
 
 
-@query(
-    "interactions",
-    L + TEAMS + """ select p."Gender",p."Season",p."Team1ID",p."Team2ID", round((a.strength+b.strength)/2,4) as level, round(abs(a.strength-b.strength)/nullif(abs(a.strength)+abs(b.strength),0),6) as gap, case when a.strength>b.strength then 1 when a.strength<b.strength then -1 else 0 end as favourite from pairs p left join t a on a."Gender"=p."Gender" and a."Season"=p."Season" and a."TeamID"=p."Team1ID" left join t b on b."Gender"=p."Gender" and b."Season"=p."Season" and b."TeamID"=p."Team2ID" where a.strength is not null and b.strength is not null""",
-)
+_INTER = """, rg as (select *, (("FGA"-"OR"+"TO"+0.475*"FTA")+("opp_FGA"-"opp_OR"+"opp_TO"+0.475*"opp_FTA"))/2 as poss from long where "DayNum"<=300),
+ lg as (select "Gender","Season", (sum("FGM3")+0.5::double)/(sum("FGA3")+1) as prior from rg group by all),
+ tm as (select "Gender","Season","TeamID", avg(margin) as strength, avg((poss*40/(40+5*"NumOT"))::double) as tempo, sum("FGM3")::double as m3, sum("FGA3")::double as a3, sum("opp_FGM3")::double as om3, sum("opp_FGA3")::double as oa3, 3.0::double*sum("FGM3")/nullif(sum("Score"),0) as dep,
+  avg((100*"Score"/poss)::double) as o, avg((100*"OppScore"/poss)::double) as q, avg((100*"Score"/poss)::double) filter (where "DayNum">270) as ro, avg((100*"OppScore"/poss)::double) filter (where "DayNum">270) as rq from rg group by all),
+ st as (select tm.*, (m3+100*prior)/(a3+100) as post, (om3+100*prior)/(oa3+100) as opost, ((m3+100*prior)/(a3+100))*(1-(m3+100*prior)/(a3+100))/(a3+101) as u2 from tm join lg using ("Gender","Season"))"""
+_SIX = """round((a.strength-b.strength)*(a.tempo+b.tempo)/140,2) as pace_strength, round((a.strength-b.strength)*sqrt(a.u2+b.u2),3) as uncertainty_strength, round((a.strength-b.strength)*(a.dep+b.dep),3) as three_variance_strength,
+ round(a.post*b.opost-b.post*a.opost,6) as shooting_style, round((a.o*b.q-b.o*a.q)/1000000,3) as offense_defense, round((a.ro*b.rq-b.ro*a.rq)/1000000,3) as recent_offense_defense"""
+
+
+@query("interactions", L + _INTER + ', p as (select distinct "Gender","Season", least("TeamID","OppID") as "Team1ID", greatest("TeamID","OppID") as "Team2ID" from long where "DayNum">300) select p.*, ' + _SIX + ' from p join st a on a."Gender"=p."Gender" and a."Season"=p."Season" and a."TeamID"=p."Team1ID" join st b on b."Gender"=p."Gender" and b."Season"=p."Season" and b."TeamID"=p."Team2ID"')
 def interactions(spark, d):
-    m = matchups(spark, d).where("a_strength is not null and b_strength is not null")
-    a, b = F.col("a_strength"), F.col("b_strength")
-    return m.select("Gender", "Season", "Team1ID", "Team2ID", F.round((a + b) / 2, 4).alias("level"), r6(ratio(F.abs(a - b), F.abs(a) + F.abs(b))).alias("gap"), F.when(a > b, 1).when(a < b, -1).otherwise(0).alias("favourite"))
+    """The six products of both teams' figures: pace, uncertainty and three-point dependence of a strength gap, style, attack
+    against defense over the season and lately. Swapping the teams negates each."""
+    from fieldglass.operators.joins import antisymmetric, pair_roles
+
+    rows = possessions(long(spark, d, "FGA", "OR", "TO", "FTA", "FGM3", "FGA3").where("DayNum <= 300"))
+    c, league = F.col, ["Gender", "Season"]
+    eff = lambda x: (100 * c(x) / c("poss")).cast("double")
+    late = lambda x: F.avg(F.when(c("DayNum") > 270, eff(x)))
+    total = lambda x: F.sum(x).cast("double")
+    t = rows.groupBy(*KEY).agg(
+        F.avg("margin").alias("strength"), F.avg(c("tempo").cast("double")).alias("tempo"), total("FGM3").alias("m3"), total("FGA3").alias("a3"), total("opp_FGM3").alias("om3"), total("opp_FGA3").alias("oa3"),
+        (3.0 * total("FGM3") / F.nullif(total("Score"), F.lit(0.0))).alias("dep"), F.avg(eff("Score")).alias("o"), F.avg(eff("OppScore")).alias("q"), late("Score").alias("ro"), late("OppScore").alias("rq"),
+    )
+    prior = t.groupBy(*league).agg(((F.sum("m3") + 0.5) / (F.sum("a3") + 1)).alias("prior"))
+    post = lambda m, a: (c(m) + 100 * c("prior")) / (c(a) + 100)
+    t = t.join(prior, league).withColumns({"post": post("m3", "a3"), "opost": post("om3", "oa3"), "u2": post("m3", "a3") * (1 - post("m3", "a3")) / (c("a3") + 101)})
+    pairs = long(spark, d).where("DayNum > 300").select(*league, F.least("TeamID", "OppID").alias("Team1ID"), F.greatest("TeamID", "OppID").alias("Team2ID")).distinct()
+    r = pair_roles(pairs, t, league).where("a_strength is not null and b_strength is not null")
+    gap, both = c("a_strength") - c("b_strength"), lambda x: c(f"a_{x}") + c(f"b_{x}")
+    return r.select(
+        *league, "Team1ID", "Team2ID", F.round(gap * both("tempo") / 140, 2).alias("pace_strength"), F.round(gap * F.sqrt(both("u2")), 3).alias("uncertainty_strength"), F.round(gap * both("dep"), 3).alias("three_variance_strength"),
+        r6(antisymmetric("post", "opost")).alias("shooting_style"), F.round(antisymmetric("o", "q") / 1000000, 3).alias("offense_defense"), F.round(antisymmetric("ro", "rq") / 1000000, 3).alias("recent_offense_defense"),
+    )
 
 
 @query("known_default_lookup", L + CONF + """, wins as (select "TeamID", count(*) as w from long where win=1 and "Season"=1996 group by all), t as (select distinct "TeamID" from long) select t."TeamID", case when conf.conf is not null and region<>3 then coalesce(w,0) end as wins from t left join conf using ("TeamID") left join wins using ("TeamID")""")
@@ -100,22 +126,39 @@ def system_coverage(spark, d):
     return t.crossJoin(F.broadcast(total)).select("SystemName", "published", "teams", r6(F.col("teams") * F.lit(1.0) / F.col("all")).alias("coverage"))
 
 
-_GRID = [0.8, 1.0, 1.5]
+_GRID = [0.5, 0.75, 1.0, 1.25, 1.5, 2.0]
+
+
+def _preq(rows: str, key: str) -> str:
+    """SQL tables l (losses), n (a season's best earlier temperature and how it did) and c (the choice), by ``key``."""
+    k = f'partition by {key}'
+    return f"""l as (select {key},"Season",t, avg(pow(1/(1+exp(-ln(p/(1-p))/t))-y,2)) as loss from {rows}, (values {", ".join(f"({t}::double)" for t in _GRID)}) v(t) group by all),
+ h as (select *, round(avg(loss) over (partition by {key},t order by "Season" rows between unbounded preceding and 1 preceding),12) as past, count(*) over (partition by {key},t order by "Season" rows between unbounded preceding and 1 preceding) as seen from l),
+ n as (select *, max(case when t=1.0 then loss end) over (partition by {key},"Season") as ident, row_number() over (partition by {key},"Season" order by past, t) as rn from h),
+ c as (select {key},"Season", t, seen, ident, loss as fitted, round(avg(case when seen>0 then loss end) over ({k} order by "Season" rows between unbounded preceding and 1 preceding),12)<round(avg(case when seen>0 then ident end) over ({k} order by "Season" rows between unbounded preceding and 1 preceding),12) as use from n where rn=1)"""
+
+
+_CHOSEN = """case when use then 'temperature' else 'identity' end as method, case when use then t else 1.0::double end as temperature, round(ident,6) as identity, round(case when use then fitted else ident end,6) as brier"""
+
+
+@query("prequential_calibration", S + ", " + _preq("stream", "stream") + f' select stream,"Season", {_CHOSEN} from c where seen>=2')
+def prequential_calibration(spark, d):
+    """For each season whether earlier seasons speak for a temperature, which, and how it did."""
+    t = E.prequential(E.season_losses(streams(spark, d), ["stream"], _GRID), ["stream"])
+    return t.select("stream", "Season", "method", "temperature", r6("identity").alias("identity"), r6("brier").alias("brier"))
 
 
 @query(
-    "prequential_calibration",
-    S + """, w as (select stream,"Season",t, avg(pow(1/(1+exp(-ln(p/(1-p))/t))-y,2)) as loss from stream, (values (0.8::double),(1.0::double),(1.5::double)) v(t) group by all), past as (select n.stream, n."Season", w.t, round(avg(w.loss),12) as loss from (select distinct stream,"Season" from w) n join w on w.stream=n.stream and w."Season"<n."Season" group by all), o as (select *, row_number() over (partition by stream,"Season" order by loss, t) as rn from past)
- select o.stream, o."Season", o.t as temperature, round(w.loss,6) as brier from o join w on w.stream=o.stream and w."Season"=o."Season" and w.t=o.t where rn=1""",
+    "outer_evaluation",
+    S + CAND + ", " + _preq("cand", "candidate") + f""", b as (select candidate,"Season",avg(pow(p-y,2)) as brier from cand group by all), past as (select t."Season", b.candidate, round(avg(b.brier),12) as past, count(*) as before from (select distinct "Season" from b) t join b on b."Season"<t."Season" group by all),
+ o as (select *, row_number() over (partition by "Season" order by past, candidate) as pick from past) select o."Season", o.candidate, {_CHOSEN} from o join c on c."Season"=o."Season" and c.candidate=o.candidate where pick=1 and before>=3""",
 )
-def prequential_calibration(spark, d):
-    """For each season the temperature that was best over strictly earlier seasons, and how it did."""
-    t = F.explode(F.array(*[F.lit(x) for x in _GRID])).alias("t")
-    w = streams(spark, d).select("stream", "Season", "p", "y", t).groupBy("stream", "Season", "t").agg(F.avg(F.pow(temperature("p", F.col("t")) - F.col("y"), F.lit(2.0))).alias("loss"))
-    now = w.select("stream", F.col("Season").alias("target")).distinct()
-    past = now.join(w, "stream").where("Season < target").groupBy("stream", "target", "t").agg(F.round(F.avg("loss"), 12).alias("past"))
-    best = past.groupBy("stream", "target").agg(F.min(F.struct("past", "t")).alias("b")).select("stream", F.col("target").alias("Season"), F.col("b.t").alias("t"))
-    return best.join(w, ["stream", "Season", "t"]).select("stream", "Season", F.col("t").alias("temperature"), r6("loss").alias("brier"))
+def outer_evaluation(spark, d):
+    """Seasons with three or more before them, each with the candidate and the calibration that earlier seasons choose."""
+    rows = candidates(spark, d)
+    chosen = E.forward_choice(rows).where("seasons_seen >= 3").select("Season", "candidate")
+    t = E.prequential(E.season_losses(rows, ["candidate"], _GRID), ["candidate"]).join(chosen, ["Season", "candidate"])
+    return t.select("Season", "candidate", "method", "temperature", r6("identity").alias("identity"), r6("brier").alias("brier"))
 
 
 @query(

@@ -156,12 +156,25 @@ def blend_verify(spark, d):
     return recorded.join(rebuilt, keys).groupBy("Season").agg(F.count(F.lit(1)).alias("games"), r6(brier()).alias("brier"), F.count(F.when(off, 1)).alias("violations"))
 
 
-@query("stream_diversity", S + CAND + _WIDE + " select 'flat' as one, 'raw' as two, round(avg(abs(a-b)),6) as mean_gap, round(max(abs(a-b)),6) as max_gap from w union all select 'flat','sharp', round(avg(abs(b-c)),6), round(max(abs(b-c)),6) from w union all select 'raw','sharp', round(avg(abs(a-c)),6), round(max(abs(a-c)),6) from w")
+@query(
+    "stream_diversity",
+    S + CAND + """, g as (select "Season","DayNum","GameNo",line,candidate,min(p) as p from cand group by all) select a.candidate as one, b.candidate as two, count(*) as games, round(avg(abs(a.p-b.p)),6) as mean_gap, round(max(abs(a.p-b.p)),6) as max_gap from g a join g b using ("Season","DayNum","GameNo",line) where a.candidate<b.candidate group by all""",
+)
 def stream_diversity(spark, d):
-    """All pairs of streams; the streams are columns of one row, so no self-join."""
-    t = wide(spark, d)
-    gaps = F.array(*[F.struct(F.lit(x).alias("one"), F.lit(y).alias("two"), F.abs(F.col(i) - F.col(j)).alias("gap")) for x, y, i, j in (("flat", "raw", "b", "a"), ("flat", "sharp", "b", "c"), ("raw", "sharp", "a", "c"))])
-    return t.select(F.inline(gaps)).groupBy("one", "two").agg(r6(F.avg("gap")).alias("mean_gap"), r6(F.max("gap")).alias("max_gap"))
+    keys = ["Season", "DayNum", "GameNo", "line"]
+    t = E.diversity(candidates(spark, d).groupBy(*keys, "candidate").agg(F.min("p").alias("p")), "candidate", keys)
+    return t.select("one", "two", "games", r6("mean_gap").alias("mean_gap"), r6("max_gap").alias("max_gap"))
+
+
+@query(
+    "pairing_gaps",
+    """with a as (select o_orderkey as g, (o_totalprice>150000)::int as y from orders where o_orderkey%7<>0), b as (select o_orderkey as g, case when o_orderkey%10=4 then 1-(o_totalprice>150000)::int else (o_totalprice>150000)::int end as y from orders where o_orderkey%9<>0)
+ select rule, count(*) as n from (select 'only one' as rule from a where g not in (select g from b) union all select 'only two' from b where g not in (select g from a) union all select 'labels' from a join b using (g) where a.y<>b.y) group by all""",
+)
+def pairing_gaps(spark, d):
+    o = table(spark, d, "orders", "o_orderkey", "o_totalprice").select(F.col("o_orderkey").alias("g"), (F.col("o_totalprice") > 150000).cast("int").alias("y"))
+    flipped = o.where("g % 9 <> 0").withColumn("y", F.when(F.col("g") % 10 == 4, 1 - F.col("y")).otherwise(F.col("y")))
+    return E.pairing_gaps(o.where("g % 7 <> 0"), flipped, ["g"]).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("stream_crossproduct", S + """, m as (select distinct "Season" as men from stream), w as (select distinct stream as women from stream) select men, women, men||'-'||women as id from m, w""")
@@ -218,18 +231,33 @@ def baseline_delta(spark, d):
     return x.groupBy("candidate").agg(F.count(F.when(F.round("d", 12) < 0, 1)).alias("improved"), r6(F.max("d")).alias("worst"), r6(F.avg("d")).alias("mean"))
 
 
+_TIES = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate"]
+_MODEL = {"l_discount": (0.05, 0.9), "l_tax": (0.04, -0.8), "l_quantity": (25.0, 0.1)}
+
+
+def _shuffled(f: str, k: int) -> str:
+    z = "+".join(f"{'o.v' if n == f else 'e.' + n}/{s}*{c}" for n, (s, c) in _MODEL.items())
+    return f"""select '{f}' as feature, {k} as repeat, avg(pow(1/(1+exp(-({z})))-y,2))-(select avg(pow(p-y,2)) from e) as rise from e join (select {f} as v, row_number() over (order by sha256('{f}:{k}:'||l_orderkey||':'||l_linenumber), {", ".join(_TIES)}) as n from lineitem) o using (n)"""
+
+
 @query(
     "permutation_importance",
-    S + """, o as (select stream,"Season",p,y,"GameNo",line, row_number() over (partition by stream,"Season" order by "GameNo",line,p,y) as pos, row_number() over (partition by stream,"Season" order by substr(sha256('3:'||"GameNo"||':'||line||':'||cast(y as varchar)),1,12),"GameNo",line,p,y) as mix from stream)
- select a.stream, round(avg(pow(b.p-a.y,2))-avg(pow(a.p-a.y,2)),6) as importance from o a join o b on a.stream=b.stream and a."Season"=b."Season" and a.pos=b.mix group by all""",
+    f"""with e as (select *, (l_returnflag='R')::int as y, 1/(1+exp(-({"+".join(f"{n}/{s}*{c}" for n, (s, c) in _MODEL.items())}))) as p, row_number() over (order by {", ".join(_TIES)}) as n from lineitem), r as ("""
+    + " union all ".join(_shuffled(f, k) for f in _MODEL for k in (1, 2))
+    + ") select feature, count(*) as repeats, round(avg(rise),6) as importance from r group by all",
 )
 def permutation_importance(spark, d):
-    """Rise of the Brier score when p is shuffled within a season; the shuffle is an order by hash."""
-    s = streams(spark, d).withColumn("h", F.substring(F.sha2(F.concat_ws(":", F.lit("3"), "GameNo", "line", "y"), 256), 1, 12))
-    part = Window.partitionBy("stream", "Season")
-    o = s.select("stream", "Season", "p", "y", F.row_number().over(part.orderBy("GameNo", "line", "p", "y")).alias("pos"), F.row_number().over(part.orderBy("h", "GameNo", "line", "p", "y")).alias("mix"))
-    b = o.select("stream", "Season", F.col("mix").alias("pos"), F.col("p").alias("q"))
-    return o.join(b, ["stream", "Season", "pos"]).groupBy("stream").agg(r6(F.avg(F.pow(F.col("q") - F.col("y"), F.lit(2.0))) - brier()).alias("importance"))
+    """Rise of a frozen model's Brier score when one of its features is dealt anew to the rows, twice."""
+    rows = table(spark, d, "lineitem", *_TIES)
+    y = (F.col("l_returnflag") == "R").cast("int")
+    loss = lambda t: score_frozen(t, _MODEL).agg(F.avg(F.pow(F.col("p") - y, F.lit(2.0))).alias("loss"))
+    base, out = loss(rows).withColumnRenamed("loss", "base"), None  # one row
+    for f in _MODEL:
+        for k in (1, 2):
+            h = F.sha2(F.concat_ws(":", F.lit(f), F.lit(str(k)), "l_orderkey", "l_linenumber"), 256)
+            t = loss(E.permuted(rows, f, [F.col(c) for c in _TIES], [h, *[F.col(c) for c in _TIES]])).withColumn("feature", F.lit(f))
+            out = t if out is None else out.unionByName(t)
+    return out.crossJoin(base).groupBy("feature").agg(F.count(F.lit(1)).alias("repeats"), r6(F.avg(F.col("loss") - F.col("base"))).alias("importance"))
 
 
 @query("screening_correlation", "select round(abs(corr(l_quantity, case when l_returnflag='R' then 1 else 0 end)),6) as quantity, round(abs(corr(l_discount, case when l_returnflag='R' then 1 else 0 end)),6) as discount, round(abs(corr(l_tax, case when l_returnflag='R' then 1 else 0 end)),6) as tax from lineitem")
