@@ -78,3 +78,8 @@ def union_all(*frames: DataFrame) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
+
+
+def to_date(text: Column | str, pattern: str = "yyyy-MM-dd") -> Column:
+    """The date that a text says; null where it says none."""
+    return F.try_to_date(F.col(text) if isinstance(text, str) else text, pattern)

@@ -40,3 +40,10 @@ def run_lengths(df: DataFrame, keys: list[str], step: str) -> DataFrame:
 def equal_season_weight(season: str, n_seasons: Column) -> Column:
     """1 / (seasons x rows of the season): every season weighs the same."""
     return 1.0 / (n_seasons * F.count(F.lit(1)).over(Window.partitionBy(season)))
+
+
+def best_distinct(df: DataFrame, content: str, own: list, order: list, most: int, out: str) -> DataFrame:
+    """The ``most`` first rows by ``order`` among one row a content (the first by ``own``), numbered from 0 in ``out``."""
+    w = Window.partitionBy(content).orderBy(*own)
+    first = df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").orderBy(*order).limit(most)
+    return first.withColumn(out, (F.row_number().over(Window.orderBy(*order)) - 1).cast("int"))  # of ``most`` rows

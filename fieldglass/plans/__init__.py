@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["teams", "ranks", "forecasts", "audits", "models", "features", "bank", "history", "contracts"]
+MODULES = ["teams", "ranks", "forecasts", "audits", "models", "features", "bank", "history", "contracts", "extras"]
 
 
 def load() -> None:

@@ -199,9 +199,3 @@ def residual_form(spark, d):
     j = rows.join(t, KEY).join(t.select("Gender", "Season", F.col("TeamID").alias("OppID"), F.col("m").alias("o")), ["Gender", "Season", "OppID"])
     res = F.col("margin") - (F.col("m") - F.col("o"))
     return j.withColumn("res", res).groupBy(*KEY).agg(F.round(F.stddev_samp("res"), 4).alias("sd"), F.round(quantile("res", 0.1), 4).alias("q10"), F.round(shrunk_mean("res", 5.0, F.col("home") == -1), 4).alias("road"))
-
-
-@query("official_games_roundtrip", L + 'select count(*)//2 as games, count(distinct "GameNo") as keys from long')
-def official_games_roundtrip(spark, d):
-    g = games(spark, d).select("GameNo")
-    return g.agg(F.count(F.lit(1)).alias("games"), F.countDistinct("GameNo").alias("keys"))

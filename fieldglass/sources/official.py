@@ -78,3 +78,19 @@ def fitted_block(spark: SparkSession, path: str, schema: str, where: str, order:
     t = spark.read.option("header", True).option("mode", "FAILFAST").schema(schema).csv(path).where(where)
     require_empty(repeated(t, keys, "repeated"), "repeated keys")
     return t.orderBy(*order)
+
+
+def write_official(games: DataFrame, folder: str, stem: str) -> None:
+    """One folder of CSV a population and stem, named as the official file is; rows need Gender and the stem's columns."""
+    cols = [c.split()[0] for c in SCHEMAS[stem].split(", ")]
+    for g in "MW":
+        games.where(F.col("Gender") == g).select(*cols).write.mode("errorifexists").option("header", True).csv(f"{folder}/{g}{stem}.csv")
+
+
+def official_results(spark: SparkSession, folder: str, stem: str) -> DataFrame:
+    """Both populations' rows of a stem, with declared types; malformed rows fail the read."""
+    out = None
+    for g in "MW":
+        t = spark.read.option("header", True).option("mode", "FAILFAST").schema(SCHEMAS[stem]).csv(f"{folder}/{g}{stem}.csv").withColumn("Gender", F.lit(g))
+        out = t if out is None else out.unionByName(t)
+    return out
