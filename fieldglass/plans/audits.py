@@ -21,37 +21,65 @@ def game_violations(spark, d):
     return C.violations(bad, C.game_rules(), ["GameNo"]).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("duplicate_games", G + ' select "Gender","Season","DayNum", least("WTeamID","LTeamID") as low, greatest("WTeamID","LTeamID") as high, count(*) as n from games group by all having count(*)>1')
+@query(
+    "duplicate_games",
+    G + """ select "Gender","Season","DayNum", least("WTeamID","LTeamID") as low, greatest("WTeamID","LTeamID") as high, count(*) as n
+ from games group by all having count(*)>1""",
+)
 def duplicate_games(spark, d):
     return C.duplicate_games(games(spark, d).select("Gender", "Season", "DayNum", "WTeamID", "LTeamID"))
 
 
-@query("raw_audit", G + """ select * from (select 'winner ahead' as "check", count(*) filter (where "WScore"<="LScore")=0 as passed, 'error' as severity, count(*) filter (where "WScore"<="LScore") as failures from games union all select 'possession gap', count(*) filter (where abs("WFGA"-"WOR"+"WTO"-"LFGA"+"LOR"-"LTO")>7)=0, 'warning', count(*) filter (where abs("WFGA"-"WOR"+"WTO"-"LFGA"+"LOR"-"LTO")>7) from games union all select 'three of made', count(*) filter (where "WFGM3">"WFGM")=0, 'error', count(*) filter (where "WFGM3">"WFGM") from games)""")
+@query("raw_audit", G + """ select * from (select 'winner ahead' as "check", count(*) filter (where "WScore"<="LScore")=0 as passed,
+ 'error' as severity, count(*) filter (where "WScore"<="LScore") as failures from games union all select 'possession gap', count(*)
+ filter (where abs("WFGA"-"WOR"+"WTO"-"LFGA"+"LOR"-"LTO")>7)=0, 'warning', count(*) filter (where
+ abs("WFGA"-"WOR"+"WTO"-"LFGA"+"LOR"-"LTO")>7) from games union all select 'three of made', count(*) filter (where "WFGM3">"WFGM")=0,
+ 'error', count(*) filter (where "WFGM3">"WFGM") from games)""")
 def raw_audit(spark, d):
     c = F.col
     gap = F.abs(c("WFGA") - c("WOR") + c("WTO") - c("LFGA") + c("LOR") - c("LTO"))
     return C.audit(games(spark, d), {"winner ahead": (c("WScore") <= c("LScore"), "error"), "possession gap": (gap > 7, "warning"), "three of made": (c("WFGM3") > c("WFGM"), "error")})
 
 
-@query("inventory", "select 'o_orderkey' as \"column\", count(*) as rows, count(*)-count(o_orderkey) as missing, count(distinct o_orderkey) as distinct, cast(min(o_orderkey) as varchar) as low, cast(max(o_orderkey) as varchar) as high from orders union all select 'o_orderstatus', count(*), count(*)-count(o_orderstatus), count(distinct o_orderstatus), min(o_orderstatus), max(o_orderstatus) from orders union all select 'o_orderpriority', count(*), count(*)-count(o_orderpriority), count(distinct o_orderpriority), min(o_orderpriority), max(o_orderpriority) from orders")
+@query(
+    "inventory",
+    """select 'o_orderkey' as "column", count(*) as rows, count(*)-count(o_orderkey) as missing, count(distinct o_orderkey) as distinct,
+ cast(min(o_orderkey) as varchar) as low, cast(max(o_orderkey) as varchar) as high from orders union all select 'o_orderstatus',
+ count(*), count(*)-count(o_orderstatus), count(distinct o_orderstatus), min(o_orderstatus), max(o_orderstatus) from orders union all
+ select 'o_orderpriority', count(*), count(*)-count(o_orderpriority), count(distinct o_orderpriority), min(o_orderpriority),
+ max(o_orderpriority) from orders""",
+)
 def inventory(spark, d):
     return C.column_profile(table(spark, d, "orders"), ["o_orderkey", "o_orderstatus", "o_orderpriority"])
 
 
-@query("ranking_integrity", f"with {RANKINGS_SQL} select \"SystemName\", count(*) filter (where \"OrdinalRank\"<1) as nonpositive, count(*)-count(distinct (\"RankingDayNum\",\"TeamID\")) as repeated, count(*) filter (where trim(\"SystemName\")='') as blank from rankings group by all")
+@query(
+    "ranking_integrity",
+    f"""with {RANKINGS_SQL} select "SystemName", count(*) filter (where "OrdinalRank"<1) as nonpositive, count(*)-count(distinct
+ ("RankingDayNum","TeamID")) as repeated, count(*) filter (where trim("SystemName")='') as blank from rankings group by all""",
+)
 def ranking_integrity(spark, d):
     r = rankings(spark, d)
     return r.groupBy("SystemName").agg(F.count(F.when(F.col("OrdinalRank") < 1, 1)).alias("nonpositive"), (F.count(F.lit(1)) - F.countDistinct("RankingDayNum", "TeamID")).alias("repeated"), F.count(F.when(F.trim("SystemName") == "", 1)).alias("blank"))
 
 
-@query("conference_uniqueness", "select cast(s_suppkey as bigint) as s_suppkey, count(*) as n from supplier group by all having count(*)>1 union all select s_nationkey, count(*) from supplier group by all having count(*)>3")
+@query(
+    "conference_uniqueness",
+    """select cast(s_suppkey as bigint) as s_suppkey, count(*) as n from supplier group by all having count(*)>1 union all select
+ s_nationkey, count(*) from supplier group by all having count(*)>3""",
+)
 def conference_uniqueness(spark, d):
     s = table(spark, d, "supplier", "s_suppkey", "s_nationkey")
     one = s.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return one.unionByName(s.groupBy(F.col("s_nationkey").cast("long").alias("s_suppkey")).agg(F.count(F.lit(1)).alias("n")).where("n > 3"))
 
 
-@query("season_overlap", G + ', m as (select distinct "WTeamID" as t from games where "Gender"=\'M\'), w as (select distinct "LTeamID" as t from games where "Gender"=\'W\') select (select count(*) from (select t from m intersect select t from w)) as shared, (select count(*) from (select t from m except select t from w)) as men_only')
+@query(
+    "season_overlap",
+    G + """, m as (select distinct "WTeamID" as t from games where "Gender"='M'), w as (select distinct "LTeamID" as t from games where
+ "Gender"='W') select (select count(*) from (select t from m intersect select t from w)) as shared, (select count(*) from (select t from
+ m except select t from w)) as men_only""",
+)
 def season_overlap(spark, d):
     g = games(spark, d)
     m, w = g.where("Gender = 'M'").select(F.col("WTeamID").alias("t")).distinct(), g.where("Gender = 'W'").select(F.col("LTeamID").alias("t")).distinct()
@@ -59,18 +87,30 @@ def season_overlap(spark, d):
     return both.agg(F.count(F.when(F.col("m").isNotNull() & F.col("w").isNotNull(), 1)).alias("shared"), F.count(F.when(F.col("w").isNull(), 1)).alias("men_only"))
 
 
-@query("population_equality", "select side, count(*) as n from (select 'left' as side, * from (select l_suppkey, l_linestatus from lineitem where l_quantity<25 except all select l_suppkey, l_linestatus from lineitem where l_quantity>25) union all select 'right', * from (select l_suppkey, l_linestatus from lineitem where l_quantity>25 except all select l_suppkey, l_linestatus from lineitem where l_quantity<25)) group by all")
+@query(
+    "population_equality",
+    """select side, count(*) as n from (select 'left' as side, * from (select l_suppkey, l_linestatus from lineitem where l_quantity<25
+ except all select l_suppkey, l_linestatus from lineitem where l_quantity>25) union all select 'right', * from (select l_suppkey,
+ l_linestatus from lineitem where l_quantity>25 except all select l_suppkey, l_linestatus from lineitem where l_quantity<25)) group by all""",
+)
 def population_equality(spark, d):
     t = table(spark, d, "lineitem", "l_suppkey", "l_linestatus", "l_quantity")
     return C.differing(t.where("l_quantity < 25").drop("l_quantity"), t.where("l_quantity > 25").drop("l_quantity")).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("distinct_team_ids", G + ' select distinct t as "TeamID" from (select "WTeamID" as t from games union all select "LTeamID" from games)')
+@query(
+    "distinct_team_ids",
+    G + """ select distinct t as "TeamID" from (select "WTeamID" as t from games union all select "LTeamID" from games)""",
+)
 def distinct_team_ids(spark, d):
     return games(spark, d).select(F.explode(F.array("WTeamID", "LTeamID")).alias("TeamID")).distinct()
 
 
-@query("template_order", "select cast(row_number() over (order by o_totalprice desc, o_orderkey)-1 as bigint) as row_ord, o_orderkey, o_totalprice from orders where o_orderstatus='F'")
+@query(
+    "template_order",
+    """select cast(row_number() over (order by o_totalprice desc, o_orderkey)-1 as bigint) as row_ord, o_orderkey, o_totalprice from
+ orders where o_orderstatus='F'""",
+)
 def template_order(spark, d):
     """Positions from one range-partitioned sort, not a window over the whole table."""
     from fieldglass.sinks import ordered_rows
@@ -78,33 +118,45 @@ def template_order(spark, d):
     return ordered_rows(table(spark, d, "orders", "o_orderkey", "o_totalprice", "o_orderstatus").where("o_orderstatus = 'F'").drop("o_orderstatus"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], "row_ord")
 
 
-@query("submission_violations", """with s as (select '2026_'||l_partkey||'_'||l_suppkey as "ID", l_discount*12 as "Pred" from lineitem), v as (select 'order' as rule from s where cast(split_part("ID",'_',2) as int)>=cast(split_part("ID",'_',3) as int) union all select 'range' from s where "Pred">1) select rule, count(*) as n from v group by all""")
+@query("submission_violations", """with s as (select '2026_'||l_partkey||'_'||l_suppkey as "ID", l_discount*12 as "Pred" from lineitem),
+ v as (select 'order' as rule from s where cast(split_part("ID",'_',2) as int)>=cast(split_part("ID",'_',3) as int) union all select
+ 'range' from s where "Pred">1) select rule, count(*) as n from v group by all""")
 def submission_violations(spark, d):
     s = table(spark, d, "lineitem", "l_partkey", "l_suppkey", "l_discount").select(F.concat_ws("_", F.lit("2026"), "l_partkey", "l_suppkey").alias("ID"), (F.col("l_discount") * 12).alias("Pred"))
     return C.violations(s, C.submission_rules(), []).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("late_sources", "select event_type, case when props is null then 'UNKNOWN_TIMING' when ts<=timestamp '2024-01-20 00:00:00' then 'ELIGIBLE' else 'LATE_SOURCE' end as status, count(*) as n from events group by all")
+@query(
+    "late_sources",
+    """select event_type, case when props is null then 'UNKNOWN_TIMING' when ts<=timestamp '2024-01-20 00:00:00' then 'ELIGIBLE' else
+ 'LATE_SOURCE' end as status, count(*) as n from events group by all""",
+)
 def late_sources(spark, d):
     status = F.when(F.col("props").isNull(), "UNKNOWN_TIMING").when(F.col("ts") <= F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), "ELIGIBLE").otherwise("LATE_SOURCE")
     return table(spark, d, "events", "event_type", "ts", "props").groupBy("event_type", status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("json_fields", "select event_type, count(*) as n, round(avg(cast(json_extract(props,'$.k') as double)),6) as mean_k from events group by all")
+@query(
+    "json_fields",
+    """select event_type, count(*) as n, round(avg(cast(json_extract(props,'$.k') as double)),6) as mean_k from events group by all""",
+)
 def json_fields(spark, d):
     k = F.from_json("props", "k double", {"mode": "PERMISSIVE"})["k"]
     return table(spark, d, "events", "event_type", "props").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(k)).alias("mean_k"))
 
 
-_LEDGER = """, s as (select distinct "Gender","Season","TeamID" from long where "DayNum"%3=0), n as (select "Gender","Season", count(*) as current from s group by all),
+_LEDGER = """, s as (select distinct "Gender","Season","TeamID" from long where "DayNum"%3=0), n as (select "Gender","Season", count(*)
+ as current from s group by all),
  g as (select "Gender", "Season", lag("Season") over (partition by "Gender" order by "Season") as before from n)"""
 
 
 @query(
     "ledger_conservation",
     L + _LEDGER + """, x as (select g.*, (select count(*) from s where s."Gender"=g."Gender" and s."Season"=g.before) as prior,
-   (select count(*) from (select "TeamID" from s where s."Gender"=g."Gender" and s."Season"=g."Season" except select "TeamID" from s where s."Gender"=g."Gender" and s."Season"=g.before)) as added,
-   (select count(*) from (select "TeamID" from s where s."Gender"=g."Gender" and s."Season"=g.before except select "TeamID" from s where s."Gender"=g."Gender" and s."Season"=g."Season")) as removed,
+   (select count(*) from (select "TeamID" from s where s."Gender"=g."Gender" and s."Season"=g."Season" except select "TeamID" from s
+ where s."Gender"=g."Gender" and s."Season"=g.before)) as added,
+   (select count(*) from (select "TeamID" from s where s."Gender"=g."Gender" and s."Season"=g.before except select "TeamID" from s where
+ s."Gender"=g."Gender" and s."Season"=g."Season")) as removed,
    (select current from n where n."Gender"=g."Gender" and n."Season"=g."Season")+case when "Season"%3=0 then 1 else 0 end as current from g)
  select "Gender","Season", prior, added, removed, current, prior+added-removed-current as gap from x""",
 )
@@ -119,7 +171,8 @@ def ledger_conservation(spark, d):
 
 @query(
     "vector_fingerprint",
-    """with s as (select event_type, event_id, event_id//1000 as run, event_id||':'||coalesce(cast(cast(round(value*1000000) as bigint) as varchar),'null') as s from events),
+    """with s as (select event_type, event_id, event_id//1000 as run, event_id||':'||coalesce(cast(cast(round(value*1000000) as bigint)
+ as varchar),'null') as s from events),
  r as (select event_type, run, sha256(string_agg(s, ',' order by event_id, s)) as d from s group by all)
  select event_type, sha256(string_agg(d, ',' order by run)) as fingerprint from r group by all""",
 )
@@ -132,27 +185,42 @@ def vector_fingerprint(spark, d):
     return runs.groupBy("event_type").agg(F.sha2(F.array_join(ordered("run", "d"), ","), 256).alias("fingerprint"))
 
 
-@query("synthetic_uniform", "select range as id, round(('0x'||substr(sha256('42:'||range),1,12))::bigint/281474976710656.0,9) as u from range(1000)")
+@query(
+    "synthetic_uniform",
+    """select range as id, round(('0x'||substr(sha256('42:'||range),1,12))::bigint/281474976710656.0,9) as u from range(1000)""",
+)
 def synthetic_uniform(spark, d):
     from fieldglass.functions.stats import uniform_hash
 
     return spark.range(1000).select("id", F.round(uniform_hash(F.lit(42), "id"), 9).alias("u"))
 
 
-@query("synthetic_league", "select cast(2000+s.range as int) as \"Season\", cast(r.range as int) as \"Round\", cast(case when g.range=0 then 11 else (r.range+g.range)%11 end as int) as home, cast(case when g.range=0 then r.range%11 else (r.range-g.range+11)%11 end as int) as away from range(6) s, range(11) r, range(6) g")
+@query(
+    "synthetic_league",
+    """select cast(2000+s.range as int) as "Season", cast(r.range as int) as "Round", cast(case when g.range=0 then 11 else
+ (r.range+g.range)%11 end as int) as home, cast(case when g.range=0 then r.range%11 else (r.range-g.range+11)%11 end as int) as away
+ from range(6) s, range(11) r, range(6) g""",
+)
 def synthetic_league(spark, d):
     from fieldglass.sources.synthetic import round_robin
 
     return round_robin(spark, seasons=6, teams=12, first=2000)
 
 
-@query("exact_decimals", "select o_orderstatus, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as total, count(*) as n from orders group by all")
+@query(
+    "exact_decimals",
+    """select o_orderstatus, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as total, count(*) as n from orders group by all""",
+)
 def exact_decimals(spark, d):
     t = table(spark, d, "orders", "o_orderstatus", "o_totalprice")
     return t.groupBy("o_orderstatus").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-@query("pushdown_scan", "select cast(year(l_shipdate) as int) as y, count(*) as n, round(sum(l_extendedprice),2) as price from lineitem where l_shipdate between timestamp '1996-01-01' and timestamp '1997-12-31' and l_quantity>30 group by all")
+@query(
+    "pushdown_scan",
+    """select cast(year(l_shipdate) as int) as y, count(*) as n, round(sum(l_extendedprice),2) as price from lineitem where l_shipdate
+ between timestamp '1996-01-01' and timestamp '1997-12-31' and l_quantity>30 group by all""",
+)
 def pushdown_scan(spark, d):
     t = table(spark, d, "lineitem").where(F.col("l_shipdate").between(F.lit("1996-01-01").cast("timestamp_ntz"), F.lit("1997-12-31").cast("timestamp_ntz")) & (F.col("l_quantity") > 30))
     return t.groupBy(F.year("l_shipdate").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("price"))

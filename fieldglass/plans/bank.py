@@ -47,7 +47,8 @@ def _union(**where) -> str:
     return " union all ".join(f"select sig.*, '{n}' as context from sig where {w}" for n, w in where.items())
 
 
-_LAST7 = f"""select * exclude (rn), 'last7games' as context from (select *, row_number() over (partition by {QK} order by "DayNum" desc, "OppID" desc, "GameNo" desc) as rn from sig) where rn<=7"""
+_LAST7 = f"""select * exclude (rn), 'last7games' as context from (select *, row_number() over (partition by {QK} order by "DayNum" desc,
+ "OppID" desc, "GameNo" desc) as rn from sig) where rn<=7"""
 
 
 @query("bank_windows", SIG + _described(_union(season="true", last30days='"DayNum">270', last60days='"DayNum">240') + " union all " + _LAST7, B.STATS))
@@ -60,8 +61,10 @@ def bank_venues(spark, d):
     return _rounded(B.venues(signal_rows(spark, d)), B.SMALL)
 
 
-_MET = """, q as (select "Gender","Season", quantile_cont(strength,0.25) as q25, quantile_cont(strength,0.5) as q50, quantile_cont(strength,0.75) as q75 from s group by all),
- met as (select sig.*, s.strength, q25, q50, q75 from sig join s on s."Gender"=sig."Gender" and s."Season"=sig."Season" and s."TeamID"=sig."OppID" join q on q."Gender"=sig."Gender" and q."Season"=sig."Season")"""
+_MET = """, q as (select "Gender","Season", quantile_cont(strength,0.25) as q25, quantile_cont(strength,0.5) as q50,
+ quantile_cont(strength,0.75) as q75 from s group by all),
+ met as (select sig.*, s.strength, q25, q50, q75 from sig join s on s."Gender"=sig."Gender" and s."Season"=sig."Season" and
+ s."TeamID"=sig."OppID" join q on q."Gender"=sig."Gender" and q."Season"=sig."Season")"""
 
 
 @query(
@@ -75,11 +78,15 @@ def bank_opponents(spark, d):
 @query(
     "bank_trajectories",
     SIG
-    + f""", u as (select * from (select {QK}, "DayNum", {_ON} from sig) unpivot include nulls (value for signal in ({_ON}))), day as (select {QK}, signal, "DayNum", avg(value) as value from u group by all),
- o as (select *, abs(value-lag(value) over (partition by {QK}, signal order by "DayNum")) as step, "DayNum">=avg("DayNum") over (partition by {QK}, signal) as late from day)
- select {QK}, signal, round(case when count(value)>=3 and var_pop("DayNum") filter (where value is not null)>0 then regr_slope(value,"DayNum") end+3e-8,4) as slope_day,
+    + f""", u as (select * from (select {QK}, "DayNum", {_ON} from sig) unpivot include nulls (value for signal in ({_ON}))), day as
+ (select {QK}, signal, "DayNum", avg(value) as value from u group by all),
+ o as (select *, abs(value-lag(value) over (partition by {QK}, signal order by "DayNum")) as step, "DayNum">=avg("DayNum") over
+ (partition by {QK}, signal) as late from day)
+ select {QK}, signal, round(case when count(value)>=3 and var_pop("DayNum") filter (where value is not null)>0 then
+ regr_slope(value,"DayNum") end+3e-8,4) as slope_day,
  round(avg(value) filter (where "DayNum">270)-avg(value) filter (where "DayNum" between 241 and 270)+3e-8,4) as recent_change,
- round(avg(value) filter (where "DayNum">270)-2*avg(value) filter (where "DayNum" between 241 and 270)+avg(value) filter (where "DayNum"<=240)+3e-8,4) as acceleration,
+ round(avg(value) filter (where "DayNum">270)-2*avg(value) filter (where "DayNum" between 241 and 270)+avg(value) filter (where
+ "DayNum"<=240)+3e-8,4) as acceleration,
  round(avg(step)+3e-8,4) as mean_abs_change, round(stddev_samp(value) filter (where late)+3e-8,4) as late_volatility from o group by all""",
 )
 def bank_trajectories(spark, d):
@@ -94,10 +101,14 @@ def _pct(value: str) -> str:
 @query(
     "bank_peers",
     SIG
-    + f""", u as (select * from (select {QK}, {_ON} from sig) unpivot include nulls (value for signal in ({_ON}))), l as (select * from (select {QK}, {_ON} from ({_LAST7})) unpivot include nulls (value for signal in ({_ON}))),
- a as (select {QK}, signal, round(avg(value),8) as m, round(stddev_samp(value),8) as s from u group by all), b as (select {QK}, signal, round(avg(value),8) as r from l group by all),
- j as (select a.*, b.r from a join b using ("Gender","Season","TeamID",signal)), z as (select "Gender","Season",signal, avg(m) as am, stddev_samp(m) as sm from j group by all)
- select "Gender","Season","TeamID",signal, {_pct("m")} as percentile, round((m-am)/nullif(sm,0),5) as zscore, {_pct("r")} as recent_percentile, {_pct("s")} as consistency_percentile from j join z using ("Gender","Season",signal)""",
+    + f""", u as (select * from (select {QK}, {_ON} from sig) unpivot include nulls (value for signal in ({_ON}))), l as (select * from
+ (select {QK}, {_ON} from ({_LAST7})) unpivot include nulls (value for signal in ({_ON}))),
+ a as (select {QK}, signal, round(avg(value),8) as m, round(stddev_samp(value),8) as s from u group by all), b as (select {QK}, signal,
+ round(avg(value),8) as r from l group by all),
+ j as (select a.*, b.r from a join b using ("Gender","Season","TeamID",signal)), z as (select "Gender","Season",signal, avg(m) as am,
+ stddev_samp(m) as sm from j group by all)
+ select "Gender","Season","TeamID",signal, {_pct("m")} as percentile, round((m-am)/nullif(sm,0),5) as zscore, {_pct("r")} as
+ recent_percentile, {_pct("s")} as consistency_percentile from j join z using ("Gender","Season",signal)""",
 )
 def bank_peers(spark, d):
     t = B.peers(B.windows(signal_rows(spark, d), CUTOFF).where("context in ('season', 'last7games')"))
@@ -116,8 +127,11 @@ def candidate_registry(spark, d):
 @query(
     "candidate_bank",
     SIG
-    + f""", u as (select * from (select {QK}, home, "DayNum", {_ON} from sig) unpivot include nulls (value for signal in ({_ON}))), t as (select {QK}, signal, count(value) as n, count(value) filter (where home<=0) as away, count(value) filter (where "DayNum">270) as late from u group by all)
- select {QK}, cast(sum(n) as double) as season_count, cast(sum(away) as double) as nonhome_count, cast(coalesce(sum(late),0) as double) as late_count, cast(max(n) filter (where signal='margin') as double) as games from t group by all""",
+    + f""", u as (select * from (select {QK}, home, "DayNum", {_ON} from sig) unpivot include nulls (value for signal in ({_ON}))), t as
+ (select {QK}, signal, count(value) as n, count(value) filter (where home<=0) as away, count(value) filter (where "DayNum">270) as late
+ from u group by all)
+ select {QK}, cast(sum(n) as double) as season_count, cast(sum(away) as double) as nonhome_count, cast(coalesce(sum(late),0) as double)
+ as late_count, cast(max(n) filter (where signal='margin') as double) as games from t group by all""",
 )
 def candidate_bank(spark, d):
     """All 2,944 columns of every team laid out wide; the query adds up the columns that count."""

@@ -23,18 +23,25 @@ def _count(df, *keys):
 
 _GAMES = (
     G
-    + """, keyed as (select *, "GameNo"%199=0 as z from games), bad as (select "Season","DayNum","WTeamID","LTeamID", case when "GameNo"%89=0 then 'nan'::double when "GameNo"%83=0 then -5.0::double else "WScore"::double end as ws, "LScore"::double as ls,
- case when "GameNo"%101=0 then 'X' when "GameNo"%103=0 then null else "WLoc" end as loc, case when "GameNo"%97=0 then "WFGM"+60 else "WFGM" end as fgm, "WFGA","WFGM3","WFGA3","WFTM","WFTA","LFGM","LFGA","LFGM3","LFGA3","LFTM","LFTA", least("WTeamID","LTeamID") as low, greatest("WTeamID","LTeamID") as high from games)"""
+    + """, keyed as (select *, "GameNo"%199=0 as z from games), bad as (select "Season","DayNum","WTeamID","LTeamID", case when
+ "GameNo"%89=0 then 'nan'::double when "GameNo"%83=0 then -5.0::double else "WScore"::double end as ws, "LScore"::double as ls,
+ case when "GameNo"%101=0 then 'X' when "GameNo"%103=0 then null else "WLoc" end as loc, case when "GameNo"%97=0 then "WFGM"+60 else
+ "WFGM" end as fgm, "WFGA","WFGM3","WFGA3","WFTM","WFTA","LFGM","LFGA","LFGM3","LFGA3","LFTM","LFTA", least("WTeamID","LTeamID") as low,
+ greatest("WTeamID","LTeamID") as high from games)"""
 )
 
 
 @query(
     "game_contract",
     _GAMES
-    + """, r as (select 'null' as rule from bad where loc is null union all select 'not finite' from bad where isnan(ws) union all select 'negative' from bad where ws<0
- union all select 'location' from bad where loc='X' union all select 'score' from bad where ws<=ls and not isnan(ws) union all select 'FGM above FGA' from bad where fgm>"WFGA" or "LFGM">"LFGA"
- union all select 'FGM3 above FGM' from bad where "WFGM3">fgm or "LFGM3">"LFGM" union all select 'FGM3 above FGA3' from bad where "WFGM3">"WFGA3" or "LFGM3">"LFGA3" union all select 'FTM above FTA' from bad where "WFTM">"WFTA" or "LFTM">"LFTA"
- union all select 'repeated' from (select 1 from bad group by "Season","DayNum",low,high having count(*)>1)) select rule, count(*) as n from r group by all""",
+    + """, r as (select 'null' as rule from bad where loc is null union all select 'not finite' from bad where isnan(ws) union all
+ select 'negative' from bad where ws<0
+ union all select 'location' from bad where loc='X' union all select 'score' from bad where ws<=ls and not isnan(ws) union all select
+ 'FGM above FGA' from bad where fgm>"WFGA" or "LFGM">"LFGA"
+ union all select 'FGM3 above FGM' from bad where "WFGM3">fgm or "LFGM3">"LFGM" union all select 'FGM3 above FGA3' from bad where
+ "WFGM3">"WFGA3" or "LFGM3">"LFGA3" union all select 'FTM above FTA' from bad where "WFTM">"WFTA" or "LFTM">"LFTA"
+ union all select 'repeated' from (select 1 from bad group by "Season","DayNum",low,high having count(*)>1)) select rule, count(*) as n
+ from r group by all""",
 )
 def game_contract(spark, d):
     n = F.col("GameNo")
@@ -48,8 +55,10 @@ def game_contract(spark, d):
 
 _MATRIX = (
     G
-    + """, late as (select *, least("WTeamID","LTeamID") as a, greatest("WTeamID","LTeamID") as b, ("WTeamID"<"LTeamID")::int as w from games where "DayNum">280),
- m as (select case when "GameNo"%61=0 then 'X' else "Gender" end as "Gender", "Season", "DayNum", case when "GameNo"%53=0 then b else a end as "Team1ID", case when "GameNo"%53=0 then a else b end as "Team2ID",
+    + """, late as (select *, least("WTeamID","LTeamID") as a, greatest("WTeamID","LTeamID") as b, ("WTeamID"<"LTeamID")::int as w from
+ games where "DayNum">280),
+ m as (select case when "GameNo"%61=0 then 'X' else "Gender" end as "Gender", "Season", "DayNum", case when "GameNo"%53=0 then b else a
+ end as "Team1ID", case when "GameNo"%53=0 then a else b end as "Team2ID",
  case when "GameNo"%59=0 then 2 when "GameNo"%67=0 then null else w end as y, "Season"||'_'||a||'_'||b as "ID" from late)"""
 )
 
@@ -57,8 +66,11 @@ _MATRIX = (
 @query(
     "matrix_contract",
     _MATRIX
-    + """, r as (select 'null' as rule from m where y is null union all select 'gender' from m where "Gender"='X' union all select 'label' from m where y=2 union all select 'season' from m where "Season" in (1998,2001)
- union all select 'day' from m where "DayNum"<=300 union all select 'order' from m where "Team1ID">="Team2ID" union all select 'id' from m where "ID"<>"Season"||'_'||"Team1ID"||'_'||"Team2ID" union all select 'repeated' from (select 1 from m group by "Gender","Season","ID" having count(*)>1)) select rule, count(*) as n from r group by all""",
+    + """, r as (select 'null' as rule from m where y is null union all select 'gender' from m where "Gender"='X' union all select
+ 'label' from m where y=2 union all select 'season' from m where "Season" in (1998,2001)
+ union all select 'day' from m where "DayNum"<=300 union all select 'order' from m where "Team1ID">="Team2ID" union all select 'id' from
+ m where "ID"<>"Season"||'_'||"Team1ID"||'_'||"Team2ID" union all select 'repeated' from (select 1 from m group by
+ "Gender","Season","ID" having count(*)>1)) select rule, count(*) as n from r group by all""",
 )
 def matrix_contract(spark, d):
     g, n = games(spark, d).where("DayNum > 280"), F.col("GameNo")
@@ -70,15 +82,20 @@ def matrix_contract(spark, d):
     return _count(C.matrix_contract(m, last_season=2000, excluded=[1998], cutoff=300))
 
 
-_TEMPLATE = L + """, known as (select distinct "Season", "TeamID"+case "Gender" when 'W' then 3000 else 1000 end as t, "Gender" as g from long),
- p as (select distinct "Season", "TeamID"+case "Gender" when 'W' then 3000 else 1000 end as a, "OppID"+case when "GameNo"%37=0 then 9000 when "GameNo"%41=0 then 4000-case "Gender" when 'W' then 3000 else 1000 end else case "Gender" when 'W' then 3000 else 1000 end end as b, "GameNo"%43=0 as odd from long),
+_TEMPLATE = L + """, known as (select distinct "Season", "TeamID"+case "Gender" when 'W' then 3000 else 1000 end as t, "Gender" as g
+ from long),
+ p as (select distinct "Season", "TeamID"+case "Gender" when 'W' then 3000 else 1000 end as a, "OppID"+case when "GameNo"%37=0 then 9000
+ when "GameNo"%41=0 then 4000-case "Gender" when 'W' then 3000 else 1000 end else case "Gender" when 'W' then 3000 else 1000 end end as
+ b, "GameNo"%43=0 as odd from long),
  t as (select distinct case when odd then 'X'||"Season"||'_'||a else "Season"||'_'||a||'_'||b end as "ID", odd, "Season" as s, a, b from p)"""
 
 
 @query(
     "template_pairs",
-    _TEMPLATE + """ select case when odd then 'pattern' when a>=b then 'order' when x.g is null or y.g is null then 'unknown team' when x.g<>y.g then 'genders differ' end as rule, case when not odd and a<b and x.g=y.g then x.g end as "Gender", count(*) as n
- from (select distinct "ID", odd, s, case when not odd then a end as a, case when not odd then b end as b from t) t left join known x on x."Season"=s and x.t=a left join known y on y."Season"=s and y.t=b group by all""",
+    _TEMPLATE + """ select case when odd then 'pattern' when a>=b then 'order' when x.g is null or y.g is null then 'unknown team' when
+ x.g<>y.g then 'genders differ' end as rule, case when not odd and a<b and x.g=y.g then x.g end as "Gender", count(*) as n
+ from (select distinct "ID", odd, s, case when not odd then a end as a, case when not odd then b end as b from t) t left join known x on
+ x."Season"=s and x.t=a left join known y on y."Season"=s and y.t=b group by all""",
 )
 def template_pairs(spark, d):
     """A template's ids resolved through the snapshot's teams; some ids are malformed, swapped or of strangers."""
@@ -91,13 +108,18 @@ def template_pairs(spark, d):
     return C.template_pairs(t, known).groupBy("rule", "Gender").agg(F.count(F.lit(1)).alias("n"))
 
 
-_INFER = L + """, w as (select distinct "Season", "Gender", "TeamID"+case "Gender" when 'W' then 3000 else 1000 end as a, "OppID"+case "Gender" when 'W' then 3000 else 1000 end as b from long where "TeamID"<"OppID" and "DayNum">300),
- i as (select "Season"||'_'||a||'_'||b as "ID", "Gender", a+b as k from w), m as (select "ID", case when k%17=0 then case "Gender" when 'W' then 'M' else 'W' end else "Gender" end as "Gender" from i where k%11<>0 union all select "ID", "Gender" from i where k%19=0), t as (select "ID" from i where k%13<>0)"""
+_INFER = L + """, w as (select distinct "Season", "Gender", "TeamID"+case "Gender" when 'W' then 3000 else 1000 end as a, "OppID"+case
+ "Gender" when 'W' then 3000 else 1000 end as b from long where "TeamID"<"OppID" and "DayNum">300),
+ i as (select "Season"||'_'||a||'_'||b as "ID", "Gender", a+b as k from w), m as (select "ID", case when k%17=0 then case "Gender" when
+ 'W' then 'M' else 'W' end else "Gender" end as "Gender" from i where k%11<>0 union all select "ID", "Gender" from i where k%19=0), t as
+ (select "ID" from i where k%13<>0)"""
 
 
 @query(
     "inference_contract",
-    _INFER + """, r as (select 'gender' as rule from m where (left(split_part("ID",'_',2),1)>='3')<>("Gender"='W') union all select 'not in template' from m where "ID" not in (select "ID" from t) union all select 'not in matrix' from t where "ID" not in (select "ID" from m)
+    _INFER + """, r as (select 'gender' as rule from m where (left(split_part("ID",'_',2),1)>='3')<>("Gender"='W') union all select
+ 'not in template' from m where "ID" not in (select "ID" from t) union all select 'not in matrix' from t where "ID" not in (select "ID"
+ from m)
  union all select 'repeated' from (select 1 from m group by "ID" having count(*)>1)) select rule, count(*) as n from r group by all""",
 )
 def inference_contract(spark, d):
@@ -112,8 +134,12 @@ def inference_contract(spark, d):
 
 @query(
     "submission_contract",
-    """with s as (select case when l_linenumber=7 then 'bad' else '2026_'||l_partkey||'_'||(l_partkey+l_linenumber-2) end as "ID", case when l_quantity=13 then null else l_discount*12 end as "Pred" from lineitem),
- r as (select 'id' as rule from s where not regexp_full_match("ID",'\\d{4}_\\d+_\\d+') union all select 'order' from s where regexp_full_match("ID",'\\d{4}_\\d+_\\d+') and try_cast(split_part("ID",'_',2) as int)>=try_cast(split_part("ID",'_',3) as int) union all select 'range' from s where "Pred" is null or "Pred">1 union all select 'repeated' from (select 1 from s group by "ID" having count(*)>1)) select rule, count(*) as n from r group by all""",
+    """with s as (select case when l_linenumber=7 then 'bad' else '2026_'||l_partkey||'_'||(l_partkey+l_linenumber-2) end as "ID", case
+ when l_quantity=13 then null else l_discount*12 end as "Pred" from lineitem),
+ r as (select 'id' as rule from s where not regexp_full_match("ID",'\\d{4}_\\d+_\\d+') union all select 'order' from s where
+ regexp_full_match("ID",'\\d{4}_\\d+_\\d+') and try_cast(split_part("ID",'_',2) as int)>=try_cast(split_part("ID",'_',3) as int) union
+ all select 'range' from s where "Pred" is null or "Pred">1 union all select 'repeated' from (select 1 from s group by "ID" having
+ count(*)>1)) select rule, count(*) as n from r group by all""",
 )
 def submission_contract(spark, d):
     t = table(spark, d, "lineitem", "l_partkey", "l_linenumber", "l_discount", "l_quantity")
@@ -124,8 +150,10 @@ def submission_contract(spark, d):
 
 @query(
     "stream_alignment",
-    """with s as (select l_orderkey as g, l_linestatus as stream, l_returnflag as f from lineitem), a as (select count(distinct stream) as n from s), k as (select g, count(distinct stream) as s, count(*) as n, min(f) as lo, max(f) as hi from s group by g),
- r as (select 'missing' as rule from k, a where k.s<a.n union all select 'repeated' from k where n>s union all select 'labels' from k where lo<>hi) select rule, count(*) as n from r group by all""",
+    """with s as (select l_orderkey as g, l_linestatus as stream, l_returnflag as f from lineitem), a as (select count(distinct stream)
+ as n from s), k as (select g, count(distinct stream) as s, count(*) as n, min(f) as lo, max(f) as hi from s group by g),
+ r as (select 'missing' as rule from k, a where k.s<a.n union all select 'repeated' from k where n>s union all select 'labels' from k
+ where lo<>hi) select rule, count(*) as n from r group by all""",
 )
 def stream_alignment(spark, d):
     t = table(spark, d, "lineitem", "l_orderkey", "l_linestatus", "l_returnflag").select(F.col("l_orderkey").alias("g"), F.col("l_linestatus").alias("stream"), F.col("l_returnflag").alias("y"))
@@ -134,8 +162,10 @@ def stream_alignment(spark, d):
 
 @query(
     "label_clock",
-    """with e as (select event_id, ts as started, case when event_id%29=0 then null when event_id%31=0 then ts-interval 1 day else ts+interval 2 day end as available, timestamp '2024-01-25 00:00:00' as fitted from events)
- select rule, count(*) as n from (select 'null clock' as rule from e where available is null union all select 'before the game' from e where available<=started union all select 'after the fit' from e where available>fitted) group by all""",
+    """with e as (select event_id, ts as started, case when event_id%29=0 then null when event_id%31=0 then ts-interval 1 day else
+ ts+interval 2 day end as available, timestamp '2024-01-25 00:00:00' as fitted from events)
+ select rule, count(*) as n from (select 'null clock' as rule from e where available is null union all select 'before the game' from e
+ where available<=started union all select 'after the fit' from e where available>fitted) group by all""",
 )
 def label_clock(spark, d):
     """Labels must be known after their game and before the fit."""
@@ -146,8 +176,12 @@ def label_clock(spark, d):
 
 @query(
     "request_contract",
-    """with r as (select event_id as id, 2024 as season, date_trunc('hour', ts) as started_at, case when event_id%23=0 then ts+interval 2 hour else date_trunc('hour', ts)-interval 1 hour end as observed_at, least(user_id, event_id%7) as team_a, greatest(user_id, event_id%7) as team_b, case when event_id%47=0 then 'nan'::double else value end as v from events),
- x as (select 'clock' as rule from r where observed_at>=started_at union all select 'teams' from r where team_a=team_b union all select 'range' from r where isnan(v) or v<1 or v>400 union all select 'repeated' from (select *, count(*) over (partition by started_at, team_a, team_b) as n from r) where n>1) select rule, count(*) as n from x group by all""",
+    """with r as (select event_id as id, 2024 as season, date_trunc('hour', ts) as started_at, case when event_id%23=0 then ts+interval
+ 2 hour else date_trunc('hour', ts)-interval 1 hour end as observed_at, least(user_id, event_id%7) as team_a, greatest(user_id,
+ event_id%7) as team_b, case when event_id%47=0 then 'nan'::double else value end as v from events),
+ x as (select 'clock' as rule from r where observed_at>=started_at union all select 'teams' from r where team_a=team_b union all select
+ 'range' from r where isnan(v) or v<1 or v>400 union all select 'repeated' from (select *, count(*) over (partition by started_at,
+ team_a, team_b) as n from r) where n>1) select rule, count(*) as n from x group by all""",
 )
 def request_contract(spark, d):
     n, hour = F.col("event_id"), F.date_trunc("hour", "ts").cast("timestamp_ntz")
@@ -161,8 +195,11 @@ def request_contract(spark, d):
 
 @query(
     "state_partition",
-    """with o as (select o_orderkey, count(*) as required, count(*) filter (where l_returnflag='A') as a, count(*) filter (where l_returnflag='N') as n, count(*) filter (where l_returnflag='R')-(o_orderkey%71=0)::int as r from orders join lineitem on l_orderkey=o_orderkey group by o_orderkey)
- select rule, count(*) as n from (select 'negative' as rule from o where r<0 union all select 'sum' from o where a+n+r<>required) group by all""",
+    """with o as (select o_orderkey, count(*) as required, count(*) filter (where l_returnflag='A') as a, count(*) filter (where
+ l_returnflag='N') as n, count(*) filter (where l_returnflag='R')-(o_orderkey%71=0)::int as r from orders join lineitem on
+ l_orderkey=o_orderkey group by o_orderkey)
+ select rule, count(*) as n from (select 'negative' as rule from o where r<0 union all select 'sum' from o where a+n+r<>required) group
+ by all""",
 )
 def state_partition(spark, d):
     lines = table(spark, d, "lineitem", "l_orderkey", "l_returnflag").join(table(spark, d, "orders", "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -172,7 +209,12 @@ def state_partition(spark, d):
     return _count(C.state_partition(o, ["o_orderkey"], "required", ["a", "n", "r"]))
 
 
-@query("ranking_coverage", "with s as (select distinct day(ts)::int as d from events), h as (select day(ts)::int as d, count(distinct event_type) as systems from events where user_id%3=0 and event_type in ('view','error','login') group by all) select d, coalesce(systems,0) as systems from s left join h using (d) where coalesce(systems,0)<3")
+@query(
+    "ranking_coverage",
+    """with s as (select distinct day(ts)::int as d from events), h as (select day(ts)::int as d, count(distinct event_type) as systems
+ from events where user_id%3=0 and event_type in ('view','error','login') group by all) select d, coalesce(systems,0) as systems from s
+ left join h using (d) where coalesce(systems,0)<3""",
+)
 def ranking_coverage(spark, d):
     """Days on which fewer than three systems ranked anyone."""
     e = table(spark, d, "events", "ts", "user_id", "event_type").select(F.dayofmonth("ts").alias("d"), "user_id", F.col("event_type").alias("SystemName"))
@@ -181,9 +223,12 @@ def ranking_coverage(spark, d):
 
 @query(
     "coach_contract",
-    L + COACHES + """, b as (select "Gender","Season","TeamID", case when "TeamID"%7=0 then "FirstDayNum"-40 else "FirstDayNum" end as f, case when "TeamID"%11=0 then -1 else "LastDayNum" end as l, case when "TeamID"%17=0 then null else "CoachName" end as c from coaches),
- o as (select *, max(l) over (partition by "Gender","Season","TeamID" order by f, l rows between unbounded preceding and 1 preceding) as reach from b)
- select rule, count(*) as n from (select 'incomplete' as rule from o where c is null union all select 'reversed' from o where f>l union all select 'overlapping' from o where reach>=f) group by all""",
+    L + COACHES + """, b as (select "Gender","Season","TeamID", case when "TeamID"%7=0 then "FirstDayNum"-40 else "FirstDayNum" end as
+ f, case when "TeamID"%11=0 then -1 else "LastDayNum" end as l, case when "TeamID"%17=0 then null else "CoachName" end as c from coaches),
+ o as (select *, max(l) over (partition by "Gender","Season","TeamID" order by f, l rows between unbounded preceding and 1 preceding) as
+ reach from b)
+ select rule, count(*) as n from (select 'incomplete' as rule from o where c is null union all select 'reversed' from o where f>l union
+ all select 'overlapping' from o where reach>=f) group by all""",
 )
 def coach_contract(spark, d):
     t = F.col("TeamID")
@@ -195,8 +240,11 @@ def coach_contract(spark, d):
 
 @query(
     "seed_contract",
-    L + SEEDS + """, s as (select "Gender","Season","TeamID","Seed", case when pos%10=3 then 310 else 290 end as day from coded union all select "Gender","Season","TeamID","Seed", 290 from coded where pos%25=4)
- select rule, count(*) as n from (select 'code' as rule from s where cast(substr("Seed",2,2) as int) not between 1 and 16 union all select 'late' from s where day>300 union all select 'repeated' from (select 1 from s group by "Gender","Season","TeamID" having count(*)>1)) group by all""",
+    L + SEEDS + """, s as (select "Gender","Season","TeamID","Seed", case when pos%10=3 then 310 else 290 end as day from coded union
+ all select "Gender","Season","TeamID","Seed", 290 from coded where pos%25=4)
+ select rule, count(*) as n from (select 'code' as rule from s where cast(substr("Seed",2,2) as int) not between 1 and 16 union all
+ select 'late' from s where day>300 union all select 'repeated' from (select 1 from s group by "Gender","Season","TeamID" having
+ count(*)>1)) group by all""",
 )
 def seed_contract(spark, d):
     s = seeds(spark, d)
@@ -204,7 +252,9 @@ def seed_contract(spark, d):
     return _count(C.seed_contract(both, KEY, "day", 300))
 
 
-_DELIVERY = """with f as (select o_orderkey as k, o_totalprice+(o_orderkey%211=0)::int as v from orders where o_orderkey%5<>0), g as (select o_orderkey as k, o_totalprice as v from orders where o_orderkey%3=0), m as (select o_orderkey as k from orders where o_orderkey%3<>0 and o_orderkey%7<>0)"""
+_DELIVERY = """with f as (select o_orderkey as k, o_totalprice+(o_orderkey%211=0)::int as v from orders where o_orderkey%5<>0), g as
+ (select o_orderkey as k, o_totalprice as v from orders where o_orderkey%3=0), m as (select o_orderkey as k from orders where
+ o_orderkey%3<>0 and o_orderkey%7<>0)"""
 
 
 @query(
@@ -219,8 +269,11 @@ def reconciled_delivery(spark, d):
 
 @query(
     "manifest_join",
-    """with s as (select o_orderkey as k from orders where o_orderkey%3<>0 union all select o_orderkey from orders where o_orderkey%50=1), f as (select o_orderkey as k from orders where o_orderkey%4<>0), k as (select distinct o_orderkey as k from orders)
- select state, count(*) as n from (select case when (select count(*) from s where s.k=k.k)>1 then 'repeated' when k.k not in (select k from f) then 'no file' when k.k not in (select k from s) then 'no score' else 'both' end as state, k.k from k where k.k in (select k from s) or k.k in (select k from f)) group by all""",
+    """with s as (select o_orderkey as k from orders where o_orderkey%3<>0 union all select o_orderkey from orders where
+ o_orderkey%50=1), f as (select o_orderkey as k from orders where o_orderkey%4<>0), k as (select distinct o_orderkey as k from orders)
+ select state, count(*) as n from (select case when (select count(*) from s where s.k=k.k)>1 then 'repeated' when k.k not in (select k
+ from f) then 'no file' when k.k not in (select k from s) then 'no score' else 'both' end as state, k.k from k where k.k in (select k
+ from s) or k.k in (select k from f)) group by all""",
 )
 def manifest_join(spark, d):
     o = table(spark, d, "orders", "o_orderkey").select(F.col("o_orderkey").alias("k"))

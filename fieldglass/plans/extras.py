@@ -19,17 +19,24 @@ from fieldglass.sources.tables import table
 
 LEAGUE = ["Gender", "Season"]
 
-_CTX = f""", rg as (select * from long where "DayNum"<=300), s as (select {QK}, avg(margin) as strength from rg group by all), q as (select "Gender","Season", quantile_cont(strength,0.75) as q75 from s group by all),
- x as (select rg.*, s.strength, (s.strength>=q75)::int as elite from rg join s{on("rg", "s", "OppID")} join q on q."Gender"=rg."Gender" and q."Season"=rg."Season")"""
+_CTX = f""", rg as (select * from long where "DayNum"<=300), s as (select {QK}, avg(margin) as strength from rg group by all), q as
+ (select "Gender","Season", quantile_cont(strength,0.75) as q75 from s group by all),
+ x as (select rg.*, s.strength, (s.strength>=q75)::int as elite from rg join s{on("rg", "s", "OppID")} join q on q."Gender"=rg."Gender"
+ and q."Season"=rg."Season")"""
 
 
 @query(
     "context_snapshot",
-    L + _CTX + f""" select {QK}, round((sum(win*elite)+2.5::double)/(sum(elite)+5),6) as elite_win_posterior, round(avg(elite),6) as elite_fraction, round(coalesce(sum(margin) filter (where elite=1),0)/(sum(elite)+5.0::double),5) as strong_margin,
- count(*) filter (where "DayNum">286) as last14, round(avg(("NumOT">0)::int),6) as overtime_fraction, round(1/(1+pow(sum("OppScore")/greatest(sum("Score"),1)::double,11.5)),6) as pythagorean, round(quantile_cont(margin,0.1),5) as lower_tail,
- round(coalesce(sum(margin) filter (where home=0),0)/(count(*) filter (where home=0)+5.0::double),5) as neutral_margin, round(coalesce(sum(margin) filter (where home=-1),0)/(count(*) filter (where home=-1)+5.0::double),5) as road_margin,
- round(stddev_samp(strength),5) as schedule_sd, cast(300-max("DayNum") as int) as rest_days, round(3.0::double*sum("FGM3")/nullif(sum("Score"),0),8) as three_dependence,
- round(sum("Ast")::double/nullif(sum("FGM"),0),6) as assist_ratio, round(sum("Ast")::double/nullif(sum("TO"),0),6) as assist_turnover, round(sum("Blk")::double/nullif(sum("opp_FGA")-sum("opp_FGA3"),0),6) as block_rate from x group by all""",
+    L + _CTX + f""" select {QK}, round((sum(win*elite)+2.5::double)/(sum(elite)+5),6) as elite_win_posterior, round(avg(elite),6) as
+ elite_fraction, round(coalesce(sum(margin) filter (where elite=1),0)/(sum(elite)+5.0::double),5) as strong_margin,
+ count(*) filter (where "DayNum">286) as last14, round(avg(("NumOT">0)::int),6) as overtime_fraction,
+ round(1/(1+pow(sum("OppScore")/greatest(sum("Score"),1)::double,11.5)),6) as pythagorean, round(quantile_cont(margin,0.1),5) as lower_tail,
+ round(coalesce(sum(margin) filter (where home=0),0)/(count(*) filter (where home=0)+5.0::double),5) as neutral_margin,
+ round(coalesce(sum(margin) filter (where home=-1),0)/(count(*) filter (where home=-1)+5.0::double),5) as road_margin,
+ round(stddev_samp(strength),5) as schedule_sd, cast(300-max("DayNum") as int) as rest_days,
+ round(3.0::double*sum("FGM3")/nullif(sum("Score"),0),8) as three_dependence,
+ round(sum("Ast")::double/nullif(sum("FGM"),0),6) as assist_ratio, round(sum("Ast")::double/nullif(sum("TO"),0),6) as assist_turnover,
+ round(sum("Blk")::double/nullif(sum("opp_FGA")-sum("opp_FGA3"),0),6) as block_rate from x group by all""",
 )
 def context_snapshot(spark, d):
     """A team's season in context: elite opponents, late and overtime games, venues, rest, style."""
@@ -49,12 +56,21 @@ def context_snapshot(spark, d):
 
 @query(
     "conference_snapshot",
-    L + CONF + _CTX + f""", cf as (select "TeamID", conf from conf where lower(conf) not in ('france','peru')), n as (select a.conf, x."Gender", x."Season", count(*) as n, sum(win) as w, sum(margin) as m, sum(strength) as o, sum(margin+strength) as j from x join cf a on a."TeamID"=x."TeamID" join cf b on b."TeamID"=x."OppID" where a.conf<>b.conf group by all),
- p as (select s.*, conf, (rank() over w+(count(*) over (partition by "Gender","Season",conf,strength)-1)/2.0)/count(*) over (partition by "Gender","Season",conf) as pct from (select "Gender","Season","TeamID", round(strength,6) as strength from s) s join cf using ("TeamID") window w as (partition by "Gender","Season",conf order by strength)),
- g as (select "Gender","Season",conf, ln(1+count(*)) as teams, avg(strength) as mean, median(strength) as mid, quantile_cont(strength,0.75) as upper, stddev_samp(strength) as sd from p group by all)
- select {", ".join(f'p."{k}"' for k in ("Gender", "Season", "TeamID"))}, p.conf, round(teams,6) as teams, round(mean,5) as mean, round(mid,5) as median, round(upper,5) as upper, round(sd,5) as sd, round(pct,6) as percentile, round(ln(1+coalesce(n,0)),6) as support, round((coalesce(w,0)+10.0::double)/(coalesce(n,0)+20),6) as win_posterior,
- round(coalesce(m,0)/(coalesce(n,0)+20.0::double),5) as margin, round(coalesce(o,0)/(coalesce(n,0)+20.0::double),5) as opponent_strength, round(coalesce(j,0)/(coalesce(n,0)+20.0::double),5) as adjusted_margin
- from p join g on g."Gender"=p."Gender" and g."Season"=p."Season" and g.conf=p.conf left join n on n."Gender"=p."Gender" and n."Season"=p."Season" and n.conf=p.conf""",
+    L + CONF + _CTX + f""", cf as (select "TeamID", conf from conf where lower(conf) not in ('france','peru')), n as (select a.conf,
+ x."Gender", x."Season", count(*) as n, sum(win) as w, sum(margin) as m, sum(strength) as o, sum(margin+strength) as j from x join cf a
+ on a."TeamID"=x."TeamID" join cf b on b."TeamID"=x."OppID" where a.conf<>b.conf group by all),
+ p as (select s.*, conf, (rank() over w+(count(*) over (partition by "Gender","Season",conf,strength)-1)/2.0)/count(*) over (partition
+ by "Gender","Season",conf) as pct from (select "Gender","Season","TeamID", round(strength,6) as strength from s) s join cf using
+ ("TeamID") window w as (partition by "Gender","Season",conf order by strength)),
+ g as (select "Gender","Season",conf, ln(1+count(*)) as teams, avg(strength) as mean, median(strength) as mid,
+ quantile_cont(strength,0.75) as upper, stddev_samp(strength) as sd from p group by all)
+ select {", ".join(f'p."{k}"' for k in ("Gender", "Season", "TeamID"))}, p.conf, round(teams,6) as teams, round(mean,5) as mean,
+ round(mid,5) as median, round(upper,5) as upper, round(sd,5) as sd, round(pct,6) as percentile, round(ln(1+coalesce(n,0)),6) as
+ support, round((coalesce(w,0)+10.0::double)/(coalesce(n,0)+20),6) as win_posterior,
+ round(coalesce(m,0)/(coalesce(n,0)+20.0::double),5) as margin, round(coalesce(o,0)/(coalesce(n,0)+20.0::double),5) as
+ opponent_strength, round(coalesce(j,0)/(coalesce(n,0)+20.0::double),5) as adjusted_margin
+ from p join g on g."Gender"=p."Gender" and g."Season"=p."Season" and g.conf=p.conf left join n on n."Gender"=p."Gender" and
+ n."Season"=p."Season" and n.conf=p.conf""",
 )
 def conference_snapshot(spark, d):
     """Peers of a team's conference, and the conference's record against others; independents (here two names) have none."""
@@ -76,10 +92,15 @@ def conference_snapshot(spark, d):
 
 @query(
     "route_predictions",
-    L + SEEDED + f""", s as (select {QK}, avg(margin) as strength from long where "DayNum"<=300 and "TeamID"%11<>0 group by all), p as (select distinct "Gender","Season", least("TeamID","OppID") as a, greatest("TeamID","OppID") as b from long where "DayNum">300)
- select p."Gender", p."Season", p.a as "Team1ID", p.b as "Team2ID", case when x.seed is not null and y.seed is not null then 'seeded' else 'seed_free' end as route,
- round(case when x.seed is not null and y.seed is not null then 1/(1+exp(-0.15*(y.seed-x.seed))) when u.strength is not null and v.strength is not null then 1/(1+exp(-(u.strength-v.strength)/10000)) else 0.5 end,6) as p
- from p left join sd x on x."Gender"=p."Gender" and x."Season"=p."Season" and x."TeamID"=p.a left join sd y on y."Gender"=p."Gender" and y."Season"=p."Season" and y."TeamID"=p.b left join s u on u."Gender"=p."Gender" and u."Season"=p."Season" and u."TeamID"=p.a left join s v on v."Gender"=p."Gender" and v."Season"=p."Season" and v."TeamID"=p.b""",
+    L + SEEDED + f""", s as (select {QK}, avg(margin) as strength from long where "DayNum"<=300 and "TeamID"%11<>0 group by all), p as
+ (select distinct "Gender","Season", least("TeamID","OppID") as a, greatest("TeamID","OppID") as b from long where "DayNum">300)
+ select p."Gender", p."Season", p.a as "Team1ID", p.b as "Team2ID", case when x.seed is not null and y.seed is not null then 'seeded'
+ else 'seed_free' end as route,
+ round(case when x.seed is not null and y.seed is not null then 1/(1+exp(-0.15*(y.seed-x.seed))) when u.strength is not null and
+ v.strength is not null then 1/(1+exp(-(u.strength-v.strength)/10000)) else 0.5 end,6) as p
+ from p left join sd x on x."Gender"=p."Gender" and x."Season"=p."Season" and x."TeamID"=p.a left join sd y on y."Gender"=p."Gender" and
+ y."Season"=p."Season" and y."TeamID"=p.b left join s u on u."Gender"=p."Gender" and u."Season"=p."Season" and u."TeamID"=p.a left join
+ s v on v."Gender"=p."Gender" and v."Season"=p."Season" and v."TeamID"=p.b""",
 )
 def route_predictions(spark, d):
     """A frozen model a route: by seeds where both teams have one, else by strength, else one half."""
@@ -96,7 +117,8 @@ def route_predictions(spark, d):
 
 @query(
     "availability_filter",
-    """select user_id, count(*) filter (where ts<=timestamp '2024-01-15 00:00:00') as usable, count(*) filter (where ts>timestamp '2024-01-15 00:00:00') as excluded_late, max(ts) filter (where ts<=timestamp '2024-01-15 00:00:00') as seen,
+    """select user_id, count(*) filter (where ts<=timestamp '2024-01-15 00:00:00') as usable, count(*) filter (where ts>timestamp
+ '2024-01-15 00:00:00') as excluded_late, max(ts) filter (where ts<=timestamp '2024-01-15 00:00:00') as seen,
  arg_max(value, (ts, event_id)) filter (where ts<=timestamp '2024-01-15 00:00:00') as value from events where event_type='view' group by all""",
 )
 def availability_filter(spark, d):
@@ -110,7 +132,8 @@ def availability_filter(spark, d):
 
 @query(
     "season_dates",
-    """with s as (select case when o_orderkey%13=0 then 'not a date' when o_orderkey%17=0 then '2001-02-30' else strftime(o_orderdate,'%Y-%m-%d') end as text from orders), p as (select try_cast(text as date) as day from s)
+    """with s as (select case when o_orderkey%13=0 then 'not a date' when o_orderkey%17=0 then '2001-02-30' else
+ strftime(o_orderdate,'%Y-%m-%d') end as text from orders), p as (select try_cast(text as date) as day from s)
  select cast(year(day) as int) as season, count(*) as n, min(day) as first, max(day) as last from p group by all""",
 )
 def season_dates(spark, d):
@@ -133,8 +156,10 @@ def ordered_matchups(spark, d):
 
 @query(
     "distinct_finalists",
-    """with c as (select c_custkey, c_acctbal, sha256(c_nationkey||'|'||c_mktsegment||'|'||cast(floor(c_acctbal/500) as bigint)) as content from customer), f as (select *, row_number() over (partition by content order by c_acctbal desc, c_custkey) as rn from c)
- select cast(row_number() over (order by c_acctbal desc, content)-1 as int) as priority, c_custkey, c_acctbal, content from f where rn=1 order by c_acctbal desc, content limit 25""",
+    """with c as (select c_custkey, c_acctbal, sha256(c_nationkey||'|'||c_mktsegment||'|'||cast(floor(c_acctbal/500) as bigint)) as
+ content from customer), f as (select *, row_number() over (partition by content order by c_acctbal desc, c_custkey) as rn from c)
+ select cast(row_number() over (order by c_acctbal desc, content)-1 as int) as priority, c_custkey, c_acctbal, content from f where rn=1
+ order by c_acctbal desc, content limit 25""",
 )
 def distinct_finalists(spark, d):
     """The 25 best rows of different content, numbered; of equal contents the best stays."""
@@ -163,7 +188,9 @@ def capacity_choice(spark, d):
 
 @query(
     "numbered_games",
-    G + """ select cast(row_number() over (order by "Season","DayNum",least("WTeamID","LTeamID"),greatest("WTeamID","LTeamID"),"GameNo")-1 as bigint) as row_ord, "Gender","Season","DayNum","GameNo", least("WTeamID","LTeamID") as "Team1ID", greatest("WTeamID","LTeamID") as "Team2ID" from games""",
+    G + """ select cast(row_number() over (order by
+ "Season","DayNum",least("WTeamID","LTeamID"),greatest("WTeamID","LTeamID"),"GameNo")-1 as bigint) as row_ord,
+ "Gender","Season","DayNum","GameNo", least("WTeamID","LTeamID") as "Team1ID", greatest("WTeamID","LTeamID") as "Team2ID" from games""",
 )
 def numbered_games(spark, d):
     from fieldglass.sinks import ordered_rows
@@ -172,7 +199,12 @@ def numbered_games(spark, d):
     return ordered_rows(canonical(games(spark, d)).select("Gender", *keys), [F.col(k) for k in keys], "row_ord")
 
 
-@query("largest_changes", G + ', s as (select "Gender","Season","WTeamID" as "TeamID", count(*) as wins from games group by all), c as (select *, wins-lag(wins) over (partition by "Gender","TeamID" order by "Season") as change from s) select "Gender","Season","TeamID", change from c where change is not null order by abs(change) desc, "Gender","Season","TeamID" limit 10')
+@query(
+    "largest_changes",
+    G + """, s as (select "Gender","Season","WTeamID" as "TeamID", count(*) as wins from games group by all), c as (select *,
+ wins-lag(wins) over (partition by "Gender","TeamID" order by "Season") as change from s) select "Gender","Season","TeamID", change from
+ c where change is not null order by abs(change) desc, "Gender","Season","TeamID" limit 10""",
+)
 def largest_changes(spark, d):
     s = games(spark, d).groupBy("Gender", "Season", F.col("WTeamID").alias("TeamID")).agg(F.count(F.lit(1)).alias("wins"))
     c = s.withColumn("change", F.col("wins") - F.lag("wins").over(Window.partitionBy("Gender", "TeamID").orderBy("Season"))).where("change is not null")
@@ -181,8 +213,10 @@ def largest_changes(spark, d):
 
 @query(
     "official_games_roundtrip",
-    G + """, g as (select distinct on ("Gender","Season","DayNum",least("WTeamID","LTeamID"),greatest("WTeamID","LTeamID")) * from games order by "Gender","Season","DayNum",least("WTeamID","LTeamID"),greatest("WTeamID","LTeamID"),"GameNo")
- select "Gender", case when "DayNum"<=300 then 'RegularSeasonCompactResults' else 'NCAATourneyCompactResults' end as stem, count(*) as games, cast(sum("WScore") as bigint) as points, cast(sum("WScore"*("DayNum"%7)) as bigint) as checked from g group by all""",
+    G + """, g as (select distinct on ("Gender","Season","DayNum",least("WTeamID","LTeamID"),greatest("WTeamID","LTeamID")) * from games
+ order by "Gender","Season","DayNum",least("WTeamID","LTeamID"),greatest("WTeamID","LTeamID"),"GameNo")
+ select "Gender", case when "DayNum"<=300 then 'RegularSeasonCompactResults' else 'NCAATourneyCompactResults' end as stem, count(*) as
+ games, cast(sum("WScore") as bigint) as points, cast(sum("WScore"*("DayNum"%7)) as bigint) as checked from g group by all""",
 )
 def official_games_roundtrip(spark, d):
     """The league's games written as official files, then read back by the catalogue and held to the games' contract."""

@@ -22,7 +22,11 @@ def registry_rows() -> list[tuple[str, str, str, str]]:
     return [(f"{s}__{c}__{a}", s, c, "null if no game is in the context") for s in SIGNALS[:3] for c in CONTEXTS for a in ("mean", "high")]
 
 
-@query("feature_registry", f"select s||'__'||c||'__'||a as feature, s as signal, c as context, 'null if no game is in the context' as policy from (select unnest({SIGNALS[:3]}) as s), (select unnest({list(CONTEXTS)}) as c), (select unnest(['mean','high']) as a)")
+@query(
+    "feature_registry",
+    f"""select s||'__'||c||'__'||a as feature, s as signal, c as context, 'null if no game is in the context' as policy from (select
+ unnest({SIGNALS[:3]}) as s), (select unnest({list(CONTEXTS)}) as c), (select unnest(['mean','high']) as a)""",
+)
 def feature_registry(spark, d):
     return spark.createDataFrame(registry_rows(), "feature string, signal string, context string, policy string")
 
@@ -47,7 +51,10 @@ def informative_columns(spark, d):
 
 @query(
     "route_counts",
-    L + SEEDS + """, s as (select "Gender","Season","TeamID",pos from coded where pos<=16), p as (select distinct "Gender","Season", least("TeamID","OppID") as a, greatest("TeamID","OppID") as b from long), j as (select p."Gender", case when x.pos is null or y.pos is null then 'seed_free' else 'seeded' end as route, x.pos-y.pos as diff from p left join s x on x."Gender"=p."Gender" and x."Season"=p."Season" and x."TeamID"=p.a left join s y on y."Gender"=p."Gender" and y."Season"=p."Season" and y."TeamID"=p.b)
+    L + SEEDS + """, s as (select "Gender","Season","TeamID",pos from coded where pos<=16), p as (select distinct "Gender","Season",
+ least("TeamID","OppID") as a, greatest("TeamID","OppID") as b from long), j as (select p."Gender", case when x.pos is null or y.pos is
+ null then 'seed_free' else 'seeded' end as route, x.pos-y.pos as diff from p left join s x on x."Gender"=p."Gender" and
+ x."Season"=p."Season" and x."TeamID"=p.a left join s y on y."Gender"=p."Gender" and y."Season"=p."Season" and y."TeamID"=p.b)
  select "Gender", route, count(*) as n, round(avg(diff),6) as mean_diff from j group by all""",
 )
 def route_counts(spark, d):
@@ -60,13 +67,20 @@ def route_counts(spark, d):
     return pairs.withColumn("route", F.when(diff.isNull(), "seed_free").otherwise("seeded")).groupBy("Gender", "route").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(diff)).alias("mean_diff"))
 
 
-_INTER = """, rg as (select *, (("FGA"-"OR"+"TO"+0.475*"FTA")+("opp_FGA"-"opp_OR"+"opp_TO"+0.475*"opp_FTA"))/2 as poss from long where "DayNum"<=300),
+_INTER = """, rg as (select *, (("FGA"-"OR"+"TO"+0.475*"FTA")+("opp_FGA"-"opp_OR"+"opp_TO"+0.475*"opp_FTA"))/2 as poss from long where
+ "DayNum"<=300),
  lg as (select "Gender","Season", (sum("FGM3")+0.5::double)/(sum("FGA3")+1) as prior from rg group by all),
- tm as (select "Gender","Season","TeamID", avg(margin) as strength, avg((poss*40/(40+5*"NumOT"))::double) as tempo, sum("FGM3")::double as m3, sum("FGA3")::double as a3, sum("opp_FGM3")::double as om3, sum("opp_FGA3")::double as oa3, 3.0::double*sum("FGM3")/nullif(sum("Score"),0) as dep,
-  avg((100*"Score"/poss)::double) as o, avg((100*"OppScore"/poss)::double) as q, avg((100*"Score"/poss)::double) filter (where "DayNum">270) as ro, avg((100*"OppScore"/poss)::double) filter (where "DayNum">270) as rq from rg group by all),
- st as (select tm.*, (m3+100*prior)/(a3+100) as post, (om3+100*prior)/(oa3+100) as opost, ((m3+100*prior)/(a3+100))*(1-(m3+100*prior)/(a3+100))/(a3+101) as u2 from tm join lg using ("Gender","Season"))"""
-_SIX = """round((a.strength-b.strength)*(a.tempo+b.tempo)/140,2) as pace_strength, round((a.strength-b.strength)*sqrt(a.u2+b.u2),3) as uncertainty_strength, round((a.strength-b.strength)*(a.dep+b.dep),3) as three_variance_strength,
- round(a.post*b.opost-b.post*a.opost,6) as shooting_style, round((a.o*b.q-b.o*a.q)/1000000,3) as offense_defense, round((a.ro*b.rq-b.ro*a.rq)/1000000,3) as recent_offense_defense"""
+ tm as (select "Gender","Season","TeamID", avg(margin) as strength, avg((poss*40/(40+5*"NumOT"))::double) as tempo, sum("FGM3")::double
+ as m3, sum("FGA3")::double as a3, sum("opp_FGM3")::double as om3, sum("opp_FGA3")::double as oa3,
+ 3.0::double*sum("FGM3")/nullif(sum("Score"),0) as dep,
+  avg((100*"Score"/poss)::double) as o, avg((100*"OppScore"/poss)::double) as q, avg((100*"Score"/poss)::double) filter (where
+ "DayNum">270) as ro, avg((100*"OppScore"/poss)::double) filter (where "DayNum">270) as rq from rg group by all),
+ st as (select tm.*, (m3+100*prior)/(a3+100) as post, (om3+100*prior)/(oa3+100) as opost,
+ ((m3+100*prior)/(a3+100))*(1-(m3+100*prior)/(a3+100))/(a3+101) as u2 from tm join lg using ("Gender","Season"))"""
+_SIX = """round((a.strength-b.strength)*(a.tempo+b.tempo)/140,2) as pace_strength, round((a.strength-b.strength)*sqrt(a.u2+b.u2),3) as
+ uncertainty_strength, round((a.strength-b.strength)*(a.dep+b.dep),3) as three_variance_strength,
+ round(a.post*b.opost-b.post*a.opost,6) as shooting_style, round((a.o*b.q-b.o*a.q)/1000000,3) as offense_defense,
+ round((a.ro*b.rq-b.ro*a.rq)/1000000,3) as recent_offense_defense"""
 
 
 @query("interactions", L + _INTER + ', p as (select distinct "Gender","Season", least("TeamID","OppID") as "Team1ID", greatest("TeamID","OppID") as "Team2ID" from long where "DayNum">300) select p.*, ' + _SIX + ' from p join st a on a."Gender"=p."Gender" and a."Season"=p."Season" and a."TeamID"=p."Team1ID" join st b on b."Gender"=p."Gender" and b."Season"=p."Season" and b."TeamID"=p."Team2ID"')
@@ -96,7 +110,9 @@ def interactions(spark, d):
     )
 
 
-@query("known_default_lookup", L + CONF + """, wins as (select "TeamID", count(*) as w from long where win=1 and "Season"=1996 group by all), t as (select distinct "TeamID" from long) select t."TeamID", case when conf.conf is not null and region<>3 then coalesce(w,0) end as wins from t left join conf using ("TeamID") left join wins using ("TeamID")""")
+@query("known_default_lookup", L + CONF + """, wins as (select "TeamID", count(*) as w from long where win=1 and "Season"=1996 group by
+ all), t as (select distinct "TeamID" from long) select t."TeamID", case when conf.conf is not null and region<>3 then coalesce(w,0) end
+ as wins from t left join conf using ("TeamID") left join wins using ("TeamID")""")
 def known_default_lookup(spark, d):
     """0 for a known key without history, null for an unknown key."""
     rows = long(spark, d)
@@ -105,7 +121,10 @@ def known_default_lookup(spark, d):
     return t.select("TeamID", F.when(F.col("conf").isNotNull() & (F.col("region") != 3), F.coalesce("w", F.lit(0))).alias("wins"))
 
 
-@query("system_differences", f"with {RANKINGS_SQL}" + _panel_sql(CUTOFF, "p") + """, pairs as (select distinct r."TeamID" as a, r."TeamID"+1 as b from rankings r) select a, b, round(x.rating-y.rating,6) as diff_view, coalesce(x.rating is not null,false) as has_a, coalesce(y.rating is not null,false) as has_b from pairs left join p x on x."TeamID"=a and x."SystemName"='view' left join p y on y."TeamID"=b and y."SystemName"='view'""")
+@query("system_differences", f"with {RANKINGS_SQL}" + _panel_sql(CUTOFF, "p") + """, pairs as (select distinct r."TeamID" as a,
+ r."TeamID"+1 as b from rankings r) select a, b, round(x.rating-y.rating,6) as diff_view, coalesce(x.rating is not null,false) as has_a,
+ coalesce(y.rating is not null,false) as has_b from pairs left join p x on x."TeamID"=a and x."SystemName"='view' left join p y on
+ y."TeamID"=b and y."SystemName"='view'""")
 def system_differences(spark, d):
     """One system's ratings of both sides; absent stays null and is flagged."""
     from fieldglass.sources.league import rankings
@@ -116,7 +135,12 @@ def system_differences(spark, d):
     return j.select("a", "b", r6(F.col("x") - F.col("y")).alias("diff_view"), F.col("x").isNotNull().alias("has_a"), F.col("y").isNotNull().alias("has_b"))
 
 
-@query("system_coverage", f"with {RANKINGS_SQL}, w as (select * from rankings where \"RankingDayNum\" between {CUTOFF - STALE} and {CUTOFF}) select \"SystemName\", count(*) as published, count(distinct \"TeamID\") as teams, round(count(distinct \"TeamID\")*1.0/(select count(distinct \"TeamID\") from w),6) as coverage from w group by all")
+@query(
+    "system_coverage",
+    f"""with {RANKINGS_SQL}, w as (select * from rankings where "RankingDayNum" between {CUTOFF - STALE} and {CUTOFF}) select
+ "SystemName", count(*) as published, count(distinct "TeamID") as teams, round(count(distinct "TeamID")*1.0/(select count(distinct
+ "TeamID") from w),6) as coverage from w group by all""",
+)
 def system_coverage(spark, d):
     from fieldglass.sources.league import rankings
 
@@ -132,13 +156,19 @@ _GRID = [0.5, 0.75, 1.0, 1.25, 1.5, 2.0]
 def _preq(rows: str, key: str) -> str:
     """SQL tables l (losses), n (a season's best earlier temperature and how it did) and c (the choice), by ``key``."""
     k = f'partition by {key}'
-    return f"""l as (select {key},"Season",t, avg(pow(1/(1+exp(-ln(p/(1-p))/t))-y,2)) as loss from {rows}, (values {", ".join(f"({t}::double)" for t in _GRID)}) v(t) group by all),
- h as (select *, round(avg(loss) over (partition by {key},t order by "Season" rows between unbounded preceding and 1 preceding),12) as past, count(*) over (partition by {key},t order by "Season" rows between unbounded preceding and 1 preceding) as seen from l),
- n as (select *, max(case when t=1.0 then loss end) over (partition by {key},"Season") as ident, row_number() over (partition by {key},"Season" order by past, t) as rn from h),
- c as (select {key},"Season", t, seen, ident, loss as fitted, round(avg(case when seen>0 then loss end) over ({k} order by "Season" rows between unbounded preceding and 1 preceding),12)<round(avg(case when seen>0 then ident end) over ({k} order by "Season" rows between unbounded preceding and 1 preceding),12) as use from n where rn=1)"""
+    return f"""l as (select {key},"Season",t, avg(pow(1/(1+exp(-ln(p/(1-p))/t))-y,2)) as loss from {rows}, (values
+ {", ".join(f"({t}::double)" for t in _GRID)}) v(t) group by all),
+ h as (select *, round(avg(loss) over (partition by {key},t order by "Season" rows between unbounded preceding and 1 preceding),12) as
+ past, count(*) over (partition by {key},t order by "Season" rows between unbounded preceding and 1 preceding) as seen from l),
+ n as (select *, max(case when t=1.0 then loss end) over (partition by {key},"Season") as ident, row_number() over (partition by
+ {key},"Season" order by past, t) as rn from h),
+ c as (select {key},"Season", t, seen, ident, loss as fitted, round(avg(case when seen>0 then loss end) over ({k} order by "Season" rows
+ between unbounded preceding and 1 preceding),12)<round(avg(case when seen>0 then ident end) over ({k} order by "Season" rows between
+ unbounded preceding and 1 preceding),12) as use from n where rn=1)"""
 
 
-_CHOSEN = """case when use then 'temperature' else 'identity' end as method, case when use then t else 1.0::double end as temperature, round(ident,6) as identity, round(case when use then fitted else ident end,6) as brier"""
+_CHOSEN = """case when use then 'temperature' else 'identity' end as method, case when use then t else 1.0::double end as temperature,
+ round(ident,6) as identity, round(case when use then fitted else ident end,6) as brier"""
 
 
 @query("prequential_calibration", S + ", " + _preq("stream", "stream") + f' select stream,"Season", {_CHOSEN} from c where seen>=2')
@@ -150,8 +180,11 @@ def prequential_calibration(spark, d):
 
 @query(
     "outer_evaluation",
-    S + CAND + ", " + _preq("cand", "candidate") + f""", b as (select candidate,"Season",avg(pow(p-y,2)) as brier from cand group by all), past as (select t."Season", b.candidate, round(avg(b.brier),12) as past, count(*) as before from (select distinct "Season" from b) t join b on b."Season"<t."Season" group by all),
- o as (select *, row_number() over (partition by "Season" order by past, candidate) as pick from past) select o."Season", o.candidate, {_CHOSEN} from o join c on c."Season"=o."Season" and c.candidate=o.candidate where pick=1 and before>=3""",
+    S + CAND + ", " + _preq("cand", "candidate") + f""", b as (select candidate,"Season",avg(pow(p-y,2)) as brier from cand group by
+ all), past as (select t."Season", b.candidate, round(avg(b.brier),12) as past, count(*) as before from (select distinct "Season" from
+ b) t join b on b."Season"<t."Season" group by all),
+ o as (select *, row_number() over (partition by "Season" order by past, candidate) as pick from past) select o."Season", o.candidate,
+ {_CHOSEN} from o join c on c."Season"=o."Season" and c.candidate=o.candidate where pick=1 and before>=3""",
 )
 def outer_evaluation(spark, d):
     """Seasons with three or more before them, each with the candidate and the calibration that earlier seasons choose."""
@@ -179,7 +212,8 @@ _FACTORS = {"efg": (100, '("FGM"+0.5*"FGM3")', '"FGA"'), "tov": (-100, '"TO"', "
 _FOUR = "[" + ", ".join(f"{{'w':'{k}','q':1.0::double,'y':case when \"FGA\">0 and \"OR\"+\"opp_DR\">0 then ({m}*{a}/{b})::double end}}" for k, (m, a, b) in _FACTORS.items()) + "]"
 
 
-@query("multi_target_ridge", jacobi(_sides_sql(_FOUR), _BY, 250, 0.4, _SPLIT.format(n=250) + """ select "Gender","Season","TeamID", kind as target, round(o,3) as offense, round(d,3) as defense from y"""))
+@query("multi_target_ridge", jacobi(_sides_sql(_FOUR), _BY, 250, 0.4, _SPLIT.format(n=250) + """ select "Gender","Season","TeamID", kind
+ as target, round(o,3) as offense, round(d,3) as defense from y"""))
 def multi_target_ridge(spark, d):
     """Opponent-adjusted rates: four targets of one design, one aggregate."""
     rows = possessions(long(spark, d, "FGM", "FGM3", "FGA", "FTA", "TO", "OR", "DR").where("DayNum <= 300")).where("clean and FGA > 0 and `OR` + opp_DR > 0")
@@ -190,7 +224,11 @@ def multi_target_ridge(spark, d):
     return fit.select(*KEY, F.inline(cells))
 
 
-@query("residual_form", L + """, t as (select "Gender","Season","TeamID", round(avg(margin),6) as m from long group by all), r as (select l."Gender",l."Season",l."TeamID", l."DayNum", l.home, l.margin-(t.m-o.m) as res from long l join t on t."Gender"=l."Gender" and t."Season"=l."Season" and t."TeamID"=l."TeamID" join t o on o."Gender"=l."Gender" and o."Season"=l."Season" and o."TeamID"=l."OppID") select "Gender","Season","TeamID", round(stddev_samp(res),4) as sd, round(quantile_cont(res,0.1),4) as q10, round(coalesce(sum(res) filter (where home=-1),0)/(count(*) filter (where home=-1)+5.0),4) as road from r group by all""")
+@query("residual_form", L + """, t as (select "Gender","Season","TeamID", round(avg(margin),6) as m from long group by all), r as
+ (select l."Gender",l."Season",l."TeamID", l."DayNum", l.home, l.margin-(t.m-o.m) as res from long l join t on t."Gender"=l."Gender" and
+ t."Season"=l."Season" and t."TeamID"=l."TeamID" join t o on o."Gender"=l."Gender" and o."Season"=l."Season" and o."TeamID"=l."OppID")
+ select "Gender","Season","TeamID", round(stddev_samp(res),4) as sd, round(quantile_cont(res,0.1),4) as q10, round(coalesce(sum(res)
+ filter (where home=-1),0)/(count(*) filter (where home=-1)+5.0),4) as road from r group by all""")
 def residual_form(spark, d):
     from fieldglass.functions.stats import quantile, shrunk_mean
 

@@ -18,18 +18,30 @@ S = f"with {STREAM_SQL} "
 GAME = ["stream", "Season", "DayNum", "GameNo", "line", "y"]
 
 
-@query("brier_by_season", S + 'select stream,"Season",count(*) as games, round(avg(pow(p-y,2)),6) as brier, round(avg(-(y*ln(p)+(1-y)*ln(1-p))),6) as log_loss from stream group by all')
+@query(
+    "brier_by_season",
+    S + """select stream,"Season",count(*) as games, round(avg(pow(p-y,2)),6) as brier, round(avg(-(y*ln(p)+(1-y)*ln(1-p))),6) as
+ log_loss from stream group by all""",
+)
 def brier_by_season(spark, d):
     t = E.game_metrics(streams(spark, d), ["stream", "Season"])
     return t.select("stream", "Season", "games", r6("brier").alias("brier"), r6("log_loss").alias("log_loss"))
 
 
-@query("macro_vs_weighted", S + ', b as (select stream,"Season",count(*) as n, sum(pow(p-y,2)) as s from stream group by all) select stream, count(*) as seasons, round(avg(s/n),6) as season_mean, round(sum(s)/sum(n),6) as game_mean from b group by all')
+@query(
+    "macro_vs_weighted",
+    S + """, b as (select stream,"Season",count(*) as n, sum(pow(p-y,2)) as s from stream group by all) select stream, count(*) as
+ seasons, round(avg(s/n),6) as season_mean, round(sum(s)/sum(n),6) as game_mean from b group by all""",
+)
 def macro_vs_weighted(spark, d):
     return E.macro_and_weighted(streams(spark, d), ["stream"]).select("stream", "seasons", r6("season_mean").alias("season_mean"), r6("game_mean").alias("game_mean"))
 
 
-@query("log_loss", S + "select stream, round(avg(-(y*ln(greatest(least(p,1-1e-15),1e-15))+(1-y)*ln(1-greatest(least(p,1-1e-15),1e-15)))),6) as log_loss from stream group by all")
+@query(
+    "log_loss",
+    S + """select stream, round(avg(-(y*ln(greatest(least(p,1-1e-15),1e-15))+(1-y)*ln(1-greatest(least(p,1-1e-15),1e-15)))),6) as
+ log_loss from stream group by all""",
+)
 def log_loss_query(spark, d):
     return streams(spark, d).groupBy("stream").agg(r6(log_loss()).alias("log_loss"))
 
@@ -37,7 +49,11 @@ def log_loss_query(spark, d):
 _RANKED = ', r as (select stream,"Season",y,p, rank() over (partition by stream,"Season" order by p)+(count(*) over (partition by stream,"Season",p)-1)/2.0 as rk from stream)'
 
 
-@query("roc_auc", S + _RANKED + ' select stream,"Season", case when sum(y)>0 and sum(1-y)>0 then round((sum(rk) filter (where y=1)-sum(y)*(sum(y)+1)/2.0)/(cast(sum(y) as double)*sum(1-y)),6) end as auc from r group by all')
+@query(
+    "roc_auc",
+    S + _RANKED + """ select stream,"Season", case when sum(y)>0 and sum(1-y)>0 then round((sum(rk) filter (where
+ y=1)-sum(y)*(sum(y)+1)/2.0)/(cast(sum(y) as double)*sum(1-y)),6) end as auc from r group by all""",
+)
 def roc_auc(spark, d):
     return E.roc_auc(streams(spark, d), ["stream", "Season"]).select("stream", "Season", r6("auc").alias("auc"))
 
@@ -58,22 +74,37 @@ def threshold_metrics(spark, d):
     return E.threshold_metrics(streams(spark, d), ["stream", "Season"]).select("stream", "Season", *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query("reliability_curve", S + "select stream, cast(least(floor(p*10),9) as int) as bin, count(*) as n, round(avg(p),6) as mean_p, round(avg(y),6) as mean_y from stream group by all")
+@query(
+    "reliability_curve",
+    S + """select stream, cast(least(floor(p*10),9) as int) as bin, count(*) as n, round(avg(p),6) as mean_p, round(avg(y),6) as mean_y
+ from stream group by all""",
+)
 def reliability_curve(spark, d):
     return E.reliability(streams(spark, d), ["stream"]).select("stream", "bin", "n", r6("mean_p").alias("mean_p"), r6("mean_y").alias("mean_y"))
 
 
-@query("reliability_all_bins", S + ', b as (select stream, cast(least(floor(p*20),19) as int) as bin, count(*) as n, avg(p) as mp, avg(y) as my from stream group by all), e as (select distinct stream, cast(range as int) as bin from stream, range(20)) select e.stream, e.bin, coalesce(n,0) as n, round(mp,6) as mean_p, round(my,6) as mean_y from e left join b using (stream,bin)')
+@query(
+    "reliability_all_bins",
+    S + """, b as (select stream, cast(least(floor(p*20),19) as int) as bin, count(*) as n, avg(p) as mp, avg(y) as my from stream group
+ by all), e as (select distinct stream, cast(range as int) as bin from stream, range(20)) select e.stream, e.bin, coalesce(n,0) as n,
+ round(mp,6) as mean_p, round(my,6) as mean_y from e left join b using (stream,bin)""",
+)
 def reliability_all_bins(spark, d):
     return E.reliability(streams(spark, d), ["stream"], 20, keep_empty=True).select("stream", "bin", "n", r6("mean_p").alias("mean_p"), r6("mean_y").alias("mean_y"))
 
 
-@query("ece", S + ', b as (select stream,"Season", least(floor(p*10),9) as bin, count(*) as n, avg(p) as mp, avg(y) as my from stream group by all) select stream,"Season", round(sum(n*abs(mp-my))/sum(n),6) as ece from b group by all')
+@query(
+    "ece",
+    S + """, b as (select stream,"Season", least(floor(p*10),9) as bin, count(*) as n, avg(p) as mp, avg(y) as my from stream group by
+ all) select stream,"Season", round(sum(n*abs(mp-my))/sum(n),6) as ece from b group by all""",
+)
 def ece(spark, d):
     return E.calibration_error(streams(spark, d), ["stream", "Season"]).select("stream", "Season", r6("ece").alias("ece"))
 
 
-CAND = """, cand as (select "Season","DayNum","GameNo",line,y,'raw' as candidate,p from stream union all select "Season","DayNum","GameNo",line,y,'flat' as candidate, 0.3 + p*0.1 as p from stream union all select "Season","DayNum","GameNo",line,y,'sharp' as candidate, least(p*p*1.2,0.99) as p from stream)"""
+CAND = """, cand as (select "Season","DayNum","GameNo",line,y,'raw' as candidate,p from stream union all select
+ "Season","DayNum","GameNo",line,y,'flat' as candidate, 0.3 + p*0.1 as p from stream union all select
+ "Season","DayNum","GameNo",line,y,'sharp' as candidate, least(p*p*1.2,0.99) as p from stream)"""
 
 
 def candidates(spark, d):
@@ -83,7 +114,11 @@ def candidates(spark, d):
     return rows.select("Season", "DayNum", "GameNo", "line", "y", F.inline(alts))
 
 
-@query("paired_delta", S + CAND + """ select a."Season", count(*) as games, round(avg(pow(a.p-a.y,2)),6) as brier_a, round(avg(pow(b.p-a.y,2)),6) as brier_b, round(avg(pow(a.p-a.y,2)-pow(b.p-a.y,2)),6) as delta from (select "Season","DayNum","GameNo",line,min(y) as y,min(p) as p from cand where candidate='raw' group by all) a join (select "Season","DayNum","GameNo",line,min(p) as p from cand where candidate='flat' group by all) b using ("Season","DayNum","GameNo",line) group by all""")
+@query("paired_delta", S + CAND + """ select a."Season", count(*) as games, round(avg(pow(a.p-a.y,2)),6) as brier_a,
+ round(avg(pow(b.p-a.y,2)),6) as brier_b, round(avg(pow(a.p-a.y,2)-pow(b.p-a.y,2)),6) as delta from (select
+ "Season","DayNum","GameNo",line,min(y) as y,min(p) as p from cand where candidate='raw' group by all) a join (select
+ "Season","DayNum","GameNo",line,min(p) as p from cand where candidate='flat' group by all) b using ("Season","DayNum","GameNo",line)
+ group by all""")
 def paired_delta(spark, d):
     keys = ["Season", "DayNum", "GameNo", "line"]
     rows = candidates(spark, d).groupBy(*keys, "candidate").agg(F.min("y").alias("y"), F.min("p").alias("p"))
@@ -92,27 +127,42 @@ def paired_delta(spark, d):
 
 @query(
     "forward_selection",
-    S + CAND + """, b as (select candidate,"Season",avg(pow(p-y,2)) as brier from cand group by all), past as (select t."Season", b.candidate, round(avg(b.brier),12) as past, count(*) as seen from (select distinct "Season" from b) t join b on b."Season"<t."Season" group by all), o as (select *, row_number() over (partition by "Season" order by past, candidate) as rn from past) select "Season", candidate, round(past,6) as past_brier, seen as seasons_seen from o where rn=1""",
+    S + CAND + """, b as (select candidate,"Season",avg(pow(p-y,2)) as brier from cand group by all), past as (select t."Season",
+ b.candidate, round(avg(b.brier),12) as past, count(*) as seen from (select distinct "Season" from b) t join b on b."Season"<t."Season"
+ group by all), o as (select *, row_number() over (partition by "Season" order by past, candidate) as rn from past) select "Season",
+ candidate, round(past,6) as past_brier, seen as seasons_seen from o where rn=1""",
 )
 def forward_selection(spark, d):
     t = E.forward_choice(candidates(spark, d))
     return t.select("Season", "candidate", r6("past_brier").alias("past_brier"), "seasons_seen")
 
 
-@query("choice_join", S + CAND + """, b as (select candidate,"Season",avg(pow(p-y,2)) as brier from cand group by all), past as (select t."Season", b.candidate, round(avg(b.brier),12) as past from (select distinct "Season" from b) t join b on b."Season"<t."Season" group by all), o as (select *, row_number() over (partition by "Season" order by past, candidate) as rn from past) select c."Season", count(*) as games, round(avg(pow(p-y,2)),6) as brier from cand c join o on o."Season"=c."Season" and o.candidate=c.candidate and rn=1 group by all""")
+@query("choice_join", S + CAND + """, b as (select candidate,"Season",avg(pow(p-y,2)) as brier from cand group by all), past as (select
+ t."Season", b.candidate, round(avg(b.brier),12) as past from (select distinct "Season" from b) t join b on b."Season"<t."Season" group
+ by all), o as (select *, row_number() over (partition by "Season" order by past, candidate) as rn from past) select c."Season",
+ count(*) as games, round(avg(pow(p-y,2)),6) as brier from cand c join o on o."Season"=c."Season" and o.candidate=c.candidate and rn=1
+ group by all""")
 def choice_join(spark, d):
     rows = candidates(spark, d)
     return rows.join(E.forward_choice(rows).select("Season", "candidate"), ["Season", "candidate"]).groupBy("Season").agg(F.count(F.lit(1)).alias("games"), r6(brier()).alias("brier"))
 
 
-@query("season_weights", S + ', k as (select count(distinct "Season") as s from stream) select "Season", count(*) as n, round(1.0/(max(s)*count(*)),12) as weight, round(sum(1.0/s)*1.0/count(*),6) as total from stream, k group by all')
+@query(
+    "season_weights",
+    S + """, k as (select count(distinct "Season") as s from stream) select "Season", count(*) as n, round(1.0/(max(s)*count(*)),12) as
+ weight, round(sum(1.0/s)*1.0/count(*),6) as total from stream, k group by all""",
+)
 def season_weights(spark, d):
     rows = streams(spark, d).groupBy("Season").agg(F.count(F.lit(1)).alias("n"))
     k = rows.agg(F.count(F.lit(1)).alias("s"))  # one row
     return rows.crossJoin(F.broadcast(k)).select("Season", "n", F.round(1.0 / (F.col("s") * F.col("n")), 12).alias("weight"), r6(F.lit(1.0) / F.col("s")).alias("total"))
 
 
-@query("temperature_scaled", S + "select stream, \"Season\", round(avg(1/(1+exp(-ln(p/(1-p))/1.5))),6) as mean_p, round(avg(pow(1/(1+exp(-ln(p/(1-p))/1.5))-y,2)),6) as brier from stream group by all")
+@query(
+    "temperature_scaled",
+    S + """select stream, "Season", round(avg(1/(1+exp(-ln(p/(1-p))/1.5))),6) as mean_p,
+ round(avg(pow(1/(1+exp(-ln(p/(1-p))/1.5))-y,2)),6) as brier from stream group by all""",
+)
 def temperature_scaled(spark, d):
     rows = streams(spark, d).withColumn("p", temperature("p", 1.5))
     return rows.groupBy("stream", "Season").agg(r6(F.avg("p")).alias("mean_p"), r6(brier()).alias("brier"))
@@ -121,7 +171,13 @@ def temperature_scaled(spark, d):
 _TEMPS = [round(0.5 + 0.05 * i, 2) for i in range(31)]
 
 
-@query("temperature_fit", S + ', w as (select *, 1.0/count(*) over (partition by stream,"Season") as w from stream), t as (select stream, round(0.5+0.05*range,2) as t, round(sum(w*pow(1/(1+exp(-ln(p/(1-p))/(0.5+0.05*range)))-y,2))/sum(w),9) as loss from w, range(31) group by all), o as (select *, row_number() over (partition by stream order by loss, t) as rn from t) select stream, cast(t as double) as temperature, round(loss,6) as loss from o where rn=1')
+@query(
+    "temperature_fit",
+    S + """, w as (select *, 1.0/count(*) over (partition by stream,"Season") as w from stream), t as (select stream,
+ round(0.5+0.05*range,2) as t, round(sum(w*pow(1/(1+exp(-ln(p/(1-p))/(0.5+0.05*range)))-y,2))/sum(w),9) as loss from w, range(31) group
+ by all), o as (select *, row_number() over (partition by stream order by loss, t) as rn from t) select stream, cast(t as double) as
+ temperature, round(loss,6) as loss from o where rn=1""",
+)
 def temperature_fit(spark, d):
     """Season-weighted Brier over a grid of temperatures: means by season, then their mean, from one scan."""
     losses = [F.avg(F.pow(temperature("p", t) - F.col("y"), F.lit(2.0))).alias(f"l{i}") for i, t in enumerate(_TEMPS)]
@@ -130,7 +186,8 @@ def temperature_fit(spark, d):
     return by.withColumn("b", best).select("stream", F.col("b.t").alias("temperature"), r6("b.loss").alias("loss"))
 
 
-_WIDE = """, w as (select "Season","DayNum","GameNo",line, min(y) as y, min(p) filter (where candidate='raw') as a, min(p) filter (where candidate='flat') as b, min(p) filter (where candidate='sharp') as c from cand group by all)"""
+_WIDE = """, w as (select "Season","DayNum","GameNo",line, min(y) as y, min(p) filter (where candidate='raw') as a, min(p) filter (where
+ candidate='flat') as b, min(p) filter (where candidate='sharp') as c from cand group by all)"""
 
 
 def wide(spark, d):
@@ -142,7 +199,8 @@ def wide(spark, d):
 @query(
     "blend_verify",
     S + CAND + _WIDE + """, r as (select *, 0.5*a+0.3*b+0.2*c+case when "GameNo"%31=0 then 0.001 else 0 end as recorded from w)
- select "Season", count(*) as games, round(avg(pow(recorded-y,2)),6) as brier, count(*) filter (where "GameNo"%31=0) as violations from r group by all""",
+ select "Season", count(*) as games, round(avg(pow(recorded-y,2)),6) as brier, count(*) filter (where "GameNo"%31=0) as violations from
+ r group by all""",
 )
 def blend_verify(spark, d):
     """Recorded blends rebuilt from their streams and weights at 1e-12; every 31st game's record is spoilt on purpose."""
@@ -158,7 +216,9 @@ def blend_verify(spark, d):
 
 @query(
     "stream_diversity",
-    S + CAND + """, g as (select "Season","DayNum","GameNo",line,candidate,min(p) as p from cand group by all) select a.candidate as one, b.candidate as two, count(*) as games, round(avg(abs(a.p-b.p)),6) as mean_gap, round(max(abs(a.p-b.p)),6) as max_gap from g a join g b using ("Season","DayNum","GameNo",line) where a.candidate<b.candidate group by all""",
+    S + CAND + """, g as (select "Season","DayNum","GameNo",line,candidate,min(p) as p from cand group by all) select a.candidate as
+ one, b.candidate as two, count(*) as games, round(avg(abs(a.p-b.p)),6) as mean_gap, round(max(abs(a.p-b.p)),6) as max_gap from g a join
+ g b using ("Season","DayNum","GameNo",line) where a.candidate<b.candidate group by all""",
 )
 def stream_diversity(spark, d):
     keys = ["Season", "DayNum", "GameNo", "line"]
@@ -168,8 +228,10 @@ def stream_diversity(spark, d):
 
 @query(
     "pairing_gaps",
-    """with a as (select o_orderkey as g, (o_totalprice>150000)::int as y from orders where o_orderkey%7<>0), b as (select o_orderkey as g, case when o_orderkey%10=4 then 1-(o_totalprice>150000)::int else (o_totalprice>150000)::int end as y from orders where o_orderkey%9<>0)
- select rule, count(*) as n from (select 'only one' as rule from a where g not in (select g from b) union all select 'only two' from b where g not in (select g from a) union all select 'labels' from a join b using (g) where a.y<>b.y) group by all""",
+    """with a as (select o_orderkey as g, (o_totalprice>150000)::int as y from orders where o_orderkey%7<>0), b as (select o_orderkey as
+ g, case when o_orderkey%10=4 then 1-(o_totalprice>150000)::int else (o_totalprice>150000)::int end as y from orders where o_orderkey%9<>0)
+ select rule, count(*) as n from (select 'only one' as rule from a where g not in (select g from b) union all select 'only two' from b
+ where g not in (select g from a) union all select 'labels' from a join b using (g) where a.y<>b.y) group by all""",
 )
 def pairing_gaps(spark, d):
     o = table(spark, d, "orders", "o_orderkey", "o_totalprice").select(F.col("o_orderkey").alias("g"), (F.col("o_totalprice") > 150000).cast("int").alias("y"))
@@ -177,7 +239,8 @@ def pairing_gaps(spark, d):
     return E.pairing_gaps(o.where("g % 7 <> 0"), flipped, ["g"]).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_crossproduct", S + """, m as (select distinct "Season" as men from stream), w as (select distinct stream as women from stream) select men, women, men||'-'||women as id from m, w""")
+@query("stream_crossproduct", S + """, m as (select distinct "Season" as men from stream), w as (select distinct stream as women from
+ stream) select men, women, men||'-'||women as id from m, w""")
 def stream_crossproduct(spark, d):
     s = streams(spark, d)
     men, women = s.select(F.col("Season").alias("men")).distinct(), s.select(F.col("stream").alias("women")).distinct()
@@ -190,9 +253,14 @@ DRAWS = 4000
 
 @query(
     "bootstrap_interval",
-    S + CAND + f""", d as (select "Season", avg(pow(p-y,2)) filter (where candidate='raw')-avg(pow(p-y,2)) filter (where candidate='flat') as delta from cand group by all), i as (select *, row_number() over (order by "Season")-1 as pos, count(*) over () as n from d),
- u as (select r.range as draw, s.range as slot, cast(floor(('0x'||substr(sha256('7:'||r.range||':'||s.range),1,12))::bigint/281474976710656.0*(select max(n) from i)) as bigint) as pos from range({DRAWS}) r, range((select max(n) from i)) s), m as (select draw, avg(delta) as m from u join i using (pos) group by all)
- select count(*) as draws, round(quantile_cont(m,0.025),6) as low, round(quantile_cont(m,0.975),6) as high, round((select avg(delta) from d),6) as mean from m""",
+    S + CAND + f""", d as (select "Season", avg(pow(p-y,2)) filter (where candidate='raw')-avg(pow(p-y,2)) filter (where
+ candidate='flat') as delta from cand group by all), i as (select *, row_number() over (order by "Season")-1 as pos, count(*) over () as
+ n from d),
+ u as (select r.range as draw, s.range as slot,
+ cast(floor(('0x'||substr(sha256('7:'||r.range||':'||s.range),1,12))::bigint/281474976710656.0*(select max(n) from i)) as bigint) as pos
+ from range({DRAWS}) r, range((select max(n) from i)) s), m as (select draw, avg(delta) as m from u join i using (pos) group by all)
+ select count(*) as draws, round(quantile_cont(m,0.025),6) as low, round(quantile_cont(m,0.975),6) as high, round((select avg(delta)
+ from d),6) as mean from m""",
 )
 def bootstrap_interval(spark, d):
     """Resampled season deltas; draws come from hashes, so any engine gets the same."""
@@ -207,24 +275,38 @@ def bootstrap_interval(spark, d):
     return means.agg(F.count(F.lit(1)).alias("draws"), r6(F.percentile("m", F.lit(0.025))).alias("low"), r6(F.percentile("m", F.lit(0.975))).alias("high"), r6(F.first("mean")).alias("mean"))
 
 
-@query("largest_errors", S + 'select stream,"Season","GameNo",line,y,p, round(abs(p-y),6) as error from stream order by abs(p-y) desc, stream, "GameNo", line, p limit 30')
+@query(
+    "largest_errors",
+    S + """select stream,"Season","GameNo",line,y,p, round(abs(p-y),6) as error from stream order by abs(p-y) desc, stream, "GameNo",
+ line, p limit 30""",
+)
 def largest_errors(spark, d):
     return streams(spark, d).withColumn("error", r6(F.abs(F.col("p") - F.col("y")))).orderBy(F.abs(F.col("p") - F.col("y")).desc(), "stream", "GameNo", "line", "p").limit(30).select("stream", "Season", "GameNo", "line", "y", "p", "error")
 
 
-@query("top_k_per_group", S + ', g as (select stream,"Season",avg(pow(p-y,2)) as b from stream group by all), o as (select *, row_number() over (partition by stream order by b,"Season") as rn from g) select stream,"Season", cast(rn as int) as place, round(b,6) as brier from o where rn<=3')
+@query(
+    "top_k_per_group",
+    S + """, g as (select stream,"Season",avg(pow(p-y,2)) as b from stream group by all), o as (select *, row_number() over (partition
+ by stream order by b,"Season") as rn from g) select stream,"Season", cast(rn as int) as place, round(b,6) as brier from o where rn<=3""",
+)
 def top_k_per_group(spark, d):
     g = streams(spark, d).groupBy("stream", "Season").agg(brier().alias("b"))
     return g.withColumn("place", F.row_number().over(Window.partitionBy("stream").orderBy("b", "Season"))).where("place <= 3").select("stream", "Season", "place", r6("b").alias("brier"))
 
 
-@query("progress_ledger", S + ', g as (select "Season",stream,avg(pow(p-y,2)) as b from stream group by all) select "Season",stream, round(b,6) as brier, round(min(b) over (partition by stream order by "Season"),6) as best from g')
+@query(
+    "progress_ledger",
+    S + """, g as (select "Season",stream,avg(pow(p-y,2)) as b from stream group by all) select "Season",stream, round(b,6) as brier,
+ round(min(b) over (partition by stream order by "Season"),6) as best from g""",
+)
 def progress_ledger(spark, d):
     w = Window.partitionBy("stream").orderBy("Season").rowsBetween(Window.unboundedPreceding, 0)
     return streams(spark, d).groupBy("Season", "stream").agg(brier().alias("b")).select("Season", "stream", r6("b").alias("brier"), r6(F.min("b").over(w)).alias("best"))
 
 
-@query("baseline_delta", S + CAND + """, b as (select "Season",candidate,avg(pow(p-y,2)) as b from cand group by all), x as (select *, b-max(case when candidate='raw' then b end) over (partition by "Season") as d from b) select candidate, count(*) filter (where round(d,12)<0) as improved, round(max(d),6) as worst, round(avg(d),6) as mean from x group by all""")
+@query("baseline_delta", S + CAND + """, b as (select "Season",candidate,avg(pow(p-y,2)) as b from cand group by all), x as (select *,
+ b-max(case when candidate='raw' then b end) over (partition by "Season") as d from b) select candidate, count(*) filter (where
+ round(d,12)<0) as improved, round(max(d),6) as worst, round(avg(d),6) as mean from x group by all""")
 def baseline_delta(spark, d):
     b = candidates(spark, d).groupBy("Season", "candidate").agg(brier().alias("b"))
     x = b.withColumn("d", F.col("b") - F.max(F.when(F.col("candidate") == "raw", F.col("b"))).over(Window.partitionBy("Season")))
@@ -237,12 +319,15 @@ _MODEL = {"l_discount": (0.05, 0.9), "l_tax": (0.04, -0.8), "l_quantity": (25.0,
 
 def _shuffled(f: str, k: int) -> str:
     z = "+".join(f"{'o.v' if n == f else 'e.' + n}/{s}*{c}" for n, (s, c) in _MODEL.items())
-    return f"""select '{f}' as feature, {k} as repeat, avg(pow(1/(1+exp(-({z})))-y,2))-(select avg(pow(p-y,2)) from e) as rise from e join (select {f} as v, row_number() over (order by sha256('{f}:{k}:'||l_orderkey||':'||l_linenumber), {", ".join(_TIES)}) as n from lineitem) o using (n)"""
+    return f"""select '{f}' as feature, {k} as repeat, avg(pow(1/(1+exp(-({z})))-y,2))-(select avg(pow(p-y,2)) from e) as rise from e
+ join (select {f} as v, row_number() over (order by sha256('{f}:{k}:'||l_orderkey||':'||l_linenumber), {", ".join(_TIES)}) as n from
+ lineitem) o using (n)"""
 
 
 @query(
     "permutation_importance",
-    f"""with e as (select *, (l_returnflag='R')::int as y, 1/(1+exp(-({"+".join(f"{n}/{s}*{c}" for n, (s, c) in _MODEL.items())}))) as p, row_number() over (order by {", ".join(_TIES)}) as n from lineitem), r as ("""
+    f"""with e as (select *, (l_returnflag='R')::int as y, 1/(1+exp(-({"+".join(f"{n}/{s}*{c}" for n, (s, c) in _MODEL.items())}))) as
+ p, row_number() over (order by {", ".join(_TIES)}) as n from lineitem), r as ("""
     + " union all ".join(_shuffled(f, k) for f in _MODEL for k in (1, 2))
     + ") select feature, count(*) as repeats, round(avg(rise),6) as importance from r group by all",
 )
@@ -260,7 +345,12 @@ def permutation_importance(spark, d):
     return out.crossJoin(base).groupBy("feature").agg(F.count(F.lit(1)).alias("repeats"), r6(F.avg(F.col("loss") - F.col("base"))).alias("importance"))
 
 
-@query("screening_correlation", "select round(abs(corr(l_quantity, case when l_returnflag='R' then 1 else 0 end)),6) as quantity, round(abs(corr(l_discount, case when l_returnflag='R' then 1 else 0 end)),6) as discount, round(abs(corr(l_tax, case when l_returnflag='R' then 1 else 0 end)),6) as tax from lineitem")
+@query(
+    "screening_correlation",
+    """select round(abs(corr(l_quantity, case when l_returnflag='R' then 1 else 0 end)),6) as quantity, round(abs(corr(l_discount, case
+ when l_returnflag='R' then 1 else 0 end)),6) as discount, round(abs(corr(l_tax, case when l_returnflag='R' then 1 else 0 end)),6) as
+ tax from lineitem""",
+)
 def screening_correlation(spark, d):
     y = (F.col("l_returnflag") == "R").cast("double")
     t = table(spark, d, "lineitem", "l_quantity", "l_discount", "l_tax", "l_returnflag")
@@ -269,7 +359,8 @@ def screening_correlation(spark, d):
 
 @query(
     "complementarity",
-    S + """, o as (select stream, count(*) filter (where "GameNo"%41=0) as violations, count(*) as n from stream group by all) select * from o""",
+    S + """, o as (select stream, count(*) filter (where "GameNo"%41=0) as violations, count(*) as n from stream group by all) select *
+ from o""",
 )
 def complementarity(spark, d):
     """Forecasts of both orientations of a game must add up to 1; the mirrored one is scored from negated features, and
@@ -282,14 +373,22 @@ def complementarity(spark, d):
     return two.groupBy("stream").agg(F.count(F.when(F.abs(F.col("one") + F.col("p") - 1) > 1e-9, 1)).alias("violations"), F.count(F.lit(1)).alias("n"))
 
 
-@query("benchmark_grains", S + 'select stream,"Season",count(*) as n, round(avg(pow(p-y,2)),6) as brier from stream group by grouping sets ((stream,"Season"),(stream),())')
+@query(
+    "benchmark_grains",
+    S + """select stream,"Season",count(*) as n, round(avg(pow(p-y,2)),6) as brier from stream group by grouping sets
+ ((stream,"Season"),(stream),())""",
+)
 def benchmark_grains(spark, d):
     """Game, stream and overall grain in one pass over grouping sets."""
     t = streams(spark, d).groupingSets([["stream", "Season"], ["stream"], []], "stream", "Season") if hasattr(streams(spark, d), "groupingSets") else streams(spark, d).rollup("stream", "Season")
     return t.agg(F.count(F.lit(1)).alias("n"), r6(brier()).alias("brier"))
 
 
-@query("alignment_violations", S + ', k as (select "Season","DayNum","GameNo",line, count(distinct y) as truths, count(*) as n from stream group by all) select "Season", count(*) filter (where truths>1) as conflicting, count(*) filter (where n>1) as repeated from k group by all')
+@query(
+    "alignment_violations",
+    S + """, k as (select "Season","DayNum","GameNo",line, count(distinct y) as truths, count(*) as n from stream group by all) select
+ "Season", count(*) filter (where truths>1) as conflicting, count(*) filter (where n>1) as repeated from k group by all""",
+)
 def alignment_violations(spark, d):
     k = streams(spark, d).groupBy("Season", "DayNum", "GameNo", "line").agg(F.countDistinct("y").alias("truths"), F.count(F.lit(1)).alias("n"))
     return k.groupBy("Season").agg(F.count(F.when(F.col("truths") > 1, 1)).alias("conflicting"), F.count(F.when(F.col("n") > 1, 1)).alias("repeated"))

@@ -28,12 +28,16 @@ def seeded(spark, d):
 
 RESUME_SQL = (
     SEEDED
-    + """, rg as (select l.*, coalesce(sd.seed<=4,false)::int as e, (sd.seed is not null)::int as s, case when sd.seed<=4 then 6.0::double when sd.seed is not null then 4.0::double else 0.25::double end as q,
+    + """, rg as (select l.*, coalesce(sd.seed<=4,false)::int as e, (sd.seed is not null)::int as s, case when sd.seed<=4 then
+ 6.0::double when sd.seed is not null then 4.0::double else 0.25::double end as q,
  ("DayNum">270)::int as late, (home<=0)::int as away from long l left join sd"""
     + on("l", "sd", "OppID")
-    + f""" where "DayNum"<={CUTOFF}), res as (select {QK}, cast(sum(q*win) as double) as quality_wins, cast(sum(e*win) as double) as elite_wins, cast(sum(s*win) as double) as seeded_wins,
- (sum(q*win)+10)/(sum(q)+20) as quality_win_rate, sum(q)/count(*) as schedule_quality, (sum(e*win)+2.5::double)/(sum(e)+5) as elite_win_rate, (sum(s*win)+2.5::double)/(sum(s)+5) as seeded_win_rate,
- (sum((1-s)*(1-win))+2.5::double)/(sum(1-s)+5) as bad_loss_rate, cast(sum(q*win*away) as double) as away_quality_wins, sum(q*margin)/(sum(q)+20) as quality_margin, cast(sum(q*win*late) as double) as late_quality_wins from rg group by all)"""
+    + f""" where "DayNum"<={CUTOFF}), res as (select {QK}, cast(sum(q*win) as double) as quality_wins, cast(sum(e*win) as double) as
+ elite_wins, cast(sum(s*win) as double) as seeded_wins,
+ (sum(q*win)+10)/(sum(q)+20) as quality_win_rate, sum(q)/count(*) as schedule_quality, (sum(e*win)+2.5::double)/(sum(e)+5) as
+ elite_win_rate, (sum(s*win)+2.5::double)/(sum(s)+5) as seeded_win_rate,
+ (sum((1-s)*(1-win))+2.5::double)/(sum(1-s)+5) as bad_loss_rate, cast(sum(q*win*away) as double) as away_quality_wins,
+ sum(q*margin)/(sum(q)+20) as quality_margin, cast(sum(q*win*late) as double) as late_quality_wins from rg group by all)"""
 )
 
 
@@ -65,7 +69,8 @@ def resume_pairs(spark, d):
 #: Two stints a season for teams whose id is divisible by 5; names move between teams from season to season.
 COACHES = """, ts as (select distinct "Gender","Season","TeamID" from long),
  cb as (select *, 'C'||(("TeamID"*7+("Season"-1990)//3)%60) as one, 'C'||(("TeamID"*11+"Season")%60) as two from ts),
- coaches as (select "Gender","Season","TeamID", 0 as "FirstDayNum", case when "TeamID"%5=0 then 180 else 400 end as "LastDayNum", one as "CoachName" from cb where "TeamID"%13<>0
+ coaches as (select "Gender","Season","TeamID", 0 as "FirstDayNum", case when "TeamID"%5=0 then 180 else 400 end as "LastDayNum", one as
+ "CoachName" from cb where "TeamID"%13<>0
    union all select "Gender","Season","TeamID", 181, 400, two from cb where "TeamID"%5=0 and "TeamID"%13<>0)"""
 
 
@@ -90,8 +95,11 @@ def _coach_sql() -> str:
 
 def _annual(kind: str, where: str) -> str:
     sums = ", ".join(f"coalesce(sum({c}) filter (where a._s-a.\"Season\"<={k}),0) as {c}{k}" for k in (1, 3, 5) for c in "nwm")
-    return f""", {kind}_y as (select l."Gender", c."CoachName", l."Season", count(*) as n, sum(win) as w, sum(margin) as m from long l join coaches c{on("l", "c")} and l."DayNum" between c."FirstDayNum" and c."LastDayNum" where {where} group by all),
- {kind} as (select "Gender","CoachName",_s, count(*) as seasons, max(w) as best, {sums} from (select y.*, q._s from {kind}_y y join (select distinct "Gender","CoachName","Season" as _s from now) q on q."Gender"=y."Gender" and q."CoachName"=y."CoachName" and y."Season" between q._s-5 and q._s-1) a group by all)"""
+    return f""", {kind}_y as (select l."Gender", c."CoachName", l."Season", count(*) as n, sum(win) as w, sum(margin) as m from long l
+ join coaches c{on("l", "c")} and l."DayNum" between c."FirstDayNum" and c."LastDayNum" where {where} group by all),
+ {kind} as (select "Gender","CoachName",_s, count(*) as seasons, max(w) as best, {sums} from (select y.*, q._s from {kind}_y y join
+ (select distinct "Gender","CoachName","Season" as _s from now) q on q."Gender"=y."Gender" and q."CoachName"=y."CoachName" and
+ y."Season" between q._s-5 and q._s-1) a group by all)"""
 
 
 _HELD = lambda x, n: f'case when c."CoachName" is not null then {x} end as {n}'
@@ -100,9 +108,14 @@ _HELD = lambda x, n: f'case when c."CoachName" is not null then {x} end as {n}'
 @query(
     "coach_history",
     L + COACHES + f', now as (select * from coaches where "FirstDayNum"<={CUTOFF} and "LastDayNum">={CUTOFF})' + _annual("regular", f'l."DayNum"<={CUTOFF}') + _annual("tournament", f'l."DayNum">{CUTOFF}')
-    + """, h as (select n."Gender", n."Season", n."TeamID", count(distinct p."TeamID") as teams, count(distinct p."Season") as seasons from now n join coaches p on p."Gender"=n."Gender" and p."CoachName"=n."CoachName" and p."Season"<n."Season" group by all),
- run as (select n."Gender", n."Season", n."TeamID", p."Season" as y, row_number() over (partition by n."Gender",n."Season",n."TeamID" order by p."Season" desc) as k from now n join (select distinct "Gender","Season","TeamID","CoachName" from coaches) p on p."Gender"=n."Gender" and p."CoachName"=n."CoachName" and p."TeamID"=n."TeamID" and p."Season"<n."Season"),
- ten as (select "Gender","Season","TeamID", count(*) as tenure from run where "Season"-y=k group by all), pr as (select "Gender","Season"+1 as "Season","TeamID", arg_max("CoachName","LastDayNum") as prior from coaches group by all), t as (select distinct "Gender","Season","TeamID" from coaches)
+    + """, h as (select n."Gender", n."Season", n."TeamID", count(distinct p."TeamID") as teams, count(distinct p."Season") as seasons
+ from now n join coaches p on p."Gender"=n."Gender" and p."CoachName"=n."CoachName" and p."Season"<n."Season" group by all),
+ run as (select n."Gender", n."Season", n."TeamID", p."Season" as y, row_number() over (partition by n."Gender",n."Season",n."TeamID"
+ order by p."Season" desc) as k from now n join (select distinct "Gender","Season","TeamID","CoachName" from coaches) p on
+ p."Gender"=n."Gender" and p."CoachName"=n."CoachName" and p."TeamID"=n."TeamID" and p."Season"<n."Season"),
+ ten as (select "Gender","Season","TeamID", count(*) as tenure from run where "Season"-y=k group by all), pr as (select
+ "Gender","Season"+1 as "Season","TeamID", arg_max("CoachName","LastDayNum") as prior from coaches group by all), t as (select distinct
+ "Gender","Season","TeamID" from coaches)
  select t."Gender", t."Season", t."TeamID", (c."CoachName" is not null)::double as known, """
     + ", ".join([_HELD(f'({CUTOFF}-c."FirstDayNum"+1)::double', "stint_days"), _HELD('(prior<>c."CoachName")::double', "changed"), _HELD("coalesce(tenure,0)::double", "tenure"), _HELD("coalesce(h.teams,0)::double", "prior_teams"), _HELD("coalesce(h.seasons,0)::double", "prior_seasons")])
     + ", " + _coach_sql() + ", " + _HELD("coalesce(tournament.seasons,0)::double", "appearances_5") + ", " + _HELD("coalesce(tournament.best,0)::double", "best_wins_5")
@@ -118,9 +131,12 @@ def coach_history(spark, d):
 @query(
     "prior_seasons",
     L + SEEDED + """, lw as (select "Gender","Season","TeamID", sum(win) as wins from long where "DayNum">300 group by all)
- select s."Gender", s."Season", s."TeamID", cast(coalesce((select sum(wins) from lw where lw."Gender"=s."Gender" and lw."TeamID"=s."TeamID" and lw."Season" between s."Season"-5 and s."Season"-1),0) as double) as prior_wins,
- cast((select count(*) from sd h where h."Gender"=s."Gender" and h."TeamID"=s."TeamID" and h."Season" between s."Season"-5 and s."Season"-1) as double) as prior_appearances,
- round((select (coalesce(sum(seed),0)+17.0::double)/(count(*)+2) from sd h where h."Gender"=s."Gender" and h."TeamID"=s."TeamID" and h."Season" between s."Season"-5 and s."Season"-1),6) as prior_seed from sd s""",
+ select s."Gender", s."Season", s."TeamID", cast(coalesce((select sum(wins) from lw where lw."Gender"=s."Gender" and
+ lw."TeamID"=s."TeamID" and lw."Season" between s."Season"-5 and s."Season"-1),0) as double) as prior_wins,
+ cast((select count(*) from sd h where h."Gender"=s."Gender" and h."TeamID"=s."TeamID" and h."Season" between s."Season"-5 and
+ s."Season"-1) as double) as prior_appearances,
+ round((select (coalesce(sum(seed),0)+17.0::double)/(count(*)+2) from sd h where h."Gender"=s."Gender" and h."TeamID"=s."TeamID" and
+ h."Season" between s."Season"-5 and s."Season"-1),6) as prior_seed from sd s""",
 )
 def prior_seasons(spark, d):
     wins = long(spark, d).where("DayNum > 300").groupBy(*KEY).agg(F.sum("win").alias("wins"))
@@ -129,18 +145,25 @@ def prior_seasons(spark, d):
 
 _ENC = (
     SEEDS
-    + f""", st as (select {QK}, round(avg(margin),6) as m from long where "DayNum"<=300 group by all), pc as (select *, (rank() over w+(count(*) over (partition by "Gender","Season",m)-1)/2.0)/count(*) over (partition by "Gender","Season") as pct from st window w as (partition by "Gender","Season" order by m)),
- cat as (select c."Gender", c."Season", c."TeamID", cast(c."TeamID" as int) as team, cast(least(floor((pos-1)/4)+1,16) as int) as seed, case when c."TeamID"%9<>0 then cast(least(floor(pct*10),9) as int) end as rank from coded c join pc"""
+    + f""", st as (select {QK}, round(avg(margin),6) as m from long where "DayNum"<=300 group by all), pc as (select *, (rank() over
+ w+(count(*) over (partition by "Gender","Season",m)-1)/2.0)/count(*) over (partition by "Gender","Season") as pct from st window w as
+ (partition by "Gender","Season" order by m)),
+ cat as (select c."Gender", c."Season", c."TeamID", cast(c."TeamID" as int) as team, cast(least(floor((pos-1)/4)+1,16) as int) as seed,
+ case when c."TeamID"%9<>0 then cast(least(floor(pct*10),9) as int) end as rank from coded c join pc"""
     + on("c", "pc")
     + """), lt as (select "Gender","Season","TeamID", win from long where "DayNum">300)"""
 )
 
 
 def _enc(c: str) -> str:
-    return f"""select '{c}' as category, cat."Gender", cat."Season", cat."TeamID", case when cat.{c} is not null then round((coalesce(w,0)+10)/(coalesce(n,0)+20),6) end as mean,
+    return f"""select '{c}' as category, cat."Gender", cat."Season", cat."TeamID", case when cat.{c} is not null then
+ round((coalesce(w,0)+10)/(coalesce(n,0)+20),6) end as mean,
  case when cat.{c} is not null then round(sqrt((coalesce(w,0)+10)*(coalesce(n,0)-coalesce(w,0)+10)/(pow(coalesce(n,0)+20,2)*(coalesce(n,0)+21))),6) end as uncertainty, case when cat.{c} is not null then round(ln(1+coalesce(n,0)),6) end as support
- from cat left join (select a."Gender", a."Season", a.{c}, sum(pow(0.5,(a."Season"-1-h."Season")/3.0)*win) as w, sum(pow(0.5,(a."Season"-1-h."Season")/3.0)) as n from (select distinct "Gender","Season",{c} from cat) a
-   join (select cat."Gender", cat."Season", cat.{c}, win from lt join cat{on("lt", "cat")}) h on h."Gender"=a."Gender" and h.{c}=a.{c} and h."Season" between a."Season"-5 and a."Season"-1 group by all) x on x."Gender"=cat."Gender" and x."Season"=cat."Season" and x.{c}=cat.{c}"""
+ from cat left join (select a."Gender", a."Season", a.{c}, sum(pow(0.5,(a."Season"-1-h."Season")/3.0)*win) as w,
+ sum(pow(0.5,(a."Season"-1-h."Season")/3.0)) as n from (select distinct "Gender","Season",{c} from cat) a
+   join (select cat."Gender", cat."Season", cat.{c}, win from lt join cat{on("lt", "cat")}) h on h."Gender"=a."Gender" and h.{c}=a.{c}
+ and h."Season" between a."Season"-5 and a."Season"-1 group by all) x on x."Gender"=cat."Gender" and x."Season"=cat."Season" and
+ x.{c}=cat.{c}"""
 
 
 @query("target_histories", L + _ENC + " " + " union all ".join(_enc(c) for c in ("team", "seed", "rank")))
@@ -164,23 +187,31 @@ _DAY, _STALE, _LAGS = 25, 10, (3, 7, 12)
 
 
 def _panel(name: str, day: int) -> str:
-    return f""", {name} as (select "SystemName","TeamID", 1.0-("OrdinalRank"-1)*1.0/greatest(max("OrdinalRank") over (partition by "SystemName")-1,1) as rating, {day}-"RankingDayNum" as age, "OrdinalRank" as rank
- from (select *, max("RankingDayNum") over (partition by "SystemName") as last from rankings where "RankingDayNum" between {day - _STALE} and {day}) where "RankingDayNum"=last)"""
+    return f""", {name} as (select "SystemName","TeamID", 1.0-("OrdinalRank"-1)*1.0/greatest(max("OrdinalRank") over (partition by
+ "SystemName")-1,1) as rating, {day}-"RankingDayNum" as age, "OrdinalRank" as rank
+ from (select *, max("RankingDayNum") over (partition by "SystemName") as last from rankings where "RankingDayNum" between
+ {day - _STALE} and {day}) where "RankingDayNum"=last)"""
 
 
 def _moved(n: int) -> str:
     more = ", round(stddev_samp(p.rating-o.rating),6) as move_sd, count(*) as matched, round(stddev_samp(p.rating)-stddev_samp(o.rating),6) as dispersion_change" if n == 1 else ""
-    return f""", m{n} as (select p."TeamID", median(p.rating-o.rating) as move{n}{more} from p join p{n} o on o."SystemName"=p."SystemName" and o."TeamID"=p."TeamID" group by all)"""
+    return f""", m{n} as (select p."TeamID", median(p.rating-o.rating) as move{n}{more} from p join p{n} o on
+ o."SystemName"=p."SystemName" and o."TeamID"=p."TeamID" group by all)"""
 
 
 @query(
     "ranking_snapshot",
     f"with {RANKINGS_SQL}" + _panel("p", _DAY) + "".join(_panel(f"p{n}", _DAY - lag) + _moved(n) for n, lag in enumerate(_LAGS))
-    + f""", v as (select "TeamID", median(rating) as consensus, avg(rating) as mean, stddev_samp(rating) as disagreement, count(distinct "SystemName") as systems, avg(age) as age, cast(max(age) as int) as max_age, avg((rank<=25)::int) as top25, avg((rank<=50)::int) as top50,
+    + f""", v as (select "TeamID", median(rating) as consensus, avg(rating) as mean, stddev_samp(rating) as disagreement, count(distinct
+ "SystemName") as systems, avg(age) as age, cast(max(age) as int) as max_age, avg((rank<=25)::int) as top25, avg((rank<=50)::int) as top50,
  quantile_cont(rating,0.25) as lower, quantile_cont(rating,0.75) as upper from p group by all)
- select "TeamID", systems, max_age, round(consensus,6) as consensus, round(mean,6) as mean, round(disagreement,6) as disagreement, round(age,6) as age, round(top25,6) as top25, round(top50,6) as top50, round(lower,6) as lower, round(upper,6) as upper,
- round(upper-lower,6) as iqr, round(systems*1.0::double/(select count(distinct "SystemName") from p),6) as coverage, round(ln(least(greatest(consensus,0.01),0.99)/(1-least(greatest(consensus,0.01),0.99))),6) as logit,
- round(move0,6) as move0, round(move1,6) as move1, round(move2,6) as move2, move_sd, dispersion_change, round(matched*1.0::double/systems,6) as matched_fraction, round(move0/{_LAGS[0]}-move1/{_LAGS[1]},6) as acceleration from v left join m0 using ("TeamID") left join m1 using ("TeamID") left join m2 using ("TeamID")""",
+ select "TeamID", systems, max_age, round(consensus,6) as consensus, round(mean,6) as mean, round(disagreement,6) as disagreement,
+ round(age,6) as age, round(top25,6) as top25, round(top50,6) as top50, round(lower,6) as lower, round(upper,6) as upper,
+ round(upper-lower,6) as iqr, round(systems*1.0::double/(select count(distinct "SystemName") from p),6) as coverage,
+ round(ln(least(greatest(consensus,0.01),0.99)/(1-least(greatest(consensus,0.01),0.99))),6) as logit,
+ round(move0,6) as move0, round(move1,6) as move1, round(move2,6) as move2, move_sd, dispersion_change,
+ round(matched*1.0::double/systems,6) as matched_fraction, round(move0/{_LAGS[0]}-move1/{_LAGS[1]},6) as acceleration from v left join
+ m0 using ("TeamID") left join m1 using ("TeamID") left join m2 using ("TeamID")""",
 )
 def ranking_snapshot(spark, d):
     t = H.ranking_snapshot(rankings(spark, d), _DAY, _LAGS, stale=_STALE)

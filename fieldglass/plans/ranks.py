@@ -19,8 +19,10 @@ CUTOFF, STALE = 25, 14
 
 def _panel_sql(cutoff: int, name: str) -> str:
     """Latest editions as of a cutoff with ratings 1 - (rank - 1) / max(highest rank - 1, 1)."""
-    return f""", {name} as (select "SystemName","TeamID","RankingDayNum", 1.0-("OrdinalRank"-1)*1.0/greatest(max("OrdinalRank") over (partition by "SystemName")-1,1) as rating
- from (select *, max("RankingDayNum") over (partition by "SystemName") as last from rankings where "RankingDayNum" between {cutoff - STALE} and {cutoff}) where "RankingDayNum"=last)"""
+    return f""", {name} as (select "SystemName","TeamID","RankingDayNum", 1.0-("OrdinalRank"-1)*1.0/greatest(max("OrdinalRank") over
+ (partition by "SystemName")-1,1) as rating
+ from (select *, max("RankingDayNum") over (partition by "SystemName") as last from rankings where "RankingDayNum" between
+ {cutoff - STALE} and {cutoff}) where "RankingDayNum"=last)"""
 
 
 def panel(spark, d, cutoff: int):
@@ -38,8 +40,11 @@ def rank_panel_asof(spark, d):
     "rank_snapshot",
     R
     + _panel_sql(CUTOFF, "p")
-    + """ select "TeamID", round(median(rating),6) as consensus, round(avg(rating),6) as mean, round(stddev_samp(rating),6) as disagreement, count(distinct "SystemName") as systems, round(max(rating),6) as best,
- round(quantile_cont(rating,0.25),6) as q25, round(quantile_cont(rating,0.75),6) as q75, round(avg(case when rating>=0.75 then 1.0 else 0.0 end),6) as top_fraction, round(ln(least(greatest(median(rating),0.01),0.99)/(1-least(greatest(median(rating),0.01),0.99))),6) as log_odds from p group by all""",
+    + """ select "TeamID", round(median(rating),6) as consensus, round(avg(rating),6) as mean, round(stddev_samp(rating),6) as
+ disagreement, count(distinct "SystemName") as systems, round(max(rating),6) as best,
+ round(quantile_cont(rating,0.25),6) as q25, round(quantile_cont(rating,0.75),6) as q75, round(avg(case when rating>=0.75 then 1.0 else
+ 0.0 end),6) as top_fraction, round(ln(least(greatest(median(rating),0.01),0.99)/(1-least(greatest(median(rating),0.01),0.99))),6) as
+ log_odds from p group by all""",
 )
 def rank_snapshot(spark, d):
     mid = quantile("rating", 0.5)
@@ -69,14 +74,19 @@ def system_pivot(spark, d):
     return wide.select("TeamID", *[F.col(f"{s}_rating").alias(f"rating_{s}") for s in SYSTEMS], *[F.coalesce(f"{s}_available", F.lit(0)).alias(f"available_{s}") for s in SYSTEMS])
 
 
-@query("system_vocabulary", R + ' select "SystemName", count(distinct "RankingDayNum") as editions, count(distinct "TeamID") as teams, min("RankingDayNum") as first, max("RankingDayNum") as last from rankings group by all')
+@query(
+    "system_vocabulary",
+    R + """ select "SystemName", count(distinct "RankingDayNum") as editions, count(distinct "TeamID") as teams, min("RankingDayNum") as
+ first, max("RankingDayNum") as last from rankings group by all""",
+)
 def system_vocabulary(spark, d):
     return rankings(spark, d).groupBy("SystemName").agg(F.countDistinct("RankingDayNum").alias("editions"), F.countDistinct("TeamID").alias("teams"), F.min("RankingDayNum").alias("first"), F.max("RankingDayNum").alias("last"))
 
 
 @query(
     "asof_observation",
-    """with obs as (select user_id as team, ts, max(value) as value from events where event_type='view' group by all), asked as (select event_id, user_id as team, ts from events where event_type='purchase')
+    """with obs as (select user_id as team, ts, max(value) as value from events where event_type='view' group by all), asked as (select
+ event_id, user_id as team, ts from events where event_type='purchase')
  select a.event_id, a.team, o.ts as seen, o.value from asked a asof left join obs o on a.team=o.team and a.ts>=o.ts""",
 )
 def asof_observation(spark, d):
@@ -85,7 +95,8 @@ def asof_observation(spark, d):
     return as_of(e.where("event_type = 'purchase'").select("event_id", "team", "ts"), obs, ["team"], "ts", "ts", ["value"]).select("event_id", "team", "seen", "value")
 
 
-STINTS = """stints as (select user_id as "TeamID", cast(day(ts) as int) as first, event_type as coach, coalesce(cast(lead(day(ts)) over (partition by user_id order by ts, event_id) as int)-1, 30) as last from (select * from events where event_type in ('login','error')))
+STINTS = """stints as (select user_id as "TeamID", cast(day(ts) as int) as first, event_type as coach, coalesce(cast(lead(day(ts)) over
+ (partition by user_id order by ts, event_id) as int)-1, 30) as last from (select * from events where event_type in ('login','error')))
 , valid as (select * from stints where last>=first)"""
 
 
@@ -97,13 +108,22 @@ def stints(spark, d):
     return rows.where("last >= first")
 
 
-@query("coach_interval_join", f"with {STINTS} select e.event_id, e.user_id as \"TeamID\", v.coach, v.first, v.last from events e join valid v on v.\"TeamID\"=e.user_id and day(e.ts) between v.first and v.last where e.event_type='purchase'")
+@query(
+    "coach_interval_join",
+    f"""with {STINTS} select e.event_id, e.user_id as "TeamID", v.coach, v.first, v.last from events e join valid v on
+ v."TeamID"=e.user_id and day(e.ts) between v.first and v.last where e.event_type='purchase'""",
+)
 def coach_interval_join(spark, d):
     points = table(spark, d, "events", "event_id", "user_id", "ts", "event_type").where("event_type = 'purchase'").select("event_id", F.col("user_id").alias("TeamID"), F.dayofmonth("ts").alias("day"))
     return interval_join(points, stints(spark, d), ["TeamID"], "day", "first", "last").select("event_id", "TeamID", "coach", "first", "last")
 
 
-@query("interval_overlaps", f"with {STINTS}, r as (select *, max(last) over (partition by \"TeamID\" order by first, last rows between unbounded preceding and 1 preceding) as reach from (select \"TeamID\", first, last+1 as last, coach from valid)) select \"TeamID\", first, last, reach from r where reach>=first")
+@query(
+    "interval_overlaps",
+    f"""with {STINTS}, r as (select *, max(last) over (partition by "TeamID" order by first, last rows between unbounded preceding and 1
+ preceding) as reach from (select "TeamID", first, last+1 as last, coach from valid)) select "TeamID", first, last, reach from r where
+ reach>=first""",
+)
 def interval_overlaps(spark, d):
     return overlapping(stints(spark, d).withColumn("last", F.col("last") + 1), ["TeamID"], "first", "last").select("TeamID", "first", "last", "reach")
 
@@ -113,12 +133,16 @@ def active_interval(spark, d):
     return stints(spark, d).where("first <= 20 and last >= 20").groupBy("coach").agg(F.count(F.lit(1)).alias("active"))
 
 
-@query("previous_holder", f"with {STINTS} select \"TeamID\", arg_max(coach, first*100+last) as coach, max(first) as first from valid where last<20 group by all")
+@query(
+    "previous_holder",
+    f"""with {STINTS} select "TeamID", arg_max(coach, first*100+last) as coach, max(first) as first from valid where last<20 group by all""",
+)
 def previous_holder(spark, d):
     return stints(spark, d).where("last < 20").groupBy("TeamID").agg(F.max_by("coach", F.col("first") * 100 + F.col("last")).alias("coach"), F.max("first").alias("first"))
 
 
-CONF = """, conf as (select cast(s_suppkey as int) as "TeamID", n_name as conf, n_regionkey as region from supplier join nation on s_nationkey=n_nationkey)"""
+CONF = """, conf as (select cast(s_suppkey as int) as "TeamID", n_name as conf, n_regionkey as region from supplier join nation on
+ s_nationkey=n_nationkey)"""
 
 
 def conferences(spark, d):
@@ -131,9 +155,14 @@ def conferences(spark, d):
     "conference_peers",
     L
     + CONF
-    + f""", t as (select {QK}, round(avg(margin),6) as strength from long group by all), j as (select * from t join conf using ("TeamID")), c as (select "Gender","Season",conf, count(*) as n, avg(strength) as mean, median(strength) as mid, quantile_cont(strength,0.75) as q75, stddev_samp(strength) as sd from j group by all)
- select j."Gender", j."Season", j."TeamID", j.conf, round(ln(1+n),6) as log_size, round(mean,8) as mean, round(mid,8) as median, round(q75,8) as q75, round(sd,6) as sd,
- round((rank() over (partition by j."Gender",j."Season",j.conf order by strength)+(count(*) over (partition by j."Gender",j."Season",j.conf,strength)-1)/2.0)/n,6) as pct from j join c on j."Gender"=c."Gender" and j."Season"=c."Season" and j.conf=c.conf""",
+    + f""", t as (select {QK}, round(avg(margin),6) as strength from long group by all), j as (select * from t join conf using
+ ("TeamID")), c as (select "Gender","Season",conf, count(*) as n, avg(strength) as mean, median(strength) as mid,
+ quantile_cont(strength,0.75) as q75, stddev_samp(strength) as sd from j group by all)
+ select j."Gender", j."Season", j."TeamID", j.conf, round(ln(1+n),6) as log_size, round(mean,8) as mean, round(mid,8) as median,
+ round(q75,8) as q75, round(sd,6) as sd,
+ round((rank() over (partition by j."Gender",j."Season",j.conf order by strength)+(count(*) over (partition by
+ j."Gender",j."Season",j.conf,strength)-1)/2.0)/n,6) as pct from j join c on j."Gender"=c."Gender" and j."Season"=c."Season" and
+ j.conf=c.conf""",
 )
 def conference_peers(spark, d):
     t = long(spark, d).groupBy(*KEY).agg(r6(F.avg("margin")).alias("strength")).join(conferences(spark, d).select("TeamID", "conf"), "TeamID")
@@ -146,8 +175,10 @@ def conference_peers(spark, d):
     "nonconference_record",
     L
     + CONF
-    + f""", x as (select l.*, a.conf as ca, b.conf as cb from long l left join conf a on a."TeamID"=l."TeamID" left join conf b on b."TeamID"=l."OppID")
- select {QK}, count(*) as games, round(sum(win)/(count(*)+20.0),6) as win_shrunk, round(sum(margin)/(count(*)+20.0),6) as margin_shrunk from x where ca is not null and cb is not null and ca<>cb and lower(ca) not in ('france','peru') group by all""",
+    + f""", x as (select l.*, a.conf as ca, b.conf as cb from long l left join conf a on a."TeamID"=l."TeamID" left join conf b on
+ b."TeamID"=l."OppID")
+ select {QK}, count(*) as games, round(sum(win)/(count(*)+20.0),6) as win_shrunk, round(sum(margin)/(count(*)+20.0),6) as margin_shrunk
+ from x where ca is not null and cb is not null and ca<>cb and lower(ca) not in ('france','peru') group by all""",
 )
 def nonconference_record(spark, d):
     c = conferences(spark, d).select("TeamID", "conf")
@@ -164,9 +195,15 @@ PRIOR, HALF_LIFE, HISTORY = 10.0, 2.0, 5
     "target_encoding",
     L
     + SEEDS
-    + f""", cat as (select "Gender","Season","TeamID", least(cast(floor((pos-1)/4)+1 as int),16) as seed from coded), h as (select l."Gender", l."Season" as hs, c.seed, cast(sum(win) as double) as w, cast(count(*) as double) as n from long l join cat c on c."Gender"=l."Gender" and c."Season"=l."Season" and c."TeamID"=l."TeamID" where "DayNum">300 group by all),
- e as (select c."Gender", c."Season", c."TeamID", c.seed, coalesce(sum(pow(0.5,(c."Season"-hs)/{HALF_LIFE})*w),0) as w, coalesce(sum(pow(0.5,(c."Season"-hs)/{HALF_LIFE})*n),0) as n from cat c left join h on h."Gender"=c."Gender" and h.seed=c.seed and hs between c."Season"-{HISTORY} and c."Season"-1 group by all)
- select "Gender","Season","TeamID",seed, round((w+{PRIOR})/(n+{2 * PRIOR}),6) as te_mean, round(sqrt(((w+{PRIOR})/(n+{2 * PRIOR}))*(1-(w+{PRIOR})/(n+{2 * PRIOR}))/(n+{2 * PRIOR + 1})),6) as te_sd, round(ln(1+n),6) as support from e""",
+    + f""", cat as (select "Gender","Season","TeamID", least(cast(floor((pos-1)/4)+1 as int),16) as seed from coded), h as (select
+ l."Gender", l."Season" as hs, c.seed, cast(sum(win) as double) as w, cast(count(*) as double) as n from long l join cat c on
+ c."Gender"=l."Gender" and c."Season"=l."Season" and c."TeamID"=l."TeamID" where "DayNum">300 group by all),
+ e as (select c."Gender", c."Season", c."TeamID", c.seed, coalesce(sum(pow(0.5,(c."Season"-hs)/{HALF_LIFE})*w),0) as w,
+ coalesce(sum(pow(0.5,(c."Season"-hs)/{HALF_LIFE})*n),0) as n from cat c left join h on h."Gender"=c."Gender" and h.seed=c.seed and hs
+ between c."Season"-{HISTORY} and c."Season"-1 group by all)
+ select "Gender","Season","TeamID",seed, round((w+{PRIOR})/(n+{2 * PRIOR}),6) as te_mean,
+ round(sqrt(((w+{PRIOR})/(n+{2 * PRIOR}))*(1-(w+{PRIOR})/(n+{2 * PRIOR}))/(n+{2 * PRIOR + 1})),6) as te_sd, round(ln(1+n),6) as support
+ from e""",
 )
 def target_encoding(spark, d):
     """Forward-only encoding of a team's seed by outcomes of earlier seasons, each counted under its own season's seed.
@@ -188,8 +225,13 @@ def target_encoding(spark, d):
     "resume_features",
     L
     + SEEDS
-    + f""", s as (select "Gender","Season","TeamID" as "OppID", cast(floor((pos-1)/4)+1 as int) as opp_seed from coded), r as (select l.*, case when opp_seed<=4 then 6.0 when opp_seed<=8 then 4.0 else 0.25 end as quality, "DayNum">270 as late, home=-1 as away from long l left join s using ("Gender","Season","OppID") where "DayNum"<=300)
- select {QK}, cast(round(sum(quality*win),6) as double) as quality_wins, round((sum(quality*win)+10)/(sum(quality)+20),6) as quality_rate, round((coalesce(sum(quality*win) filter (where late),0)+10)/(coalesce(sum(quality) filter (where late),0)+20),6) as late_rate, round((coalesce(sum(quality*win) filter (where away),0)+10)/(coalesce(sum(quality) filter (where away),0)+20),6) as away_rate from r group by all""",
+    + f""", s as (select "Gender","Season","TeamID" as "OppID", cast(floor((pos-1)/4)+1 as int) as opp_seed from coded), r as (select
+ l.*, case when opp_seed<=4 then 6.0 when opp_seed<=8 then 4.0 else 0.25 end as quality, "DayNum">270 as late, home=-1 as away from long
+ l left join s using ("Gender","Season","OppID") where "DayNum"<=300)
+ select {QK}, cast(round(sum(quality*win),6) as double) as quality_wins, round((sum(quality*win)+10)/(sum(quality)+20),6) as
+ quality_rate, round((coalesce(sum(quality*win) filter (where late),0)+10)/(coalesce(sum(quality) filter (where late),0)+20),6) as
+ late_rate, round((coalesce(sum(quality*win) filter (where away),0)+10)/(coalesce(sum(quality) filter (where away),0)+20),6) as
+ away_rate from r group by all""",
 )
 def resume_features(spark, d):
     s = seeds(spark, d).select("Gender", "Season", F.col("TeamID").alias("OppID"), (F.floor((F.col("pos") - 1) / 4) + 1).cast("int").alias("opp_seed"))
@@ -203,8 +245,10 @@ def resume_features(spark, d):
     return rows.groupBy(*KEY).agg(r6(F.sum(won)).alias("quality_wins"), rate(F.lit(True)).alias("quality_rate"), rate(F.col("DayNum") > 270).alias("late_rate"), rate(F.col("home") == -1).alias("away_rate"))
 
 
-TEAMS = f""", t as (select {QK}, avg(margin) as strength, avg("Score") as offense, avg("OppScore") as defense from long where "DayNum"<=300 group by all),
- pairs as (select distinct "Gender","Season", least("TeamID","OppID") as "Team1ID", greatest("TeamID","OppID") as "Team2ID" from long where "DayNum">300)"""
+TEAMS = f""", t as (select {QK}, avg(margin) as strength, avg("Score") as offense, avg("OppScore") as defense from long where
+ "DayNum"<=300 group by all),
+ pairs as (select distinct "Gender","Season", least("TeamID","OppID") as "Team1ID", greatest("TeamID","OppID") as "Team2ID" from long
+ where "DayNum">300)"""
 
 
 def matchups(spark, d):
@@ -232,19 +276,29 @@ def antisymmetric_products(spark, d):
     return m.select("Gender", "Season", "Team1ID", "Team2ID", F.round(x, 4).alias("matchup"))
 
 
-@query("anti_join_coverage", 'select cast(s_suppkey as bigint) as s_suppkey from supplier where not exists (select 1 from lineitem where l_suppkey=s_suppkey and l_quantity>49 and l_discount>0.09)')
+@query(
+    "anti_join_coverage",
+    """select cast(s_suppkey as bigint) as s_suppkey from supplier where not exists (select 1 from lineitem where l_suppkey=s_suppkey
+ and l_quantity>49 and l_discount>0.09)""",
+)
 def anti_join_coverage(spark, d):
     dear = table(spark, d, "lineitem", "l_suppkey", "l_quantity", "l_discount").where("l_quantity > 49 and l_discount > 0.09")
     return table(spark, d, "supplier", "s_suppkey").join(dear, F.col("s_suppkey") == F.col("l_suppkey"), "left_anti")
 
 
-@query("semi_join_population", "select c_custkey, c_mktsegment from customer where exists (select 1 from orders where o_custkey=c_custkey and o_orderpriority='1-URGENT')")
+@query(
+    "semi_join_population",
+    """select c_custkey, c_mktsegment from customer where exists (select 1 from orders where o_custkey=c_custkey and
+ o_orderpriority='1-URGENT')""",
+)
 def semi_join_population(spark, d):
     urgent = table(spark, d, "orders", "o_custkey", "o_orderpriority").where("o_orderpriority = '1-URGENT'")
     return table(spark, d, "customer", "c_custkey", "c_mktsegment").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_semi")
 
 
-@query("source_coverage", L + CONF + """, have as (select distinct "Season","TeamID" from long) select "Season", count(*) as teams, count(conf) as known, round(count(conf)*1.0/count(*),6) as fraction from have left join conf on conf."TeamID"=have."TeamID" and region<>2 group by all""")
+@query("source_coverage", L + CONF + """, have as (select distinct "Season","TeamID" from long) select "Season", count(*) as teams,
+ count(conf) as known, round(count(conf)*1.0/count(*),6) as fraction from have left join conf on conf."TeamID"=have."TeamID" and
+ region<>2 group by all""")
 def source_coverage(spark, d):
     have = long(spark, d).select("Season", "TeamID").distinct()
     known = have.join(conferences(spark, d).where("region <> 2"), "TeamID", "left")

@@ -37,7 +37,8 @@ def team_long(spark, d):
     "canonical_games",
     G
     + """select "Gender", "Season", "DayNum", "GameNo", least("WTeamID","LTeamID") as "Team1ID", greatest("WTeamID","LTeamID") as "Team2ID",
-  case when "WTeamID"<"LTeamID" then "WScore" else "LScore" end as "Team1Score", case when "WTeamID"<"LTeamID" then "LScore" else "WScore" end as "Team2Score",
+  case when "WTeamID"<"LTeamID" then "WScore" else "LScore" end as "Team1Score", case when "WTeamID"<"LTeamID" then "LScore" else
+ "WScore" end as "Team2Score",
   case when "WTeamID"<"LTeamID" then "WLoc" when "WLoc"='H' then 'A' when "WLoc"='A' then 'H' else "WLoc" end as "Team1Loc",
   cast("WTeamID"<"LTeamID" as int) as y, (case when "WTeamID"<"LTeamID" then 1 else -1 end)*("WScore"-"LScore") as "Team1Margin",
   "Season"||'_'||least("WTeamID","LTeamID")||'_'||greatest("WTeamID","LTeamID") as "ID" from games""",
@@ -57,9 +58,12 @@ def location_inversion(spark, d):
 @query(
     "parse_matchup_id",
     G
-    + """, ids as (select distinct "Season"||'_'||(least("WTeamID","LTeamID")+case "Gender" when 'W' then 3000 else 1000 end)||'_'||(greatest("WTeamID","LTeamID")+case "Gender" when 'W' then 3000 else 1000 end) as "ID" from games),
- p as (select "ID", cast(split_part("ID",'_',1) as int) as "Season", cast(split_part("ID",'_',2) as int) as "Team1ID", cast(split_part("ID",'_',3) as int) as "Team2ID" from ids)
- select *, case when greatest("Team1ID","Team2ID")<3000 then 'M' when least("Team1ID","Team2ID")>=3000 then 'W' else 'INVALID' end as "Gender" from p""",
+    + """, ids as (select distinct "Season"||'_'||(least("WTeamID","LTeamID")+case "Gender" when 'W' then 3000 else 1000
+ end)||'_'||(greatest("WTeamID","LTeamID")+case "Gender" when 'W' then 3000 else 1000 end) as "ID" from games),
+ p as (select "ID", cast(split_part("ID",'_',1) as int) as "Season", cast(split_part("ID",'_',2) as int) as "Team1ID",
+ cast(split_part("ID",'_',3) as int) as "Team2ID" from ids)
+ select *, case when greatest("Team1ID","Team2ID")<3000 then 'M' when least("Team1ID","Team2ID")>=3000 then 'W' else 'INVALID' end as
+ "Gender" from p""",
 )
 def parse_matchup(spark, d):
     shift = F.when(F.col("Gender") == "W", 3000).otherwise(1000)
@@ -67,9 +71,12 @@ def parse_matchup(spark, d):
     return parse_matchup_id(ids)
 
 
-SEEDS = """, wins as (select "Gender","Season","TeamID", cast(sum(win) as bigint) as w, count(*) as n from long where "DayNum"<=300 group by all),
- seeds as (select "Gender","Season","TeamID", cast(row_number() over (partition by "Gender","Season" order by w*1.0/n desc, "TeamID") as int) as pos from wins),
- coded as (select "Gender","Season","TeamID", pos, substr('WXYZ', cast((pos-1)%4+1 as int), 1)||lpad(cast(cast(floor((pos-1)/4)+1 as int) as varchar),2,'0')||case when pos%7=0 then 'a' when pos%7=1 then 'b' else '' end as "Seed" from seeds)
+SEEDS = """, wins as (select "Gender","Season","TeamID", cast(sum(win) as bigint) as w, count(*) as n from long where "DayNum"<=300
+ group by all),
+ seeds as (select "Gender","Season","TeamID", cast(row_number() over (partition by "Gender","Season" order by w*1.0/n desc, "TeamID") as
+ int) as pos from wins),
+ coded as (select "Gender","Season","TeamID", pos, substr('WXYZ', cast((pos-1)%4+1 as int), 1)||lpad(cast(cast(floor((pos-1)/4)+1 as
+ int) as varchar),2,'0')||case when pos%7=0 then 'a' when pos%7=1 then 'b' else '' end as "Seed" from seeds)
 """
 
 
@@ -84,12 +91,19 @@ def seeds(spark, d):
     return at.select(*KEY, "pos", code.alias("Seed"))
 
 
-@query("seed_parse", L + SEEDS + """select "Gender","Season","TeamID","Seed", nullif(regexp_extract("Seed",'^([WXYZ])(\\d{2})([ab]?)$',1),'') as "Region", cast(nullif(regexp_extract("Seed",'^([WXYZ])(\\d{2})([ab]?)$',2),'') as int) as "SeedNum", nullif(regexp_extract("Seed",'^([WXYZ])(\\d{2})([ab]?)$',3),'') as "PlayIn" from coded""")
+@query("seed_parse", L + SEEDS + """select "Gender","Season","TeamID","Seed",
+ nullif(regexp_extract("Seed",'^([WXYZ])(\\d{2})([ab]?)$',1),'') as "Region",
+ cast(nullif(regexp_extract("Seed",'^([WXYZ])(\\d{2})([ab]?)$',2),'') as int) as "SeedNum",
+ nullif(regexp_extract("Seed",'^([WXYZ])(\\d{2})([ab]?)$',3),'') as "PlayIn" from coded""")
 def seed_parse(spark, d):
     return split_seed(seeds(spark, d)).select(*KEY, "Seed", "Region", "SeedNum", "PlayIn")
 
 
-@query("team_summary", L + f'select {QK}, count(*) as games, round(avg(win),6) as win_rate, round(avg(margin),6) as margin_mean, round(stddev_samp(margin),6) as margin_sd from long group by all')
+@query(
+    "team_summary",
+    L + f"""select {QK}, count(*) as games, round(avg(win),6) as win_rate, round(avg(margin),6) as margin_mean,
+ round(stddev_samp(margin),6) as margin_sd from long group by all""",
+)
 def team_summary(spark, d):
     return long(spark, d).groupBy(*KEY).agg(F.count(F.lit(1)).alias("games"), r6(F.avg("win")).alias("win_rate"), r6(F.avg("margin")).alias("margin_mean"), r6(F.stddev_samp("margin")).alias("margin_sd"))
 
@@ -107,8 +121,10 @@ def schedule_strength(spark, d):
 @query(
     "box_rates",
     L
-    + f"""select {QK}, round((sum("FGM")+0.5*sum("FGM3"))/nullif(sum("FGA"),0),6) as efg, round(sum("TO")/nullif(sum("FGA")-sum("OR")+sum("TO")+0.475*sum("FTA"),0),6) as tov,
- round(sum("OR")/nullif(sum("OR")+sum("opp_DR"),0),6) as orb, round(sum("FTA")/nullif(sum("FGA"),0),6) as ftr, round(sum("FGA3")/nullif(sum("FGA"),0),6) as three_rate,
+    + f"""select {QK}, round((sum("FGM")+0.5*sum("FGM3"))/nullif(sum("FGA"),0),6) as efg,
+ round(sum("TO")/nullif(sum("FGA")-sum("OR")+sum("TO")+0.475*sum("FTA"),0),6) as tov,
+ round(sum("OR")/nullif(sum("OR")+sum("opp_DR"),0),6) as orb, round(sum("FTA")/nullif(sum("FGA"),0),6) as ftr,
+ round(sum("FGA3")/nullif(sum("FGA"),0),6) as three_rate,
  round((sum("opp_FGM")+0.5*sum("opp_FGM3"))/nullif(sum("opp_FGA"),0),6) as opp_efg from long group by all""",
 )
 def box_rates(spark, d):
@@ -156,9 +172,12 @@ def possessions(rows):
 @query(
     "possession_efficiency",
     L
-    + f""", q as (select *, {POSS} as poss, abs(("FGA"-"OR"+"TO"+0.475*"FTA")-("opp_FGA"-"opp_OR"+"opp_TO"+0.475*"opp_FTA")) as raw_gap from long)
- select {QK}, round(avg(poss*40/(40+5*"NumOT")),8) as tempo, round(stddev_samp(poss*40/(40+5*"NumOT")),6) as tempo_sd, round(avg(100*"Score"/nullif(poss,0)),4) as efficiency,
- round(avg(raw_gap/nullif(poss,0)),6) as gap, round(avg(case when raw_gap/nullif(poss,0)<=0.10 then 1.0 else 0.0 end),6) as clean_fraction from q group by all""",
+    + f""", q as (select *, {POSS} as poss, abs(("FGA"-"OR"+"TO"+0.475*"FTA")-("opp_FGA"-"opp_OR"+"opp_TO"+0.475*"opp_FTA")) as raw_gap
+ from long)
+ select {QK}, round(avg(poss*40/(40+5*"NumOT")),8) as tempo, round(stddev_samp(poss*40/(40+5*"NumOT")),6) as tempo_sd,
+ round(avg(100*"Score"/nullif(poss,0)),4) as efficiency,
+ round(avg(raw_gap/nullif(poss,0)),6) as gap, round(avg(case when raw_gap/nullif(poss,0)<=0.10 then 1.0 else 0.0 end),6) as
+ clean_fraction from q group by all""",
 )
 def possession_efficiency(spark, d):
     rows = possessions(long(spark, d, "FGA", "OR", "TO", "FTA"))
@@ -167,7 +186,9 @@ def possession_efficiency(spark, d):
 
 @query(
     "close_game_posterior",
-    L + f"""select {QK}, count(*) filter (where abs(margin)<=5000) as close_games, round((coalesce(sum(win) filter (where abs(margin)<=5000),0)+2.5)/(count(*) filter (where abs(margin)<=5000)+5.0),6) as close_rate, cast(300-max("DayNum") as int) as rest_days from long where "DayNum"<=300 group by all""",
+    L + f"""select {QK}, count(*) filter (where abs(margin)<=5000) as close_games, round((coalesce(sum(win) filter (where
+ abs(margin)<=5000),0)+2.5)/(count(*) filter (where abs(margin)<=5000)+5.0),6) as close_rate, cast(300-max("DayNum") as int) as
+ rest_days from long where "DayNum"<=300 group by all""",
 )
 def close_game_posterior(spark, d):
     close = F.abs("margin") <= 5000
@@ -178,8 +199,10 @@ def close_game_posterior(spark, d):
 @query(
     "context_aggregates",
     L
-    + f"""select {QK}, count(*) filter (where "DayNum">286) as last14, round(avg(case when "NumOT">0 then 1.0 else 0.0 end),6) as ot_fraction,
- round(quantile_cont(margin,0.1),6) as margin_q10, round(pow(sum("Score"),11.5)/(pow(sum("Score"),11.5)+pow(sum("OppScore"),11.5)),6) as pythagorean from long where "DayNum"<=300 group by all""",
+    + f"""select {QK}, count(*) filter (where "DayNum">286) as last14, round(avg(case when "NumOT">0 then 1.0 else 0.0 end),6) as
+ ot_fraction,
+ round(quantile_cont(margin,0.1),6) as margin_q10, round(pow(sum("Score"),11.5)/(pow(sum("Score"),11.5)+pow(sum("OppScore"),11.5)),6) as
+ pythagorean from long where "DayNum"<=300 group by all""",
 )
 def context_aggregates(spark, d):
     a, b = F.pow(F.sum("Score"), F.lit(11.5)), F.pow(F.sum("OppScore"), F.lit(11.5))
@@ -201,9 +224,13 @@ def venue_profile(spark, d):
 @query(
     "opponent_profile",
     L
-    + f""", t as (select {QK}, avg(margin) as strength from long group by all), q as (select "Gender","Season", quantile_cont(strength,0.75) as q75, quantile_cont(strength,0.25) as q25 from t group by all)
- select l."Gender", l."Season", l."TeamID", count(*) filter (where t.strength>=q75) as strong_games, round(avg(margin) filter (where t.strength>=q75),6) as strong_margin, count(*) filter (where t.strength<=q25) as weak_games, round(avg(margin) filter (where t.strength<=q25),6) as weak_margin
- from long l join t on t."Gender"=l."Gender" and t."Season"=l."Season" and t."TeamID"=l."OppID" join q on q."Gender"=l."Gender" and q."Season"=l."Season" group by all""",
+    + f""", t as (select {QK}, avg(margin) as strength from long group by all), q as (select "Gender","Season",
+ quantile_cont(strength,0.75) as q75, quantile_cont(strength,0.25) as q25 from t group by all)
+ select l."Gender", l."Season", l."TeamID", count(*) filter (where t.strength>=q75) as strong_games, round(avg(margin) filter (where
+ t.strength>=q75),6) as strong_margin, count(*) filter (where t.strength<=q25) as weak_games, round(avg(margin) filter (where
+ t.strength<=q25),6) as weak_margin
+ from long l join t on t."Gender"=l."Gender" and t."Season"=l."Season" and t."TeamID"=l."OppID" join q on q."Gender"=l."Gender" and
+ q."Season"=l."Season" group by all""",
 )
 def opponent_profile(spark, d):
     rows = long(spark, d)
@@ -231,9 +258,12 @@ _UNPIVOT = " union all ".join(f"select {QK}, \"DayNum\", '{c}' as context, '{s}'
 @query(
     "distribution_long",
     L
-    + f""", u as ({_UNPIVOT}) select {QK}, context, signal, count(value) as n, round(avg(value),6) as mean, round(median(value),6) as median, round(stddev_samp(value),6) as sd, min(value) as low, max(value) as high,
- round(quantile_cont(value,0.1),6) as q10, round(quantile_cont(value,0.25),6) as q25, round(quantile_cont(value,0.75),6) as q75, round(quantile_cont(value,0.9),6) as q90,
- round(quantile_cont(value,0.75)-quantile_cont(value,0.25),6) as iqr, case when count(value)>=3 and stddev_samp(value)>0 then round(skewness(value),4) end as skew from u group by all""",
+    + f""", u as ({_UNPIVOT}) select {QK}, context, signal, count(value) as n, round(avg(value),6) as mean, round(median(value),6) as
+ median, round(stddev_samp(value),6) as sd, min(value) as low, max(value) as high,
+ round(quantile_cont(value,0.1),6) as q10, round(quantile_cont(value,0.25),6) as q25, round(quantile_cont(value,0.75),6) as q75,
+ round(quantile_cont(value,0.9),6) as q90,
+ round(quantile_cont(value,0.75)-quantile_cont(value,0.25),6) as iqr, case when count(value)>=3 and stddev_samp(value)>0 then
+ round(skewness(value),4) end as skew from u group by all""",
 )
 def distribution_long(spark, d):
     rows = signal_rows(long(spark, d, "FGM", "Ast", "Stl"), SIGNALS, CONTEXTS)
@@ -246,7 +276,8 @@ def distribution_long(spark, d):
     "trajectory",
     L
     + f""", o as (select *, margin - lag(margin) over (partition by {QK} order by "DayNum", "GameNo") as step from long)
- select {QK}, case when count(*)>=3 and var_pop("DayNum")>0 then round(regr_slope(margin,"DayNum"),6) end as slope, round(avg(abs(step)),6) as mean_step,
+ select {QK}, case when count(*)>=3 and var_pop("DayNum")>0 then round(regr_slope(margin,"DayNum"),6) end as slope,
+ round(avg(abs(step)),6) as mean_step,
  round(avg(margin) filter (where "DayNum">240)-avg(margin) filter (where "DayNum"<=240),6) as recent_change from o group by all""",
 )
 def trajectory(spark, d):
@@ -262,8 +293,11 @@ def trajectory(spark, d):
 @query(
     "peer_profile",
     L
-    + f""", t as (select {QK}, round(avg(margin),6) as strength from long group by all), m as (select "Gender","Season", avg(strength) as a, stddev_samp(strength) as s, count(*) as n from t group by all)
- select t."Gender", t."Season", t."TeamID", strength, round((strength-a)/nullif(s,0),6) as z, round((rank() over (partition by t."Gender",t."Season" order by strength)+(count(*) over (partition by t."Gender",t."Season",strength)-1)/2.0)/n,6) as pct from t join m using ("Gender","Season")""",
+    + f""", t as (select {QK}, round(avg(margin),6) as strength from long group by all), m as (select "Gender","Season", avg(strength)
+ as a, stddev_samp(strength) as s, count(*) as n from t group by all)
+ select t."Gender", t."Season", t."TeamID", strength, round((strength-a)/nullif(s,0),6) as z, round((rank() over (partition by
+ t."Gender",t."Season" order by strength)+(count(*) over (partition by t."Gender",t."Season",strength)-1)/2.0)/n,6) as pct from t join m
+ using ("Gender","Season")""",
 )
 def peer_profile(spark, d):
     t = long(spark, d).groupBy(*KEY).agg(r6(F.avg("margin")).alias("strength"))
@@ -271,13 +305,21 @@ def peer_profile(spark, d):
     return t.select(*KEY, "strength", r6("z").alias("z"), r6("pct").alias("pct"))
 
 
-@query("last7", L + f', o as (select *, row_number() over (partition by {QK} order by "DayNum" desc, "OppID" desc, "GameNo" desc) as rn from long) select {QK}, count(*) as n, round(avg(margin),6) as margin, cast(sum(win) as bigint) as wins from o where rn<=7 group by all')
+@query(
+    "last7",
+    L + f""", o as (select *, row_number() over (partition by {QK} order by "DayNum" desc, "OppID" desc, "GameNo" desc) as rn from long)
+ select {QK}, count(*) as n, round(avg(margin),6) as margin, cast(sum(win) as bigint) as wins from o where rn<=7 group by all""",
+)
 def last7(spark, d):
     rows = last_n(long(spark, d), KEY, [F.col("DayNum").desc(), F.col("OppID").desc(), F.col("GameNo").desc()], 7)
     return rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("margin")).alias("margin"), F.sum("win").alias("wins"))
 
 
-@query("decayed_margin", L + f'select {QK}, round(sum(pow(0.5,(300-"DayNum")/30.0)*margin)/sum(pow(0.5,(300-"DayNum")/30.0)),4) as margin from long where "DayNum"<=300 group by all')
+@query(
+    "decayed_margin",
+    L + f"""select {QK}, round(sum(pow(0.5,(300-"DayNum")/30.0)*margin)/sum(pow(0.5,(300-"DayNum")/30.0)),4) as margin from long where
+ "DayNum"<=300 group by all""",
+)
 def decayed_margin(spark, d):
     rows = season_days(spark, d).withColumn("w", decay(F.lit(300) - F.col("DayNum"), 30.0))
     return rows.groupBy(*KEY).agg(F.round(weighted_mean("margin", "w"), 4).alias("margin"))
@@ -285,7 +327,8 @@ def decayed_margin(spark, d):
 
 @query(
     "mirror_augmentation",
-    L + """, m as (select "Gender","Season", margin, home, win as y from long union all select "Gender","Season", -margin, -home, 1-win from long)
+    L + """, m as (select "Gender","Season", margin, home, win as y from long union all select "Gender","Season", -margin, -home, 1-win
+ from long)
  select "Gender","Season", y, count(*) as n, round(avg(margin),6) as margin, cast(sum(home) as bigint) as home from m group by all""",
 )
 def mirror_augmentation(spark, d):
@@ -293,13 +336,17 @@ def mirror_augmentation(spark, d):
     return rows.groupBy("Gender", "Season", "y").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("margin")).alias("margin"), F.sum("home").alias("home"))
 
 
-@query("season_overview", G + """select "Gender","Season", count(*) as games, count(distinct "DayNum") as days, round(avg("WScore"-"LScore"),6) as margin, round(avg(case when "WLoc"='H' then 1.0 else 0.0 end),6) as home_wins, round(avg(case when "NumOT">0 then 1.0 else 0.0 end),6) as overtime from games group by all""")
+@query("season_overview", G + """select "Gender","Season", count(*) as games, count(distinct "DayNum") as days,
+ round(avg("WScore"-"LScore"),6) as margin, round(avg(case when "WLoc"='H' then 1.0 else 0.0 end),6) as home_wins, round(avg(case when
+ "NumOT">0 then 1.0 else 0.0 end),6) as overtime from games group by all""")
 def season_overview(spark, d):
     f = lambda c: r6(F.avg(F.when(c, 1.0).otherwise(0.0)))
     return games(spark, d).groupBy("Gender", "Season").agg(F.count(F.lit(1)).alias("games"), F.countDistinct("DayNum").alias("days"), r6(F.avg(F.col("WScore") - F.col("LScore"))).alias("margin"), f(F.col("WLoc") == "H").alias("home_wins"), f(F.col("NumOT") > 0).alias("overtime"))
 
 
-@query("split_audit", G + """select "Gender", case when "DayNum">300 then 'late' else 'regular' end as part, count(*) as games, count(distinct "Season") as seasons, min("Season") as first, max("Season") as last, string_agg(distinct cast("Season" as varchar), ',' order by cast("Season" as varchar)) as list from games group by all""")
+@query("split_audit", G + """select "Gender", case when "DayNum">300 then 'late' else 'regular' end as part, count(*) as games,
+ count(distinct "Season") as seasons, min("Season") as first, max("Season") as last, string_agg(distinct cast("Season" as varchar), ','
+ order by cast("Season" as varchar)) as list from games group by all""")
 def split_audit(spark, d):
     part = F.when(F.col("DayNum") > 300, "late").otherwise("regular").alias("part")
     return games(spark, d).groupBy("Gender", part).agg(F.count(F.lit(1)).alias("games"), F.countDistinct("Season").alias("seasons"), F.min("Season").alias("first"), F.max("Season").alias("last"), F.concat_ws(",", F.array_sort(F.collect_set(F.col("Season").cast("string")))).alias("list"))
@@ -307,14 +354,19 @@ def split_audit(spark, d):
 
 @query(
     "tenure_islands",
-    L + """, s as (select distinct "Gender","TeamID","Season" from long), i as (select *, "Season"-row_number() over (partition by "Gender","TeamID" order by "Season") as g from s)
+    L + """, s as (select distinct "Gender","TeamID","Season" from long), i as (select *, "Season"-row_number() over (partition by
+ "Gender","TeamID" order by "Season") as g from s)
  select "Gender","TeamID", min("Season") as first, max("Season") as last, count(*) as length from i group by "Gender","TeamID",g""",
 )
 def tenure_islands(spark, d):
     return run_lengths(long(spark, d), ["Gender", "TeamID"], "Season").select("Gender", "TeamID", "first", "last", "length")
 
 
-@query("ragged_union", "select cast(s_suppkey as bigint) as id, s_name as name, s_acctbal as balance, cast(null as varchar) as segment from supplier union all select c_custkey, c_name, c_acctbal, c_mktsegment from customer")
+@query(
+    "ragged_union",
+    """select cast(s_suppkey as bigint) as id, s_name as name, s_acctbal as balance, cast(null as varchar) as segment from supplier
+ union all select c_custkey, c_name, c_acctbal, c_mktsegment from customer""",
+)
 def ragged_union(spark, d):
     from fieldglass.sources.tables import table
 
@@ -322,14 +374,19 @@ def ragged_union(spark, d):
     return union_all(s, table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment")))
 
 
-@query("null_preserving_sum", L + f'select {QK}, cast(sum(case when home=1 then "Blk" end) as bigint) as home_blocks from long group by all')
+@query(
+    "null_preserving_sum",
+    L + f"""select {QK}, cast(sum(case when home=1 then "Blk" end) as bigint) as home_blocks from long group by all""",
+)
 def null_preserving_sum(spark, d):
     return long(spark, d, "Blk").groupBy(*KEY).agg(F.sum(F.when(F.col("home") == 1, F.col("Blk"))).alias("home_blocks"))
 
 
 @query(
     "game_signals",
-    L + f"""select {QK}, "GameNo", round("FGM"*1.0/nullif("FGA",0),6) as fg, round("Ast"*1.0/nullif("TO",0),6) as ast_to, round("FTM"*1.0/nullif("FTA",0),6) as ft, round("Stl"*1.0/nullif("opp_TO"-1,0),6) as steal_rate, round(("FGM"-"FGM3")*1.0/nullif("FGA"-"FGA3",0),6) as two from long""",
+    L + f"""select {QK}, "GameNo", round("FGM"*1.0/nullif("FGA",0),6) as fg, round("Ast"*1.0/nullif("TO",0),6) as ast_to,
+ round("FTM"*1.0/nullif("FTA",0),6) as ft, round("Stl"*1.0/nullif("opp_TO"-1,0),6) as steal_rate,
+ round(("FGM"-"FGM3")*1.0/nullif("FGA"-"FGA3",0),6) as two from long""",
 )
 def game_signals(spark, d):
     rows = long(spark, d, *BOX)
