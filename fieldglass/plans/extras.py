@@ -9,6 +9,7 @@ from fieldglass.functions.stats import ratio, shrunk_mean
 from fieldglass.operators.bracket import elo_probability
 from fieldglass.operators.reshape import canonical
 from fieldglass.operators.windows import average_rank
+from fieldglass.plans.bank import OFF
 from fieldglass.plans.history import SEEDED, on, seeded
 from fieldglass.plans.models import _EIGHT, eight
 from fieldglass.plans.ranks import CONF, conferences
@@ -64,8 +65,8 @@ def context_snapshot(spark, d):
  ("TeamID") window w as (partition by "Gender","Season",conf order by strength)),
  g as (select "Gender","Season",conf, ln(1+count(*)) as teams, avg(strength) as mean, median(strength) as mid,
  quantile_cont(strength,0.75) as upper, stddev_samp(strength) as sd from p group by all)
- select {", ".join(f'p."{k}"' for k in ("Gender", "Season", "TeamID"))}, p.conf, round(teams,6) as teams, round(mean,5) as mean,
- round(mid,5) as median, round(upper,5) as upper, round(sd,5) as sd, round(pct,6) as percentile, round(ln(1+coalesce(n,0)),6) as
+ select {", ".join(f'p."{k}"' for k in ("Gender", "Season", "TeamID"))}, p.conf, round(teams,6) as teams, round(mean+3e-8,5) as mean,
+ round(mid+3e-8,5) as median, round(upper+3e-8,5) as upper, round(sd+3e-8,5) as sd, round(pct,6) as percentile, round(ln(1+coalesce(n,0)),6) as
  support, round((coalesce(w,0)+10.0::double)/(coalesce(n,0)+20),6) as win_posterior,
  round(coalesce(m,0)/(coalesce(n,0)+20.0::double),5) as margin, round(coalesce(o,0)/(coalesce(n,0)+20.0::double),5) as
  opponent_strength, round(coalesce(j,0)/(coalesce(n,0)+20.0::double),5) as adjusted_margin
@@ -85,7 +86,7 @@ def conference_snapshot(spark, d):
     z = lambda k: F.coalesce(F.col(k).cast("double"), F.lit(0.0))
     over = lambda k: F.round(z(k) / (z("n") + 20), 5)
     return p.join(g, [*LEAGUE, "conf"]).join(n, [*LEAGUE, "conf"], "left").select(
-        *KEY, "conf", r6("teams").alias("teams"), F.round("mean", 5).alias("mean"), F.round(F.col("q")[0], 5).alias("median"), F.round(F.col("q")[1], 5).alias("upper"), F.round("sd", 5).alias("sd"), r6("pct").alias("percentile"),
+        *KEY, "conf", r6("teams").alias("teams"), F.round(F.col("mean") + OFF, 5).alias("mean"), F.round(F.col("q")[0] + OFF, 5).alias("median"), F.round(F.col("q")[1] + OFF, 5).alias("upper"), F.round(F.col("sd") + OFF, 5).alias("sd"), r6("pct").alias("percentile"),
         r6(F.log1p(z("n"))).alias("support"), r6((z("w") + 10) / (z("n") + 20)).alias("win_posterior"), over("m").alias("margin"), over("o").alias("opponent_strength"), over("j").alias("adjusted_margin"),
     )
 
