@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldglass.functions.stats import logit, quantile, shrunk_mean
-from fieldglass.operators.joins import as_of, differences, interval_join, latest_editions, overlapping, pair_roles
+from fieldglass.operators.history import ranking_panel
+from fieldglass.operators.joins import as_of, differences, interval_join, overlapping, pair_roles
 from fieldglass.operators.windows import average_rank
 from fieldglass.plans.teams import KEY, L, QK, SEEDS, long, r6, season_days, seeds
 from fieldglass.registry import query
@@ -26,9 +27,8 @@ def _panel_sql(cutoff: int, name: str) -> str:
 
 
 def panel(spark, d, cutoff: int):
-    rows = latest_editions(rankings(spark, d), ["SystemName"], "RankingDayNum", cutoff, STALE)
-    top = F.max("OrdinalRank").over(Window.partitionBy("SystemName"))
-    return rows.withColumn("rating", 1.0 - (F.col("OrdinalRank") - 1) / F.greatest(top - 1, F.lit(1)))
+    t = ranking_panel(rankings(spark, d), cutoff, STALE)
+    return t.select("SystemName", "TeamID", (cutoff - F.col("age")).cast("int").alias("RankingDayNum"), "rating")
 
 
 @query("rank_panel_asof", R + _panel_sql(CUTOFF, "p") + ' select "SystemName","TeamID","RankingDayNum", round(rating,6) as rating from p')
@@ -188,7 +188,7 @@ def nonconference_record(spark, d):
 
 
 #: Prior of the target encoding, years of its half-life and of its history.
-PRIOR, HALF_LIFE, HISTORY = 10.0, 2.0, 5
+PRIOR, HALF_LIFE, HISTORY = 10.0, 3.0, 5
 
 
 @query(
@@ -198,8 +198,8 @@ PRIOR, HALF_LIFE, HISTORY = 10.0, 2.0, 5
     + f""", cat as (select "Gender","Season","TeamID", least(cast(floor((pos-1)/4)+1 as int),16) as seed from coded), h as (select
  l."Gender", l."Season" as hs, c.seed, cast(sum(win) as double) as w, cast(count(*) as double) as n from long l join cat c on
  c."Gender"=l."Gender" and c."Season"=l."Season" and c."TeamID"=l."TeamID" where "DayNum">300 group by all),
- e as (select c."Gender", c."Season", c."TeamID", c.seed, coalesce(sum(pow(0.5,(c."Season"-hs)/{HALF_LIFE})*w),0) as w,
- coalesce(sum(pow(0.5,(c."Season"-hs)/{HALF_LIFE})*n),0) as n from cat c left join h on h."Gender"=c."Gender" and h.seed=c.seed and hs
+ e as (select c."Gender", c."Season", c."TeamID", c.seed, coalesce(sum(pow(0.5,(c."Season"-1-hs)/{HALF_LIFE})*w),0) as w,
+ coalesce(sum(pow(0.5,(c."Season"-1-hs)/{HALF_LIFE})*n),0) as n from cat c left join h on h."Gender"=c."Gender" and h.seed=c.seed and hs
  between c."Season"-{HISTORY} and c."Season"-1 group by all)
  select "Gender","Season","TeamID",seed, round((w+{PRIOR})/(n+{2 * PRIOR}),6) as te_mean,
  round(sqrt(((w+{PRIOR})/(n+{2 * PRIOR}))*(1-(w+{PRIOR})/(n+{2 * PRIOR}))/(n+{2 * PRIOR + 1})),6) as te_sd, round(ln(1+n),6) as support
@@ -214,7 +214,7 @@ def target_encoding(spark, d):
     late = long(spark, d).where("DayNum > 300").join(cat, KEY)
     h = late.groupBy("Gender", F.col("Season").alias("hs"), "seed").agg(F.sum("win").cast("double").alias("w"), F.count(F.lit(1)).cast("double").alias("n"))
     ask = cat.select("Gender", "Season", "seed").distinct().join(h, ["Gender", "seed"]).where(F.col("hs").between(F.col("Season") - HISTORY, F.col("Season") - 1))
-    age = F.pow(F.lit(0.5), (F.col("Season") - F.col("hs")) / F.lit(HALF_LIFE))
+    age = F.pow(F.lit(0.5), (F.col("Season") - 1 - F.col("hs")) / F.lit(HALF_LIFE))
     sums = ask.groupBy("Gender", "Season", "seed").agg(F.sum(age * F.col("w")).alias("w"), F.sum(age * F.col("n")).alias("n"))
     e = cat.join(sums, ["Gender", "Season", "seed"], "left").na.fill(0.0, ["w", "n"])
     m = (F.col("w") + PRIOR) / (F.col("n") + 2 * PRIOR)
