@@ -95,9 +95,18 @@ class Scratch:
         return f"{self.base}/{name}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def release(self, *names: str) -> None:
+        """Drop tables that are read no more, and let Spark's cleaner see that finished plans' shuffles aren't needed."""
+        import gc
+
+        for name in names:
+            self.drop(name)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str | None = None) -> None:
         try:
             jvm = self.spark.sparkContext._jvm

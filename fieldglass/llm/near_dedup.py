@@ -234,7 +234,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, bands: int
     wanted = members.select("c").distinct().join(classes.select("c", "rep"), "c")
     sets = scratch.put(wanted.join(src, F.col("rep") == F.col("doc_id")).select("c", "text").transform(arrow, _sets(k), "c long, items array<long>"), "sets")
     popular = members.groupBy("c").agg(F.sum("met").alias("pop"))
-    members = scratch.put(members.join(popular, "c"), "popular")
+    members = scratch.put(members.join(popular, "c").select("key", "band", "c", "n", "pop"), "popular")
+    scratch.release("members")
 
     links, labels = None, None
     for turn in range(2):
@@ -246,11 +247,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, bands: int
         pairs = at.where(F.col("label") != F.col("top.label")).where(near(F.col("n"), F.col("top.n"))).select(F.least("c", "top.c").alias("a"), F.greatest("c", "top.c").alias("b"))
         pairs = scratch.put(pairs.distinct(), f"pairs{turn}")
         found = scratch.put(_verified(pairs, sets, threshold), f"links{turn}")
+        scratch.release(f"pairs{turn}")
         if turn and found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
         labels = connected_components(links, scratch, f"cc{turn}")
+        scratch.release()
     rest = scratch.put(_across(_labelled(members, labels), sets, classes, threshold), "links2")
+    scratch.release("popular", "sets")
     if not rest.isEmpty():
         labels = connected_components(links.unionByName(rest), scratch, "cc2")
 
