@@ -1,5 +1,6 @@
-"""Corpus operators: ten steps of a training-data pipeline. Nothing else in the library imports this subpackage."""
+"""Corpus operators: thirteen steps of a training-data pipeline. Nothing else in the library imports this subpackage."""
 
+from fieldglass.llm.decontamination import op11_decontamination
 from fieldglass.llm.embedding_dedup import op8_embedding_near_dedup
 from fieldglass.llm.mixing import op7_mixing_sources
 from fieldglass.llm.near_dedup import op2_minhash_near_dedup
@@ -24,6 +25,7 @@ QUERIES = {
         op8_embedding_near_dedup,
         op9_warc,
         op10_quality_classifier,
+        op11_decontamination,
     )
 }
 #: DuckDB statements, where SQL can express the query at an acceptable cost.

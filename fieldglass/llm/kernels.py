@@ -113,3 +113,23 @@ def shingles(words: np.ndarray, woffs: np.ndarray, k: int) -> tuple[np.ndarray,
             v = mix(v ^ w) + U(7)
         out[soffs[r]] = v[0]
     return out, soffs
+
+
+def runs(solid: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, row offsets) of the maximal runs of true values; offs are the rows' offsets, and no run crosses a row."""
+    n = len(solid)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
+    inner = offs[(offs > 0) & (offs < n)]
+    before, after = np.zeros(n, bool), np.zeros(n, bool)
+    before[1:], after[:-1] = solid[:-1], solid[1:]
+    before[inner] = False
+    after[inner - 1] = False
+    start = np.flatnonzero(solid & ~before)
+    return start, np.flatnonzero(solid & ~after) + 1, np.searchsorted(start, offs)
+
+
+def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each data[start:end]."""
+    h, inv = prefix(data)
+    return mix((h[end] - h[start]) * inv[start] + (end - start).astype(U) * U(0x9E3779B97F4A7C15))
