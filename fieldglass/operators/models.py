@@ -6,8 +6,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.operators.reshape import mirrored
-
 
 def _matrix(b, columns) -> np.ndarray:
     """Columns of an Arrow batch as doubles; null and NaN become NaN."""
@@ -164,12 +162,11 @@ def _fold_logistic(df: DataFrame, features: list[str], label: str, season: str,
     return w
 
 
-def walk_forward(df: DataFrame, features: list[str], season: str, label: str = "y", c: float = 0.1, first: int | None = None, boosted: bool = False, most: int = 128) -> DataFrame:
+def walk_forward(df: DataFrame, features: list[str], season: str, label: str = "y", c: float = 0.1, first: int | None = None, most: int = 128) -> DataFrame:
     """Forecasts ``p`` of each season by a model of strictly earlier seasons only: rows and their mirror images, the screen
-    within the fold, unknown values at the mirror's median (0), scaling, then L2 logistic regression or boosted trees.
+    within the fold, unknown values at the mirror's median (0), scaling, then L2 logistic regression.
 
-    A boosted forecast is the mean of p(x) and 1 - p(-x); the logistic one is symmetric by itself. Columns without a value
-    in a fold are left out there. Without a season that has an earlier one there are no rows.
+    Columns without a value in a fold are left out there. Without a season that has an earlier one there are no rows.
 
     Scale: the matrix is written once; the screens of all folds are one pass, and so is each Newton step of all folds.
     """
@@ -184,8 +181,6 @@ def walk_forward(df: DataFrame, features: list[str], season: str, label: str = "
         kept = [a == "retained" for a, _, _ in screen_moments(*m, most=most)]
         sd = np.sqrt(np.diag(m[2])[:-1] / max(m[0], 1))
         models[s] = (np.where(kept, 1 / np.where(sd > 0, sd, 1), 0.0), kept)
-    if boosted:
-        return _boosted(df, features, season, label, models)
     w = _fold_logistic(df, features, label, season, models, c) if models else {}
     rows = [(int(s), [float(x) for x in w[s] * models[s][0]]) for s in folds]
     table = df.sparkSession.createDataFrame(rows, "_s long, _w array<double>")  # a row a season
@@ -194,27 +189,6 @@ def walk_forward(df: DataFrame, features: list[str], season: str, label: str = "
     return df.join(table, F.col(season) == F.col("_s")).withColumn("p", 1 / (1 + F.exp(-z))).select(*df.columns, "p")
 
 
-def _boosted(df: DataFrame, features: list[str], season: str, label: str, models: dict) -> DataFrame:
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    out = df.limit(0).withColumn("p", F.lit(None).cast("double"))
-    zero = lambda t: t.select(*[c for c in t.columns if c not in features], *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
-    for s, (_, kept) in models.items():
-        names = [f for f, k in zip(features, kept, strict=True) if k]
-        train = mirrored(df.where(F.col(season) < s).select(*features, label), features, label).withColumn(label, F.col(label).cast("double"))
-        join = VectorAssembler(inputCols=names, outputCol="_x")
-        model = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=20, maxDepth=3, seed=1, cacheNodeIds=False).fit(join.transform(zero(train)))
-        last = df.where(F.col(season) == s)
-        ahead = model.transform(join.transform(zero(last.withColumn("_row", F.struct(*df.columns)))))
-        p = vector_to_array("probability")[1]
-        ahead = ahead.select("_row", *features, p.alias("_p"))
-        back = model.transform(join.transform(ahead.select("_row", "_p", *[(-F.col(f)).alias(f) for f in features])))
-        out = out.unionByName(back.select("_row.*", ((F.col("_p") + 1 - p) / 2).alias("p")))
-    return out
-
-
 def project_simplex(v: np.ndarray) -> np.ndarray:
     u = np.sort(v)[::-1]
     css = np.cumsum(u) - 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fieldglass.operators import boosting as T
 from fieldglass.operators import bracket as B
 from fieldglass.operators import models as M
 from fieldglass.operators import ratings as R
@@ -323,9 +324,44 @@ def walk_forward_logistic(spark, d):
     return t.select("Gender", "Season", "GameNo", "y", F.round("p", 5).alias("p"))
 
 
-@query("walk_forward_boosted")
+BOOST = {"rounds": 10, "depth": 2, "rate": 0.2, "l2": 10.0, "least": 25}
+
+
+def _boosted_sql(rounds: int, depth: int, rate: float, l2: float, least: int) -> str:
+    """Two levels a tree, a set of named steps a round: histograms, running sums, best splits, margins."""
+    assert depth == 2
+    mag = "case when x is null or abs(x)<pow(2,-20) then 0 else 1+least(floor((log2(abs(x))+20)*8),319) end"
+    sql = _LATE + f""", fold as (select distinct "Season" as s from mx where "Season">(select min("Season") from mx)),
+ v as materialized (select "Gender" as g, "Season" as t, "GameNo" as id, y, f, x, {mag} as m from (select *, unnest([1,2,3]) as f, unnest([x1,x2,x3]) as x from mx)),
+ c as (select s, f, m, count(*) as n from fold join v on t<s group by all), cb as (select s, f, m, n, sum(n) over (partition by s, f) as rows from c),
+ lv as materialized (select s, q.f, q.m, case when q.m=0 then 0 else 1+least(7, 8*coalesce(sum(n) filter (where cb.m<q.m), 0)//max(rows)) end as level from (select distinct s, f, m from fold join v on t<=s) q join cb using (s, f) group by s, q.f, q.m),
+ o as materialized (select s, g, id, t<s as train, way, case when way=1 then y else 1-y end as y, max(case when f=1 then b end) as b1, max(case when f=2 then b end) as b2, max(case when f=3 then b end) as b3
+  from (select lv.s, g, id, t, y, v.f, unnest([1,-1]) as way, unnest([1,-1])*sign(coalesce(x,0))*level as b from v join lv on lv.f=v.f and lv.m=v.m and t<=lv.s) group by all),
+ m0 as (select s, g, id, way, train, y, b1, b2, b3, 0.0::double as z from o)"""
+
+    def best(h: str, by: str, out: str) -> str:
+        gain = f"gl*gl/(hl+{l2})+(gt-gl)*(gt-gl)/(ht-hl+{l2})-gt*gt/(ht+{l2})"
+        return f"""{h}c as materialized (select *, sum(g) over w as gl, sum(h) over w as hl, sum(n) over w as nl, sum(g) over u as gt, sum(h) over u as ht, sum(n) over u as nt from {h} window w as (partition by {by}, f order by b), u as (partition by {by}, f)),
+ {out} as materialized (select {by}, f, b, gl, hl, gt, ht from (select *, row_number() over (partition by {by} order by round({gain},6) desc, f, b) as place from {h}c where nl>={least} and nt-nl>={least} and {gain}>1e-9) where place=1)"""
+
+    for r in range(rounds):
+        sql += f""", g{r} as materialized (select *, 1/(1+exp(-z))-y as gr, 1/(1+exp(-z))*(1-1/(1+exp(-z))) as he from m{r}),
+ h{r} as materialized (select s, f, b, sum(gr) as g, sum(he) as h, count(*) as n from (select s, gr, he, unnest([1,2,3]) as f, unnest([b1,b2,b3]) as b from g{r} where train) group by all),
+ {best(f"h{r}", "s", f"k{r}")},
+ n{r} as materialized (select a.*, case when k.f is null then 0 else (case k.f when 1 then b1 when 2 then b2 else b3 end>k.b)::int end as node from g{r} a left join k{r} k on k.s=a.s),
+ i{r} as materialized (select s, node, f, b, sum(gr) as g, sum(he) as h, count(*) as n from (select s, node, gr, he, unnest([1,2,3]) as f, unnest([b1,b2,b3]) as b from n{r} where train) group by all),
+ {best(f"i{r}", "s, node", f"l{r}")},
+ t{r} as (select s, node, sum(gr) as g, sum(he) as h from n{r} where train group by all),
+ m{r + 1} as materialized (select a.s, a.g, id, way, train, y, b1, b2, b3, z-{rate}*case when k.f is null then t.g/(t.h+{l2}) when case k.f when 1 then b1 when 2 then b2 else b3 end<=k.b then k.gl/(k.hl+{l2}) else (k.gt-k.gl)/(k.ht-k.hl+{l2}) end as z
+  from n{r} a join t{r} t on t.s=a.s and t.node=a.node left join l{r} k on k.s=a.s and k.node=a.node)"""
+    return sql + f""" select a.g as "Gender", a.s as "Season", a.id as "GameNo", a.y, round((1/(1+exp(-a.z))+1-1/(1+exp(-b.z)))/2,6) as p
+ from m{rounds} a join m{rounds} b on b.s=a.s and b.g=a.g and b.id=a.id and a.way=1 and b.way=-1 where not a.train"""
+
+
+@query("walk_forward_boosted", _boosted_sql(**BOOST))
 def walk_forward_boosted(spark, d):
-    return M.walk_forward(matrix(spark, d), FEATURES, "Season", boosted=True)
+    t = T.walk_forward_boosted(matrix(spark, d), FEATURES, "Season", **BOOST)
+    return t.select("Gender", "Season", "GameNo", "y", F.round("p", 6).alias("p"))
 
 
 _BLEND = """, m as (select "Season", avg(a*a) as aa, avg(a*b) as ab, avg(a*c) as ac, avg(b*b) as bb, avg(b*c) as bc, avg(c*c) as cc,

@@ -3,7 +3,7 @@
 import pytest
 
 from fieldglass import registry
-from fieldglass.operators import models
+from fieldglass.operators import boosting, models
 from fieldglass.plans import models as plans
 
 COLUMNS = "Season int, strength double, offense double, defense double, y int"
@@ -22,8 +22,9 @@ def test_all_seasons_but_the_first_are_forecast(spark, monkeypatch, name):
     assert got == {(1998, 30), (1999, 30), (2001, 30)}
 
 
+@pytest.mark.parametrize("walk", [models.walk_forward, boosting.walk_forward_boosted])
 @pytest.mark.parametrize("seasons", [[], [1997]])
-def test_no_rows_where_no_season_has_an_earlier_one(spark, seasons):
+def test_no_rows_where_no_season_has_an_earlier_one(spark, seasons, walk):
     df = league(spark, seasons)
-    got = models.walk_forward(df, plans.FEATURES, "Season")
+    got = walk(df, plans.FEATURES, "Season")
     assert got.columns == [*df.columns, "p"] and got.count() == 0
