@@ -1,5 +1,6 @@
 """Corpus operators: thirteen steps of a training-data pipeline. Nothing else in the library imports this subpackage."""
 
+from fieldglass.llm import oracles
 from fieldglass.llm.conversations import op12_conversation_repair
 from fieldglass.llm.decontamination import op11_decontamination
 from fieldglass.llm.embedding_dedup import op8_embedding_near_dedup
@@ -34,7 +35,8 @@ QUERIES = {
 }
 #: DuckDB statements, where SQL can express the query at an acceptable cost.
 ORACLES: dict[str, str] = {
-    "op9_warc": """with p as (select page_id, coalesce(html, '') as h from pages), k as (select *, strlen(h) as n, max(page_id) over (partition by h) as keeper from p)
-select page_id, n as payload_bytes, sha1(h) as payload_digest, case when n >= 1000 and page_id <> keeper then 'revisit' else 'response' end as record_type,
-       case when n >= 1000 and page_id <> keeper then keeper end as refers_to from k""",
+    "op9_warc": oracles.WARC,
+    "op11_decontamination": oracles.DECONTAMINATION,
+    "op12_conversation_repair": oracles.CONVERSATIONS,
+    "op13_spelling_variants": oracles.SPELLING,
 }

@@ -70,8 +70,8 @@ def costs_before(costs: tuple, initial: str, gone: bool, truncated: bool) -> tup
 class _Conversation:
     """The rows of one conversation, last one first, with the state of the dynamic program."""
 
-    def __init__(self, folder: str):
-        self.folder, self.rows, self.size, self.files = folder, [], 0, []
+    def __init__(self, folder: str, held: int):
+        self.folder, self.held, self.rows, self.size, self.files = folder, held, [], 0, []
         self.costs = END
         self.count = {"rows": 0, "blank": 0, "duplicate": 0, "truncated": 0, "illegal": 0}
         self.low = self.high = None
@@ -98,7 +98,7 @@ class _Conversation:
             self.next = initial
             self.rows.append((edits, role, text))
             self.size += len(role) + len(text) + 120
-        if self.size > HELD:
+        if self.size > self.held:
             self.files.append(write_file(self.folder, "turns", [pickle.dumps(self.rows, 5)]))
             self.rows, self.size = [], 0
 
@@ -132,7 +132,7 @@ AUDIT = "conv_id long, n_rows long, gaps long, blank long, duplicate long, trunc
 REPAIRED = "conv_id long, position long, edit string, role string, text string"
 
 
-def _conversations(folder: str, batches):
+def _conversations(folder: str, most: int, batches):
     """Each conversation of a stream sorted by it. Rows of one turn are neighbours, so equal ones among them are as well."""
     now, key, held = None, None, None
 
@@ -146,7 +146,7 @@ def _conversations(folder: str, batches):
                 if now is not None:
                     flush()
                     yield key, now
-                now, key, held = _Conversation(folder), conv, None
+                now, key, held = _Conversation(folder, most), conv, None
             if not times:
                 continue
             if held is not None and held[:3] == (turn, role, text):
@@ -159,7 +159,7 @@ def _conversations(folder: str, batches):
         yield key, now
 
 
-def _audits(folder: str):
+def _audits(folder: str, held: int):
     def run(batches):
         import pyarrow as pa
 
@@ -170,7 +170,7 @@ def _audits(folder: str):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(names), types, strict=True)], names)
 
         rows, size = [], 0
-        for key, c in _conversations(folder, batches):
+        for key, c in _conversations(folder, held, batches):
             digest, edits, first = hashlib.sha256(), [], True
             for edit, role, text in c.repaired():
                 edits.append(edit)
@@ -188,7 +188,7 @@ def _audits(folder: str):
     return run
 
 
-def _rows(folder: str):
+def _rows(folder: str, held: int):
     def run(batches):
         import pyarrow as pa
 
@@ -198,7 +198,7 @@ def _rows(folder: str):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, types, strict=True)], ["conv_id", "position", "edit", "role", "text"])
 
         rows, size = [], 0
-        for key, c in _conversations(folder, batches):
+        for key, c in _conversations(folder, held, batches):
             position = 0
             for edit, role, text in c.repaired():
                 if role is None:
@@ -229,18 +229,18 @@ def _stream(rows: DataFrame, times: str | None) -> DataFrame:
     return r.repartition(shuffle_width(rows.sparkSession), "conv_id").sortWithinPartitions(*order)
 
 
-def audit_conversations(rows: DataFrame, times: str | None = None) -> DataFrame:
+def audit_conversations(rows: DataFrame, times: str | None = None, held: int = HELD) -> DataFrame:
     """A row for each conv_id of the rows (conv_id, turn, role, text): n_rows, gaps (turns missing between the least and the
     largest), rows by first fault (blank, duplicate, truncated), illegal (neighbours whose roles can't follow each
     other), cost, audit (the edits' initials in order) and the digest of the repaired ``role:text`` lines."""
     scratch = Scratch(rows.sparkSession, "turns")
-    return _stream(rows, times).transform(arrow, _audits(scratch.path("files")), AUDIT)
+    return _stream(rows, times).transform(arrow, _audits(scratch.path("files"), held), AUDIT)
 
 
-def repair_conversations(rows: DataFrame, times: str | None = None) -> DataFrame:
+def repair_conversations(rows: DataFrame, times: str | None = None, held: int = HELD) -> DataFrame:
     """The repaired rows: conv_id, position (from 0), edit (I, K or R), role, text."""
     scratch = Scratch(rows.sparkSession, "turns")
-    return _stream(rows, times).transform(arrow, _rows(scratch.path("files")), REPAIRED)
+    return _stream(rows, times).transform(arrow, _rows(scratch.path("files"), held), REPAIRED)
 
 
 def damaged(rows: DataFrame) -> DataFrame:

@@ -286,10 +286,8 @@ def _passes(docs: DataFrame, items: DataFrame, window: int, keep: list[str], str
     folder = scratch.path("files")
     paths = automata(items, folder, scratch, window)
     groups = [paths[i : i + PASS] for i in range(0, len(paths), PASS)] or [[]]
-    held = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    fields = [(f.name, f.dataType.simpleString()) for f in held.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(held.columns[:-1])]).schema]
-    schema = [f"{n} {t}" for n, t in fields]
-    src = held.toDF(*[n for n, _ in fields], "c_text")
+    src = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("c_text"))
+    schema = [f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields[:-1]]
     k = len(keep)
     for i, group in enumerate(groups):
         last = i == len(groups) - 1
