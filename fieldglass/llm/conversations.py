@@ -213,7 +213,7 @@ def _rows(folder: str, held: int):
     return run
 
 
-def _stream(rows: DataFrame, times: str | None) -> DataFrame:
+def _stream(rows: DataFrame, times: str | None, scratch: Scratch) -> DataFrame:
     """Rows by conversation, last turn first, with their faults. ``times``: a column that says how often a row stands there."""
     blank_or = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
     r = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), blank_or("role").alias("role"), blank_or("text").alias("text"), (F.col(times).cast("int") if times else F.lit(1)).alias("times"))
@@ -223,6 +223,7 @@ def _stream(rows: DataFrame, times: str | None) -> DataFrame:
     # of rows that recur in other turns the first turn, as (is not null, turn)
     place = F.struct(F.col("turn").isNotNull().alias("known"), "turn")
     again = r.where("times > 0 and not blank").groupBy(F.col("conv_id").alias("c"), F.col("h").alias("a"), F.col("h2").alias("a2")).agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
+    again = scratch.put(again, "again")  # written, so that its measured size decides the join ahead of any shuffle of texts
     same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("h") == F.col("a")) & (F.col("h2") == F.col("a2"))
     r = r.join(again, same, "left").select("conv_id", "turn", "role", "text", "times", "blank", (F.col("first").isNotNull() & ~place.eqNullSafe(F.col("first"))).alias("again"), "truncated")
     order = ["conv_id", F.col("turn").desc_nulls_last(), F.col("role").desc(), F.col("text").desc()]
@@ -234,13 +235,13 @@ def audit_conversations(rows: DataFrame, times: str | None = None, held: int = H
     largest), rows by first fault (blank, duplicate, truncated), illegal (neighbours whose roles can't follow each
     other), cost, audit (the edits' initials in order) and the digest of the repaired ``role:text`` lines."""
     scratch = Scratch(rows.sparkSession, "turns")
-    return _stream(rows, times).transform(arrow, _audits(scratch.path("files"), held), AUDIT)
+    return _stream(rows, times, scratch).transform(arrow, _audits(scratch.path("files"), held), AUDIT)
 
 
 def repair_conversations(rows: DataFrame, times: str | None = None, held: int = HELD) -> DataFrame:
     """The repaired rows: conv_id, position (from 0), edit (I, K or R), role, text."""
     scratch = Scratch(rows.sparkSession, "turns")
-    return _stream(rows, times).transform(arrow, _rows(scratch.path("files"), held), REPAIRED)
+    return _stream(rows, times, scratch).transform(arrow, _rows(scratch.path("files"), held), REPAIRED)
 
 
 def damaged(rows: DataFrame) -> DataFrame:
