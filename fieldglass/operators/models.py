@@ -1,7 +1,9 @@
-"""Training screen, walk-forward logistic models, simplex blends, representations."""
+"""Training screen, walk-forward logistic models and their capacities, simplex blends, prices, frozen models."""
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +52,30 @@ def gram(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray
     return int(v[0]), v[1 : 1 + k], v[1 + k :].reshape(k, k)
 
 
+def pivots(corr: np.ndarray, strength: np.ndarray, open_: np.ndarray, most: int, bound: float) -> tuple[list[int], np.ndarray]:
+    """The features taken, strongest first, and for each feature the one that stands for it (-1: none): a taken one covers
+    whatever correlates with it to the bound, and what is covered is open no more. ``most`` features are taken at most,
+    so a smaller ``most`` takes the first of them."""
+    taken, by = [], np.full(len(strength), -1)
+    free = open_.copy()
+    while free.any() and len(taken) < most:
+        i = int(np.argmax(np.where(free, strength, -1.0)))
+        covers = free & (np.abs(corr[i]) >= bound)
+        covers[i] = True
+        by[covers] = i
+        free &= ~covers
+        taken.append(i)
+    return taken, by
+
+
+def correlations(n: float, sums: np.ndarray, cross: np.ndarray) -> np.ndarray:
+    """From moments; 0 where a column has no spread."""
+    cov = cross - np.outer(sums, sums) / max(n, 1)
+    spread = np.sqrt(np.maximum(np.diag(cov), 0))
+    spread[spread <= 1e-12 * np.maximum(1.0, np.sqrt(np.abs(np.diag(cross))))] = np.inf
+    return cov / np.outer(spread, spread)
+
+
 def screen_moments(n: float, sums: np.ndarray, cross: np.ndarray, support: np.ndarray, nonzero: np.ndarray, most: int = 128, redundant: float = 0.995, rare: float = 0.005) -> list[tuple[str, float, int]]:
     """(status, |r| with the label, index of the feature it repeats or -1) of each feature, from moments of features and label.
 
@@ -57,26 +83,20 @@ def screen_moments(n: float, sums: np.ndarray, cross: np.ndarray, support: np.nd
     ``constant``. The rest are taken by falling |r| (ties: catalog order): ``retained`` up to ``most``, ``redundant`` if their
     correlation with a retained one reaches the bound, else ``capacity``.
     """
-    cov = cross - np.outer(sums, sums) / max(n, 1)
-    sd = np.sqrt(np.maximum(np.diag(cov), 0))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        r = np.nan_to_num(cov / np.outer(sd, sd))
+    r = correlations(n, sums, cross)
     k = len(sums) - 1
-    flat = sd[:k] <= 1e-12 * np.maximum(1.0, np.sqrt(np.abs(np.diag(cross)[:k])))
-    few = (nonzero > 0) & (nonzero < max(2, int(np.ceil(rare * n))))
-    score = np.where(flat, 0.0, np.abs(r[:k, -1]))
-    status = np.where(support == 0, "all_missing", np.where(few, "near_constant", np.where(flat, "constant", "capacity"))).astype(object)
-    pending, partner, kept = status == "capacity", np.full(k, -1), 0
-    for i in np.lexsort((np.arange(k), -score)):
-        if not pending[i]:
-            continue
-        if kept >= most:
-            break
-        status[i], pending[i], kept = "retained", False, kept + 1
-        again = pending & (np.abs(r[:k, i]) >= redundant)
-        status[again], partner[again] = "redundant", i
-        pending &= ~again
-    return [(str(a), float(b), int(c)) for a, b, c in zip(status, score, partner, strict=True)]
+    strength = np.abs(r[:k, k])
+    dead = {"all_missing": support == 0, "near_constant": (nonzero > 0) & (nonzero < max(2, int(np.ceil(rare * n)))), "constant": np.diag(r)[:k] == 0}
+    taken, by = pivots(r[:k, :k], strength, ~np.any(list(dead.values()), axis=0), most, redundant)
+    live = np.select([np.isin(np.arange(k), taken), by >= 0], ["retained", "redundant"], "capacity")
+    status = np.select(list(dead.values()), list(dead), live)
+    return [(str(status[i]), float(strength[i]), int(by[i]) if status[i] == "redundant" else -1) for i in range(k)]
+
+
+def screening_order(n, sums, cross, support, nonzero, **bounds) -> list[int]:
+    """The retained features in the order they are taken: the first c of them are those of a screen that takes c."""
+    rows = screen_moments(n, sums, cross, support, nonzero, **bounds)
+    return sorted((i for i, row in enumerate(rows) if row[0] == "retained"), key=lambda i: (-rows[i][1], i))
 
 
 def fold_moments(df: DataFrame, features: list[str], label: str, fold: str) -> dict:
@@ -97,12 +117,13 @@ def fold_moments(df: DataFrame, features: list[str], label: str, fold: str) -> d
     return {f: (v[0], v[1 : cut[1]], v[cut[1] : cut[2]].reshape(k + 1, k + 1), v[cut[2] : cut[3]], v[cut[3] :]) for f, v in got.items()}
 
 
-def screen(df: DataFrame, features: list[str], label: str, **bounds) -> list[tuple[str, str, float, str | None]]:
-    """(feature, status, |r|, feature it repeats) over all rows, as ``screen_moments`` says."""
+def screen(df: DataFrame, features: list[str], label: str, **bounds) -> list[tuple[str, str, float, str | None, int, int]]:
+    """(feature, status, |r|, feature it repeats, rows with a value, rows with a non-zero one), as ``screen_moments`` says."""
     moments = fold_moments(df.withColumn("_one", F.lit(0)), features, label, "_one")
     k = len(features)
     n, s, x, support, nonzero = moments.get(0, (0.0, np.zeros(k + 1), np.zeros((k + 1, k + 1)), np.zeros(k), np.zeros(k)))
-    return [(f, a, b, features[c] if c >= 0 else None) for f, (a, b, c) in zip(features, screen_moments(n, s, x, support, nonzero, **bounds), strict=True)]
+    found = screen_moments(n, s, x, support, nonzero, **bounds)
+    return [(f, a, b, features[c] if c >= 0 else None, int(u), int(z)) for f, (a, b, c), u, z in zip(features, found, support, nonzero, strict=True)]
 
 
 def screen_by_fold(df: DataFrame, features: list[str], label: str, fold: str, **bounds) -> list[tuple[int, str, str, float]]:
@@ -132,34 +153,59 @@ def usable_features(df: DataFrame, features: list[str], known: float = 0.95) ->
     return [f for i, f in enumerate(features) if r["n"] and r[f"k{i}"] >= known * r["n"] and (r[f"s{i}"] or 0) > 0]
 
 
-def _fold_logistic(df: DataFrame, features: list[str], label: str, season: str, models: dict, c: float, steps: int = 25) -> dict:
-    """fold season -> weights of its retained, scaled features: Newton steps of all folds together, a pass over the rows a step.
+class NotConverged(RuntimeError):
+    """An iteration that ended before its result was as exact as stated."""
 
-    With mirror images the loss is twice that of the rows and needs no intercept."""
-    k = len(features)
-    w = {s: np.zeros(k) for s in models}
-    scale = {s: m[0] for s, m in models.items()}  # 1 / sd of a retained feature, else 0
+
+def fold_logistic(df: DataFrame, features: list[str], label: str, season: str, designs: dict[int, tuple[int, np.ndarray]], c: float, steps: int = 50) -> dict[int, np.ndarray]:
+    """key -> weights on the raw features of L2 logistic fits: Newton steps of all fits together, a pass over the rows a step.
+
+    ``designs``: key -> (fold season, features x columns): a fit learns from strictly earlier seasons' rows, unknown values as
+    0, projected on its columns. With mirror images the loss is twice that of the rows and needs no intercept.
+    The driver gets a gradient and a Hessian of a fit's columns; a task holds as much for every fit.
+    """
+    k, m = len(features), max((p.shape[1] for _, p in designs.values()), default=0)
+    wide = {key: (s, np.pad(p, ((0, 0), (0, m - p.shape[1])))) for key, (s, p) in designs.items()}  # columns of zeros stay at 0
+    w = {key: np.zeros(m) for key in wide}
     cols = df.select(F.col(season).cast("long").alias(season), *[F.col(x).cast("double").alias(x) for x in (*features, label)])
     for _ in range(steps):
         now = dict(w)
 
         def parts(b, now=now):
             x, which = _matrix(b, [*features, label]), b.column(season).to_numpy(zero_copy_only=False)
-            for s in now:
+            for key, (s, p) in wide.items():
                 rows = x[which < s]
                 if len(rows):
-                    z, y = np.nan_to_num(rows[:, :k]) * scale[s], rows[:, k]
-                    p = 1 / (1 + np.exp(-np.clip(z @ now[s], -500, 500)))
-                    yield s, np.concatenate([2 * z.T @ (p - y), (2 * (z * (p * (1 - p))[:, None]).T @ z).ravel()])
-
-        got, moved = summed(cols, parts, k + k * k), 0.0
-        for s, v in got.items():
-            step = np.linalg.solve(v[k:].reshape(k, k) + np.eye(k) / c, v[:k] + now[s] / c)
-            w[s] = now[s] - step
+                    z, y = np.nan_to_num(rows[:, :k]) @ p, rows[:, k]
+                    q = 1 / (1 + np.exp(-np.clip(z @ now[key], -500, 500)))
+                    yield key, np.concatenate([2 * z.T @ (q - y), (2 * (z * (q * (1 - q))[:, None]).T @ z).ravel()])
+
+        got, moved = summed(cols, parts, m + m * m), 0.0
+        for key, v in got.items():
+            step = np.linalg.solve(v[m:].reshape(m, m) + np.eye(m) / c, v[:m] + now[key] / c)
+            w[key] = now[key] - step
             moved = max(moved, float(np.abs(step).max()))
         if moved < 1e-10:
-            break
-    return w
+            return {key: wide[key][1] @ v for key, v in w.items()}
+    if not wide:
+        return {}
+    raise NotConverged(f"logistic fits still move by {moved} after {steps} steps")
+
+
+def linear_forecasts(df: DataFrame, weights: list[tuple], keys: list[str], features: list[str], season: str) -> DataFrame:
+    """Rows of each season with ``p`` by its weights on the raw features (unknown: 0), once for each row of ``weights``:
+    (season, keys, weights)."""
+    kinds = "".join(f", {k} {'string' if weights and isinstance(weights[0][1 + i], str) else 'int'}" for i, k in enumerate(keys))
+    table = df.sparkSession.createDataFrame([(int(r[0]), *r[1:-1], [float(x) for x in r[-1]]) for r in weights], f"_s long{kinds}, _w array<double>")
+    x = F.array(*[F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)) for f in features])
+    z = F.aggregate(F.zip_with(x, "_w", lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
+    return df.join(table, F.col(season) == F.col("_s")).withColumn("p", 1 / (1 + F.exp(-z))).select(*df.columns, *keys, "p")
+
+
+def _scales(moments: tuple) -> np.ndarray:
+    """1 / standard deviation of each feature of mirrored moments."""
+    sd = np.sqrt(np.diag(moments[2])[:-1] / max(moments[0], 1))
+    return 1 / np.where(sd > 0, sd, 1)
 
 
 def walk_forward(df: DataFrame, features: list[str], season: str, label: str = "y", c: float = 0.1, first: int | None = None, most: int = 128) -> DataFrame:
@@ -170,43 +216,63 @@ def walk_forward(df: DataFrame, features: list[str], season: str, label: str = "
 
     Scale: the matrix is written once; the screens of all folds are one pass, and so is each Newton step of all folds.
     """
+    rows, fits = fitted_paths(df, features, season, label, c, first, [most])
+    return linear_forecasts(rows, [(s, w) for s, _, w in fits], [], features, season)
+
+
+def fitted_paths(df: DataFrame, features: list[str], season: str, label: str, c: float, first: int | None, capacities: list[int]) -> tuple[DataFrame, list[tuple]]:
+    """The written rows, and (season, capacity, weights on raw features) of a fit for every fold and capacity. A fold has one
+    order of screening, whose prefixes are the capacities' features."""
     from fieldglass.store import stored
 
     df = stored(df, "walk")
     moments = fold_moments(df, features, label, season)
-    folds = [s for s in sorted(moments)[1:] if first is None or s >= first]
-    models = {}
-    for s in folds:
+    designs, names = {}, []
+    for s in [s for s in sorted(moments)[1:] if first is None or s >= first]:
         m = mirrored_moments([moments[t] for t in moments if t < s])
-        kept = [a == "retained" for a, _, _ in screen_moments(*m, most=most)]
-        sd = np.sqrt(np.diag(m[2])[:-1] / max(m[0], 1))
-        models[s] = (np.where(kept, 1 / np.where(sd > 0, sd, 1), 0.0), kept)
-    w = _fold_logistic(df, features, label, season, models, c) if models else {}
-    rows = [(int(s), [float(x) for x in w[s] * models[s][0]]) for s in folds]
-    table = df.sparkSession.createDataFrame(rows, "_s long, _w array<double>")  # a row a season
-    x = F.array(*[F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)) for f in features])
-    z = F.aggregate(F.zip_with(x, "_w", lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
-    return df.join(table, F.col(season) == F.col("_s")).withColumn("p", 1 / (1 + F.exp(-z))).select(*df.columns, "p")
-
-
-def project_simplex(v: np.ndarray) -> np.ndarray:
-    u = np.sort(v)[::-1]
-    css = np.cumsum(u) - 1
-    k = np.flatnonzero(u - css / np.arange(1, len(v) + 1) > 0)[-1]
-    return np.maximum(v - css[k] / (k + 1), 0)
-
-
-def simplex_blend(df: DataFrame, streams: list[str], label: str = "y", season: str = "Season", l2: float = 1e-3, steps: int = 4000) -> dict[str, float]:
+        order, scale = screening_order(*m, most=max(capacities)), np.diag(_scales(m))
+        for cap in capacities:
+            designs[len(names)] = (s, scale[:, order[:cap]])
+            names.append((s, cap))
+    w = fold_logistic(df, features, label, season, designs, c)
+    return df, [(s, cap, w[i]) for i, (s, cap) in enumerate(names)]
+
+
+def capacity_path(df: DataFrame, features: list[str], season: str, capacities: list[int], label: str = "y", c: float = 0.1) -> DataFrame:
+    """The rows with ``capacity`` and ``p``: forecasts of every season by models that keep so many features of one screening
+    order. All folds and capacities share the screen's pass and each Newton step's pass."""
+    rows, fits = fitted_paths(df, features, season, label, c, None, sorted(set(capacities)))
+    return linear_forecasts(rows, fits, ["capacity"], features, season)
+
+
+def simplex_minimum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The w >= 0 with sum 1 that minimises w a w - 2 b w for a positive definite a: the best over all sets of positive
+    weights, each solved exactly. For up to 16 weights."""
+    k = len(b)
+    if k > 16:
+        raise ValueError("more than 16 streams")
+    best = None
+    for size in range(1, k + 1):
+        for on in map(list, combinations(range(k), size)):
+            m = np.zeros((size + 1, size + 1))
+            m[:size, :size], m[size, :size], m[:size, size] = a[np.ix_(on, on)], 1, 1
+            w = np.zeros(k)
+            w[on] = np.linalg.solve(m, np.append(b[on], 1.0))[:size]
+            if (w >= -1e-12).all():
+                w = np.maximum(w, 0) / np.maximum(w, 0).sum()
+                value = w @ a @ w - 2 * b @ w
+                if best is None or value < best[0]:
+                    best = (value, w)
+    return best[1]
+
+
+def simplex_blend(df: DataFrame, streams: list[str], label: str = "y", season: str = "Season", l2: float = 1e-3) -> dict[str, float]:
     """Non-negative weights that sum to 1 and minimise the blend's Brier score, every season weighing the same, drawn towards
     equal weights by l2. Spark sums cross products by season; the driver solves a problem of the number of streams."""
     moments = [m for m in fold_moments(df, streams, label, season).values() if m[0]]
     k = len(streams)
     x = sum((m[2] / m[0] for m in moments), np.zeros((k + 1, k + 1))) / max(len(moments), 1)
-    a, b = x[:-1, :-1], x[:-1, -1]
-    w = np.full(k, 1 / k)
-    step = 1 / (np.trace(a) + l2) / 2
-    for _ in range(steps):
-        w = project_simplex(w - step * (2 * (a @ w - b) + 2 * l2 * (w - 1 / k)))
+    w = simplex_minimum(x[:-1, :-1] + l2 * np.eye(k), x[:-1, -1] + l2 / k)
     return dict(zip(streams, map(float, w), strict=True))
 
 
@@ -221,17 +287,3 @@ def score_frozen(df: DataFrame, coefficients: dict[str, tuple[float, float]]) ->
     terms = [F.coalesce(F.col(f), F.lit(0.0)) / F.lit(s) * F.lit(c) for f, (s, c) in coefficients.items()]
     z = sum(terms[1:], terms[0])
     return df.withColumn("p", F.when(z >= 0, 1 / (1 + F.exp(-z))).otherwise(F.exp(z) / (1 + F.exp(z))))
-
-
-def principal_components(df: DataFrame, columns: list[str], k: int = 8) -> DataFrame:
-    """Columns pc1..pck: scores on the leading directions of the centred columns; the covariance is one aggregate."""
-    n, s, x = gram(df, columns)
-    mean = s / max(n, 1)
-    _, v = np.linalg.eigh(x / max(n, 1) - np.outer(mean, mean))
-    v = v[:, ::-1][:, :k]
-    v = v * np.where(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])] < 0, -1, 1)
-    out = {}
-    for j in range(v.shape[1]):
-        terms = [(F.coalesce(F.col(c), F.lit(0.0)) - float(mean[i])) * float(v[i, j]) for i, c in enumerate(columns)]
-        out[f"pc{j + 1}"] = sum(terms[1:], terms[0])
-    return df.withColumns(out)

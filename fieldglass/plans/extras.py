@@ -171,22 +171,6 @@ def distinct_finalists(spark, d):
     return best_distinct(c.select("c_custkey", "c_acctbal", content.alias("content")), "content", [F.col("c_acctbal").desc(), F.col("c_custkey")], [F.col("c_acctbal").desc(), F.col("content")], 25, "priority")
 
 
-_SIZES = [32, 64, 128, 256]
-
-
-@query(
-    "capacity_choice",
-    f"with {STREAM_SQL}, l as (select stream,\"Season\",size, avg(pow(round(0.5+(p-0.5)*least(size/100.0::double,1.0),2)-y,2)) as loss from stream, (select unnest({_SIZES}) as size) group by all), m as (select stream, size, round(avg(loss),3) as loss from l group by all), o as (select *, row_number() over (partition by stream order by loss, size) as rn from m) select stream, cast(size as int) as size, loss from o where rn=1",
-)
-def capacity_choice(spark, d):
-    """The size with the least mean-season loss at three decimals; of equals the smaller."""
-    rows = streams(spark, d).withColumn("size", F.explode(F.array(*[F.lit(x) for x in _SIZES])))
-    p = F.round(0.5 + (F.col("p") - 0.5) * F.least(F.col("size") / 100.0, F.lit(1.0)), 2)
-    by = rows.groupBy("stream", "Season", "size").agg(F.avg(F.pow(p - F.col("y"), F.lit(2.0))).alias("loss"))
-    t = by.groupBy("stream", "size").agg(F.round(F.avg("loss"), 3).alias("loss"))
-    return t.groupBy("stream").agg(F.min(F.struct("loss", "size")).alias("b")).select("stream", "b.size", "b.loss")
-
-
 @query(
     "numbered_games",
     G + """ select cast(row_number() over (order by

@@ -168,24 +168,6 @@ def temperature_scaled(spark, d):
     return rows.groupBy("stream", "Season").agg(r6(F.avg("p")).alias("mean_p"), r6(brier()).alias("brier"))
 
 
-_TEMPS = [round(0.5 + 0.05 * i, 2) for i in range(31)]
-
-
-@query(
-    "temperature_fit",
-    S + """, w as (select *, 1.0/count(*) over (partition by stream,"Season") as w from stream), t as (select stream,
- round(0.5+0.05*range,2) as t, round(sum(w*pow(1/(1+exp(-ln(p/(1-p))/(0.5+0.05*range)))-y,2))/sum(w),9) as loss from w, range(31) group
- by all), o as (select *, row_number() over (partition by stream order by loss, t) as rn from t) select stream, cast(t as double) as
- temperature, round(loss,6) as loss from o where rn=1""",
-)
-def temperature_fit(spark, d):
-    """Season-weighted Brier over a grid of temperatures: means by season, then their mean, from one scan."""
-    losses = [F.avg(F.pow(temperature("p", t) - F.col("y"), F.lit(2.0))).alias(f"l{i}") for i, t in enumerate(_TEMPS)]
-    by = streams(spark, d).groupBy("stream", "Season").agg(*losses).groupBy("stream").agg(*[F.round(F.avg(f"l{i}"), 9).alias(f"l{i}") for i in range(len(_TEMPS))])
-    best = F.array_min(F.array(*[F.struct(F.col(f"l{i}").alias("loss"), F.lit(t).alias("t")) for i, t in enumerate(_TEMPS)]))
-    return by.withColumn("b", best).select("stream", F.col("b.t").alias("temperature"), r6("b.loss").alias("loss"))
-
-
 _WIDE = """, w as (select "Season","DayNum","GameNo",line, min(y) as y, min(p) filter (where candidate='raw') as a, min(p) filter (where
  candidate='flat') as b, min(p) filter (where candidate='sharp') as c from cand group by all)"""
 

@@ -272,10 +272,12 @@ def wide_features(spark, d):
     )
 
 
-@query("training_screen", _SCREEN.format(fold="0") + " select u.f as feature, u.s as status, round(u.r,6) as correlation, case when u.s='redundant' then case u.f when 'f2' then 'f4' else 'f2' end end as repeats from s")
+@query("training_screen", _SCREEN.format(fold="0") + """ select u.f as feature, u.s as status, round(u.r,6) as correlation, case when u.s='redundant' then case u.f when 'f2' then 'f4' else 'f2' end end as repeats,
+ case when u.f='f5' then 0 else n end as support, case u.f when 'f1' then n1 when 'f2' then n2 when 'f3' then n3 when 'f4' then n4 when 'f5' then 0 when 'f6' then n else n7 end as nonzero
+ from s, (select count(*) as n, count(*) filter (where f1<>0) as n1, count(*) filter (where f2<>0) as n2, count(*) filter (where f3<>0) as n3, count(*) filter (where f4<>0) as n4, count(*) filter (where f7<>0) as n7 from w)""")
 def training_screen(spark, d):
-    rows = [(f, s, round(r, 6), p) for f, s, r, p in M.screen(wide_features(spark, d), SCREENED, "y")]
-    return spark.createDataFrame(rows, "feature string, status string, correlation double, repeats string")
+    rows = [(f, s, round(r, 6), p, u, z) for f, s, r, p, u, z in M.screen(wide_features(spark, d), SCREENED, "y")]
+    return spark.createDataFrame(rows, "feature string, status string, correlation double, repeats string, support long, nonzero long")
 
 
 def _by_fold(spark, d):
@@ -395,8 +397,3 @@ def frozen_scoring(spark, d):
 def symmetric_scaler(spark, d):
     t = table(spark, d, "lineitem", "l_discount", "l_tax")
     return t.agg(*[F.round(F.sqrt(F.avg(F.col(f"l_{c}") * F.col(f"l_{c}"))), 9).alias(c) for c in ("discount", "tax")])
-
-
-@query("representation")
-def representation(spark, d):
-    return M.principal_components(matrix(spark, d), FEATURES, 2).select(*LEAGUE, "GameNo", "pc1", "pc2")

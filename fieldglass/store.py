@@ -56,6 +56,14 @@ class Files:
         store, p = self._at(path)
         return store.exists(p)
 
+    def below(self, path: str) -> list[str]:
+        """Names of all files below a folder, relative to it, in order."""
+        store, p = self._at(path)
+        top, found, every = store.makeQualified(p).toString().rstrip("/"), [], store.listFiles(p, True)
+        while every.hasNext():
+            found.append(every.next().getPath().toString()[len(top) + 1 :])
+        return sorted(found)
+
     def delete(self, path: str) -> None:
         try:
             store, p = self._at(path)
