@@ -116,7 +116,7 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), most: float = 3.0, shards: i
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    base = docs.select("doc_id", *keep, F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    base = docs.select("doc_id", *keep, F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("_text"))
     base = scratch.put(base, "sizes")  # texts are read once
     stats = base.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs"))
     named = ordered_sources(stats, scratch).withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("s") % len(weights) + 1).cast("int")))
@@ -127,7 +127,7 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), most: float = 3.0, shards: i
     side = side.withColumn("words", words).select("s", "name", "source_size", "target", "blocks", F.floor(F.col("words") / per).alias("epochs"), (F.col("words") % per).alias("part"))
     side = scratch.put(side, "sources")  # written, so that Spark's measured size decides how it is joined
     at = base.join(side, base.source.eqNullSafe(side.name), "left").drop("name")
-    at = at.withColumn("order", F.xxhash64("doc_id", "size", F.lit(seed))).withColumn("block", F.pmod(F.xxhash64("order", F.lit(seed + 1)), "blocks").cast("long"))
+    at = at.withColumn("order", F.xxhash64("doc_id", "size", "_text", F.lit(seed))).withColumn("block", F.pmod(F.xxhash64("order", F.lit(seed + 1)), "blocks").cast("long"))
 
     blocks = at.groupBy("s", "block").agg(F.sum("size").alias("words"), F.first("epochs").alias("epochs"), F.first("part").alias("part"))
     blocks = running(blocks.withColumn("h", F.xxhash64("block", "s", F.lit(seed + 2))), ["s"], ["h", "block"], F.col("words"), "before")

@@ -98,13 +98,15 @@ def signature_rows(texts, k: int, bands: int, width: int):
 
 
 def _signatures(k: int, bands: int, width: int):
+    """Of doc_id, text and more columns, which pass through."""
+
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             n, one, two, band = signature_rows(b.column(1), k, bands, width)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, band.size + 1, bands), pa.int32()), pa.array(band.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(one), pa.array(two), lists], ["doc_id", "n_shingles", "c", "c2", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(n), pa.array(one), pa.array(two), lists], ["doc_id", *b.schema.names[2:], "n_shingles", "c", "c2", "bands"])
 
     return run
 
@@ -217,22 +219,27 @@ def _across(at: DataFrame, sets: DataFrame, classes: DataFrame, threshold: int)
     return full.groupBy("key", "i", "j").applyInArrow(_between(threshold), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, bands: int = 32, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id)."""
+def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, bands: int = 32, width: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id), and the columns of ``keep``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = scratch.put(src.transform(arrow, _signatures(k, bands, width), "doc_id long, n_shingles long, c long, c2 long, bands array<long>"), "signed")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("th"), *[F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)])
+    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in src.schema.fields[2:])
+    signed = scratch.put(src.transform(arrow, _signatures(k, bands, width), f"doc_id long{more}, n_shingles long, c long, c2 long, bands array<long>"), "signed")
     some = signed.where("doc_id is not null and n_shingles > 0")
-    classes = scratch.put(some.groupBy("c", "c2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    # a class is told by its id and the hash of one of its texts: an id may have several texts, each of a class of its own
+    classes = some.groupBy("c", "c2", F.col("n_shingles").alias("n")).agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("bands").alias("bands"))
+    classes = scratch.put(classes.select("c", "c2", "n", F.col("rep.doc_id").alias("rep"), F.col("rep.th").alias("rep_th"), "bands"), "classes")
 
     banded = classes.select("c", "n", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("key"), "band", "c", "n")
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
     members = scratch.put(banded.join(shared, "key"), "members")
     near = lambda x, y: 100 * F.least(x, y) >= threshold * F.greatest(x, y)  # noqa: E731  a bound on the similarity
 
-    wanted = members.select("c").distinct().join(classes.select("c", "rep"), "c")
-    sets = scratch.put(wanted.join(src, F.col("rep") == F.col("doc_id")).select("c", "text").transform(arrow, _sets(k), "c long, items array<long>"), "sets")
+    wanted = members.select("c").distinct().join(classes.select("c", "rep", "rep_th"), "c")
+    texts = wanted.join(src, (F.col("rep") == F.col("doc_id")) & (F.col("rep_th") == F.col("th"))).select("rep", "rep_th", "c", "text")
+    texts = texts.dropDuplicates(["rep", "rep_th"])  # repeated rows
+    sets = scratch.put(texts.select("c", "text").transform(arrow, _sets(k), "c long, items array<long>"), "sets")
     popular = members.groupBy("c").agg(F.sum("met").alias("pop"))
     members = scratch.put(members.join(popular, "c").select("key", "band", "c", "n", "pop"), "popular")
     scratch.release("members")
@@ -261,9 +268,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, bands: int
     named = classes.join(labels, classes.c == labels.id, "left").select("c", "c2", "rep", F.coalesce("label", "c").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     comps = named.join(least, "label").select("c", "c2", "component_id")
-    out = signed.select("doc_id", "n_shingles", "c", "c2").join(comps, ["c", "c2"], "left")
+    out = signed.drop("bands", "th").join(comps, ["c", "c2"], "left")
     comp = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", comp.cast("long").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.withColumn("component_id", comp.cast("long")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", "component_id", "kept", *[F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)])
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,6 +146,35 @@ def test_near_duplicates_of_an_id_with_two_texts(spark):
     assert got == Counter([(5, 56, 3, False), (5, 56, 3, False), (5, 56, 5, True), (3, 57, 3, True), (7, 56, 5, False)])
 
 
+def test_near_texts_of_an_id_with_two_texts_are_not_mixed_up(spark):
+    """Text A of an id is just below the threshold to X, which is near to its text B; each has the component of its text."""
+    rng, rows, expect = random.Random(2), [], {}
+    for i in range(12):
+        w = [f"{i}w{k}" for k in range(200)]
+        a, b = list(w), list(w)
+        for p in range(0, 200, 8)[:9]:
+            a[p] = "changed"
+        b[100] = "other"
+        rows += [(1000 + i, " ".join(w)), (i, " ".join(a)), (i, " ".join(b))]
+        expect[" ".join(w)] = expect[" ".join(b)] = i
+        expect[" ".join(a)] = i
+    sets = word_sets(list(enumerate(t for _, t in rows)), 5)
+    close = lambda x, y: 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])
+    assert all(close(k, k + 2) and not close(k, k + 1) and not close(k + 1, k + 2) for k in range(0, 36, 3))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("row", F.xxhash64("text"))
+    got = near_dedup.near_duplicates(docs, keep=("row",))
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "kept", "row"]
+    text = {r.row: r.text for r in docs.collect()}
+    rows = got.collect()
+    assert len(rows) == 36 and all(r.component_id == expect[text[r.row]] for r in rows)
+    # rows of text A are alone: with ids of their own the three texts of a group are of two components
+    alone = docs.withColumn("doc_id", F.col("row"))
+    comps = {text[r.row]: r.component_id for r in near_dedup.near_duplicates(alone, keep=("row",)).collect()}
+    by = {i: sum(1 for t in comps if t.startswith(f"{i}w") or f" {i}w1 " in t) for i in range(12)}
+    assert len(set(comps.values())) == 24 and set(by.values()) <= {3}
+
+
 @pytest.mark.parametrize("items", [50, 400])
 def test_near_duplicates_in_small_blocks(spark, monkeypatch, items):
     """Members of a bucket dealt over many blocks, also by the size of their sets, keep all their links."""

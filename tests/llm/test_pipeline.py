@@ -102,6 +102,13 @@ def test_mix_draws_each_row_by_itself(spark):
     assert corpus_pipeline.mixed(spark, docs.limit(0), "").count() == 0
 
 
+def test_mix_does_not_depend_on_partitions(spark):
+    rows = [(None, words(f"t{i}_", 3), "en", "b" if i % 3 else "a", 9) for i in range(90)] + [(1, words(f"u{i}_", 3), "en", "a", 9) for i in range(60)]
+    docs = spark.createDataFrame(rows, DOCS)
+    a, b = (Counter(tuple(r) for r in corpus_pipeline.mixed(spark, docs.repartition(n, F.col(c)), "").collect()) for n, c in ((2, "text"), (5, "n_chars")))
+    assert a == b and len(set(a.values())) > 1
+
+
 def pieces(rows):
     """Pieces of each id; no sequence is longer than it may be."""
     fill, length = Counter(), Counter()
