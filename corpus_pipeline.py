@@ -23,16 +23,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return with_scores(docs, model, "__fg_score").where("__fg_score >= 0.7").select(*docs.columns)
 
 
+#: A text without such a character has no word and is no copy of anything.
+WORDED = r"[^\x20\x09-\x0D]"
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row (of the smallest doc_id, null last) of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
 
-    Groups are of rows, by a key of their own: rows may repeat, ids may be null or carry several texts.
+    Groups are of rows: rows may repeat, ids may be null or carry several texts. A row is told by 128 bits of its id and
+    text, so no copy of the texts is written; of rows alike in both, one stays. Rows without a word stay.
     """
-    rows = Scratch(spark, "rows").put(docs.withColumn("__fg_key", F.monotonically_increasing_id()), "keyed")  # written, so that keys stay
-    near = near_duplicates(rows.select(F.col("__fg_key").alias("doc_id"), "text"), k=5, threshold=80).select(F.col("doc_id").alias("__fg_key"), "component_id")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__fg_key")
-    stay = near.join(rows.select("__fg_key", "doc_id"), "__fg_key").groupBy("component_id").agg(F.min(order)["__fg_key"].alias("__fg_key")).select("__fg_key")
-    return rows.join(stay, "__fg_key", "left_semi").select(*docs.columns)
+    worded = F.coalesce(F.col("text").rlike(WORDED), F.lit(False))
+    own = [F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.col("text")]
+    rows = docs.where(worded).withColumns({"__fg_a": F.xxhash64(*own), "__fg_b": F.xxhash64(F.lit(7), *reversed(own))})
+    near = near_duplicates(rows.select(F.col("__fg_a").alias("doc_id"), "text", F.col("doc_id").alias("id"), "__fg_b"), k=5, threshold=80, keep=("id", "__fg_b"))
+    each = near.groupBy("component_id", F.col("doc_id").alias("__fg_a"), "__fg_b", "id").agg(F.count(F.lit(1)).alias("__fg_n"))
+    order = F.struct(F.col("id").isNull(), "id", "__fg_a", "__fg_b", "__fg_n")
+    stay = each.groupBy("component_id").agg(F.min(order).alias("s")).select("s.__fg_a", "s.__fg_b", "s.__fg_n")
+    kept = rows.join(Scratch(spark, "stay").put(stay, "rows"), ["__fg_a", "__fg_b"])
+    alike = kept.where("__fg_n > 1").dropDuplicates(["__fg_a", "__fg_b"])
+    return kept.where("__fg_n = 1").select(*docs.columns).unionByName(alike.select(*docs.columns)).unionByName(docs.where(~worded))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
