@@ -12,22 +12,28 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldglass.operators.models import NotConverged
+
 HOME = -1
 
 
 def conjugate_gradients(product, b: np.ndarray, steps: int = 5000, tol: float = 1e-13) -> np.ndarray:
-    """x with product(x) = b, for a symmetric positive definite product."""
+    """x with product(x) = b, for a symmetric positive definite product; an error if that isn't reached.
+
+    Rounding may keep the residual from falling to ``tol`` times b; one that has stopped falling below 1e-9 times b will do."""
     x, r = np.zeros_like(b), b.copy()
     p, rr = r.copy(), float(r @ r)
-    goal = tol * tol * max(rr, 1e-300)
+    goal, enough = tol * tol * max(rr, 1e-300), 1e-18 * max(rr, 1e-300)
     for _ in range(steps):
         if rr <= goal:
-            break
+            return x
         q = product(p)
         a = rr / float(p @ q)
         x, r = x + a * p, r - a * q
         rr, old = float(r @ r), rr
         p = r + (rr / old) * p
+    if rr > enough:
+        raise NotConverged(f"the residual is {(rr / max(float(b @ b), 1e-300)) ** 0.5:.1e} of the right side after {steps} steps")
     return x
 
 
@@ -137,79 +143,95 @@ def residual_form(rows: DataFrame, keys: list[str], weight: Column, prior: float
     )
 
 
-class Elo:
-    """Ratings of one population, plain and by margin, fed days in order."""
-
-    def __init__(self, cutoff: int, k: float = 20.0, home: float = 60.0, carry: float = 0.65, cap: float = 3.0, recent: int = 30):
-        self.cutoff, self.k, self.home, self.carry, self.cap, self.recent = cutoff, k, home, carry, cap, recent
-        self.ratings: dict = {}
-        self.before: dict = {}
-        self.teams: set = set()
-        self.season = None
-
-    def ended(self) -> list[tuple]:
-        """(season, team, plain, margin, change of each) of the season's teams."""
-        out = []
-        for t in sorted(self.teams):
-            now, old = self.ratings[t], self.before.get(t, (1500.0, 1500.0))
-            out.append((self.season, t, now[0], now[1], now[0] - old[0], now[1] - old[1]))
-        return out
-
-    def day(self, season: int, day: int, games: list[tuple]) -> list[tuple]:
-        """Take a day's games (winner, loser, margin, location), all read from the ratings of before the day; what the season before
-        ended with, if this is a new one."""
-        done = []
-        if season != self.season:
-            if self.season is not None:
-                done = self.ended()
-                f = self.carry ** (season - self.season)
-                self.ratings = {t: tuple(1500 + f * (x - 1500) for x in v) for t, v in self.ratings.items()}
-            self.season, self.teams, self.before = season, set(), dict(self.ratings)
-        change: dict = {}
-        for w, l, m, loc in games:
-            a, b = self.ratings.get(w, (1500.0, 1500.0)), self.ratings.get(l, (1500.0, 1500.0))
-            edge = self.home if loc == "H" else -self.home if loc == "A" else 0.0
-            for i, scale in enumerate((1.0, min(float(np.log1p(m)), self.cap))):
-                gain = self.k * scale * (1 - 1 / (1 + 10 ** (-(a[i] - b[i] + edge) / 400)))
-                for t, x in ((w, gain), (l, -gain)):
-                    change.setdefault(t, [0.0, 0.0])[i] += x
-        for t, (x, y) in change.items():
-            p, q = self.ratings.get(t, (1500.0, 1500.0))
-            self.ratings[t] = (p + x, q + y)
-        self.teams |= set(change)
-        if day <= self.cutoff - self.recent:
-            self.before = dict(self.ratings)
-        return done
-
-
-def elo(games: DataFrame, key: str = "Gender", cutoff: int = 132) -> DataFrame:
-    """(key, Season, TeamID, elo, elo_mov, elo_change, elo_mov_change) at the cutoff of each season."""
-    cols = [key, "Season", "DayNum", "WTeamID", "LTeamID", "WScore", "LScore", "WLoc"]
+class Ratings:
+    """Plain and by-margin ratings of one population as two columns of an array, a row a team; a day is taken as whole arrays."""
+
+    START = 1500.0
+
+    def __init__(self, k: float, home: float, carry: float, cap: float):
+        self.k, self.home, self.carry, self.cap = k, home, carry, cap
+        self.row: dict[int, int] = {}
+        self.now = np.zeros((0, 2))  # ratings less START
+        self.mark = np.zeros((0, 2))  # as they were before the recent days
+        self.played = np.zeros(0, bool)  # this season
+
+    def rows_of(self, teams: np.ndarray) -> np.ndarray:
+        every, place = np.unique(teams, return_inverse=True)
+        fresh = [t for t in every.tolist() if t not in self.row]
+        self.row.update(zip(fresh, range(len(self.row), len(self.row) + len(fresh)), strict=True))
+        grow = lambda x: np.concatenate([x, np.zeros((len(fresh), *x.shape[1:]), x.dtype)])
+        self.now, self.mark, self.played = grow(self.now), grow(self.mark), grow(self.played)
+        return np.array([self.row[t] for t in every.tolist()], np.int64)[place]
+
+    def play(self, winners: np.ndarray, losers: np.ndarray, margins: np.ndarray, edge: np.ndarray) -> None:
+        """Games of one day: all are read from the ratings of before it, then all gains are added up."""
+        w, lost = np.split(self.rows_of(np.concatenate([winners, losers])), 2)
+        ahead = self.now[w] - self.now[lost] + self.home * edge[:, None]
+        size = np.column_stack([np.ones(len(w)), np.minimum(np.log1p(margins), self.cap)])
+        gain = self.k * size / (1 + 10 ** (ahead / 400))
+        np.add.at(self.now, w, gain)
+        np.subtract.at(self.now, lost, gain)
+        self.played[w] = self.played[lost] = True
+
+    def rest(self, seasons: int) -> None:
+        """Between seasons ratings move back to the start, and nobody has played."""
+        self.now = self.now * self.carry**seasons
+        self.mark, self.played = self.now.copy(), np.zeros_like(self.played)
+
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Teams that played this season, and for each its ratings and their changes since the mark."""
+        team = np.fromiter(self.row, np.int64, len(self.row))[self.played]
+        return team, np.hstack([self.START + self.now, self.now - self.mark])[self.played]
+
+
+def elo(games: DataFrame, key: str = "Gender", cutoff: int = 132, k: float = 20.0, home: float = 60.0, carry: float = 0.65, cap: float = 3.0, recent: int = 30) -> DataFrame:
+    """(key, Season, TeamID, elo, elo_mov, elo_change, elo_mov_change) at the cutoff of each season; changes are since
+    ``recent`` days before it. Days of a population stream in order through one task, which holds its ratings and a day."""
+    edge = F.when(F.col("WLoc") == "H", 1.0).when(F.col("WLoc") == "A", -1.0).otherwise(0.0)
+    cols = [key, "Season", "DayNum", "WTeamID", "LTeamID", "margin", "edge"]
+    out = [key, "Season", "TeamID", "elo", "elo_mov", "elo_change", "elo_mov_change"]
+
+    def days(batches):
+        """((population, season, day), winners, losers, margins, edges) of each day of the sorted batches."""
+        at, held = None, []
+        for b in batches:
+            names = b.column(0).to_pylist()
+            number = np.column_stack([b.column(i).to_numpy() for i in (1, 2)])
+            cut = [i for i in range(b.num_rows) if i == 0 or names[i] != names[i - 1] or (number[i] != number[i - 1]).any()]
+            values = [b.column(i).to_numpy() for i in range(3, 7)]
+            for lo, hi in zip(cut, [*cut[1:], b.num_rows], strict=True):
+                day = (names[lo], *number[lo].tolist())
+                if day != at and held:
+                    yield at, *map(np.concatenate, zip(*held, strict=True))
+                    held = []
+                at = day
+                held.append([v[lo:hi] for v in values])
+        if held:
+            yield at, *map(np.concatenate, zip(*held, strict=True))
 
     def run(batches):
         import pyarrow as pa
 
-        fold, name, at, held = Elo(cutoff), None, None, []
-
-        def emit(rows):
-            cols_ = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int32(), pa.int32(), *[pa.float64()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *(pa.array(c, t) for c, t in zip(cols_, kinds, strict=True))], [key, "Season", "TeamID", "elo", "elo_mov", "elo_change", "elo_mov_change"])
-
-        for b in batches:
-            for g, season, day, w, l, ws, ls, loc in zip(*(b.column(c).to_pylist() for c in cols), strict=True):
-                if (g, season, day) != at:
-                    if held:
-                        yield emit(fold.day(at[1], at[2], held))
-                    if at is not None and g != name:
-                        yield emit(fold.ended())
-                        fold = Elo(cutoff)
-                    name, at, held = g, (g, season, day), []
-                held.append((w, l, ws - ls, loc))
-        if held:
-            yield emit(fold.day(at[1], at[2], held))
-            yield emit(fold.ended())
-
-    order = [key, "Season", "DayNum", "WTeamID", "LTeamID", "WScore", "LScore"]
-    seq = games.where(F.col("DayNum") <= cutoff).select(*cols).repartition(key).sortWithinPartitions(*order)
+        def season_end(name, season, ratings):
+            team, values = ratings.table()
+            fixed = [pa.array([name] * len(team), pa.string()), pa.array(np.full(len(team), season), pa.int32()), pa.array(team, pa.int32())]
+            return pa.RecordBatch.from_arrays([*fixed, *(pa.array(c) for c in values.T)], out)
+
+        last, ratings = None, None
+        for (name, season, day), *arrays in days(batches):
+            if last is not None and (name, season) != last:
+                yield season_end(*last, ratings)
+            if last is None or name != last[0]:
+                ratings = Ratings(k, home, carry, cap)
+            elif season != last[1]:
+                ratings.rest(season - last[1])
+            last = (name, season)
+            ratings.play(*arrays)
+            if day <= cutoff - recent:
+                ratings.mark = ratings.now.copy()
+        if last is not None:
+            yield season_end(*last, ratings)
+
+    rows = games.where(F.col("DayNum") <= cutoff).select(key, "Season", "DayNum", "WTeamID", "LTeamID", (F.col("WScore") - F.col("LScore")).cast("double").alias("margin"), edge.alias("edge"))
+    seq = rows.repartition(key).sortWithinPartitions(*cols)
     return seq.mapInArrow(run, f"{key} string, Season int, TeamID int, elo double, elo_mov double, elo_change double, elo_mov_change double")

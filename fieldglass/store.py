@@ -80,18 +80,26 @@ class Files:
             with_.close()
 
     def write(self, path: str, data: bytes) -> None:
-        """Written beside the target and renamed to it, so a reader sees the old file or the new one, whole."""
-        store, p = self._at(path)
-        temp = self._at(f"{path}.{uuid.uuid4().hex}.tmp")[1]
-        out = store.create(temp, True)
+        """Written beside the target, which the new file then replaces in one rename: a reader, or a run after a crash, finds the
+        old file or the new one, whole. If the rename fails the target is as it was and the new file is gone."""
+        jvm = self.spark.sparkContext._jvm
+        p = self._at(path)[1]
+        temp = f"{path}.{uuid.uuid4().hex}.tmp"
+        store, t = self._at(temp)
+        out = store.create(t, True)
         try:
             out.write(bytearray(data))
         finally:
             out.close()
-        if store.exists(p):
-            store.delete(p, False)
-        if not store.rename(temp, p):
-            raise OSError(f"could not rename to {path}")
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        option = jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(option, 1)
+        how[0] = option.OVERWRITE
+        try:
+            context.rename(store.makeQualified(t), store.makeQualified(p), how)
+        except Exception as e:
+            self.delete(temp)
+            raise OSError(f"could not replace {path}") from e
 
 
 def write_json(spark: SparkSession, path: str, value) -> str:

@@ -255,3 +255,25 @@ def test_changed_or_unfinished_models_are_refused(spark, tmp_path):
     (tmp_path / "model" / "fingerprint.json").unlink()
     with pytest.raises(FileNotFoundError):
         P.load_model(spark, path)
+
+
+def test_an_unsolved_system_raises():
+    from fieldglass.operators.ratings import conjugate_gradients
+
+    m = np.diag(np.linspace(1, 1e6, 50))
+    assert np.allclose(m @ conjugate_gradients(lambda v: m @ v, np.ones(50)), 1)
+    with pytest.raises(M.NotConverged):
+        conjugate_gradients(lambda v: m @ v, np.ones(50), steps=3)
+
+
+def test_a_failing_replacement_leaves_the_old_file(spark, tmp_path):
+    from fieldglass.store import Files, write_json
+
+    at = f"file://{tmp_path}"
+    write_json(spark, f"{at}/latest.json", {"x": 1})
+    write_json(spark, f"{at}/latest.json", {"x": 2})
+    assert Files(spark).read(f"{at}/latest.json") == b'{"x":2}\n'
+    (tmp_path / "taken" / "inner").mkdir(parents=True)  # a folder with content can't be replaced
+    with pytest.raises(OSError):
+        Files(spark).write(f"{at}/taken", b"x")
+    assert (tmp_path / "taken" / "inner").is_dir() and not list(tmp_path.glob("*.tmp"))
