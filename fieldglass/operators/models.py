@@ -145,14 +145,6 @@ def mirrored_moments(parts: list) -> tuple:
     return 2 * n, sums, cross, 2 * support, 2 * nonzero
 
 
-def usable_features(df: DataFrame, features: list[str], known: float = 0.95) -> list[str]:
-    """Features with values in at least a share of the rows and with spread; one aggregate over all columns."""
-    c = {f: F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")) for f in features}
-    aggs = [F.count(F.lit(1)).alias("n")] + [a for i, f in enumerate(features) for a in (F.count(c[f]).alias(f"k{i}"), F.stddev_samp(c[f]).alias(f"s{i}"))]
-    r = df.agg(*aggs).first()
-    return [f for i, f in enumerate(features) if r["n"] and r[f"k{i}"] >= known * r["n"] and (r[f"s{i}"] or 0) > 0]
-
-
 class NotConverged(RuntimeError):
     """An iteration that ended before its result was as exact as stated."""
 
@@ -165,6 +157,8 @@ def fold_logistic(df: DataFrame, features: list[str], label: str, season: str, d
     The driver gets a gradient and a Hessian of a fit's columns; a task holds as much for every fit.
     """
     k, m = len(features), max((p.shape[1] for _, p in designs.values()), default=0)
+    if not m:
+        return {key: np.zeros(k) for key in designs}
     wide = {key: (s, np.pad(p, ((0, 0), (0, m - p.shape[1])))) for key, (s, p) in designs.items()}  # columns of zeros stay at 0
     w = {key: np.zeros(m) for key in wide}
     cols = df.select(F.col(season).cast("long").alias(season), *[F.col(x).cast("double").alias(x) for x in (*features, label)])
@@ -187,8 +181,6 @@ def fold_logistic(df: DataFrame, features: list[str], label: str, season: str, d
             moved = max(moved, float(np.abs(step).max()))
         if moved < 1e-10:
             return {key: wide[key][1] @ v for key, v in w.items()}
-    if not wide:
-        return {}
     raise NotConverged(f"logistic fits still move by {moved} after {steps} steps")
 
 
@@ -245,6 +237,37 @@ def capacity_path(df: DataFrame, features: list[str], season: str, capacities: l
     return linear_forecasts(rows, fits, ["capacity"], features, season)
 
 
+def block_catalogue(blocks: dict[str, list[str]]) -> dict[str, list[str]]:
+    """``all``, each block alone and everything ``without`` each block: ordered lists in which no name repeats."""
+    once = lambda lists: list(dict.fromkeys(x for names in lists for x in names))
+    alone = {f"only_{b}": once([names]) for b, names in blocks.items()}
+    rest = {f"without_{b}": once(names for other, names in blocks.items() if other != b) for b in blocks}
+    return {"all": once(blocks.values()), **alone, **rest}
+
+
+def walk_forward_blocks(df: DataFrame, catalogue: dict[str, list[str]], season: str, label: str = "y", c: float = 0.1, known: float = 0.95) -> DataFrame:
+    """The rows with ``block`` and ``p``: forecasts of every season by logistic models without an intercept on each list of the
+    catalogue. Of a list a fold takes the features that at least a share of ``known`` of its rows have, and that vary.
+
+    One pass of moments serves all folds and lists, and so does each Newton step; a list's gradient and Hessian are those of
+    its columns of the same rows. A list without a usable feature forecasts 1/2."""
+    from fieldglass.store import stored
+
+    df = stored(df, "blocks")
+    features = list(dict.fromkeys(x for names in catalogue.values() for x in names))
+    moments = fold_moments(df, features, label, season)
+    designs, names = {}, []
+    for s in sorted(moments)[1:]:
+        m = mirrored_moments([moments[t] for t in moments if t < s])
+        scale = np.diag(_scales(m))
+        usable = (m[3] >= known * m[0]) & (np.diag(m[2])[:-1] > 1e-24 * max(m[0], 1))
+        for block, own in catalogue.items():
+            designs[len(names)] = (s, scale[:, [i for i, f in enumerate(features) if f in own and usable[i]]])
+            names.append((s, block))
+    w = fold_logistic(df, features, label, season, designs, c)
+    return linear_forecasts(df, [(*name, w[i]) for i, name in enumerate(names)], ["block"], features, season)
+
+
 def simplex_minimum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The w >= 0 with sum 1 that minimises w a w - 2 b w for a positive definite a: the best over all sets of positive
     weights, each solved exactly. For up to 16 weights."""

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["teams", "ranks", "forecasts", "audits", "models", "features", "bank", "history", "contracts", "extras", "arms"]
+MODULES = ["teams", "ranks", "forecasts", "audits", "models", "features", "bank", "history", "contracts", "extras", "arms", "storage"]
 
 
 def load() -> None:

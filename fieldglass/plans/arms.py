@@ -189,3 +189,16 @@ def persisted_model(spark, d):
     key = P.save_model(spark, P.fitted_model(FEATURES, ["retained" if w else "capacity" for w in weights], weights), path)
     t = P.load_model(spark, path, key).transform(rows.where(F.col("Season") == last))
     return t.select("Gender", "Season", "GameNo", "y", F.round("p", 5).alias("p"))
+
+
+BLOCKS = {"form": ["strength"], "attack": ["offense"], "guard": ["defense"]}
+_ON = {"all": "111", "only_form": "100", "only_attack": "010", "only_guard": "001", "without_form": "011", "without_attack": "101", "without_guard": "110"}
+
+
+@query("block_ablation", _FOLDS + _fits("select b.block as key, s, t, g, id, y, a1*x1/d1 as z1, a2*x2/d2 as z2, a3*x3/d3 as z3 from cr join f0 on t<=s, (values " + ", ".join(f"('{b}', {', '.join(m)})" for b, m in _ON.items()) + """) b(block, a1, a2, a3)""") + """, b as (select key, s, count(*) as n, avg(pow(p-y,2)) as b from scored group by all)
+ select b.key as block, b.s as "Season", b.n as games, round(b.b,6) as brier, round(b.b-a.b,6) as change from b join b a on a.s=b.s and a.key='all'""")
+def block_ablation(spark, d):
+    """Every season's Brier score with all features, each block alone and each block left out, and what that changes."""
+    t = E.game_metrics(M.walk_forward_blocks(matrix(spark, d), M.block_catalogue(BLOCKS), "Season"), ["block", "Season"])
+    every = t.where("block = 'all'").select("Season", F.col("brier").alias("_all"))
+    return t.join(every, "Season").select("block", "Season", "games", r6("brier").alias("brier"), r6(F.col("brier") - F.col("_all")).alias("change"))

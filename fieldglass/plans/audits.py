@@ -169,22 +169,6 @@ def ledger_conservation(spark, d):
     return moved.withColumn("current", recorded).withColumn("gap", F.col("prior") + F.col("added") - F.col("removed") - F.col("current"))
 
 
-@query(
-    "vector_fingerprint",
-    """with s as (select event_type, event_id, event_id//1000 as run, event_id||':'||coalesce(cast(cast(round(value*1000000) as bigint)
- as varchar),'null') as s from events),
- r as (select event_type, run, sha256(string_agg(s, ',' order by event_id, s)) as d from s group by all)
- select event_type, sha256(string_agg(d, ',' order by run)) as fingerprint from r group by all""",
-)
-def vector_fingerprint(spark, d):
-    """Of every event: a digest of each run of 1000 ids, then a digest of those in order, so no task holds a type's events."""
-    s = F.concat_ws(":", "event_id", F.coalesce(F.round(F.col("value") * 1_000_000).cast("long").cast("string"), F.lit("null")))
-    e = table(spark, d, "events", "event_type", "event_id", "value").select("event_type", F.expr("event_id div 1000").alias("run"), "event_id", s.alias("s"))
-    ordered = lambda key, value: F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value])
-    runs = e.groupBy("event_type", "run").agg(F.sha2(F.array_join(ordered("event_id", "s"), ","), 256).alias("d"))
-    return runs.groupBy("event_type").agg(F.sha2(F.array_join(ordered("run", "d"), ","), 256).alias("fingerprint"))
-
-
 @query(
     "synthetic_uniform",
     """select range as id, round(('0x'||substr(sha256('42:'||range),1,12))::bigint/281474976710656.0,9) as u from range(1000)""",

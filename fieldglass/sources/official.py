@@ -1,10 +1,9 @@
-"""Official files: a catalogue with required and optional stems, validated as it is read; bounded and zipped CSV members."""
+"""Official files: a catalogue with required and optional stems, validated as it is read; an inventory; bounded blocks."""
 
 from __future__ import annotations
 
 import csv
 import io
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +12,6 @@ from fieldglass.operators.contracts import game_contract, repeated
 from fieldglass.operators.joins import require_empty
 from fieldglass.schema import SCHEMAS
 from fieldglass.sources.files import list_files
-from fieldglass.store import Files
 
 REQUIRED = ["RegularSeasonCompactResults", "RegularSeasonDetailedResults", "NCAATourneyCompactResults", "NCAATourneySeeds"]
 OPTIONAL = ["TeamCoaches", "TeamConferences"]
@@ -50,33 +48,73 @@ def read_official(spark: SparkSession, folder: str, check: bool = True) -> dict[
 
 
 def inventory(spark: SparkSession, folder: str, suffix: str = ".csv", encoding: str = "ISO-8859-1") -> DataFrame:
-    """file, bytes, sha256, columns, rows of a folder's files; digests and counts are taken by tasks, whole files never meet the driver."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder)
-    lines = spark.read.option("encoding", encoding).option("pathGlobFilter", f"*{suffix}").text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
-    rows = lines.groupBy("path").agg((F.count(F.when(F.trim("value") != "", 1)) - 1).alias("rows"))
-    name = lambda c: F.element_at(F.split(c, "/"), -1)
-    files = raw.select(name("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.size(F.split(F.element_at(F.split(F.decode("content", encoding), "\r?\n"), 1), ",")).alias("columns"))
-    return files.join(rows.select(name("path").alias("file"), "rows"), "file", "left")
-
-
-def zip_rows(spark: SparkSession, path: str, member: str, columns: list[str], most_rows: int = 1_000_000, most_chars: int = 10_000) -> DataFrame:
-    """A CSV member of a small ZIP archive as strings: the header must be as stated, every row as wide, within bounds."""
-    with zipfile.ZipFile(io.BytesIO(Files(spark).read(path))) as z, z.open(member) as raw:
-        reader = csv.reader(io.TextIOWrapper(raw, "utf-8", newline=""))
-        if next(reader, None) != columns:
-            raise ValueError(f"{member} has another header")
-        rows = []
-        for n, r in enumerate(reader):
-            if len(r) != len(columns) or n >= most_rows or any(len(x) > most_chars for x in r):
-                raise ValueError(f"row {n + 1} of {member} is out of bounds")
-            rows.append(r)
-    return spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in columns))
-
-
-def fitted_block(spark: SparkSession, path: str, schema: str, where: str, order: list[str], keys: list[str]) -> DataFrame:
-    """Rows of a typed CSV that a condition keeps, in order; repeated keys are an error."""
+    """file, bytes, sha256, rows, place, column, missing, low, high: a row a column of a folder's CSV files (of one without a
+    header one row, without a column). ``low`` and ``high`` are of the values as text. A file streams through one task, so
+    it may be of any size, and quoted newlines are part of their record."""
+    from fieldglass.sources.members import _store
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        class Counted(io.RawIOBase):
+            """A stream that digests and counts what is read of it."""
+
+            def __init__(self, raw):
+                self.raw, self.size, self.hash = raw, 0, hashlib.sha256()
+
+            def readable(self):
+                return True
+
+            def readinto(self, into):
+                data = self.raw.read(len(into))
+                into[: len(data)] = data
+                self.size += len(data)
+                self.hash.update(data)
+                return len(data)
+
+        out = []
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                store, at = _store(path)
+                with store.open_input_stream(at) as f:
+                    raw = Counted(f)
+                    reader = csv.reader(io.TextIOWrapper(io.BufferedReader(raw, 1 << 20), encoding, newline=""))
+                    header = next(reader, [])
+                    rows, missing, low, high = 0, [0] * len(header), [None] * len(header), [None] * len(header)
+                    for r in reader:
+                        if not r:
+                            continue
+                        rows += 1
+                        for i, v in enumerate(r[: len(header)]):
+                            if v == "":
+                                missing[i] += 1
+                            else:
+                                low[i] = v if low[i] is None or v < low[i] else low[i]
+                                high[i] = v if high[i] is None or v > high[i] else high[i]
+                        for i in range(len(r), len(header)):
+                            missing[i] += 1
+                name = path.rsplit("/", 1)[-1]
+                cells = list(zip(range(len(header)), header, missing, low, high, strict=True)) or [(None,) * 5]
+                out += [(name, raw.size, raw.hash.hexdigest(), rows, *x) for x in cells]
+        types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string()]
+        names = ["file", "bytes", "sha256", "rows", "place", "column", "missing", "low", "high"]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * 9, types, strict=True)], names)
+
+    paths = list_files(spark, folder, suffix)
+    paths = [p.replace("file:/", "file:///", 1) if p.startswith("file:/") and not p.startswith("file://") else p for p in paths]
+    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths))  # a task a file
+    return files.mapInArrow(run, "file string, bytes long, sha256 string, rows long, place int, column string, missing long, low string, high string")
+
+
+def fitted_block(spark: SparkSession, path: str, schema: str, where: str, order: list[str], keys: list[str], most_bytes: int = 8 << 20) -> DataFrame:
+    """Rows of a typed CSV that a condition keeps, in order; repeated keys are an error, and so is more text than ``most_bytes``."""
     t = spark.read.option("header", True).option("mode", "FAILFAST").schema(schema).csv(path).where(where)
     require_empty(repeated(t, keys, "repeated"), "repeated keys")
+    size = t.agg(F.sum(sum((F.coalesce(F.octet_length(F.col(x).cast("string")), F.lit(0)) + 1 for x in t.columns), F.lit(0)))).first()[0] or 0
+    if size > most_bytes:
+        raise ValueError(f"the block has {size} bytes of text")
     return t.orderBy(*order)
 
 
