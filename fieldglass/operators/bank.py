@@ -1,16 +1,17 @@
 """The candidate bank: 32 signals of a game, described by team over windows, venues, opponents, time and peers.
 
-Everything stays long (a row a signal and context) until the last step, so each family is one aggregate whatever the
-number of columns; ``wide`` then lays the 2,944 named columns out from one map a team.
+Games cross the shuffle once a family as they are, a row a game with its signals as columns, clustered and sorted by team; a
+task takes a team's games as one matrix, contexts as masks over its rows, and leaves a row a signal and context. What a task
+holds is one team's season. ``wide`` lays the 2,944 columns out by their place in the catalog.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.functions.stats import adjusted_skew
-from fieldglass.operators.windows import average_rank, last_n, z_score
+from fieldglass.operators.windows import average_rank, z_score
 
 KEY = ["Gender", "Season", "TeamID"]
 STATS = ("mean", "median", "std", "min", "max", "count", "q10", "q25", "q75", "q90", "iqr", "skew")
@@ -33,33 +34,34 @@ _GAP = 'abs(("FGA"-"OR"+"TO"+0.475*"FTA")-("opp_FGA"-"opp_OR"+"opp_TO"+0.475*"op
 def _sided(p: str, o: str, points: str) -> dict[str, str]:
     c = lambda n: f'"{p}{n}"'
     return {
-        f"{p}efg": _over(f'{c("FGM")}+0.5*{c("FGM3")}', c("FGA")),
-        f"{p}tov": _over(c("TO"), _POSS),
-        f"{p}orb": _over(c("OR"), f'{c("OR")}+"{o}DR"'),
-        f"{p}ftr": _over(c("FTA"), c("FGA")),
-        f"{p}three_share": _over(c("FGA3"), c("FGA")),
-        f"{p}three_accuracy": _over(c("FGM3"), c("FGA3")),
-        f"{p}two_accuracy": _over(f'{c("FGM")}-{c("FGM3")}', f'{c("FGA")}-{c("FGA3")}'),
-        f"{p}free_accuracy": _over(c("FTM"), c("FTA")),
-        f"{p}rebound_share": _over(f'{c("OR")}+{c("DR")}', '"OR"+"DR"+"opp_OR"+"opp_DR"'),
-        f"{p}shot_volume": _over(c("FGA"), _POSS),
-        f"{p}free_points_share": _over(c("FTM"), points),
-        f"{p}three_points_share": _over(f'3*{c("FGM3")}', points),
+        "efg": _over(f'{c("FGM")}+0.5*{c("FGM3")}', c("FGA")),
+        "tov": _over(c("TO"), _POSS),
+        "orb": _over(c("OR"), f'{c("OR")}+"{o}DR"'),
+        "ftr": _over(c("FTA"), c("FGA")),
+        "three_share": _over(c("FGA3"), c("FGA")),
+        "three_accuracy": _over(c("FGM3"), c("FGA3")),
+        "two_accuracy": _over(f'{c("FGM")}-{c("FGM3")}', f'{c("FGA")}-{c("FGA3")}'),
+        "free_accuracy": _over(c("FTM"), c("FTA")),
+        "rebound_share": _over(f'{c("OR")}+{c("DR")}', '"OR"+"DR"+"opp_OR"+"opp_DR"'),
+        "shot_volume": _over(c("FGA"), _POSS),
+        "free_points_share": _over(c("FTM"), points),
+        "three_points_share": _over(f'3*{c("FGM3")}', points),
     }
 
 
-#: Each signal as an expression over a team row with both sides' box columns; a rate without a denominator is null.
+_OWN, _OTHER = _sided("", "opp_", '"Score"'), _sided("opp_", "", '"OppScore"')
+#: Each signal as an expression over a team row with both sides' box columns; a rate without a denominator is null. The order is
+#: the catalog's: ties of a screen go by it.
 SIGNALS: dict[str, str] = {
     "margin": "cast(margin as double)",
     "points": 'cast("Score" as double)',
     "allowed": 'cast("OppScore" as double)',
-    "win": "cast(win as double)",
     "efficiency": _over('100*"Score"', _POSS),
     "allowed_efficiency": _over('100*"OppScore"', _POSS),
     "tempo": f'cast({_POSS} as double)*40/(40+5*"NumOT")',
+    **{side + rate: e[rate] for rate in _OWN for side, e in (("", _OWN), ("opp_", _OTHER))},
     "possession_gap": _over(_GAP, _POSS),
-    **_sided("", "opp_", '"Score"'),
-    **_sided("opp_", "", '"OppScore"'),
+    "win": "cast(win as double)",
 }
 BOX = ["FGM", "FGA", "FGM3", "FGA3", "FTM", "FTA", "OR", "DR", "TO"]
 
@@ -75,38 +77,115 @@ def signals(rows: DataFrame) -> DataFrame:
     return rows.select(*KEY, "OppID", "DayNum", "GameNo", "home", *[F.expr(e.replace('"', "`")).alias(n) for n, e in SIGNALS.items()])
 
 
-def unpivoted(rows: DataFrame, *keep: str) -> DataFrame:
-    """A row a signal: keep, signal, value."""
-    cols = ", ".join(f"'{s}', `{s}`" for s in SIGNALS)
-    return rows.select(*keep, F.expr(f"stack({len(SIGNALS)}, {cols}) as (signal, value)"))
-
-
-def tagged(rows: DataFrame, contexts: dict) -> DataFrame:
-    """A row for each context (name: condition) that a game is in."""
-    tags = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in contexts.items()]), lambda x: x.isNotNull())
-    return rows.withColumn("context", F.explode(tags))
-
-
-def described(rows: DataFrame, stats=STATS) -> DataFrame:
-    """KEY, context, signal and the stats of rows (KEY, context, signals): one aggregate for all of them."""
-    q = F.percentile("value", F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9)]))
-    made = {
-        "mean": F.avg("value"), "median": F.element_at(q, 3), "std": F.stddev_samp("value"), "min": F.min("value"), "max": F.max("value"), "count": F.count("value"),
-        "q10": F.element_at(q, 1), "q25": F.element_at(q, 2), "q75": F.element_at(q, 4), "q90": F.element_at(q, 5), "iqr": F.element_at(q, 4) - F.element_at(q, 2), "skew": adjusted_skew("value"),
-    }
-    return unpivoted(rows, *KEY, "context").groupBy(*KEY, "context", "signal").agg(*[made[s].alias(s) for s in stats])
+def _teams(rows: DataFrame, extra: dict[str, Column], order: list[Column], work, stats: tuple[str, ...], contexts: bool) -> DataFrame:
+    """A row a team, context and signal by ``work(columns, matrix) -> [(context, values by stat and signal)]`` over each team's
+    games: ``extra`` columns and the matrix of signals, in order."""
+    names, more = list(SIGNALS), list(extra)
+    kinds = dict(rows.dtypes)
+    src = rows.select(*KEY, *[c.alias(f"_x{i}") for i, c in enumerate(extra.values())], *[F.col(n).cast("double").alias(n) for n in names], *[o.alias(f"_o{i}") for i, o in enumerate(order)])
+    src = src.repartition(*KEY).sortWithinPartitions(*KEY, *[f"_o{i}" for i in range(len(order))]).drop(*[f"_o{i}" for i in range(len(order))])
+    head = [*KEY, *(["context"] if contexts else []), "signal"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        types = None
+
+        def flush(found):
+            keys = [pa.array([k[i] for k, c, v in found for _ in names], t) for i, t in enumerate(types)]
+            rest = [pa.array([c for _, c, _ in found for _ in names], pa.string())] if contexts else []
+            values = np.stack([v for _, _, v in found], axis=1) if found else np.zeros((len(stats), 0, len(names)))
+            cells = [pa.array(v.ravel(), mask=np.isnan(v.ravel())) for v in values]
+            cells = [c.cast(pa.int64()) if s == "count" else c for s, c in zip(stats, cells, strict=True)]
+            return pa.RecordBatch.from_arrays([*keys, *rest, pa.array(names * len(found), pa.string()), *cells], [*head, *stats])
+
+        found = []
+        for key, b in _whole_teams(batches):
+            types = types or [b.column(k).type for k in KEY]
+            x = np.column_stack([b.column(n).to_numpy(zero_copy_only=False) for n in names])
+            columns = {n: b.column(f"_x{i}").to_numpy(zero_copy_only=False) for i, n in enumerate(more)}
+            found += [(key, c, v) for c, v in work(columns, x)]
+            if len(found) >= 64:
+                yield flush(found)
+                found = []
+        if found:
+            yield flush(found)
+
+    fields = [f"{k} {kinds[k]}" for k in KEY] + (["context string"] if contexts else []) + ["signal string"] + [f"{s} {'long' if s == 'count' else 'double'}" for s in stats]
+    return src.mapInArrow(run, ", ".join(fields))
+
+
+def _whole_teams(batches):
+    """(key, batch) of every team of batches that are sorted by KEY."""
+    import pyarrow as pa
+
+    key, held = None, []
+    for b in batches:
+        codes = [b.column(k).dictionary_encode().indices.to_numpy(zero_copy_only=False) for k in KEY]
+        new = np.ones(b.num_rows, bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in codes], axis=0)
+        cut = np.flatnonzero(new)
+        for lo, hi in zip(cut, [*cut[1:], b.num_rows], strict=True):
+            own = tuple(b.column(k)[int(lo)].as_py() for k in KEY)
+            if held and own != key:
+                yield key, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            key = own
+            held.append(b.slice(int(lo), int(hi - lo)))
+    if held:
+        yield key, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def statistics(x: np.ndarray, stats: tuple[str, ...]) -> np.ndarray:
+    """stats x columns of a matrix whose unknown values are NaN; a statistic that isn't defined is NaN."""
+    s = np.sort(x, axis=0)  # unknown values last
+    n = len(x) - np.isnan(s).sum(axis=0)
+    some = np.maximum(n, 1)
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        mean = np.where(n > 0, np.nansum(s, axis=0) / some, np.nan)
+        d = s - mean
+        squares = np.nansum(d * d, axis=0)
+        std = np.where(n > 1, np.sqrt(squares / np.maximum(n - 1, 1)), np.nan)
+        at = np.arange(x.shape[1])
+        low, high = s[0], s[some - 1, at]
+        flat = low == high
+        std = np.where(flat & (n > 1), 0.0, std)
+
+        def quantile(q):
+            place = q * (some - 1)
+            lo = np.floor(place).astype(int)
+            a, b = s[lo, at], s[np.minimum(lo + 1, some - 1), at]
+            return a + (b - a) * (place - lo)
+
+        q = {k: quantile(v) for k, v in (("q10", 0.1), ("q25", 0.25), ("median", 0.5), ("q75", 0.75), ("q90", 0.9))}
+        third = np.nansum(d**3, axis=0) / some / (squares / some) ** 1.5
+        skew = np.where((n >= 3) & ~flat, third * np.sqrt(n * (n - 1.0)) / np.maximum(n - 2, 1), np.nan)
+    every = {**q, "mean": mean, "std": std, "min": low, "max": high, "count": n.astype(float), "iqr": q["q75"] - q["q25"], "skew": skew}
+    return np.stack([every[k] for k in stats])
+
+
+def described(rows: DataFrame, contexts: dict, stats=STATS, order: list[Column] | None = None, first: dict[str, int] | None = None) -> DataFrame:
+    """KEY, context, signal and the stats of signal rows in each context: name -> condition. ``first``: contexts that are the so
+    many first games by ``order``. A team has no row for a context that none of its games is in."""
+    first, tags = first or {}, list(contexts)
+
+    def work(columns, x):
+        masks = {**{c: columns[c].astype(bool) for c in tags}, **{c: np.arange(len(x)) < n for c, n in first.items()}}
+        return [(c, statistics(x[m], stats)) for c, m in masks.items() if m.any()]
+
+    return _teams(rows, {c: F.coalesce(e, F.lit(False)) for c, e in contexts.items()}, order or [], work, tuple(stats), True)
 
 
 def windows(rows: DataFrame, cutoff: int) -> DataFrame:
     """Season, last seven games, last 30 and 60 days."""
     day = F.col("DayNum")
-    recent = last_n(rows, KEY, [day.desc(), F.col("OppID").desc(), F.col("GameNo").desc()], 7).withColumn("context", F.lit("last7games"))
-    return described(tagged(rows, {"season": F.lit(True), "last30days": day > cutoff - 30, "last60days": day > cutoff - 60}).unionByName(recent))
+    latest = [-day, -F.col("OppID"), -F.col("GameNo")]
+    return described(rows, {"season": F.lit(True), "last30days": day > cutoff - 30, "last60days": day > cutoff - 60}, STATS, latest, {"last7games": 7})
 
 
 def venues(rows: DataFrame) -> DataFrame:
     home = F.col("home")
-    return described(tagged(rows, {"home": home == 1, "road": home == -1, "neutral": home == 0, "nonhome": home <= 0}), SMALL)
+    return described(rows, {"home": home == 1, "road": home == -1, "neutral": home == 0, "nonhome": home <= 0}, SMALL)
 
 
 def opponents(rows: DataFrame, strength: DataFrame) -> DataFrame:
@@ -115,20 +194,32 @@ def opponents(rows: DataFrame, strength: DataFrame) -> DataFrame:
     cuts = strength.groupBy(*league).agg(F.percentile("strength", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("cut"))
     known = rows.join(strength.withColumnRenamed("TeamID", "OppID"), [*league, "OppID"]).join(cuts, league)
     s, cut = F.col("strength"), lambda i: F.element_at("cut", i)
-    return described(tagged(known, {"upper_quartile": s >= cut(3), "lower_quartile": s <= cut(1), "above_median": s >= cut(2)}), SMALL)
+    return described(known, {"upper_quartile": s >= cut(3), "lower_quartile": s <= cut(1), "above_median": s >= cut(2)}, SMALL)
+
+
+def trends(day: np.ndarray, x: np.ndarray, cutoff: int) -> np.ndarray:
+    """TREND x columns of a team's games in order of days; games of a day are averaged first."""
+    days, start, games = np.unique(day, return_index=True, return_counts=True)
+    known = ~np.isnan(x)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        y = np.add.reduceat(np.nan_to_num(x), start, axis=0) / np.add.reduceat(known.astype(float), start, axis=0)
+        ok = ~np.isnan(y)
+        mean = lambda rows: np.nansum(y[rows], axis=0) / np.where(ok[rows].any(axis=0), ok[rows].sum(axis=0), np.nan)
+        recent, middle, early = mean(days > cutoff - 30), mean((days > cutoff - 60) & (days <= cutoff - 30)), mean(days <= cutoff - 60)
+        t = np.where(ok, days[:, None].astype(float), np.nan)
+        n = ok.sum(axis=0)
+        dt, dy = t - np.nansum(t, axis=0) / np.maximum(n, 1), y - np.nansum(y, axis=0) / np.maximum(n, 1)
+        slope = np.where(n >= 3, np.nansum(dt * dy, axis=0) / np.nansum(dt * dt, axis=0), np.nan)
+        step = np.abs(np.diff(y, axis=0))
+        steps = (~np.isnan(step)).sum(axis=0)
+        change = np.where(steps > 0, np.nansum(step, axis=0) / np.maximum(steps, 1), np.nan)
+    late = statistics(y[days >= days.mean()], ("std",))[0]
+    return np.stack([slope, recent - middle, recent - 2 * middle + early, change, late])
 
 
 def trajectories(rows: DataFrame, cutoff: int) -> DataFrame:
     """KEY, signal and TREND over days (a day's games are averaged first)."""
-    daily = unpivoted(rows, *KEY, "DayNum").groupBy(*KEY, "signal", "DayNum").agg(F.avg("value").alias("value"))
-    team = Window.partitionBy(*KEY, "signal")
-    daily = daily.withColumn("step", F.abs(F.col("value") - F.lag("value").over(team.orderBy("DayNum")))).withColumn("late", F.col("DayNum") >= F.avg("DayNum").over(team))
-    day, value = F.col("DayNum"), F.col("value")
-    part = lambda c: F.avg(F.when(c, value))
-    recent, middle, early = part(day > cutoff - 30), part(day.between(cutoff - 59, cutoff - 30)), part(day <= cutoff - 60)
-    spread = F.when((F.count(value) >= 3) & (F.var_pop(F.when(value.isNotNull(), day)) > 0), F.regr_slope(value, day.cast("double")))
-    made = (spread, recent - middle, recent - 2 * middle + early, F.avg("step"), F.stddev_samp(F.when(F.col("late"), value)))
-    return daily.groupBy(*KEY, "signal").agg(*[c.alias(n) for n, c in zip(TREND, made, strict=True)])
+    return _teams(rows, {"day": F.col("DayNum")}, [F.col("DayNum")], lambda columns, x: [("season", trends(columns["day"], x, cutoff))], TREND, False)
 
 
 def peers(described_windows: DataFrame) -> DataFrame:
@@ -142,24 +233,49 @@ def peers(described_windows: DataFrame) -> DataFrame:
     return t.select(*KEY, "signal", *PEER)
 
 
-def named(frame: DataFrame, family: str, stats) -> DataFrame:
-    """KEY, name, value of a family's long rows."""
-    context = F.col("context") if "context" in frame.columns else F.lit("season")
-    cells = F.array(*[F.struct(F.concat_ws("_", F.lit("research"), F.lit(family), context, "signal", F.lit(s)).alias("name"), F.col(s).cast("double").alias("value")) for s in stats])
+def placed(frame: DataFrame, family: str, stats) -> DataFrame:
+    """KEY, place in the catalog, value of a family's long rows."""
+    rows = [r for r in registry() if r[1] == family]
+    first = {r[2]: i for i, r in reversed(list(enumerate(registry()))) if r[1] == family}  # of each context
+    if not rows:
+        raise ValueError(f"no family {family}")
+    look = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    context = look(first.items())[F.col("context")] if "context" in frame.columns else F.lit(min(first.values()))
+    base = context + look((s, i * len(stats)) for i, s in enumerate(SIGNALS))[F.col("signal")]
+    cells = F.array(*[F.struct((base + i).cast("int").alias("place"), F.col(s).cast("double").alias("value")) for i, s in enumerate(stats)])
     return frame.select(*KEY, F.inline(cells))
 
 
 def bank(rows: DataFrame, strength: DataFrame, cutoff: int) -> DataFrame:
-    """KEY, name, value: every candidate of every team of the signal rows up to the cutoff."""
-    w = windows(rows, cutoff)
-    parts = [named(w, "distribution", STATS), named(venues(rows), "venue", SMALL), named(opponents(rows, strength), "opponent", SMALL), named(trajectories(rows, cutoff), "trajectory", TREND), named(peers(w), "peer", PEER)]
+    """KEY, place, value: every candidate of every team of the signal rows up to the cutoff."""
+    from fieldglass.store import stored
+
+    rows = stored(rows, "signals")  # read by every family
+    w = stored(windows(rows, cutoff), "windows")
+    parts = [placed(w, "distribution", STATS), placed(venues(rows), "venue", SMALL), placed(opponents(rows, strength), "opponent", SMALL), placed(trajectories(rows, cutoff), "trajectory", TREND), placed(peers(w), "peer", PEER)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def wide(cells: DataFrame, names: list[str]) -> DataFrame:
-    """One row a team with the named columns, from a map a team, so no pivot has to know thousands of aggregates."""
-    m = cells.where("value is not null").groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("_m"))
-    return m.select(*KEY, *[F.try_element_at("_m", F.lit(n)).alias(n) for n in names])
+def laid_out(cells: DataFrame, size: int) -> DataFrame:
+    """KEY and an array ``v`` of so many places, filled in one pass over a team's cells."""
+    kinds = dict(cells.dtypes)
+    src = cells.where("value is not null").select(*KEY, "place", "value").repartition(*KEY).sortWithinPartitions(*KEY)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for key, b in _whole_teams(batches):
+            v = np.full(size, np.nan)
+            at = b.column("place").to_numpy()
+            v[at[at < size]] = b.column("value").to_numpy()[at < size]
+            yield pa.RecordBatch.from_arrays([*(b.column(k)[:1] for k in KEY), pa.array([pa.array(v, mask=np.isnan(v))], pa.list_(pa.float64()))], [*KEY, "v"])
+
+    return src.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in KEY) + ", v array<double>")
+
+
+def wide(cells: DataFrame, columns: list[tuple[str, int]]) -> DataFrame:
+    """One row a team with the named columns, each by its place."""
+    return laid_out(cells, 1 + max((p for _, p in columns), default=0)).select(*KEY, *[F.col("v")[p].alias(n) for n, p in columns])

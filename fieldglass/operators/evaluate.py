@@ -127,11 +127,34 @@ def pairing_gaps(a: DataFrame, b: DataFrame, game: list[str]) -> DataFrame:
     return j.select(*game, rule.alias("rule")).where("rule is not null")
 
 
-def permuted(df: DataFrame, column: str, order: list, mix: list) -> DataFrame:
-    """df with the column dealt anew: the row that is n-th by ``order`` gets the value of the row that is n-th by ``mix``. Both
-    orders are range-partitioned sorts, so no window holds all rows."""
-    from fieldglass.sinks import ordered_rows
+def permutation_importance(df: DataFrame, model: dict[str, tuple[float, float]], label: str, order: list[str], repeats: int) -> DataFrame:
+    """(feature, repeats, importance): how much a frozen model's Brier score rises on average when one of its features is dealt
+    anew to the rows. ``model``: as in ``score_frozen``. ``order`` orders the rows; its first two columns are hashed for
+    the deals, so a deal depends on the rows alone.
 
-    rows = ordered_rows(df, order, "_n")
-    other = ordered_rows(df.select(column, *[c.alias(f"_o{i}") for i, c in enumerate(mix)]), [F.col(f"_o{i}") for i in range(len(mix))], "_n")
-    return rows.drop(column).join(other.select("_n", column), "_n").select(*df.columns)
+    Rows are numbered once. All deals are sorted together as (deal, hash, number, value), without the other columns, and
+    meet the rows by number; one aggregate scores them all."""
+    from fieldglass.sinks import ordered_rows
+    from fieldglass.store import stored
+
+    part = {f: F.coalesce(F.col(f), F.lit(0.0)) / F.lit(s) * F.lit(c) for f, (s, c) in model.items()}
+    rows = ordered_rows(df, [F.col(x) for x in order], "_n")
+    z = sum(list(part.values())[1:], next(iter(part.values())))
+    base = stored(rows.select("_n", F.col(label).cast("double").alias("y"), z.alias("z"), *[F.concat_ws(":", *order[:2]).alias("id")], *[c.alias(f"_{i}") for i, c in enumerate(part.values())]), "base")
+    n = base.count()
+    cases = [(i, f, k) for i, f in enumerate(model) for k in range(1, repeats + 1)]
+
+    def deal(j: int, i: int, f: str, k: int):
+        h = F.sha2(F.concat_ws(":", F.lit(f), F.lit(str(k)), "id"), 256)
+        digits = lambda a: F.conv(F.substring(h, a, 15), 16, 10).cast("long").alias(f"h{a}")
+        return F.struct(F.lit(j).alias("deal"), digits(1), digits(16), F.col(f"_{i}").alias("v"))
+
+    long = base.select("_n", F.inline(F.array(*[deal(j, *case) for j, case in enumerate(cases)])))
+    dealt = ordered_rows(long.select("deal", "h1", "h16", "_n", "v"), [F.col(x) for x in ("deal", "h1", "h16", "_n")], "_m")
+    dealt = dealt.select("deal", "v", (F.col("_m") % F.lit(max(n, 1))).alias("_n"))
+    own = F.element_at(F.array(*[F.col(f"_{i}") for i, _, _ in cases]), F.col("deal") + 1)
+    square = lambda x: F.pow(1 / (1 + F.exp(-x)) - F.col("y"), F.lit(2.0))
+    rise = square(F.col("z") - own + F.col("v")) - square(F.col("z"))
+    by = dealt.join(base.drop("id"), "_n").groupBy("deal").agg(F.avg(rise).alias("rise"))
+    name = F.element_at(F.array(*[F.lit(f) for _, f, _ in cases]), F.col("deal") + 1)
+    return by.groupBy(name.alias("feature")).agg(F.count(F.lit(1)).alias("repeats"), F.avg("rise").alias("importance"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.operators import bank as B
 from fieldglass.plans.teams import KEY, L, QK, long
-from fieldglass.registry import query
+from fieldglass.registry import query, statement
 
 CUTOFF = 300
 #: Added before rounding, as rates often lie half way between two rounded values.
@@ -115,30 +115,50 @@ def bank_peers(spark, d):
     return t.select(*KEY, "signal", *[F.round(c, 5 if c == "zscore" else 6).alias(c) for c in B.PEER])
 
 
+#: Decimals to which the values of a column agree across engines.
+_DECIMALS = {"skew": 3, "zscore": 5, "percentile": 6, "recent_percentile": 6, "consistency_percentile": 6, "count": 0}
+_FAMILIES = {"distribution": ("bank_windows", B.STATS), "venue": ("bank_venues", B.SMALL), "opponent": ("bank_opponents", B.SMALL), "trajectory": ("bank_trajectories", B.TREND), "peer": ("bank_peers", B.PEER)}
+
+
+def _cells_sql() -> str:
+    """All cells (KEY, place, value), rounded, from the families' own statements."""
+    places = ", ".join(f"({i}, '{f}', '{c}', '{s}', '{t}')" for i, (_, f, c, s, t) in enumerate(B.registry()))
+    parts = []
+    for family, (name, stats) in _FAMILIES.items():
+        context = "context" if family in ("distribution", "venue", "opponent") else "'season'"
+        each = ", ".join(f"{{'stat': '{t}', 'value': cast(\"{t}\" as double)}}" for t in stats)
+        parts.append(f"select {QK}, '{family}' as family, context, signal, u.stat as stat, u.value as value from (select {QK}, {context} as context, signal, unnest([{each}]) as u from ({statement(name)}))")
+    return f"with places(place, family, context, signal, stat) as (values {places}), long as materialized ({' union all '.join(parts)}), cell as materialized (select {QK}, place, value from long join places using (family, context, signal, stat) where value is not null) "
+
+
+def _cells(spark, d):
+    """All cells of the bank, rounded to what engines agree on."""
+    t = B.bank(signal_rows(spark, d), strength(spark, d), CUTOFF)
+    stat = F.element_at(F.array(*[F.lit(_DECIMALS.get(r[4], 4)) for r in B.registry()]), F.col("place") + 1)
+    off = F.element_at(F.array(*[F.lit(0.0 if r[1] == "peer" or r[4] == "count" else OFF) for r in B.registry()]), F.col("place") + 1)
+    rounded = F.when(stat == 0, F.col("value"))
+    for n in (3, 4, 5, 6):
+        rounded = rounded.when(stat == n, F.round(F.col("value") + off, n))
+    return t.withColumn("value", rounded).where("value is not null")
+
+
 @query(
     "candidate_registry",
-    "with f as (" + " union all ".join(f"select '{f}' as family, unnest({list(c)}) as context, {list(s)} as stats" for f, c, s in (("distribution", B.WINDOWS, B.STATS), ("venue", B.VENUES, B.SMALL), ("opponent", B.OPPONENTS, B.SMALL), ("trajectory", ("season",), B.TREND), ("peer", ("season",), B.PEER)))
-    + f"), g as (select family, context, unnest(stats) as stat from f) select 'research_'||family||'_'||context||'_'||signal||'_'||stat as name, family, context, signal, stat from g, (select unnest({list(B.SIGNALS)}) as signal)",
+    _cells_sql() + ", n as (select place, count(*) as teams, count(distinct value) as different from cell group by place) select "
+    "'research_'||family||'_'||context||'_'||signal||'_'||stat as name, family, context, signal, stat, coalesce(teams,0) as teams, coalesce(different,0) as different from places left join n using (place)",
 )
 def candidate_registry(spark, d):
-    return spark.createDataFrame(B.registry(), "name string, family string, context string, signal string, stat string")
+    """The catalog of the bank's columns, with the teams that have a value in each and how many values differ."""
+    names = spark.createDataFrame([(i, *r) for i, r in enumerate(B.registry())], "place int, name string, family string, context string, signal string, stat string")
+    n = _cells(spark, d).groupBy("place").agg(F.count(F.lit(1)).alias("teams"), F.countDistinct("value").alias("different"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return names.join(n, "place", "left").select("name", "family", "context", "signal", "stat", zero("teams"), zero("different"))
 
 
-@query(
-    "candidate_bank",
-    SIG
-    + f""", u as (select * from (select {QK}, home, "DayNum", {_ON} from sig) unpivot include nulls (value for signal in ({_ON}))), t as
- (select {QK}, signal, count(value) as n, count(value) filter (where home<=0) as away, count(value) filter (where "DayNum">270) as late
- from u group by all)
- select {QK}, cast(sum(n) as double) as season_count, cast(sum(away) as double) as nonhome_count, cast(coalesce(sum(late),0) as double)
- as late_count, cast(max(n) filter (where signal='margin') as double) as games from t group by all""",
-)
+@query("candidate_bank", _cells_sql() + f"select {QK}, count(*) as known, max(case when place={B.registry().index(next(r for r in B.registry() if r[0] == 'research_distribution_season_margin_mean'))} then value end) as margin, sha256(string_agg(place||':'||cast(round(value*1000000) as bigint), ',' order by place)) as digest from cell group by all")
 def candidate_bank(spark, d):
-    """All 2,944 columns of every team laid out wide; the query adds up the columns that count."""
-    names = [r[0] for r in B.registry()]
-    t = B.wide(B.bank(signal_rows(spark, d), strength(spark, d), CUTOFF), names)
-    total = lambda prefix: sum((F.coalesce(f"{prefix}_{s}_count", F.lit(0.0)) for s in B.SIGNALS), F.lit(0.0))
-    return t.select(
-        *KEY, total("research_distribution_season").alias("season_count"), total("research_venue_nonhome").alias("nonhome_count"),
-        total("research_distribution_last30days").alias("late_count"), F.col("research_distribution_season_margin_count").alias("games"),
-    )
+    """All 2,944 columns of every team laid out, and a digest of every known column's place and rounded value."""
+    t = B.laid_out(_cells(spark, d), len(B.registry()))
+    known = F.filter(F.transform("v", lambda x, i: F.concat(i, F.lit(":"), F.round(x * 1_000_000).cast("long"))), lambda x: x.isNotNull())
+    at = next(i for i, r in enumerate(B.registry()) if r[0] == "research_distribution_season_margin_mean")
+    return t.select(*KEY, F.size(known).cast("long").alias("known"), F.col("v")[at].alias("margin"), F.sha2(F.array_join(known, ","), 256).alias("digest"))

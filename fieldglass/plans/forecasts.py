@@ -315,16 +315,8 @@ def _shuffled(f: str, k: int) -> str:
 )
 def permutation_importance(spark, d):
     """Rise of a frozen model's Brier score when one of its features is dealt anew to the rows, twice."""
-    rows = table(spark, d, "lineitem", *_TIES)
-    y = (F.col("l_returnflag") == "R").cast("int")
-    loss = lambda t: score_frozen(t, _MODEL).agg(F.avg(F.pow(F.col("p") - y, F.lit(2.0))).alias("loss"))
-    base, out = loss(rows).withColumnRenamed("loss", "base"), None  # one row
-    for f in _MODEL:
-        for k in (1, 2):
-            h = F.sha2(F.concat_ws(":", F.lit(f), F.lit(str(k)), "l_orderkey", "l_linenumber"), 256)
-            t = loss(E.permuted(rows, f, [F.col(c) for c in _TIES], [h, *[F.col(c) for c in _TIES]])).withColumn("feature", F.lit(f))
-            out = t if out is None else out.unionByName(t)
-    return out.crossJoin(base).groupBy("feature").agg(F.count(F.lit(1)).alias("repeats"), r6(F.avg(F.col("loss") - F.col("base"))).alias("importance"))
+    rows = table(spark, d, "lineitem", *_TIES).withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
+    return E.permutation_importance(rows, _MODEL, "y", _TIES, 2).select("feature", "repeats", r6("importance").alias("importance"))
 
 
 @query(

@@ -25,6 +25,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def statement(name: str) -> str:
+    """The statement of a query that is registered already."""
+    return _ORACLES[name]
+
+
 def queries() -> dict[str, Query]:
     from fieldglass import plans
 
