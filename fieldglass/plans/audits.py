@@ -171,24 +171,26 @@ def ledger_conservation(spark, d):
 
 @query(
     "synthetic_uniform",
-    """select range as id, round(('0x'||substr(sha256('42:'||range),1,12))::bigint/281474976710656.0,9) as u from range(1000)""",
+    """select o_orderkey, round(('0x'||substr(sha256('42:'||o_orderkey),1,12))::bigint/281474976710656.0,9) as u from orders""",
 )
 def synthetic_uniform(spark, d):
+    """A number in [0, 1) for every order, by a hash."""
     from fieldglass.functions.stats import uniform_hash
 
-    return spark.range(1000).select("id", F.round(uniform_hash(F.lit(42), "id"), 9).alias("u"))
+    return table(spark, d, "orders", "o_orderkey").select("o_orderkey", F.round(uniform_hash(F.lit(42), "o_orderkey"), 9).alias("u"))
 
 
 @query(
     "synthetic_league",
-    """select cast(2000+s.range as int) as "Season", cast(r.range as int) as "Round", cast(case when g.range=0 then 11 else
- (r.range+g.range)%11 end as int) as home, cast(case when g.range=0 then r.range%11 else (r.range-g.range+11)%11 end as int) as away
- from range(6) s, range(11) r, range(6) g""",
+    """with t as (select (s_suppkey-1)//12 as league, ((s_suppkey-1)%12)::int as place, s_suppkey as team from supplier)
+ select a.league, ((case when b.place=11 then 2*a.place else a.place+b.place end)%11)::int as "Round", a.team as home, b.team as away from t a join t b on a.league=b.league and a.place<b.place""",
 )
 def synthetic_league(spark, d):
-    from fieldglass.sources.synthetic import round_robin
+    """Round robins of all suppliers, twelve a league."""
+    from fieldglass.sources.synthetic import scheduled
 
-    return round_robin(spark, seasons=6, teams=12, first=2000)
+    s = table(spark, d, "supplier", "s_suppkey")
+    return scheduled(s.select(F.expr("(s_suppkey - 1) div 12").alias("league"), ((F.col("s_suppkey") - 1) % 12).cast("int").alias("place"), F.col("s_suppkey").alias("team")), 12)
 
 
 @query(

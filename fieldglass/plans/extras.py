@@ -230,8 +230,16 @@ def official_games_roundtrip(spark, d):
     return out
 
 
-@query("unfitted_league", "select cast(2001+range//22 as int) as \"Season\", count(*) as games from range(88) group by all")
+@query(
+    "unfitted_league",
+    G + """, r as (select "Season","GameNo", least("WTeamID","LTeamID") as "Team1ID", greatest("WTeamID","LTeamID") as "Team2ID" from games),
+ u as (select *, 1300+400*(('0x'||substr(sha256('7:'||"Season"||':'||"Team1ID"),1,12))::bigint/281474976710656.0) as r1, 1300+400*(('0x'||substr(sha256('7:'||"Season"||':'||"Team2ID"),1,12))::bigint/281474976710656.0) as r2 from r),
+ p as (select *, 1/(1+pow(10.0,(r2-r1)/400)) as p from u)
+ select "Season","GameNo","Team1ID","Team2ID", round(r1,6) as rating1, round(r2,6) as rating2, round(p,9) as p, ((('0x'||substr(sha256('7:y:'||"Season"||':'||"GameNo"),1,12))::bigint/281474976710656.0)<p)::int as y from p""",
+)
 def unfitted_league(spark, d):
-    from fieldglass.sources.synthetic import unfitted
+    """Every game's forecast from ratings that nothing was fitted for."""
+    from fieldglass.sources.synthetic import unfitted_forecasts
 
-    return unfitted(spark).where("p > 0 and p < 1 and Team1ID < Team2ID").groupBy("Season").agg(F.count(F.lit(1)).alias("games"))
+    g = canonical(games(spark, d)).select("Season", "GameNo", "Team1ID", "Team2ID")
+    return unfitted_forecasts(g).select("Season", "GameNo", "Team1ID", "Team2ID", F.round("rating1", 6).alias("rating1"), F.round("rating2", 6).alias("rating2"), F.round("p", 9).alias("p"), "y")

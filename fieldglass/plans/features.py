@@ -24,11 +24,15 @@ def registry_rows() -> list[tuple[str, str, str, str]]:
 
 @query(
     "feature_registry",
-    f"""select s||'__'||c||'__'||a as feature, s as signal, c as context, 'null if no game is in the context' as policy from (select
- unnest({SIGNALS[:3]}) as s), (select unnest({list(CONTEXTS)}) as c), (select unnest(['mean','high']) as a)""",
+    L + f""", u as ({_UNPIVOT}), n as (select signal as s, context as c, count(distinct ({QK})) filter (where value is not null) as teams from u group by all)
+ select e.s||'__'||e.c||'__'||a as feature, e.s as signal, e.c as context, 'null if no game is in the context' as policy, coalesce(teams,0) as teams from (select unnest({SIGNALS[:3]}) as s, c from (select unnest({list(CONTEXTS)}) as c)) e, (select unnest(['mean','high']) as a) left join n on n.s=e.s and n.c=e.c""",
 )
 def feature_registry(spark, d):
-    return spark.createDataFrame(registry_rows(), "feature string, signal string, context string, policy string")
+    """The columns of the candidate matrix, and how many teams have a value in each."""
+    names = spark.createDataFrame(registry_rows(), "feature string, signal string, context string, policy string")
+    rows = signal_rows(long(spark, d, "FGM"), SIGNALS[:3], CONTEXTS).where("value is not null").select(*KEY, "signal", "context").distinct()
+    n = rows.groupBy("signal", "context").agg(F.count(F.lit(1)).alias("teams"))
+    return names.join(n, ["signal", "context"], "left").select("feature", "signal", "context", "policy", F.coalesce("teams", F.lit(0)).alias("teams"))
 
 
 @query("candidate_matrix", L + f""", u as ({_UNPIVOT}) select {QK}, """ + ", ".join(f"round({fn}(value) filter (where context='{c}' and signal='{s}'),6) as \"{s}__{c}__{a}\"" for s in SIGNALS[:3] for c in CONTEXTS for a, fn in (("mean", "avg"), ("high", "max"))) + " from u group by all")

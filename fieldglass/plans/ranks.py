@@ -65,13 +65,37 @@ def rank_momentum(spark, d):
     return both.groupBy("TeamID").agg(F.count(F.lit(1)).alias("matched"), r6(F.avg("change")).alias("momentum"), r6(quantile("change", 0.5)).alias("median_change"))
 
 
-SYSTEMS = ["click", "error", "login", "purchase", "view"]
+LAGS = (5, 10, 20)
+_SYSTEMS = R + _panel_sql(CUTOFF, "p") + "".join(_panel_sql(CUTOFF - n, f"q{n}") for n in LAGS)
 
 
-@query("system_pivot", R + _panel_sql(CUTOFF, "p") + ' select "TeamID", ' + ", ".join(f"round(max(rating) filter (where \"SystemName\"='{s}'),6) as rating_{s}, cast(count(*) filter (where \"SystemName\"='{s}') as int) as available_{s}" for s in SYSTEMS) + " from p group by all")
+def systems(spark, d):
+    """All systems that published up to the cutoff, of all teams with a rating then."""
+    from fieldglass.operators.systems import system_features
+
+    vocabulary = rankings(spark, d).where(F.col("RankingDayNum") <= CUTOFF).select("SystemName")
+    return system_features(panel(spark, d, CUTOFF), vocabulary, {n: panel(spark, d, CUTOFF - n) for n in LAGS})
+
+
+@query("system_snapshot", _SYSTEMS + f""", c as (select "TeamID", median(rating) as c from p group by all), v as (select distinct "SystemName" from rankings where "RankingDayNum"<={CUTOFF}),
+ j as (select c."TeamID", v."SystemName", p.rating as level, ln(least(greatest(p.rating,0.01),0.99)/(1-least(greatest(p.rating,0.01),0.99))) as lo, c, ln(least(greatest(c,0.01),0.99)/(1-least(greatest(c,0.01),0.99))) as co, """ + ", ".join(f"p.rating-q{n}.rating as change_{n}" for n in LAGS) + """
+ from c cross join v left join p on p."TeamID"=c."TeamID" and p."SystemName"=v."SystemName" """ + " ".join(f'left join q{n} on q{n}."TeamID"=c."TeamID" and q{n}."SystemName"=v."SystemName"' for n in LAGS) + """)
+ select "TeamID","SystemName", round(level,6) as level, round(lo,6) as logit, round(level-c,6) as deviation, round(lo-co,6) as logit_deviation, (level is not null)::int as available, """ + ", ".join(f"round(change_{n},6) as change_{n}" for n in LAGS) + " from j")
+def system_snapshot(spark, d):
+    t = systems(spark, d)
+    return t.select("TeamID", "SystemName", "available", *[r6(c).alias(c) for c in ("level", "logit", "deviation", "logit_deviation", *[f"change_{n}" for n in LAGS])])
+
+
+_NAMES = ["click", "error", "purchase", "signup", "view"]  # for the statement, which can't name columns by data
+
+
+@query("system_pivot", R + _panel_sql(CUTOFF, "p") + ' select "TeamID", ' + ", ".join(f"round(max(rating) filter (where \"SystemName\"='{s}'),6) as rating_{s}, cast(count(*) filter (where \"SystemName\"='{s}') as int) as available_{s}" for s in _NAMES) + " from p group by all")
 def system_pivot(spark, d):
-    wide = panel(spark, d, CUTOFF).groupBy("TeamID").pivot("SystemName", SYSTEMS).agg(r6(F.max("rating")).alias("rating"), F.count(F.lit(1)).cast("int").alias("available"))
-    return wide.select("TeamID", *[F.col(f"{s}_rating").alias(f"rating_{s}") for s in SYSTEMS], *[F.coalesce(f"{s}_available", F.lit(0)).alias(f"available_{s}") for s in SYSTEMS])
+    """Ratings and their presence, with columns for every system of the data."""
+    from fieldglass.operators.systems import pivoted
+
+    t = systems(spark, d).withColumn("rating", r6("level"))
+    return pivoted(t, "rating").join(pivoted(t, "available"), "TeamID")
 
 
 @query(
@@ -96,14 +120,14 @@ def asof_observation(spark, d):
 
 
 STINTS = """stints as (select user_id as "TeamID", cast(day(ts) as int) as first, event_type as coach, coalesce(cast(lead(day(ts)) over
- (partition by user_id order by ts, event_id) as int)-1, 30) as last from (select * from events where event_type in ('login','error')))
+ (partition by user_id order by ts, event_id) as int)-1, 30) as last from (select * from events where event_type in ('signup','error')))
 , valid as (select * from stints where last>=first)"""
 
 
 def stints(spark, d):
     """TeamID, first, last, coach: intervals from one event to the day before the next."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events", "event_id", "user_id", "ts", "event_type").where("event_type in ('login', 'error')")
+    e = table(spark, d, "events", "event_id", "user_id", "ts", "event_type").where("event_type in ('signup', 'error')")
     rows = e.select(F.col("user_id").alias("TeamID"), F.dayofmonth("ts").alias("first"), F.coalesce(F.lead(F.dayofmonth("ts")).over(w) - 1, F.lit(30)).alias("last"), F.col("event_type").alias("coach"))
     return rows.where("last >= first")
 

@@ -26,6 +26,26 @@ def played(league: DataFrame, seed: int = 1) -> DataFrame:
     return league.withColumn("y", (uniform_hash(F.lit(seed), "Season", "Round", "home", "away") < 0.55).cast("int"))
 
 
+def scheduled(teams: DataFrame, size: int) -> DataFrame:
+    """league, Round, home, away: a single round robin of every league of given teams (league, place from 0, team), by the circle
+    method for ``size`` places, an even number: pairs of the first places meet in the round of their sum, the last place
+    meets each in turn. Leagues with open places have fewer games."""
+    m = size - 1
+    one = teams.select("league", F.col("place").alias("i"), F.col("team").alias("home"))
+    two = teams.select("league", F.col("place").alias("j"), F.col("team").alias("away"))
+    day = F.when(F.col("j") == m, 2 * F.col("i")).otherwise(F.col("i") + F.col("j")) % m
+    return one.join(two, "league").where("i < j").select("league", day.cast("int").alias("Round"), "home", "away")
+
+
+def unfitted_forecasts(games: DataFrame, seed: int = 7) -> DataFrame:
+    """Games (Season, GameNo, Team1ID, Team2ID) with ratings that follow from hashes of season and team, the forecast that the
+    rating formula gives, and an outcome from a hash of the game: nothing is fitted and no result has been looked at."""
+    rating = lambda t: 1300 + 400 * uniform_hash(F.lit(seed), "Season", t)
+    g = games.withColumns({"rating1": rating("Team1ID"), "rating2": rating("Team2ID")})
+    g = g.withColumn("p", 1 / (1 + F.pow(F.lit(10.0), (F.col("rating2") - F.col("rating1")) / 400)))
+    return g.withColumn("y", (uniform_hash(F.lit(seed), F.lit("y"), "Season", "GameNo") < F.col("p")).cast("int"))
+
+
 def unfitted(spark: SparkSession, seasons: int = 4, teams: int = 12, rounds: int = 22, first: int = 2001, seed: int = 7) -> DataFrame:
     """Season, Game, Team1ID, Team2ID, rating1, rating2, p, y: games between teams whose ratings follow from hashes; the
     forecast is the rating formula and no outcome has been looked at."""
