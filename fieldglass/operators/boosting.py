@@ -217,3 +217,12 @@ def walk_forward_boosted(df: DataFrame, features: list[str], season: str, label:
     """Forecasts ``p`` of every season that has an earlier one; ``how``: as in ``grow``."""
     df = stored(df, "walk")
     return forecasts(df, grow(df, features, season, label, **how), features, season)
+
+
+def walk_forward_variants(df: DataFrame, features: list[str], season: str, variants: dict[str, dict], label: str = "y") -> DataFrame:
+    """The rows' forecasts by every variant (name -> parameters of ``grow``), with its name in ``variant``; rows are written once."""
+    df, out = stored(df, "variants"), None
+    for name, how in variants.items():
+        t = forecasts(df, grow(df, features, season, label, **how), features, season).withColumn("variant", F.lit(name))
+        out = t if out is None else out.unionByName(t)
+    return out

@@ -57,6 +57,39 @@ def game_contract(games: DataFrame, stats: list[str] = ()) -> DataFrame:
     return bad.unionByName(repeated(named, ["Season", "DayNum", "low", "high"], "repeated"))
 
 
+def evaluation_games(games: DataFrame, first: int, last: int, excluded: list[int] = (), after: int = 132, populations: tuple[str, ...] = ("M", "W")) -> DataFrame:
+    """(Gender, Season, ID, rule): what makes labelled games (Gender, Season, DayNum, ID, y) unfit to evaluate on: seasons outside the
+    declared ones, days not after the cutoff, unknown populations or outcomes, ids that don't name the season and two teams of
+    four digits, the lower one first, and games that are there twice."""
+    c = F.col
+    part = lambda i: F.regexp_extract("ID", r"^(\d{4})_(\d{4})_(\d{4})$", i)
+    named = F.coalesce(part(1) != "", F.lit(False))
+    rules = {
+        "null": _any([c(x).isNull() for x in ("Gender", "Season", "DayNum", "ID", "y")]),
+        "season": ~c("Season").between(first, last) | c("Season").isin(*(excluded or [-1])),
+        "day": c("DayNum") <= after,
+        "population": ~c("Gender").isin(*populations),
+        "outcome": ~c("y").isin(0, 1),
+        "id": ~named,
+        "season of id": named & (part(1) != c("Season").cast("string")),
+        "order": named & (part(2) >= part(3)),
+    }
+    keys = ["Gender", "Season", "ID"]
+    return violations(games, rules, keys).unionByName(repeated(games, keys, "repeated"))
+
+
+def selection_history(choices: DataFrame, keys: list[str], season: str = "Season", least: int = 2) -> DataFrame:
+    """(keys, season, rule) of choices (keys, season, history_last_season, history_seasons) that didn't use strictly earlier seasons
+    only, or fewer than ``least``, or that were made twice for one season."""
+    rules = {
+        "unknown history": F.col("history_last_season").isNull() | F.col("history_seasons").isNull(),
+        "later season": F.col("history_last_season") >= F.col(season),
+        "too few seasons": F.col("history_seasons") < least,
+    }
+    at = [*keys, season]
+    return violations(choices, rules, at).unionByName(repeated(choices, at, "repeated"))
+
+
 def matrix_contract(m: DataFrame, last_season: int, excluded: list[int] = (), cutoff: int = 132) -> DataFrame:
     """(Gender, Season, ID, rule) of a labelled matrix: canonical ids, both labels only, seasons and days in bounds, once a game."""
     c = F.col

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldglass.functions.stats import temperature
+from fieldglass.operators import boosting as T
+from fieldglass.operators import contracts as C
 from fieldglass.operators import evaluate as E
 from fieldglass.operators import models as M
 from fieldglass.operators import nested as N
 from fieldglass.operators import persisted as P
 from fieldglass.operators import representation as V
 from fieldglass.operators.minimise import minimise
-from fieldglass.plans.forecasts import S
-from fieldglass.plans.models import _LATE, _NEWTON, _SOLVE, FEATURES, LEAGUE, matrix
+from fieldglass.plans.forecasts import CAND, S, candidates
+from fieldglass.plans.models import _LATE, _NEWTON, _SOLVE, FEATURES, LEAGUE, _boosted_sql, matrix
 from fieldglass.plans.teams import r6
 from fieldglass.registry import query
 from fieldglass.sources.league import streams
@@ -202,3 +204,56 @@ def block_ablation(spark, d):
     t = E.game_metrics(M.walk_forward_blocks(matrix(spark, d), M.block_catalogue(BLOCKS), "Season"), ["block", "Season"])
     every = t.where("block = 'all'").select("Season", F.col("brier").alias("_all"))
     return t.join(every, "Season").select("block", "Season", "games", r6("brier").alias("brier"), r6(F.col("brier") - F.col("_all")).alias("change"))
+
+
+VARIANTS = {"careful": {"rounds": 3, "depth": 2, "rate": 0.2, "l2": 10.0, "least": 25}, "eager": {"rounds": 3, "depth": 2, "rate": 0.6, "l2": 1.0, "least": 25}}
+
+
+@query("variant_choice", "with " + ", ".join(f"{n} as materialized ({_boosted_sql(**how)})" for n, how in VARIANTS.items()) + ", f as (" + " union all ".join(f"select '{n}' as variant, * from {n}" for n in VARIANTS) + """),
+ b as (select variant, "Season", count(*) as games, avg(pow(p-y,2)) as b from f group by all), past as (select o."Season", b.variant, round(avg(b.b),12) as past, count(*) as seen from (select distinct "Season" from b) o join b on b."Season"<o."Season" group by all),
+ c as (select *, row_number() over (partition by "Season" order by past, variant) as rn from past)
+ select b.variant, b."Season", b.games, round(b.b,6) as brier, round(b.b-a.b,6) as change, coalesce(c.variant=b.variant,false) as chosen, coalesce(seen,0) as history from b join b a on a.variant='careful' and a."Season"=b."Season" left join c on c."Season"=b."Season" and rn=1""")
+def variant_choice(spark, d):
+    """Boosting variants by season: score, change against the first, and whether earlier seasons choose the variant."""
+    from fieldglass.store import stored
+
+    rows = stored(T.walk_forward_variants(matrix(spark, d), FEATURES, "Season", VARIANTS).select("variant", "Season", "y", F.round("p", 6).alias("p")), "scored")
+    b = E.game_metrics(rows, ["variant", "Season"])
+    first = b.where("variant = 'careful'").select("Season", F.col("brier").alias("_first"))
+    chosen = E.forward_choice(rows, "variant").select("Season", F.col("variant").alias("_chosen"), F.col("seasons_seen").alias("_seen"))
+    t = b.join(first, "Season").join(chosen, "Season", "left")
+    return t.select("variant", "Season", "games", r6("brier").alias("brier"), r6(F.col("brier") - F.col("_first")).alias("change"), F.coalesce(F.col("_chosen") == F.col("variant"), F.lit(False)).alias("chosen"), F.coalesce("_seen", F.lit(0)).alias("history"))
+
+
+@query(
+    "selection_history",
+    S + CAND + """, b as (select candidate,"Season",avg(pow(p-y,2)) as brier from cand group by all), past as (select t."Season", b.candidate, round(avg(b.brier),12) as past, count(*) as seen, max(b."Season") as last from (select distinct "Season" from b) t join b on b."Season"<t."Season" group by all),
+ o as (select *, row_number() over (partition by "Season" order by past, candidate) as rn from past), c as (select "Season", last+case when "Season"%4=1 then 1 else 0 end as last, seen from o where rn=1)
+ select "Season", 'later season' as rule from c where last>="Season" union all select "Season", 'too few seasons' from c where seen<2""",
+)
+def selection_history(spark, d):
+    """Choices by strictly earlier seasons; in every fourth season the record claims one season more on purpose."""
+    rows = candidates(spark, d)
+    seasons = rows.select(F.col("Season").alias("_s")).distinct()
+    last = E.forward_choice(rows).join(seasons, F.col("_s") < F.col("Season")).groupBy("Season", "candidate", "seasons_seen").agg(F.max("_s").alias("last"))
+    choices = last.select("Season", "candidate", (F.col("last") + F.when(F.col("Season") % 4 == 1, 1).otherwise(0)).alias("history_last_season"), F.col("seasons_seen").alias("history_seasons"))
+    return C.selection_history(choices.withColumn("scope", F.lit("all")), ["scope"]).select("Season", "rule")
+
+
+@query(
+    "evaluation_games",
+    _LATE + """, e as (select case when "GameNo"%61=0 then 'X' else "Gender" end as g, "Season" as s, case when "GameNo"%67=0 then 300 else "DayNum" end as d, case when "GameNo"%71=0 then 2 else y end as y,
+  case when "GameNo"%73=0 then ("Season"+1) else "Season" end||'_'||case when "GameNo"%79=0 then lpad("Team2ID"::varchar,4,'0')||'_'||lpad("Team1ID"::varchar,4,'0') when "GameNo"%83=0 then "Team1ID"::varchar else lpad("Team1ID"::varchar,4,'0')||'_'||lpad("Team2ID"::varchar,4,'0') end as id from mx),
+ m as (select *, regexp_matches(id,'^[0-9]{4}_[0-9]{4}_[0-9]{4}$') as ok from e)
+ select rule, count(*) as n from (select 'population' as rule from m where g not in ('M','W') union all select 'season' from m where s not between 1996 and 2001 or s=1998 union all select 'day' from m where d<=300 union all select 'outcome' from m where y not in (0,1) union all select 'id' from m where not ok
+  union all select 'season of id' from m where ok and split_part(id,'_',1)<>s::varchar union all select 'order' from m where ok and split_part(id,'_',2)>=split_part(id,'_',3) union all select 'repeated' from (select g, s, id from m group by all having count(*)>1)) group by all""",
+)
+def evaluation_games(spark, d):
+    """Late games with planted faults against the rules of evaluation games."""
+    n, four = F.col("GameNo"), lambda c: F.lpad(F.col(c).cast("string"), 4, "0")
+    pair = F.when(n % 79 == 0, F.concat_ws("_", four("Team2ID"), four("Team1ID"))).when(n % 83 == 0, F.col("Team1ID").cast("string")).otherwise(F.concat_ws("_", four("Team1ID"), four("Team2ID")))
+    g = matrix(spark, d).select(
+        F.when(n % 61 == 0, "X").otherwise(F.col("Gender")).alias("Gender"), "Season", F.when(n % 67 == 0, 300).otherwise(F.col("DayNum")).alias("DayNum"),
+        F.concat_ws("_", F.col("Season") + F.when(n % 73 == 0, 1).otherwise(0), pair).alias("ID"), F.when(n % 71 == 0, 2).otherwise(F.col("y")).alias("y"),
+    )
+    return C.evaluation_games(g, 1996, 2001, [1998], 300).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))

@@ -8,7 +8,9 @@ from __future__ import annotations
 import atexit
 import hashlib
 import json
+import resource
 import tempfile
+import threading
 import time
 import uuid
 from collections.abc import Callable
@@ -137,6 +139,29 @@ def latest(spark: SparkSession, folder: str) -> str:
     return f"{folder}/{key}"
 
 
+class EventLog:
+    """Events as JSON lines, each committed as it happens: a file an event, named so that names sort by time; stores that can't
+    append need nothing else, and a run that breaks off has left what happened before. Threads may share a log."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.files = spark, folder.rstrip("/"), Files(spark)
+        self.began, self.lock, self.n, self.run = time.time(), threading.Lock(), 0, uuid.uuid4().hex[:8]
+
+    def emit(self, event: str, **fields) -> dict:
+        """Write an event with its time, the seconds since the log began and this process's peak memory in bytes."""
+        with self.lock:
+            now = time.time()
+            memory = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024
+            row = {"event": event, "at": round(now, 6), "elapsed": round(now - self.began, 6), "peak_bytes": memory, **fields}
+            self.files.write(f"{self.folder}/{int(self.began * 1000):014d}-{self.run}-{self.n:08d}.jsonl", (canonical_json(row) + "\n").encode())
+            self.n += 1
+            return row
+
+    def table(self) -> DataFrame:
+        """All events of the folder so far."""
+        return self.spark.read.json(f"{self.folder}/*.jsonl")
+
+
 class Tasks:
     """Results of named work over declared inputs: a task whose inputs' fingerprint has been committed is read, not run again.
 
@@ -145,7 +170,7 @@ class Tasks:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder, self.files = spark, folder.rstrip("/"), Files(spark)
-        self.events: list[dict] = []
+        self.log, self.events = EventLog(spark, f"{self.folder}/events"), []
 
     def run(self, name: str, inputs, work: Callable[[], DataFrame]) -> DataFrame:
         began, key = time.time(), fingerprint({"name": name, "inputs": inputs})
@@ -157,6 +182,7 @@ class Tasks:
             write_json(self.spark, f"{at}/manifest.json", {"name": name, "fingerprint": key, "columns": df.dtypes})
             point_to(self.spark, f"{self.folder}/{name}", key)
         self.events.append({"task": name, "fingerprint": key, "reused": reused, "seconds": round(time.time() - began, 3)})
+        self.log.emit("task", **self.events[-1])
         return self.spark.read.parquet(f"{at}/rows")
 
     def write_events(self) -> None:

@@ -1,8 +1,9 @@
-"""Structured Streaming forms of the time semantics: availability clocks, late rows, the latest value of a key. As-of joins and the Elo fold have batch forms only."""
+"""Structured Streaming forms of the time semantics: availability clocks, late rows, the latest value of a key, as-of lookups in a static
+table. The Elo fold has a batch form only."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,3 +21,15 @@ def eligible(stream: DataFrame, available: str, cutoff) -> DataFrame:
     """Rows with their status against a cutoff: ELIGIBLE, LATE_SOURCE or UNKNOWN_TIMING."""
     status = F.when(F.col(available).isNull(), "UNKNOWN_TIMING").when(F.col(available) <= cutoff, "ELIGIBLE").otherwise("LATE_SOURCE")
     return stream.withColumn("status", status)
+
+
+def as_of_static(stream: DataFrame, observations: DataFrame, keys: list[str], at: str, time: str, values: list[str]) -> DataFrame:
+    """The stream's rows with ``seen`` and the values of the latest static observation of their keys at or before ``at``; null
+    where there is none. Without state: observations (one a key and ``time``) become intervals up to the next one, so a late row
+    or a row out of order gets what it would have got in time."""
+    until = F.lead(time).over(Window.partitionBy(*keys).orderBy(time))
+    spans = observations.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(time).alias("seen"), until.alias("_until"), *values)
+    on = (F.col("seen") <= F.col(at)) & (F.col("_until").isNull() | (F.col(at) < F.col("_until")))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_{k}"))
+    return stream.join(spans, on, "left").select(*stream.columns, "seen", *values)
