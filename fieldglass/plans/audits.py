@@ -108,14 +108,13 @@ def distinct_team_ids(spark, d):
 
 @query(
     "template_order",
-    """select cast(row_number() over (order by o_totalprice desc, o_orderkey)-1 as bigint) as row_ord, o_orderkey, o_totalprice from
- orders where o_orderstatus='F'""",
+    """select cast(row_number() over (order by o_totalprice desc, o_orderkey)-1 as bigint) as row_ord, o_orderkey, o_totalprice from orders""",
 )
 def template_order(spark, d):
     """Positions from one range-partitioned sort, not a window over the whole table."""
     from fieldglass.sinks import ordered_rows
 
-    return ordered_rows(table(spark, d, "orders", "o_orderkey", "o_totalprice", "o_orderstatus").where("o_orderstatus = 'F'").drop("o_orderstatus"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], "row_ord")
+    return ordered_rows(table(spark, d, "orders", "o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], "row_ord")
 
 
 @query("submission_violations", """with s as (select '2026_'||l_partkey||'_'||l_suppkey as "ID", l_discount*12 as "Pred" from lineitem),

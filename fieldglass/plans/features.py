@@ -114,29 +114,26 @@ def interactions(spark, d):
     )
 
 
-@query("known_default_lookup", L + CONF + """, wins as (select "TeamID", count(*) as w from long where win=1 and "Season"=1996 group by
- all), t as (select distinct "TeamID" from long) select t."TeamID", case when conf.conf is not null and region<>3 then coalesce(w,0) end
- as wins from t left join conf using ("TeamID") left join wins using ("TeamID")""")
+@query("known_default_lookup", L + CONF + """, wins as (select "TeamID", "Season"+1 as "Season", count(*) as w from long where win=1 group by all), t as (select distinct "Season","TeamID" from long)
+ select t."Season", t."TeamID", case when conf.conf is not null and region<>3 then coalesce(w,0) end as wins from t left join conf using ("TeamID") left join wins using ("TeamID","Season")""")
 def known_default_lookup(spark, d):
-    """0 for a known key without history, null for an unknown key."""
+    """Wins of the season before: 0 for a known key without history, null for an unknown key."""
     rows = long(spark, d)
-    wins = rows.where("win = 1 and Season = 1996").groupBy("TeamID").agg(F.count(F.lit(1)).alias("w"))
-    t = rows.select("TeamID").distinct().join(conferences(spark, d), "TeamID", "left").join(wins, "TeamID", "left")
-    return t.select("TeamID", F.when(F.col("conf").isNotNull() & (F.col("region") != 3), F.coalesce("w", F.lit(0))).alias("wins"))
+    wins = rows.where("win = 1").groupBy("TeamID", (F.col("Season") + 1).alias("Season")).agg(F.count(F.lit(1)).alias("w"))
+    t = rows.select("Season", "TeamID").distinct().join(conferences(spark, d), "TeamID", "left").join(wins, ["TeamID", "Season"], "left")
+    return t.select("Season", "TeamID", F.when(F.col("conf").isNotNull() & (F.col("region") != 3), F.coalesce("w", F.lit(0))).alias("wins"))
 
 
-@query("system_differences", f"with {RANKINGS_SQL}" + _panel_sql(CUTOFF, "p") + """, pairs as (select distinct r."TeamID" as a,
- r."TeamID"+1 as b from rankings r) select a, b, round(x.rating-y.rating,6) as diff_view, coalesce(x.rating is not null,false) as has_a,
- coalesce(y.rating is not null,false) as has_b from pairs left join p x on x."TeamID"=a and x."SystemName"='view' left join p y on
- y."TeamID"=b and y."SystemName"='view'""")
+@query("system_differences", f"with {RANKINGS_SQL}" + _panel_sql(CUTOFF, "p") + """, pairs as (select distinct r."TeamID" as a, r."TeamID"+1 as b from rankings r), v as (select distinct "SystemName" as system from p)
+ select a, b, system, round(x.rating-y.rating,6) as difference, x.rating is not null as has_a, y.rating is not null as has_b from pairs cross join v left join p x on x."TeamID"=a and x."SystemName"=system left join p y on y."TeamID"=b and y."SystemName"=system""")
 def system_differences(spark, d):
-    """One system's ratings of both sides; absent stays null and is flagged."""
+    """Every system's ratings of both sides; absent stays null and is flagged."""
     from fieldglass.sources.league import rankings
 
-    p = panel(spark, d, CUTOFF).where("SystemName = 'view'").select("TeamID", "rating")
-    pairs = rankings(spark, d).select(F.col("TeamID").alias("a"), (F.col("TeamID") + 1).alias("b")).distinct()
-    j = pairs.join(p.select(F.col("TeamID").alias("a"), F.col("rating").alias("x")), "a", "left").join(p.select(F.col("TeamID").alias("b"), F.col("rating").alias("y")), "b", "left")
-    return j.select("a", "b", r6(F.col("x") - F.col("y")).alias("diff_view"), F.col("x").isNotNull().alias("has_a"), F.col("y").isNotNull().alias("has_b"))
+    p = panel(spark, d, CUTOFF).select("TeamID", F.col("SystemName").alias("system"), "rating")
+    pairs = rankings(spark, d).select(F.col("TeamID").alias("a"), (F.col("TeamID") + 1).alias("b")).distinct().crossJoin(p.select("system").distinct())  # systems are few
+    j = pairs.join(p.select(F.col("TeamID").alias("a"), "system", F.col("rating").alias("x")), ["a", "system"], "left").join(p.select(F.col("TeamID").alias("b"), "system", F.col("rating").alias("y")), ["b", "system"], "left")
+    return j.select("a", "b", "system", r6(F.col("x") - F.col("y")).alias("difference"), F.col("x").isNotNull().alias("has_a"), F.col("y").isNotNull().alias("has_b"))
 
 
 @query(

@@ -354,7 +354,7 @@ def complementarity(spark, d):
 )
 def benchmark_grains(spark, d):
     """Game, stream and overall grain in one pass over grouping sets."""
-    t = streams(spark, d).groupingSets([["stream", "Season"], ["stream"], []], "stream", "Season") if hasattr(streams(spark, d), "groupingSets") else streams(spark, d).rollup("stream", "Season")
+    t = streams(spark, d).groupingSets([["stream", "Season"], ["stream"], []], "stream", "Season")
     return t.agg(F.count(F.lit(1)).alias("n"), r6(brier()).alias("brier"))
 
 
