@@ -1,8 +1,9 @@
 """Structured Streaming forms of the time semantics: availability clocks, late rows, the latest value of a key, as-of lookups in a static
-table. The Elo fold has a batch form only."""
+table, the Elo fold by days."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,3 +34,48 @@ def as_of_static(stream: DataFrame, observations: DataFrame, keys: list[str], at
     for k in keys:
         on = on & (F.col(k) == F.col(f"_{k}"))
     return stream.join(spans, on, "left").select(*stream.columns, "seen", *values)
+
+
+def elo_by_day(games: DataFrame, key: str, at: str, late: str = "2 days", **how) -> DataFrame:
+    """(key, Season, DayNum, TeamID, elo, elo_mov) of the teams that played, a row a team and day, once the watermark has passed
+    the day: append mode. ``games``: the batch fold's columns and their time ``at``; ``how``: k, home, carry, cap.
+
+    A population's state is its ratings and the games of the days that are still open. Days are taken in order whatever the order
+    of arrival; a game that comes after its day was closed is dropped, as late rows are."""
+    import pickle
+
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from fieldglass.operators.ratings import Ratings
+
+    how = {"k": 20.0, "home": 60.0, "carry": 0.65, "cap": 3.0, **how}
+    edge = F.when(F.col("WLoc") == "H", 1.0).when(F.col("WLoc") == "A", -1.0).otherwise(0.0)
+    rows = games.withWatermark(at, late).select(key, "Season", "DayNum", "WTeamID", "LTeamID", (F.col("WScore") - F.col("LScore")).cast("double").alias("margin"), edge.alias("edge"), F.col(at).alias("_at"), F.unix_millis(F.date_trunc("day", at) + F.expr("interval 1 day")).alias("_end"))
+    columns = [key, "Season", "DayNum", "TeamID", "elo", "elo_mov"]
+
+    def update(name, frames, state):
+        ratings, season, closed, open_ = pickle.loads(state.get[0]) if state.exists else (Ratings(**how), None, -1, {})
+        for f in frames:
+            for (end, s, d), part in f.groupby(["_end", "Season", "DayNum"]):
+                if end > closed:
+                    open_.setdefault((int(end), int(s), int(d)), []).append(part[["WTeamID", "LTeamID", "margin", "edge"]].to_numpy(float))
+        watermark = state.getCurrentWatermarkMs()
+        out = []
+        for end, s, d in sorted(x for x in open_ if x[0] <= watermark):
+            part = np.concatenate(open_.pop((end, s, d)))
+            if season is not None and s != season:
+                ratings.rest(s - season)
+            season, closed = s, end
+            w, lost = part[:, 0].astype(int), part[:, 1].astype(int)
+            ratings.play(w, lost, part[:, 2], part[:, 3])
+            teams = np.unique(np.concatenate([w, lost]))
+            now = ratings.START + ratings.now[ratings.rows_of(teams)]
+            out.append(pd.DataFrame({key: name[0], "Season": s, "DayNum": d, "TeamID": teams, "elo": now[:, 0], "elo_mov": now[:, 1]}))
+        state.update((pickle.dumps((ratings, season, closed, open_)),))
+        if open_:
+            state.setTimeoutTimestamp(max(min(open_)[0], watermark + 1))
+        yield from out
+
+    schema = f"{key} string, Season int, DayNum int, TeamID int, elo double, elo_mov double"
+    return rows.groupBy(key).applyInPandasWithState(update, schema, "state binary", "append", GroupStateTimeout.EventTimeTimeout).select(*columns)
