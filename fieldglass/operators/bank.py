@@ -234,20 +234,16 @@ def peers(described_windows: DataFrame) -> DataFrame:
 
 
 def placed(frame: DataFrame, family: str, stats) -> DataFrame:
-    """KEY, place in the catalog, value of a family's long rows."""
-    rows = [r for r in registry() if r[1] == family]
+    """KEY, place, values of a family's long rows: the place in the catalog of a row's first column, and its columns' values."""
     first = {r[2]: i for i, r in reversed(list(enumerate(registry()))) if r[1] == family}  # of each context
-    if not rows:
-        raise ValueError(f"no family {family}")
     look = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs for x in pair])
     context = look(first.items())[F.col("context")] if "context" in frame.columns else F.lit(min(first.values()))
     base = context + look((s, i * len(stats)) for i, s in enumerate(SIGNALS))[F.col("signal")]
-    cells = F.array(*[F.struct((base + i).cast("int").alias("place"), F.col(s).cast("double").alias("value")) for i, s in enumerate(stats)])
-    return frame.select(*KEY, F.inline(cells))
+    return frame.select(*KEY, base.cast("int").alias("place"), F.array(*[F.col(s).cast("double") for s in stats]).alias("values"))
 
 
 def bank(rows: DataFrame, strength: DataFrame, cutoff: int) -> DataFrame:
-    """KEY, place, value: every candidate of every team of the signal rows up to the cutoff."""
+    """KEY, place, values: every candidate of every team of the signal rows up to the cutoff."""
     from fieldglass.store import stored
 
     rows = stored(rows, "signals")  # read by every family
@@ -260,18 +256,33 @@ def bank(rows: DataFrame, strength: DataFrame, cutoff: int) -> DataFrame:
 
 
 def laid_out(cells: DataFrame, size: int) -> DataFrame:
-    """KEY and an array ``v`` of so many places, filled in one pass over a team's cells."""
+    """KEY and an array ``v`` of so many places, filled in one pass over a team's rows (KEY, place, values)."""
     kinds = dict(cells.dtypes)
-    src = cells.where("value is not null").select(*KEY, "place", "value").repartition(*KEY).sortWithinPartitions(*KEY)
+    src = cells.select(*KEY, "place", "values").repartition(*KEY).sortWithinPartitions(*KEY)
 
     def run(batches):
         import pyarrow as pa
 
+        def flush(found):
+            v = np.concatenate([x for _, x in found])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(v) + 1, size, dtype=np.int32)), pa.array(v, mask=np.isnan(v)))
+            keys = [pa.array([k[i] for k, _ in found], t) for i, t in enumerate(types)]
+            return pa.RecordBatch.from_arrays([*keys, lists], [*KEY, "v"])
+
+        found, types = [], None
         for key, b in _whole_teams(batches):
-            v = np.full(size, np.nan)
-            at = b.column("place").to_numpy()
-            v[at[at < size]] = b.column("value").to_numpy()[at < size]
-            yield pa.RecordBatch.from_arrays([*(b.column(k)[:1] for k in KEY), pa.array([pa.array(v, mask=np.isnan(v))], pa.list_(pa.float64()))], [*KEY, "v"])
+            types = types or [b.column(k).type for k in KEY]
+            lists = b.column("values")
+            each = np.diff(lists.offsets.to_numpy())
+            at = np.repeat(b.column("place").to_numpy(), each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            values, v = lists.flatten().to_numpy(zero_copy_only=False), np.full(size, np.nan)
+            v[at[at < size]] = values[at < size]
+            found.append((key, v))
+            if len(found) == 64:
+                yield flush(found)
+                found = []
+        if found:
+            yield flush(found)
 
     return src.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in KEY) + ", v array<double>")
 

@@ -131,34 +131,39 @@ def _cells_sql() -> str:
     return f"with places(place, family, context, signal, stat) as (values {places}), long as materialized ({' union all '.join(parts)}), cell as materialized (select {QK}, place, value from long join places using (family, context, signal, stat) where value is not null) "
 
 
-def _cells(spark, d):
-    """All cells of the bank, rounded to what engines agree on."""
-    t = B.bank(signal_rows(spark, d), strength(spark, d), CUTOFF)
-    stat = F.element_at(F.array(*[F.lit(_DECIMALS.get(r[4], 4)) for r in B.registry()]), F.col("place") + 1)
-    off = F.element_at(F.array(*[F.lit(0.0 if r[1] == "peer" or r[4] == "count" else OFF) for r in B.registry()]), F.col("place") + 1)
-    rounded = F.when(stat == 0, F.col("value"))
-    for n in (3, 4, 5, 6):
-        rounded = rounded.when(stat == n, F.round(F.col("value") + off, n))
-    return t.withColumn("value", rounded).where("value is not null")
+def _laid_out(spark, d):
+    """KEY and all columns ``v`` of every team, rounded to what engines agree on."""
+    t = B.laid_out(B.bank(signal_rows(spark, d), strength(spark, d), CUTOFF), len(B.registry()))
+    digits = F.split(F.lit(",".join(str(_DECIMALS.get(r[4], 4)) for r in B.registry())), ",")
+    peer = next(i for i, r in enumerate(B.registry()) if r[1] == "peer")
+
+    def rounded(x, i):
+        n, y = F.get(digits, i), x + F.when(i < peer, OFF).otherwise(0.0)
+        out = F.when(n == "0", x)
+        for k in (3, 4, 5, 6):
+            out = out.when(n == str(k), F.round(y, k))
+        return out
+
+    return t.withColumn("v", F.transform("v", rounded))
 
 
 @query(
     "candidate_registry",
-    _cells_sql() + ", n as (select place, count(*) as teams, count(distinct value) as different from cell group by place) select "
-    "'research_'||family||'_'||context||'_'||signal||'_'||stat as name, family, context, signal, stat, coalesce(teams,0) as teams, coalesce(different,0) as different from places left join n using (place)",
+    _cells_sql() + ", n as (select place, count(*) as teams, min(value) as low, max(value) as high from cell group by place) select "
+    "'research_'||family||'_'||context||'_'||signal||'_'||stat as name, family, context, signal, stat, coalesce(teams,0) as teams, low, high from places left join n using (place)",
 )
 def candidate_registry(spark, d):
-    """The catalog of the bank's columns, with the teams that have a value in each and how many values differ."""
+    """The catalog of the bank's columns, with the teams that have a value in each, and its bounds."""
     names = spark.createDataFrame([(i, *r) for i, r in enumerate(B.registry())], "place int, name string, family string, context string, signal string, stat string")
-    n = _cells(spark, d).groupBy("place").agg(F.count(F.lit(1)).alias("teams"), F.countDistinct("value").alias("different"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return names.join(n, "place", "left").select("name", "family", "context", "signal", "stat", zero("teams"), zero("different"))
+    cells = _laid_out(spark, d).select(F.posexplode("v").alias("place", "value")).where("value is not null")
+    n = cells.groupBy("place").agg(F.count(F.lit(1)).alias("teams"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return names.join(n, "place", "left").select("name", "family", "context", "signal", "stat", F.coalesce("teams", F.lit(0)).alias("teams"), "low", "high")
 
 
 @query("candidate_bank", _cells_sql() + f"select {QK}, count(*) as known, max(case when place={B.registry().index(next(r for r in B.registry() if r[0] == 'research_distribution_season_margin_mean'))} then value end) as margin, sha256(string_agg(place||':'||cast(round(value*1000000) as bigint), ',' order by place)) as digest from cell group by all")
 def candidate_bank(spark, d):
     """All 2,944 columns of every team laid out, and a digest of every known column's place and rounded value."""
-    t = B.laid_out(_cells(spark, d), len(B.registry()))
+    t = _laid_out(spark, d)
     known = F.filter(F.transform("v", lambda x, i: F.concat(i, F.lit(":"), F.round(x * 1_000_000).cast("long"))), lambda x: x.isNotNull())
     at = next(i for i, r in enumerate(B.registry()) if r[0] == "research_distribution_season_margin_mean")
     return t.select(*KEY, F.size(known).cast("long").alias("known"), F.col("v")[at].alias("margin"), F.sha2(F.array_join(known, ","), 256).alias("digest"))

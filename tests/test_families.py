@@ -52,9 +52,9 @@ def test_ranking_snapshot_goldens(spark):
 def test_bank_registry_and_wide_layout(spark):
     names = [r[0] for r in bank.registry()]
     assert len(names) == len(set(names)) == 2944 and len(bank.SIGNALS) == 32
-    cells = spark.createDataFrame([("M", 2001, 1, 3, 2.5), ("M", 2001, 1, 7, None), ("M", 2001, 2, 0, 1.0), ("M", 2001, 2, 2000, 9.0)], "Gender string, Season int, TeamID int, place int, value double")
+    cells = spark.createDataFrame([("M", 2001, 1, 3, [2.5]), ("M", 2001, 1, 7, [None, 4.0]), ("M", 2001, 2, 0, [1.0]), ("M", 2001, 2, 2000, [9.0])], "Gender string, Season int, TeamID int, place int, values array<double>")
     t = {r.TeamID: r for r in bank.wide(cells, [(n, i) for i, n in enumerate(names[:10])]).collect()}
-    assert t[1][names[3]] == 2.5 and t[1][names[7]] is None and t[2][names[0]] == 1.0 and t[2][names[3]] is None and len(t[1]) == 13
+    assert t[1][names[3]] == 2.5 and t[1][names[7]] is None and t[1][names[8]] == 4.0 and t[2][names[0]] == 1.0 and t[2][names[3]] is None and len(t[1]) == 13
 
 
 def test_elo_streams_populations_and_seasons(spark):
