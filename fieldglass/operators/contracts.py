@@ -120,19 +120,20 @@ def template_pairs(template: DataFrame, teams: DataFrame, id_column: str = "ID")
     return t.select(*template.columns, "Season", "Team1ID", "Team2ID", F.when(rule.isNull(), F.col("_g1")).alias("Gender"), rule.alias("rule"))
 
 
-def inference_contract(matrix: DataFrame, template: DataFrame, labels: list[str] = ("y", "Pred")) -> DataFrame:
+def inference_contract(matrix: DataFrame, template: DataFrame, labels: list[str] = ("y", "Pred"), sides: tuple[int, ...] = (1, 2)) -> DataFrame:
     """(ID, rule): ids of the matrix that the template lacks, of the template that the matrix lacks, repeated ids, and ids whose
-    teams' numbers don't suit the gender. A matrix with a label column is refused."""
+    teams' numbers don't suit the gender: women's begin with a digit from 3 on (``sides``: which of
+    an id's two teams are looked at). A matrix with a label column is refused."""
     held = [c for c in labels if c in matrix.columns]
     if held:
         raise ValueError(f"an inference matrix holds labels: {held}")
     a, b = matrix.select("ID", "Gender"), template.select("ID")
     part = F.split("ID", "_")
-    from_ = lambda i: part[i].cast("int") >= 3000
+    from_ = lambda i: F.substring(part[i], 1, 1) >= "3"
     women = F.col("Gender") == "W"
-    sides = a.where((from_(1) != women) | (from_(2) != women)).select("ID", F.lit("gender").alias("rule"))
+    unsuited = a.where(_any([from_(i) != women for i in sides])).select("ID", F.lit("gender").alias("rule"))
     lacks = lambda x, y, r: x.select("ID").join(y.select("ID"), "ID", "left_anti").select("ID", F.lit(r).alias("rule"))
-    return sides.unionByName(lacks(a, b, "not in template")).unionByName(lacks(b, a, "not in matrix")).unionByName(repeated(a, ["ID"], "repeated"))
+    return unsuited.unionByName(lacks(a, b, "not in template")).unionByName(lacks(b, a, "not in matrix")).unionByName(repeated(a, ["ID"], "repeated"))
 
 
 def submission_contract(s: DataFrame, declared: dict[str, str] | None = None) -> DataFrame:
