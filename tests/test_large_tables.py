@@ -1,11 +1,13 @@
 """Work that grows with the tables: the bank by batches of teams, ids of five digits, joins that don't pair rows by a hot key."""
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fieldglass import registry
-from fieldglass.operators import contracts
+from fieldglass.operators import bank, contracts, windows
 
 TABLES = "supplier orders lineitem".split()
 SF = "/root/testdata/sf0.001"
@@ -42,3 +44,49 @@ def test_ids_of_any_length_are_judged_by_their_first_digit(spark, wide_keys):
     assert got() == ["2001_10500_30500", "2001_12000_13000", "2001_3100_10200"] and got(sides=(1,)) == ["2001_12000_13000"]
     got, want = compared(spark, wide_keys, "inference_contract")
     assert got == want and len(got) > 1
+
+
+def team_rows(n_teams=7, seed=3):
+    rng = np.random.default_rng(seed)
+    rows = [("M", 2001, t, int(rng.integers(1, n_teams)), int(rng.integers(1, 120)), i, int(rng.integers(-1, 2)), *map(float, rng.normal(size=32))) for i, t in enumerate(rng.integers(1, n_teams, 90).tolist())]
+    return rows, "Gender string, Season int, TeamID int, OppID int, DayNum int, GameNo int, home int, " + ", ".join(f"{n} double" for n in bank.SIGNALS)
+
+
+def test_teams_are_worked_on_by_batches():
+    team = np.sort(np.random.default_rng(1).integers(0, 200, 3000))
+    t = pa.table({"Gender": ["M"] * 3000, "Season": [2001] * 3000, "TeamID": team, "n": np.arange(3000)})
+    found = list(bank._whole_teams(iter(t.to_batches(max_chunksize=700))))
+    assert len(found) <= 6 and pa.Table.from_batches([b for b, _ in found]).equals(t.combine_chunks())
+    seen = [i for b, start in found for i in b.column("TeamID").take(start).to_pylist()]
+    assert seen == sorted(set(team.tolist()))
+    long = list(bank._whole_teams(iter(pa.table({"Gender": ["M"] * 50, "Season": [1] * 50, "TeamID": [4] * 50}).to_batches(max_chunksize=9))))
+    assert [b.num_rows for b, _ in long] == [50]
+
+
+def test_bank_lays_out_what_its_families_say(spark):
+    rows, schema = team_rows()
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    strength = df.groupBy(*bank.KEY).agg(F.avg("margin").alias("strength"))
+    laid = {r.TeamID: r.v for r in bank.bank(df, strength, 120).collect()}
+    place = {r[1:]: i for i, r in enumerate(bank.registry())}
+    want = {t: [None] * 2944 for t in laid}
+    families = {"distribution": (bank.windows(df, 120), bank.STATS), "venue": (bank.venues(df), bank.SMALL), "opponent": (bank.opponents(df, strength), bank.SMALL), "trajectory": (bank.trajectories(df, 120), bank.TREND), "peer": (bank.peers(bank.peer_values(df)), bank.PEER)}
+    for family, (frame, stats) in families.items():
+        for r in frame.collect():
+            for s in stats:
+                want[r.TeamID][place[family, r.asDict().get("context", "season"), r.signal, s]] = r[s]
+    for t, v in laid.items():
+        assert [x is None for x in v] == [x is None for x in want[t]]
+        assert [x for x in v if x is not None] == pytest.approx([x for x in want[t] if x is not None])
+
+
+def test_peers_share_ranks_without_joins_by_value(spark):
+    rows = [("M", 1, t, "win", m, None if t == 3 else 2.0, float(t)) for t, m in enumerate([1.0, 1.0, None, 3.0, 0.5])]
+    df = spark.createDataFrame(rows, "Gender string, Season int, TeamID int, signal string, m double, r double, s double")
+    t = bank.peers(df)
+    got = {r.TeamID: r for r in t.collect()}
+    for value, out in (("m", "percentile"), ("r", "recent_percentile"), ("s", "consistency_percentile")):
+        want = {r.TeamID: r.p for r in windows.average_rank(df, value, ["Gender", "Season", "signal"], "p").collect()}
+        assert {k: r[out] for k, r in got.items()} == want
+    assert got[2].zscore is None and got[3].zscore == pytest.approx(np.subtract(3, 1.375) / np.std([1, 1, 3, 0.5], ddof=1))
+    assert "Join" not in t._jdf.queryExecution().executedPlan().toString()
