@@ -54,12 +54,12 @@ _LAST = 300
 def _tables(spark, d):
     """The league as official tables; some games have their scores swapped, some are there twice, some box scores are gone, some
     women's teams have men's ids, some ids of the template are wrong."""
-    g = games(spark, d)
+    box = [f"{s}{x}" for s in "WL" for x in ("FGM", "FGA", "FGM3", "FGA3", "FTM", "FTA", "OR", "TO")]
+    g = stored(games(spark, d).select("Gender", *O.GAME, "WScore", "LScore", "GameNo", *box), "games")  # every table reads them
     swap = F.col("GameNo") % 97 == 0
     g = g.withColumns({"WScore": F.when(swap, F.col("LScore")).otherwise(F.col("WScore")), "LScore": F.when(swap, F.col("WScore")).otherwise(F.col("LScore"))})
     g = g.withColumn("copy", F.explode(F.when(F.col("GameNo") % 89 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     compact = [*O.GAME, "WScore", "LScore"]
-    box = [f"{s}{x}" for s in "WL" for x in ("FGM", "FGA", "FGM3", "FGA3", "FTM", "FTA", "OR", "TO")]
     teams = table(spark, d, "supplier", "s_suppkey")
     out = {"MTeams": teams.select(F.col("s_suppkey").alias("TeamID")), "WTeams": teams.select((F.col("s_suppkey") + F.when(F.col("s_suppkey") % 50 == 0, 0).otherwise(3000)).alias("TeamID"))}
     for letter in "MW":
