@@ -43,30 +43,32 @@ def coach_history(coaches: DataFrame, regular: DataFrame, tournament: DataFrame,
     the support, win posterior and margin. ``coaches``: KEY, FirstDayNum, LastDayNum, CoachName; games: KEY, DayNum, win,
     margin. A coach without history has zeros; a team without a coach has nulls.
 
-    Scale: games meet intervals by (league, team); everything later is by (coach, season), a small table, and the windows
-    are one aggregate over the few seasons before each asked one.
+    Scale: games meet intervals by (league, team), and a coach's earlier teams and seasons are running sums over first years,
+    so nothing pairs a coach's stints with each other. The rest is by (coach, season), a small table, and the windows are one
+    aggregate over the few seasons before each asked one.
     """
     now = coaches.where((F.col("FirstDayNum") <= cutoff) & (F.col("LastDayNum") >= cutoff)).select(*KEY, "CoachName", (cutoff - F.col("FirstDayNum") + 1).cast("double").alias("stint_days"))
     teams = coaches.select(*KEY).distinct()
-    asked = now.select("Gender", F.col("Season").alias("_s"), F.col("TeamID").alias("_t"), "CoachName")
+    asked = now.select("Gender", F.col("Season").alias("_s"), "CoachName").distinct()
     past = coaches.select("Gender", "Season", "TeamID", "CoachName").distinct()
-    before = asked.join(past, ["Gender", "CoachName"]).where("Season < _s")
-    same = before.where("TeamID = _t").select("Gender", "_s", "_t", "Season").distinct()
-    w = Window.partitionBy("Gender", "_s", "_t").orderBy(F.col("Season").desc())
-    tenure = same.withColumn("_n", F.row_number().over(w)).where(F.col("_s") - F.col("Season") == F.col("_n")).groupBy("Gender", "_s", "_t").agg(F.count(F.lit(1)).cast("double").alias("tenure"))
-    spread = before.groupBy("Gender", "_s", "_t").agg(F.countDistinct("TeamID").cast("double").alias("prior_teams"), F.countDistinct("Season").cast("double").alias("prior_seasons"))
+    own = Window.partitionBy("Gender", "CoachName", "TeamID").orderBy("Season")
+    stays = past.withColumn("_n", F.row_number().over(own)).withColumn("_first", (F.col("_n") == 1).cast("long"))
+    run = Window.partitionBy("Gender", "CoachName", "TeamID", "_run").orderBy("Season")
+    tenure = stays.withColumn("_run", F.col("Season") - F.col("_n")).select(*KEY, "CoachName", (F.row_number().over(run) - 1).cast("double").alias("tenure"))
+    earlier = Window.partitionBy("Gender", "CoachName").orderBy("Season").rowsBetween(Window.unboundedPreceding, -1)
+    spread = stays.groupBy("Gender", "CoachName", "Season").agg(F.sum("_first").alias("_new"))
+    spread = spread.select("Gender", "CoachName", "Season", F.sum("_new").over(earlier).cast("double").alias("prior_teams"), F.count(F.lit(1)).over(earlier).cast("double").alias("prior_seasons"))
     last = coaches.groupBy(*KEY).agg(F.max_by("CoachName", "LastDayNum").alias("_prior"))
     last = last.select("Gender", (F.col("Season") + 1).alias("Season"), "TeamID", "_prior")
     out = teams.join(now, KEY, "left").join(last, KEY, "left")
     out = out.withColumn("changed", F.when(F.col("CoachName").isNotNull(), (F.col("_prior") != F.col("CoachName")).cast("double"))).withColumn("known", F.col("CoachName").isNotNull().cast("double"))
-    back = lambda t: t.withColumnRenamed("_s", "Season").withColumnRenamed("_t", "TeamID")
-    out = out.join(back(tenure), KEY, "left").join(back(spread), KEY, "left")
+    out = out.join(tenure, [*KEY, "CoachName"], "left").join(spread, ["Gender", "CoachName", "Season"], "left")
     held = lambda c: F.when(F.col("CoachName").isNotNull(), c)
     cols = ["stint_days", "changed", *[held(F.coalesce(c, F.lit(0.0))).alias(c) for c in ("tenure", "prior_teams", "prior_seasons")]]
     for kind, games in (("regular", regular), ("tournament", tournament)):
         in_charge = games.join(coaches, KEY).where(F.col("DayNum").between(F.col("FirstDayNum"), F.col("LastDayNum")))
         annual = in_charge.groupBy("Gender", "CoachName", "Season").agg(F.count(F.lit(1)).alias("n"), F.sum("win").alias("w"), F.sum("margin").alias("m"))
-        seen = asked.select("Gender", "CoachName", "_s").distinct().join(annual, ["Gender", "CoachName"]).where(F.col("Season").between(F.col("_s") - max(windows), F.col("_s") - 1))
+        seen = asked.join(annual, ["Gender", "CoachName"]).where(F.col("Season").between(F.col("_s") - max(windows), F.col("_s") - 1))
         age = F.col("_s") - F.col("Season")
         of = lambda c, k: F.coalesce(F.sum(F.when(age <= k, F.col(c))), F.lit(0)).cast("double")
         aggs = [of(c, k).alias(f"_{kind}_{k}_{c}") for k in windows for c in "nwm"]

@@ -11,6 +11,7 @@ from fieldglass.operators.windows import average_rank
 from fieldglass.plans.teams import KEY, L, QK, SEEDS, long, seeds
 from fieldglass.registry import query
 from fieldglass.sources.league import RANKINGS_SQL, rankings
+from fieldglass.store import stored
 
 CUTOFF = 300
 #: The best 64 of a league's season are seeded, four to a number.
@@ -74,8 +75,9 @@ COACHES = """, ts as (select distinct "Gender","Season","TeamID" from long),
    union all select "Gender","Season","TeamID", 181, 400, two from cb where "TeamID"%5=0 and "TeamID"%13<>0)"""
 
 
-def coaches(spark, d):
-    t = long(spark, d).select(*KEY).distinct().where("TeamID % 13 <> 0")
+def coaches(rows):
+    """Stints of the teams of rows."""
+    t = rows.select(*KEY).distinct().where("TeamID % 13 <> 0")
     name = lambda x: F.concat(F.lit("C"), (x % 60).cast("string"))
     one, two = name(F.col("TeamID") * 7 + F.floor((F.col("Season") - 1990) / 3)), name(F.col("TeamID") * 11 + F.col("Season"))
     split = F.col("TeamID") % 5 == 0
@@ -123,8 +125,8 @@ _HELD = lambda x, n: f'case when c."CoachName" is not null then {x} end as {n}'
     + "".join(f' left join {k} on {k}."Gender"=t."Gender" and {k}."CoachName"=c."CoachName" and {k}._s=t."Season"' for k in ("regular", "tournament")),
 )
 def coach_history(spark, d):
-    games = long(spark, d).select(*KEY, "DayNum", "win", "margin")
-    t = H.coach_history(coaches(spark, d), games.where(f"DayNum <= {CUTOFF}"), games.where(f"DayNum > {CUTOFF}"), CUTOFF)
+    games = stored(long(spark, d).select(*KEY, "DayNum", "win", "margin"), "games")
+    t = H.coach_history(stored(coaches(games), "coaches"), games.where(f"DayNum <= {CUTOFF}"), games.where(f"DayNum > {CUTOFF}"), CUTOFF)
     return t.select(*[F.round(c, 6).alias(c) if c.rsplit("_", 1)[-1] in ("support", "posterior", "margin") else c for c in t.columns])
 
 
