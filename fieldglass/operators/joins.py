@@ -100,8 +100,11 @@ def antisymmetric(a: str, b: str) -> Column:
 
 def ordered_pair_differences(pairs: DataFrame, teams: DataFrame, keys: list[str], names: list[str], ordinal: str) -> DataFrame:
     """``differences`` of pairs that carry an ordinal, so that their order can be restored; every pair must find both teams,
-    and a team must be there once."""
+    and a team must be there once. Snapshots and joined pairs are stored, so that the checks don't make them again."""
+    from fieldglass.store import stored
+
+    teams = stored(teams, "snapshots")
     require_empty(duplicates(teams, [*keys, "TeamID"]), "a team has two snapshots")
-    roles = pair_roles(pairs, teams, keys)
+    roles = stored(pair_roles(pairs, teams, keys), "pairs")
     require_empty(roles.where(F.col(f"a_{names[0]}").isNull() | F.col(f"b_{names[0]}").isNull()).select(*pairs.columns), "a pair asks for a team without a snapshot")
     return differences(roles, names, list(pairs.columns))

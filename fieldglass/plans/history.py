@@ -61,9 +61,10 @@ def resume_pairs(spark, d):
     from fieldglass.sinks import ordered_rows
 
     keys = ["Gender", "Season", "Team1ID", "Team2ID"]
-    p = long(spark, d).where("DayNum > 300").select("Gender", "Season", F.least("TeamID", "OppID").alias("Team1ID"), F.greatest("TeamID", "OppID").alias("Team2ID")).distinct()
+    rows = stored(long(spark, d).select(*KEY, "OppID", "DayNum", "win", "margin", "home"), "games")
+    p = rows.where("DayNum > 300").select("Gender", "Season", F.least("TeamID", "OppID").alias("Team1ID"), F.greatest("TeamID", "OppID").alias("Team2ID")).distinct()
     p = ordered_rows(p, [F.col(k) for k in keys], "row_ord")
-    t = ordered_pair_differences(p, H.resume(long(spark, d), seeded(spark, d), CUTOFF), ["Gender", "Season"], H.RESUME, "row_ord")
+    t = ordered_pair_differences(p, H.resume(rows, seeded(spark, d), CUTOFF), ["Gender", "Season"], H.RESUME, "row_ord")
     return t.select("row_ord", *keys, *[F.round(f"diff_{c}", 6).alias(f"diff_{c}") for c in H.RESUME])
 
 
