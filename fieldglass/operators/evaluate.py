@@ -86,6 +86,14 @@ def blend(rows: DataFrame, stream: str, weights: dict[str, float], keys: list[st
     return t.select(*keys, F.when(F.col("_n") == len(weights), F.col("p")).alias("p"))
 
 
+def verified_blend(rows: DataFrame, stream: str, weights: dict[str, float], keys: list[str], label: str = "y") -> DataFrame:
+    """(keys, label, a column a stream, rebuilt): each game's forecasts and their weighted sum, null where a stream lacks the game, in
+    one aggregate; of rows that repeat a game the least counts."""
+    own = [F.min(F.when(F.col(stream) == s, F.col("p"))).alias(s) for s in weights]
+    t = rows.where(F.col(stream).isin(*weights)).groupBy(*keys).agg(F.min(label).alias(label), *own)
+    return t.withColumn("rebuilt", sum((F.lit(w) * F.col(s) for s, w in list(weights.items())[1:]), F.lit(next(iter(weights.values()))) * F.col(next(iter(weights)))))
+
+
 def season_losses(rows: DataFrame, keys: list[str], temperatures: list[float], season: str = "Season") -> DataFrame:
     """(keys, season, t, loss): mean squared error of every season at each temperature; one scan, then a small table."""
     from fieldglass.functions.stats import temperature
