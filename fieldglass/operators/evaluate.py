@@ -140,8 +140,8 @@ def permutation_importance(df: DataFrame, model: dict[str, tuple[float, float]],
     anew to the rows. ``model``: as in ``score_frozen``. ``order`` orders the rows; its first two columns are hashed for
     the deals, so a deal depends on the rows alone.
 
-    Rows are numbered once. All deals are sorted together as (deal, hash, number, value), without the other columns, and
-    meet the rows by number; one aggregate scores them all."""
+    Rows are numbered once. All deals are sorted together by deal, hash and number, of which only the values in their new order are
+    written, and meet the rows by number; one aggregate scores them all."""
     from fieldglass.sinks import ordered_rows
     from fieldglass.store import stored
 
@@ -154,11 +154,11 @@ def permutation_importance(df: DataFrame, model: dict[str, tuple[float, float]],
 
     def deal(j: int, i: int, f: str, k: int):
         h = F.sha2(F.concat_ws(":", F.lit(f), F.lit(str(k)), "id"), 256)
-        digits = lambda a: F.conv(F.substring(h, a, 15), 16, 10).cast("long").alias(f"h{a}")
-        return F.struct(F.lit(j).alias("deal"), digits(1), digits(16), F.col(f"_{i}").alias("v"))
+        key = F.concat(F.lit(bytes([j >> 8, j & 255])), F.unhex(F.substring(h, 1, 32)))  # the deal, then 128 bits
+        return F.struct(F.lit(j).alias("deal"), key.alias("key"), F.col(f"_{i}").alias("v"))
 
     long = base.select("_n", F.inline(F.array(*[deal(j, *case) for j, case in enumerate(cases)])))
-    dealt = ordered_rows(long.select("deal", "h1", "h16", "_n", "v"), [F.col(x) for x in ("deal", "h1", "h16", "_n")], "_m")
+    dealt = ordered_rows(long, [F.col("key"), F.col("_n")], "_m", keep=["deal", "v"])
     dealt = dealt.select("deal", "v", (F.col("_m") % F.lit(max(n, 1))).alias("_n"))
     own = F.element_at(F.array(*[F.col(f"_{i}") for i, _, _ in cases]), F.col("deal") + 1)
     square = lambda x: F.pow(1 / (1 + F.exp(-x)) - F.col("y"), F.lit(2.0))

@@ -9,30 +9,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def ordered_rows(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+def ordered_rows(df: DataFrame, order: list[Column], out: str, keep: list[str] | None = None) -> DataFrame:
     """Number all rows from 0 in an order: a range-partitioned sort, then each partition's start is a sum of the sizes
-    before it. No window over the whole table; the driver sees a count a partition. The sorted rows are kept in the
-    shared folder with their places, as a second sort might cut partitions elsewhere."""
+    before it. No window over the whole table; the driver sees a count a partition. The sorted rows (of ``keep``, these
+    columns only) are kept in the shared folder with their places, as a second sort might cut partitions elsewhere."""
     from fieldglass.store import stored
 
-    def numbered(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        part, at = TaskContext.get().partitionId(), 0
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * b.num_rows, pa.int32()), pa.array(range(at, at + b.num_rows), pa.int64())], [*b.schema.names, "_p", "_i"])
-            at += b.num_rows
-
-    schema = ", ".join([f"`{c}` {t}" for c, t in df.dtypes] + ["_p int, _i long"])
-    at = stored(df.orderBy(*order).mapInArrow(numbered, schema), "ordered")
+    keep = df.columns if keep is None else keep
+    at = df.orderBy(*order).select(*keep, F.monotonically_increasing_id().alias("_at"))  # its high bits are the sorted partition
+    at = stored(at, "ordered").select("*", F.shiftright("_at", 33).cast("int").alias("_p"))
     sizes = {r["_p"]: r["n"] for r in at.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
     starts, total = [], 0
     for p in range(max(sizes, default=-1) + 1):
         starts.append(total)
         total += sizes.get(p, 0)
     base = F.element_at(F.array(*[F.lit(s) for s in starts or [0]]), F.col("_p") + 1)
-    return at.select((base + F.col("_i")).cast("long").alias(out), *df.columns)
+    return at.select((base + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias(out), *keep)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] = (), mode: str = "errorifexists") -> None:

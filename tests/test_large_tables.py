@@ -6,8 +6,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fieldglass import registry
-from fieldglass.operators import bank, contracts, windows
+from fieldglass import registry, sinks, store
+from fieldglass.operators import bank, contracts, evaluate, history, joins, windows
+from fieldglass.plans import storage
 
 TABLES = "supplier orders lineitem".split()
 SF = "/root/testdata/sf0.001"
@@ -90,3 +91,66 @@ def test_peers_share_ranks_without_joins_by_value(spark):
         assert {k: r[out] for k, r in got.items()} == want
     assert got[2].zscore is None and got[3].zscore == pytest.approx(np.subtract(3, 1.375) / np.std([1, 1, 3, 0.5], ddof=1))
     assert "Join" not in t._jdf.queryExecution().executedPlan().toString()
+
+
+def counted(monkeypatch, module, name):
+    calls, own = [], getattr(module, name)
+    monkeypatch.setattr(module, name, lambda *a, **kw: calls.append(1) or own(*a, **kw))
+    return calls
+
+
+def test_coaches_of_many_stints_are_not_paired(spark):
+    rng = np.random.default_rng(5)
+    rows = sorted({("M", int(s), int(t)) for s, t in zip(rng.integers(2001, 2009, 150), rng.integers(1, 25, 150), strict=True)})
+    rows = [(*r, 0, 400, f"C{rng.integers(0, 3)}") for r in rows]
+    coaches = spark.createDataFrame(rows, "Gender string, Season int, TeamID int, FirstDayNum int, LastDayNum int, CoachName string")
+    games = coaches.select("Gender", "Season", "TeamID", F.lit(100).alias("DayNum"), F.lit(1).alias("win"), F.lit(5).alias("margin"))
+    t = history.coach_history(coaches, games, games.limit(0), 300)
+    got = {(r.Season, r.TeamID): r for r in t.collect()}
+    assert len(got) == len(rows)
+    for _, s, i, _, _, c in rows:
+        past = {(r[1], r[2]) for r in rows if r[5] == c and r[1] < s}
+        tenure = next(k for k in range(20) if (s - 1 - k, i) not in past)
+        r = got[s, i]
+        assert (r.prior_teams, r.prior_seasons, r.tenure) == (len({x for _, x in past}), len({y for y, _ in past}), tenure)
+    busiest = max(sum(r[5] == c for r in rows) for c in ("C0", "C1", "C2"))
+    assert busiest > 30 and "_t#" not in t._jdf.queryExecution().optimizedPlan().toString()  # no stint meets another
+
+
+@pytest.mark.parametrize("name", ["coach_history", "distribution_long", "resume_pairs", "league_audit", "blend_verify"])
+def test_league_of_wide_keys_equals_statements(spark, wide_keys, name):
+    got, want = compared(spark, wide_keys, name)
+    assert got == want and got
+
+
+def test_the_league_is_made_once_for_the_audit(spark, monkeypatch):
+    kept = counted(monkeypatch, storage, "stored")
+    storage._tables(spark, SF)
+    assert len(kept) == 1  # all tables are cut from these games
+
+
+def test_snapshots_of_pairs_are_made_once(spark, monkeypatch):
+    kept = counted(monkeypatch, store, "stored")
+    teams = spark.createDataFrame([("M", 1, 1.0), ("M", 2, 3.0)], "Gender string, TeamID int, x double")
+    pairs = spark.createDataFrame([(0, "M", 1, 2)], "n int, Gender string, Team1ID int, Team2ID int")
+    assert joins.ordered_pair_differences(pairs, teams, ["Gender"], ["x"], "n").first().diff_x == -2.0 and len(kept) == 2
+
+
+def test_percentiles_come_from_batches_of_teams(spark):
+    plan = registry.queries()["distribution_long"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "percentile" not in plan and "Generate explode" not in plan
+
+
+def test_rows_are_numbered_without_python_and_only_what_is_kept_is_written(spark):
+    df = spark.createDataFrame([(i * 7 % 50, f"v{i}") for i in range(50)], "k int, v string").repartition(5)
+    t = sinks.ordered_rows(df, [F.col("k")], "n", keep=["v"])
+    assert t.columns == ["n", "v"]
+    want = [f"v{i}" for i in sorted(range(50), key=lambda i: i * 7 % 50)]
+    assert [r.v for r in sorted(t.collect(), key=lambda r: r.n)] == want and sorted(r.n for r in t.collect()) == list(range(50))
+
+
+def test_a_blend_is_verified_in_one_aggregate(spark):
+    rows = spark.createDataFrame([(1, "a", 0.2, 1), (1, "b", 0.6, 1), (1, "b", 0.7, 1), (2, "a", 0.5, 0)], "g int, s string, p double, y int")
+    t = evaluate.verified_blend(rows, "s", {"a": 0.25, "b": 0.75}, ["g"])
+    assert {r.g: r.rebuilt for r in t.collect()} == {1: pytest.approx(0.5), 2: None}
+    assert "Join" not in registry.queries()["blend_verify"](spark, SF)._jdf.queryExecution().executedPlan().toString()
