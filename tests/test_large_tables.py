@@ -81,6 +81,24 @@ def test_bank_lays_out_what_its_families_say(spark):
         assert [x for x in v if x is not None] == pytest.approx([x for x in want[t] if x is not None])
 
 
+def test_signals_are_made_in_tasks_as_their_expressions_say(spark):
+    """Of games with every kind of missing denominator and value; no signal, and no decimal, is worked out row by row before."""
+    rng = np.random.default_rng(8)
+    n, box = 400, [*bank.BOX, *[f"opp_{b}" for b in bank.BOX]]
+    games = {"Gender": ["M"] * n, "Season": [2001] * n, "TeamID": list(range(n)), "OppID": [0] * n, "DayNum": [1] * n, "GameNo": list(range(n)), "home": [0] * n}
+    for c in bank.SCORES:
+        x = rng.integers(0, 4 if c != "NumOT" and rng.random() < 0.5 else 60, n)
+        games[c] = [None if z else int(v) for v, z in zip(x, rng.random(n) < 0.02, strict=True)]
+    df = spark.createDataFrame(list(zip(*games.values(), strict=True)), ", ".join(f"{c} {'string' if c == 'Gender' else 'int'}" for c in games))
+    want = {r.TeamID: r for r in bank.signals(df).collect()}
+    frame = bank.windows(df, 120)
+    got = {(r.TeamID, r.signal): r["max"] for r in frame.where("context = 'season'").collect()}
+    assert set(box) < set(bank.SCORES) and len(got) == 32 * n and sum(v is None for v in got.values()) > 100
+    assert got == {(t, s): r[s] for t, r in want.items() for s in bank.SIGNALS}
+    for plan in (frame, bank.venues(df), bank.trajectories(df, 120), bank.peer_values(df)):
+        assert "0.475" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_peers_share_ranks_without_joins_by_value(spark):
     rows = [("M", 1, t, "win", m, None if t == 3 else 2.0, float(t)) for t, m in enumerate([1.0, 1.0, None, 3.0, 0.5])]
     df = spark.createDataFrame(rows, "Gender string, Season int, TeamID int, signal string, m double, r double, s double")
