@@ -6,17 +6,24 @@ of MEMO: a full one becomes the old one, and what is met again moves on to the n
 with other white space around a blank, where a cut could change ids, go to the library whole, and so do texts that
 hold the string of a token added to the vocabulary (``<|endoftext|>``): as the library does on a plain call, it
 becomes that token. With ``specials_as_text`` such strings are ordinary text instead.
+
+New pieces cost most, so punctuation after a letter, where tokens end too, is looked up apart from the word before it, and
+the library gets new words joined, parted by a token that none of them holds.
 """
 
 from __future__ import annotations
 
 import os
 from array import array
-from itertools import filterfalse
+
+import numpy as np
 
 MEMO = 400_000
 #: Longer pieces are encoded but not kept.
 LONG = 80
+#: New words of one call of the library.
+JOINED = 4096
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Coder:
@@ -34,10 +41,66 @@ class Coder:
         self.special = [""] if any(t.normalized for t in added) else [t.content for t in added]
         self.memo: dict = {}
         self.old: dict = {}
+        self.tails: dict = {}
+        self.parting = "\n" if lead else " \x01 "
+        self.held = self.parting.strip(" ")
+        mark = self.model.encode(self.parting, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, literals: list[str]) -> list[bytes]:
+        """What ``_ids`` gives for pieces between blanks."""
+        fit = [self.mark is not None and self.held not in x and (x[:1] == " " or not self.lead) for x in literals]
+        alone = iter(self._ids([x for x, f in zip(literals, fit, strict=True) if not f]))
+        joined = iter(self._joined([x for x, f in zip(literals, fit, strict=True) if f]))
+        return [next(joined if f else alone) for f in fit]
+
+    def _joined(self, literals: list[str]) -> list[bytes]:
+        out = []
+        for lo in range(0, len(literals), JOINED):
+            part = literals[lo : lo + JOINED]
+            ids = np.array(self.model.encode_batch_fast([self.parting.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = 4 * np.flatnonzero(ids == self.mark)
+            if len(cut) != len(part) - 1:
+                out += self._ids(part)
+                continue
+            data, at = ids.tobytes(), 0
+            for end in [*cut.tolist(), len(data)]:
+                out.append(data[at:end])
+                at = end + 4
+        return out
+
+    def _tail(self, marks: str) -> bytes:
+        if marks not in self.tails:
+            if len(self.tails) > 50_000:
+                self.tails.clear()
+            self.tails[marks] = self._ids([marks])[0]
+        return self.tails[marks]
+
+    def _learn(self, keys: list) -> list:
+        """Put the keys' ids into the memory; all that was put there."""
+        memo, old, stems, need = self.memo, self.old, {}, {}
+        for k in keys:
+            stem = k if isinstance(k, tuple) else k.rstrip(MARKS)
+            # letters that every Unicode version knows, and whose small form is a letter alone
+            if len(stem) < len(k) and stem and stem[-1] < "\u0250" and stem[-1].lower().isalpha():
+                stems[k] = stem
+                if stem in old and stem not in memo:
+                    memo[stem] = old[stem]
+                elif stem not in memo:
+                    need[stem] = None
+            else:
+                need[k] = None
+        literal = {k: x for k in need if (x := self._literal(k)) is not None}
+        memo.update(need)
+        memo.update(zip(literal, self._words(list(literal.values())), strict=True))
+        for k, stem in stems.items():
+            ids = memo[stem]
+            memo[k] = None if ids is None else ids + self._tail(k[len(stem) :])
+        return [*need, *stems]
+
     def _literal(self, key) -> str | None:
         """The characters that a key stands for; None if they can't be encoded apart from what surrounds them."""
         if not self.lead:
@@ -68,23 +131,24 @@ class Coder:
             cut = [t.replace("\n", " ").split(" ") for t in texts]  # white space only parts words
         if len(self.memo) > MEMO:
             self.old, self.memo = self.memo, {}
-        memo, new = self.memo, set()
+        memo, new, found = self.memo, set(), []
         for ws in cut:
-            new.update(filterfalse(memo.__contains__, ws))
+            ids = list(map(memo.get, ws))  # looked up once: most of a known word's cost
+            gaps = [i for i, x in enumerate(ids) if x is None]
+            new.update([ws[i] for i in gaps])
+            found.append((ids, gaps))
         again = {k: self.old[k] for k in new if k in self.old}
         memo.update(again)
-        keys = [k for k in new if k not in again]
-        literal = [self._literal(k) for k in keys]
-        some = [i for i, x in enumerate(literal) if x is not None]
-        memo.update(dict.fromkeys(keys))
-        memo.update(zip([keys[i] for i in some], self._ids([literal[i] for i in some]), strict=True))
+        learnt = self._learn([k for k in new if k not in again])
         out = []
-        for t, ws in zip(texts, cut, strict=True):
+        for t, ws, (ids, gaps) in zip(texts, cut, found, strict=True):
+            for i in gaps:
+                ids[i] = memo[ws[i]]
             try:
-                out.append(b"".join(map(memo.__getitem__, ws)))
+                out.append(b"".join(ids))
             except TypeError:
                 out.append(self._ids([t])[0])
-        for k in keys:
+        for k in learnt:
             if len(k) > LONG or isinstance(k, tuple):
                 del memo[k]
         return out

@@ -503,6 +503,26 @@ def test_piecewise_ids_are_the_librarys(name, lead):
         assert np.frombuffer(got, "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize(("name", "lead"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_new_words_reach_the_library_joined_and_without_their_marks(name, lead):
+    from fieldglass.llm.tokens import Coder
+
+    c, fresh = Coder(coder_path(name), lead), plain_tokenizer(name)
+    given, own = [], c._ids
+    c._ids = lambda texts: given.extend(texts) or own(texts)
+    words = [f"wor{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(600)]
+    texts = [" ".join(["x", *words]), " ".join(["x", *[w + m for w in words for m in (".", ",", "'", "?!", "_")]]), "x \x01 a\x01b aİ- é. ß, e\u0301. it's. \n. a\tb. Σ. 9."]
+    for t, got in zip(texts, c.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids
+    assert len(given) < 30 and all(w + "." in c.memo for w in words)
+
+
+def coder_path(name):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def test_token_files_round_trip(spark, docs, with_null_id, none, tmp_path):
     for df, rows in ((docs, ROWS), (with_null_id, [*ROWS[:20], (None, *ROWS[13][1:])]), (none, [])):
         scratch = Scratch(spark, "t")
