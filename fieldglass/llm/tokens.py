@@ -7,27 +7,38 @@ with other white space around a blank, where a cut could change ids, go to the l
 hold the string of a token added to the vocabulary (``<|endoftext|>``): as the library does on a plain call, it
 becomes that token. With ``specials_as_text`` such strings are ordinary text instead.
 
-New pieces cost most, so punctuation after a letter, where tokens end too, is looked up apart from the word before it, and
-the library gets new words joined, parted by a token that none of them holds.
+New pieces cost most. One of Latin letters alone is one word to both vocabularies, so it goes to the library's model itself, in
+the alphabet of bytes, without the normalisers and patterns before it. Punctuation after a letter, where tokens end too, is looked
+up apart from the word before it.
 """
 
 from __future__ import annotations
 
+import codecs
 import os
+import re
 from array import array
 
-import numpy as np
-
 MEMO = 400_000
 #: Longer pieces are encoded but not kept.
 LONG = 80
-#: New words of one call of the library.
-JOINED = 4096
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters that no normal form changes and whose small form is one letter.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+#: What is before the first piece of a text; before others is one line break at most.
+START = "\n\n"
+#: START or a line break, a word of letters, and the marks after it.
+PLAIN = re.compile(f"(\n*)([{LETTERS}]+)([{re.escape(MARKS)}]*)").fullmatch
+#: The characters that byte-level vocabularies write for the 256 bytes: those that don't show follow Latin-1.
+UNSHOWN = [*range(33), *range(127, 161), 173]
+ALPHABET = "".join(chr(256 + UNSHOWN.index(b) if b in UNSHOWN else b) for b in range(256))
+
 
+class Coder(dict):
+    """``encode(texts)`` gives each text's ids as little-endian 32-bit bytes. ``lead``: a blank belongs to the piece after it.
 
-class Coder:
-    """``encode(texts)`` gives each text's ids as little-endian 32-bit bytes. ``lead``: a blank belongs to the piece after it."""
+    The dictionary is the memory's new generation: a piece that it lacks comes from the old one or is encoded.
+    """
 
     def __init__(self, file: str, lead: bool, specials_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,38 +50,26 @@ class Coder:
         added = [] if specials_as_text else list(self.model.get_added_tokens_decoder().values())
         # a string that is looked for in the normalised text may be anywhere: then no text is cut
         self.special = [""] if any(t.normalized for t in added) else [t.content for t in added]
-        self.memo: dict = {}
         self.old: dict = {}
         self.tails: dict = {}
-        self.parting = "\n" if lead else " \x01 "
-        self.held = self.parting.strip(" ")
-        mark = self.model.encode(self.parting, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+        self.tokenize = self.model.model.tokenize
+        # letters go to the model itself only where that gives the library's ids
+        words = [f"{b}{x}{y}" for b in ("", " ") for x in map(chr, range(256)) if PLAIN(x) for y in ("", "a", "\u00c9")]
+        self.plain = PLAIN if [self._word(w) for w in words] == self._ids(words) else lambda key: None
+
+    @property
+    def memo(self) -> dict:
+        return self
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, literals: list[str]) -> list[bytes]:
-        """What ``_ids`` gives for pieces between blanks."""
-        fit = [self.mark is not None and self.held not in x and (x[:1] == " " or not self.lead) for x in literals]
-        alone = iter(self._ids([x for x, f in zip(literals, fit, strict=True) if not f]))
-        joined = iter(self._joined([x for x, f in zip(literals, fit, strict=True) if f]))
-        return [next(joined if f else alone) for f in fit]
-
-    def _joined(self, literals: list[str]) -> list[bytes]:
-        out = []
-        for lo in range(0, len(literals), JOINED):
-            part = literals[lo : lo + JOINED]
-            ids = np.array(self.model.encode_batch_fast([self.parting.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cut = 4 * np.flatnonzero(ids == self.mark)
-            if len(cut) != len(part) - 1:
-                out += self._ids(part)
-                continue
-            data, at = ids.tobytes(), 0
-            for end in [*cut.tolist(), len(data)]:
-                out.append(data[at:end])
-                at = end + 4
-        return out
+    def _word(self, word: str) -> bytes:
+        """What ``_ids`` gives for a word of LETTERS, with the blank that belongs to it."""
+        if not self.lead:
+            word = word.strip(" ").lower()
+        shown = codecs.charmap_decode(word.encode(), "strict", ALPHABET)[0]
+        return array("I", [t.id for t in self.tokenize(shown)]).tobytes()
 
     def _tail(self, marks: str) -> bytes:
         if marks not in self.tails:
@@ -79,79 +78,60 @@ class Coder:
             self.tails[marks] = self._ids([marks])[0]
         return self.tails[marks]
 
-    def _learn(self, keys: list) -> list:
-        """Put the keys' ids into the memory; all that was put there."""
-        memo, old, stems, need = self.memo, self.old, {}, {}
-        for k in keys:
-            stem = k if isinstance(k, tuple) else k.rstrip(MARKS)
-            # letters that every Unicode version knows, and whose small form is a letter alone
-            if len(stem) < len(k) and stem and stem[-1] < "\u0250" and stem[-1].lower().isalpha():
-                stems[k] = stem
-                if stem in old and stem not in memo:
-                    memo[stem] = old[stem]
-                elif stem not in memo:
-                    need[stem] = None
+    def __missing__(self, key: str) -> bytes | None:
+        """The piece's ids, kept unless it is LONG; None if it can't be encoded apart from what surrounds it."""
+        ids = self.old.get(key)
+        if ids is None:
+            plain = self.plain(key)
+            if plain:
+                before, word, marks = plain.groups()
+                if marks:
+                    ids = self[before + word] + self._tail(marks)
+                elif before:
+                    ids = self._word(word) if before == START else self._tail(before) + self._word(word)
+                else:
+                    ids = self._word(" " + word if self.lead else word)
             else:
-                need[k] = None
-        literal = {k: x for k in need if (x := self._literal(k)) is not None}
-        memo.update(need)
-        memo.update(zip(literal, self._words(list(literal.values())), strict=True))
-        for k, stem in stems.items():
-            ids = memo[stem]
-            memo[k] = None if ids is None else ids + self._tail(k[len(stem) :])
-        return [*need, *stems]
-
-    def _literal(self, key) -> str | None:
+                ids = self._other(key)
+        if len(key) <= LONG:
+            self[key] = ids
+        return ids
+
+    def _other(self, key: str) -> bytes | None:
+        stem = key.rstrip(MARKS)
+        # letters that every Unicode version knows, and whose small form is a letter alone
+        if len(stem) < len(key) and stem and stem[-1] < "\u0250" and stem[-1].lower().isalpha():
+            ids = self[stem]
+            return None if ids is None else ids + self._tail(key[len(stem) :])
+        literal = self._literal(key)
+        return None if literal is None else self._ids([literal])[0]
+
+    def _literal(self, key: str) -> str | None:
         """The characters that a key stands for; None if they can't be encoded apart from what surrounds them."""
         if not self.lead:
             return key
-        if isinstance(key, tuple):  # the start of a text
-            return key[0] if not key[0][-1:].isspace() else None
+        if key.startswith(START):
+            return None if key[len(START) :][-1:].isspace() else key[len(START) :]
         body = key[1:] if key[:1] == "\n" else key
         if not body or body[0].isspace() or body[-1].isspace():
             return None
         return key if key[0] == "\n" else " " + key
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if any(x in t for x in self.special)]
-        if not whole:
-            return self._pieced(texts)
-        apart = set(whole)
-        out = self._pieced(["" if i in apart else t for i, t in enumerate(texts)])
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
-
-    def _pieced(self, texts: list[str]) -> list[bytes]:
+        if len(self) > MEMO:
+            self.old = dict(self)
+            self.clear()
+        return [self._ids([t])[0] if any(x in t for x in self.special) else self._pieced(t) for t in texts]
+
+    def _pieced(self, text: str) -> bytes:
         if self.lead:
-            cut = [t.replace("\n", " \n").split(" ") for t in texts]
-            for ws in cut:
-                ws[0] = (ws[0],)
+            pieces = (START + text.replace("\n", " \n")).split(" ")
         else:
-            cut = [t.replace("\n", " ").split(" ") for t in texts]  # white space only parts words
-        if len(self.memo) > MEMO:
-            self.old, self.memo = self.memo, {}
-        memo, new, found = self.memo, set(), []
-        for ws in cut:
-            ids = list(map(memo.get, ws))  # looked up once: most of a known word's cost
-            gaps = [i for i, x in enumerate(ids) if x is None]
-            new.update([ws[i] for i in gaps])
-            found.append((ids, gaps))
-        again = {k: self.old[k] for k in new if k in self.old}
-        memo.update(again)
-        learnt = self._learn([k for k in new if k not in again])
-        out = []
-        for t, ws, (ids, gaps) in zip(texts, cut, found, strict=True):
-            for i in gaps:
-                ids[i] = memo[ws[i]]
-            try:
-                out.append(b"".join(ids))
-            except TypeError:
-                out.append(self._ids([t])[0])
-        for k in learnt:
-            if len(k) > LONG or isinstance(k, tuple):
-                del memo[k]
-        return out
+            pieces = text.replace("\n", " ").split(" ")  # white space only parts words
+        try:
+            return b"".join(map(self.__getitem__, pieces))
+        except TypeError:  # a piece that has no ids of its own
+            return self._ids([text])[0]
 
 
 _CODERS: dict[tuple[str, bool, bool], Coder] = {}

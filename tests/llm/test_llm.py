@@ -517,6 +517,50 @@ def test_new_words_reach_the_library_joined_and_without_their_marks(name, lead):
     assert len(given) < 30 and all(w + "." in c.memo for w in words)
 
 
+class Watched:
+    """A tokenizer that keeps what its whole chain of normalisers and patterns was given."""
+
+    def __init__(self, model):
+        self.model, self.given = model, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += texts
+        return self.model.encode_batch_fast(texts, **options)
+
+
+@pytest.mark.parametrize(("name", "lead"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_words_of_letters_go_to_the_model_alone(name, lead, monkeypatch):
+    from fieldglass.llm import tokens
+
+    monkeypatch.setattr(tokens, "MEMO", 500)  # several generations
+    c, fresh = tokens.Coder(coder_path(name), lead), plain_tokenizer(name)
+    c.model = Watched(c.model)
+    rng = random.Random(8)
+    letters = [chr(x) for x in [*range(65, 91), *range(97, 123), *range(192, 256)] if x not in (215, 247)]
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 12))) + rng.choice(["", "", ".", ",&&&"]) for _ in range(1500)]
+    batches = [["".join(w + rng.choice(" \n") for w in rng.choices(words, k=60)) + "End" for _ in range(10)] for _ in range(8)]
+    for texts in batches:
+        for t, got in zip(texts, c.encode(texts), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids
+    assert sum(map(len, c.model.given)) < 50
+    odd = ["\n", "\n\nA", "\nÀ b", "A\n", "a×b ÷c", "It's\nit's. x", "B.", "\nB. c", ".\n.", "ÿ" * 200 + " y", "Ā ā. ǅ", " a"]
+    for t, got in zip(odd, c.encode(odd), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+@pytest.mark.parametrize(("name", "lead"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_other_normalisers_keep_words_with_the_library(name, lead, tmp_path):
+    from tokenizers import Tokenizer, normalizers
+
+    from fieldglass.llm.tokens import Coder
+
+    other = plain_tokenizer(name)
+    other.normalizer = normalizers.Lowercase() if lead else normalizers.NFC()
+    other.save(f"{tmp_path}/other.json")
+    text = "One Two. ÉTÉ été\nThree THREE"
+    assert np.frombuffer(Coder(f"{tmp_path}/other.json", lead).encode([text])[0], "<u4").tolist() == Tokenizer.from_file(f"{tmp_path}/other.json").encode(text, add_special_tokens=False).ids
+
+
 def coder_path(name):
     import public_tokenizers
 
